@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, pu
+from . import bpe, lines, packing, pu
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.quality_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def vocabulary() -> str:
+    """Path of the vocabulary file that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_read(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op4_bpe_tree, op5_best_fit_packing, op8_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
