@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, pii, pu, secrets
+from . import bpe, impact, lines, packing, pii, pu, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.weak_supervision(_read(spark, sf_dir, "documents"))
 
 
+def op2_warc_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_read(spark, sf_dir, "pages")), payload=False).drop("url")
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), vocabulary())
 
@@ -43,9 +48,34 @@ def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op6_secret_crf, op4_bpe_tree, op5_best_fit_packing, op8_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_warc_sequential, op4_bpe_tree, op5_best_fit_packing, op6_secret_crf, op8_quality_rules, op9_impact_topk, op10_quality_classifier)}
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.h = f.h
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_sequential": OP2_SQL, "op9_impact_topk": OP9_SQL}
