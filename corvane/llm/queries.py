@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, impact, lines, packing, pii, pu, secrets, warc
+from . import bpe, hmm, impact, lines, packing, pii, pu, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_read(spark, sf_dir, "documents"))
+
+
 def op9_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_warc_sequential, op4_bpe_tree, op5_best_fit_packing, op6_secret_crf, op8_quality_rules, op9_impact_topk, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_warc_sequential, op4_bpe_tree, op5_best_fit_packing, op6_secret_crf, op7_hmm_scoring, op8_quality_rules, op9_impact_topk, op10_quality_classifier)}
 
 
 OP2_SQL = """
