@@ -68,13 +68,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a table written by table() as soon as nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if shared_folder(spark).split(":", 1)[-1].rstrip("/") in path:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """Rows for which make()'s f(values of column) says true, with all their columns as they are; no shuffle."""
+    tune(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array([bool(x) for x in f(batch.column(at).to_pylist())]))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def crc_of_id(column: str = "doc_id"):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import labelled_sample, map_columns, texts
+from .common import keep_rows, labelled_sample, map_columns, texts
 
 #: Labelled documents that the CRF is fitted on, at most.
 TRAIN_DOCS = 3000
@@ -164,26 +164,33 @@ def judge(docs: DataFrame, model: LineCrf, share: float = CONTENT_SHARE) -> Data
     """One row per document: base counts, line tags ("C" or "b" for each line with a word), content share, verdict."""
 
     def make():
-        def f(ids, text):
-            rows, feats, sizes = [], [], []
-            for t in text:
-                data = t.encode("utf-8", "surrogatepass")
-                words = data.split()
-                rows.append(ts.base_counts(t, data, words, ts.word_hashes(words)))
-                lines = line_rows(data)
-                feats.append(binned(lines) if lines else np.empty((0, len(EDGES)), np.int32))
-                sizes.append(np.array([r[0] for r in lines], np.int64))
-            out = []
-            for (n, chars, sym, dup, rep), k, tags in zip(rows, sizes, model.decode(feats), strict=True):
-                bad = n < MIN_WORDS or 100 * rep > REPEAT_PERCENT * n
-                part = float(k[tags == 1].sum() / n) if n else 0.0
-                out.append((n, chars, sym, dup, rep, bad, len(k), int(tags.sum()), part, "".join("C" if x else "b" for x in tags), not bad and part >= share))
-            return [ids, *map(list, zip(*out, strict=True))]
-
-        return f
+        return lambda ids, text: [ids, *map(list, zip(*verdicts(text, model, share), strict=True))]
 
     return map_columns(texts(docs), SCHEMA, make)
 
 
+def verdicts(text: list[str], model: LineCrf, share: float) -> list[tuple]:
+    """The columns of SCHEMA after the id, for each text."""
+    rows, feats, sizes = [], [], []
+    for t in text:
+        data = t.encode("utf-8", "surrogatepass")
+        words = data.split()
+        rows.append(ts.base_counts(t, data, words, ts.word_hashes(words)))
+        lines = line_rows(data)
+        feats.append(binned(lines) if lines else np.empty((0, len(EDGES)), np.int32))
+        sizes.append(np.array([r[0] for r in lines], np.int64))
+    out = []
+    for (n, chars, sym, dup, rep), k, tags in zip(rows, sizes, model.decode(feats), strict=True):
+        bad = n < MIN_WORDS or 100 * rep > REPEAT_PERCENT * n
+        part = float(k[tags == 1].sum() / n) if n else 0.0
+        out.append((n, chars, sym, dup, rep, bad, len(k), int(tags.sum()), part, "".join("C" if x else "b" for x in tags), not bad and part >= share))
+    return out
+
+
+def keep(docs: DataFrame, model: LineCrf, share: float = CONTENT_SHARE) -> DataFrame:
+    """The documents that are kept, with their columns as they are."""
+    return keep_rows(docs, "text", lambda: lambda text: [v[-1] for v in verdicts([t or "" for t in text], model, share)])
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, share: float = CONTENT_SHARE) -> DataFrame:
     return judge(docs, train(docs, labels, train_docs), share)

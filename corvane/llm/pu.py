@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import crc_of_id, labelled_sample, map_columns, texts
+from .common import crc_of_id, keep_rows, labelled_sample, map_columns, texts
 
 TRAIN_POSITIVE, TRAIN_UNLABELLED, THRESHOLD = 4000, 8000, 0.3
 #: Bin edges of a feature are these quantiles of the positives: fine in both tails, where junk lies.
@@ -135,5 +135,10 @@ def score(docs: DataFrame, model: PuModel, threshold: float = THRESHOLD) -> Data
     return map_columns(texts(docs).withColumn("held_out", ~learnable()), "doc_id long, held_out boolean, score double, predicted int", make)
 
 
+def keep(docs: DataFrame, model: PuModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score `threshold` or more, with their columns as they are."""
+    return keep_rows(docs, "text", lambda: lambda text: model.score(np.array([features(t or "") for t in text])) >= threshold)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return score(docs, train(docs, labels), threshold)

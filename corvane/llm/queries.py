@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, impact, lines, packing, pii, pu, secrets, warc
+from . import bpe, hmm, impact, lines, neardup, packing, pii, pu, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.quality_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_read(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """Path of the vocabulary file that the registered queries use."""
     import public_tokenizers
@@ -57,7 +61,7 @@ def op9_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_warc_sequential, op4_bpe_tree, op5_best_fit_packing, op6_secret_crf, op7_hmm_scoring, op8_quality_rules, op9_impact_topk, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op2_warc_sequential, op3_near_duplicates, op4_bpe_tree, op5_best_fit_packing, op6_secret_crf, op7_hmm_scoring, op8_quality_rules, op9_impact_topk, op10_quality_classifier)}
 
 
 OP2_SQL = """
