@@ -82,6 +82,14 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataF
     return df.mapInArrow(run, df.schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of doc_id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

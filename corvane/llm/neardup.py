@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import map_columns, table, texts
+from .common import fresh, map_columns, table, texts
 
 SHINGLE, SIMILAR = 5, 0.8
 SAMPLES, BANDS, ROWS, AGREE = 48, 24, 4, 27
@@ -326,10 +326,11 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The documents that name their class, with their columns as they are; of rows that repeat such a one, the first."""
-    named = classes(docs, similar).where("representative").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(0)))
-    return kept.withColumn("_number", number).where("_number = 1").select(*docs.columns)
+    key, number = fresh(docs, "_class_id"), fresh(docs, "_copy")
+    named = classes(docs, similar).where("representative").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(0)))
+    return kept.withColumn(number, copy).where(F.col(number) == 1).drop(number)
 
 
 def _later_pairs(rest: DataFrame) -> DataFrame:

@@ -1,0 +1,110 @@
+"""Personal data and secrets: base spans against the plain patterns, and what the methods add."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from corvane.llm import crf, pii, secrets
+
+
+def plain_pii(text):
+    luhn = lambda d: sum((x if i % 2 == 0 else sum(divmod(2 * x, 10))) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    num = lambda s: re.sub("[^0-9]", "", s)
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(num(m[0])) <= 19 and luhn(num(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(num(m[0])) <= 15]
+    return [(s, pii.KINDS[k], e) for s, k, e in sorted(out)]
+
+
+def plain_secrets(text):
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(s, secrets.KINDS[k], e) for s, k, e in sorted(out)]
+
+
+def pieces(seed, parts):
+    r = random.Random(seed)
+    return "".join(r.choice(parts) for _ in range(r.randint(1, 30)))
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_base_spans_are_the_patterns(seed):
+    t = pieces(seed, ["a", "b.c", "@", ".", "x-y", "1", "22", "333", " ", "-", "+", "(", ")", "256", ".1", "é", "4111111111111111", "\n", "%"])
+    assert pii.base_spans(t) == plain_pii(t)
+    s = pieces(seed, ["password", "Token", "API_KEY", "apikey", " ", "=", ":", '"', "'", "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMNOP", "xyz", "/+.", "ſecret", "é"])
+    assert secrets.base_spans(s) == plain_secrets(s)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1" + " " * 200_000, "token" * 40_000, "token" + " " * 100_000])
+def test_long_texts_take_linear_time(text):
+    assert pii.base_spans(text) is not None
+    assert secrets.base_spans(text) is not None
+
+
+def test_queries_contract(docs, no_docs):
+    for module, scan, plain in ((pii, pii.weak_supervision, plain_pii), (secrets, secrets.scan, plain_secrets)):
+        text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+        got = scan(docs).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            base = plain(text[r.doc_id])
+            said = ",".join(f"{k}:{s}:{e}" for s, k, e in base)
+            assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+            assert [r[f"n_{k}"] for k in module.KINDS] == [sum(b[1] == k for b in base) for k in module.KINDS]
+            assert set(filter(None, said.split(","))) <= set(r.spans.split(",")) or not base
+        assert scan(no_docs).collect() == []
+
+
+def test_labelers_and_classifier():
+    rows, n = [], []
+    for text, times in (("mail me at joe@example.com now", 50), ("call +1 555 555 1234 now", 40), ("order ref 1234-5678-9012-3456 x", 5)):
+        for c in pii.candidates(text, pii.base_spans(text)):
+            rows.append(pii.pattern(text, *c))
+            n.append(times)
+    model = pii.SpanModel.fit(np.array(rows), np.array(n, float))
+    like = model.reliability["email"]
+    assert np.allclose(like.sum(2), 1) and (like[1, :, 2] > like[0, :, 2]).all()
+    p = lambda t: float(model.probability(np.array([pii.pattern(t, *pii.candidates(t, [])[0])]))[0])
+    assert p("call 555-867-5309 now") > pii.KEEP > p("order 1234-5678-9012-3456")
+    t = "write to ann [at] example.org, or call (212) 555-7788"
+    assert pii.masked(t, pii.all_spans(t, [], model)) == "write to [EMAIL], or call [PHONE]"
+
+
+def test_masking_keeps_rows_and_columns(docs):
+    out = pii.mask(docs, pii.train(docs))
+    assert out.columns == docs.columns and out.count() == docs.count()
+    row = out.where("doc_id = 11").head()
+    assert "[EMAIL]" in row.text and "[PHONE]" in row.text and "[CARD]" in row.text and "[IP]" in row.text and row.n_chars == len(row.text)
+
+
+def test_viterbi_is_exact_with_cuts():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        trans = rng.normal(size=(3, 3))
+        trans[0, 2] = crf.FORBIDDEN
+        chain = crf.Chain(np.array([0.0, 1, 1]), rng.normal(size=8) * 8 - 3, trans, np.array([0.3, -0.2, crf.FORBIDDEN]))
+        x = rng.integers(0, 8, (n, 2))
+        score = chain.w[x].sum(1)
+        value = lambda y: chain.start[y[0]] + sum(score[i] * chain.gain[y[i]] for i in range(n)) + sum(trans[a, b] for a, b in itertools.pairwise(y))
+        best = max(itertools.product(range(3), repeat=n), key=value)
+        assert np.isclose(value(best), value(tuple(secrets.SecretModel(chain).tag(x))))
+
+
+def test_secret_of_another_shape_is_tagged():
+    shapes = secrets.Shapes()
+    r = random.Random(1)
+    seqs = []
+    for i in range(300):
+        word = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        seqs += secrets.windows(f"we met on day {i % 30} and the token = \"{word}\" stood there for 12 weeks of rain {i}", shapes)
+    model = secrets.SecretModel(crf.Chain.fit(seqs, int(secrets._OFFSET[-1]), np.array([0.0, 1, 1]), secrets.ALLOWED, np.array([True, True, False]), l2=1e-6))
+    t = 'my passphrase = "Abc123defGhi456jklMno789" is not 12 weeks old'
+    assert [t[s:e] for s, _, e in secrets.all_spans(t, secrets.base_spans(t), model, shapes)] == ["Abc123defGhi456jklMno789"]
