@@ -1,7 +1,9 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-Shingles are five words in lower case (all words of a shorter text). A shingle weighs tf * ln(1 + N / df), rounded to a
-geometric grid; df comes from a count sketch of fixed size over all documents, where a shingle rarer than about one in
+Shingles are five words in lower case (all words of a shorter text). A shingle weighs tf * (1 + IDF * idf / idf_max) with
+idf = ln(1 + N / df), rounded to a geometric grid. The idf is smoothed so: in a large group of near copies what is common
+has a high df and what each copy has of its own a low one, and full idf would push copies apart that share nearly all
+their words. df comes from a count sketch of fixed size over all documents, where a shingle rarer than about one in
 a few thousand documents counts as that rare, at any corpus size.
 
 1. Texts that are equal as lower-case words are one node. Each node gets SAMPLES consistent samples (Ioffe's scheme:
@@ -36,8 +38,10 @@ SHINGLE, SIMILAR = 5, 0.8
 SAMPLES, BANDS, ROWS, AGREE = 48, 24, 4, 27
 #: The sketch has DEPTH rows of WIDTH counters, added up in parts of PART counters.
 DEPTH, WIDTH, PART = 2, 1 << 19, 1 << 14
-#: Grid of weights: exp(STEP * (level + LOWEST)); entries of the table of random draws.
-STEP, LOWEST, LEVELS, DRAWS = 0.125, -8, 128, 1 << 14
+#: How much the rarest shingle weighs more than one that all documents have.
+IDF = 0.5
+#: Grid of weights: exp(STEP * level), level in the lowest BITS of a packed shingle; entries of the table of random draws.
+STEP, BITS, LEVELS, DRAWS = 0.08, 8, 1 << 8, 1 << 13
 #: Copies of a hot bucket's row; members in a block where a bucket is compared block by block.
 SALTS, BLOCK = 64, 512
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,11 +68,12 @@ class Weights:
     """Levels of TF-IDF weights from the sketch of document frequencies."""
 
     def __init__(self, sketch: np.ndarray, documents: int):
-        self.idf = np.log(np.log1p(max(1, documents) / np.maximum(1, sketch))).astype(np.float32)  # ln of idf by counter
+        n = max(1, documents)
+        self.idf = np.log1p(IDF * np.log1p(n / np.maximum(1, sketch)) / np.log1p(n)).astype(np.float32)  # ln of the weight at tf 1, by counter
 
     def levels(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
         ln = np.maximum(self.idf[0][cells(s, 0)], self.idf[1][cells(s, 1)]) + np.log(tf)
-        return np.clip(np.round(ln / STEP).astype(np.int64) - LOWEST, 0, LEVELS - 1)
+        return np.clip(np.round(ln / STEP).astype(np.int64), 0, LEVELS - 1)
 
 
 _TABLE: list[np.ndarray] = []
@@ -79,7 +84,7 @@ def draws() -> np.ndarray:
     if not _TABLE:
         rng = np.random.default_rng(5)
         r, c, beta = rng.gamma(2, 1, DRAWS), rng.gamma(2, 1, DRAWS), rng.random(DRAWS)
-        ln_w = STEP * (np.arange(LEVELS) + LOWEST)[:, None]
+        ln_w = STEP * np.arange(LEVELS)[:, None]
         t = np.floor(ln_w / r + beta)
         ln_a = np.log(c) - r * (t - beta) - r
         _TABLE.append((np.clip((ln_a + 64) / 128, 0, 1 - 2**-32) * 2**32).astype(np.uint64).ravel() << np.uint64(32))
@@ -88,10 +93,11 @@ def draws() -> np.ndarray:
 
 def samples(s: np.ndarray, level: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """[texts, SAMPLES]: the least draw of each text's shingles; equal for two texts with the chance of their similarity."""
-    from_, table_, out = level.astype(np.uint64) << np.uint64(14), draws(), np.empty((len(starts), SAMPLES), np.uint64)
+    shift = np.uint64(DRAWS.bit_length() - 1)
+    from_, table_, out = level.astype(np.uint64) << shift, draws(), np.empty((len(starts), SAMPLES), np.uint64)
     for k in range(SAMPLES):
         p = s * _MULTIPLIERS[k]
-        v = table_[from_ | (p >> np.uint64(50))]
+        v = table_[from_ | (p >> (np.uint64(64) - shift))]
         p &= _LOW
         v |= p
         out[:, k] = np.minimum.reduceat(v, starts)
@@ -191,7 +197,7 @@ def similarity(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) > len(y):
         x, y = y, x
-    shift, mask = np.uint64(7), np.uint64(127)
+    shift, mask = np.uint64(BITS), np.uint64(LEVELS - 1)
     wx, wy = _GRID[(x & mask).astype(np.int64)], _GRID[(y & mask).astype(np.int64)]
     at = np.minimum(np.searchsorted(y >> shift, x >> shift), len(y) - 1)
     both = (y[at] >> shift) == (x >> shift)
@@ -199,13 +205,13 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(low / (wx.sum() + wy.sum() - low))
 
 
-_GRID = np.exp(STEP * (np.arange(LEVELS) + LOWEST))
+_GRID = np.exp(STEP * np.arange(LEVELS))
 
 
 def packed(text: str, weights: Weights) -> tuple[bytes | None, bytes]:
-    """Node and its shingles, ascending, each with its level in the lowest 7 bits."""
+    """Node and its shingles, ascending, each with its level in the lowest BITS."""
     node, s, tf = shingles(text)
-    return node, ((s & ~np.uint64(127)) | weights.levels(s, tf).astype(np.uint64)).tobytes()
+    return node, ((s & ~np.uint64(LEVELS - 1)) | weights.levels(s, tf).astype(np.uint64)).tobytes()
 
 
 def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
