@@ -13,8 +13,9 @@ a few thousand documents counts as that rare, at any corpus size.
    verified by exact weighted Jaccard similarity of its whole shingle sets, unless fewer than AGREE of its samples
    agree, which at similarity 0.8 happens about once in 10,000 pairs.
 3. Connected components of the verified links. Where a bucket then still holds several components, its members outside
-   the centre's component meet all members of the bucket, block by block, and what may be similar is verified as well. So
-   no candidate pair is left out, and no group is ever expanded into all its pairs.
+   the centre's component meet all members of the bucket, block by block in one task each, and links that join further
+   components are found exactly. So no candidate pair is left out, and no group is ever expanded into rows of all its
+   pairs.
 4. Components of all links are the classes; a class is named by its smallest doc_id.
 
 Counts by bucket are pre-aggregated and buckets that hold a thousandth of all rows or more are salted; links are joined
@@ -39,11 +40,11 @@ SAMPLES, BANDS, ROWS, AGREE = 48, 24, 4, 27
 #: The sketch has DEPTH rows of WIDTH counters, added up in parts of PART counters.
 DEPTH, WIDTH, PART = 2, 1 << 19, 1 << 14
 #: How much the rarest shingle weighs more than one that all documents have.
-IDF = 0.5
+IDF = 0.25
 #: Grid of weights: exp(STEP * level), level in the lowest BITS of a packed shingle; entries of the table of random draws.
 STEP, BITS, LEVELS, DRAWS = 0.08, 8, 1 << 8, 1 << 13
 #: Copies of a hot bucket's row; members in a block where a bucket is compared block by block.
-SALTS, BLOCK = 64, 512
+SALTS, BLOCK = 64, 256
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -122,13 +123,11 @@ def document_frequencies(docs: DataFrame) -> Weights:
         count, n = np.zeros((DEPTH, WIDTH), np.int32), [0]
 
         def f(text):
-            for t in text:
-                _, s, _ = shingles(t)
-                n[0] += 1
-                for row in range(DEPTH):
-                    count[row] += np.bincount(cells(s, row), minlength=WIDTH).astype(np.int32) if len(s) * 8 > WIDTH else 0
-                    if len(s) * 8 <= WIDTH:
-                        np.add.at(count[row], cells(s, row), 1)
+            found = [shingles(t)[1] for t in text]
+            n[0] += len(found)
+            together = np.concatenate(found)
+            for row in range(DEPTH):
+                count[row] += np.bincount(cells(together, row), minlength=WIDTH).astype(np.int32)
 
         def last():
             parts = count.reshape(-1, PART)
@@ -214,6 +213,21 @@ def packed(text: str, weights: Weights) -> tuple[bytes | None, bytes]:
     return node, ((s & ~np.uint64(LEVELS - 1)) | weights.levels(s, tf).astype(np.uint64)).tobytes()
 
 
+def shingle_sets(docs: DataFrame, weights: Weights, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, as a table."""
+    ids = nodes.select("node", "rep").join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+
+    def pack():
+        def f(text):
+            got = [packed(t, weights) for t in text]
+            return [[g[0] for g in got], [g[1] for g in got]]
+
+        return f
+
+    sets = map_columns(docs.join(ids, "doc_id", "left_semi").select("text"), "node binary, shingles binary", pack).where("node IS NOT NULL")
+    return table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
 def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b, sample_a, sample_b) whose similarity is `similar` or more, as a table of (a, b)."""
 
@@ -228,18 +242,7 @@ def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFra
         return f
 
     pairs = table(map_columns(pairs.select("a", "b", "sample_a", "sample_b"), "a binary, b binary", likely), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    ids = nodes.select("node", "rep").join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-
-    def pack():
-        def f(text):
-            got = [packed(t, weights) for t in text]
-            return [[g[0] for g in got], [g[1] for g in got]]
-
-        return f
-
-    sets = map_columns(docs.join(ids, "doc_id", "left_semi").select("text"), "node binary, shingles binary", pack).where("node IS NOT NULL")
-    sets = table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    sets = shingle_sets(docs, weights, nodes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
 
     def check():
         def f(a, b, x, y):
@@ -273,8 +276,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), whether it is the one named so, and how
-    many links the verified ones give its node's class: n_links counts those tested and found, not all pairs."""
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), and whether it is the one named so."""
     docs = texts(docs)
     weights = document_frequencies(docs)
     signed = table(signatures(docs, weights), "signatures")
@@ -300,6 +302,17 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     star = members.select("node", "key", "salt").join(copies(centres), ["key", "salt"])
     star = table(star.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star")
 
+    named = nodes.select("node", F.col("rep").alias("class_id"))
+    if not star.isEmpty():
+        named = _named(docs, weights, nodes, members, centres, star, copies, salted, similar)
+    found = signed.where("node IS NOT NULL").select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+    alone = signed.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    return found.unionAll(alone).withColumn("representative", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _named(docs: DataFrame, weights: Weights, nodes: DataFrame, members: DataFrame, centres: DataFrame, star: DataFrame, copies, salted, similar: float) -> DataFrame:
+    """(node, class_id) from the candidate pairs with the centres, and then from those among the rest of their buckets."""
+
     def with_samples(pairs: DataFrame) -> DataFrame:
         one = nodes.select(F.col("node").alias("a"), F.col("sample").alias("sample_a"))
         two = nodes.select(F.col("node").alias("b"), F.col("sample").alias("sample_b"))
@@ -313,21 +326,21 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     at_centre = centres.join(roots.withColumnRenamed("node", "centre"), "centre", "left").select("key", F.coalesce("root", "centre").alias("centre_root"))
     rooted = table(rooted.join(copies(at_centre), ["key", "salt"]).withColumn("out", F.col("root") != F.col("centre_root")).drop("centre_root"), "rooted")
     open_ = rooted.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n")).where("n_out > 0").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = salted(rooted.drop("salt"), "node").join(copies(table(open_, "open")), ["key", "salt"]).join(nodes.select("node", "sample"), "node")
-    rest = table(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("key", "node", "root", "out", "sample", "block", "blocks"), "rest")
-    later = _later_pairs(rest)
-    more = verified(docs, weights, nodes, later, similar)
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        roots = table(components(links), "roots")
-
-    named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = table(named, "named")
+    open_ = table(open_, "open")
+    if not open_.isEmpty():
+        rest = salted(rooted.drop("salt"), "node").join(copies(open_), ["key", "salt"]).join(nodes.select("node", "sample"), "node")
+        rest = table(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("key", "node", "root", "out", "sample", "block", "blocks"), "rest")
+        live = table(_met(rest, "sample", _alike, "key long, node binary").dropDuplicates(["key", "node"]), "live")
+        if not live.isEmpty():
+            sets = shingle_sets(docs, weights, nodes, live.select("node").distinct())
+            rest = rest.drop("sample").join(live, ["key", "node"], "left_semi").join(sets, "node")
+            more = table(_met(rest, "shingles", lambda *x: _linked(*x, similar), "a binary, b binary").dropDuplicates(["a", "b"]), "more")
+            if not more.isEmpty():
+                roots = table(components(links.unionAll(more)), "roots")
+
+    named = table(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     least = table(named.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
-    named = table(named.join(least, "root").select("node", "class_id"), "classes")
-    found = signed.where("node IS NOT NULL").select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
-    alone = signed.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.unionAll(alone).withColumn("representative", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return table(named.join(least, "root").select("node", "class_id"), "classes")
 
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -339,26 +352,92 @@ def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return kept.withColumn(number, copy).where(F.col(number) == 1).drop(number)
 
 
-def _later_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket with one outside the centre's component, of different components, that may be similar:
-    every block of such members meets every block of the bucket, in tasks of their own."""
-    import pandas as pd
-
-    outside = rest.where("out").select("key", "node", "root", "sample", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    everyone = rest.select("key", "node", "root", "sample", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"))
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"a": [], "b": [], "sample_a": [], "sample_b": []}
-        if len(x) and len(y):
-            right = np.frombuffer(b"".join(y["sample"]), np.uint16).reshape(len(y), -1)
-            nodes, roots = y["node"].to_numpy(), y["root"].to_numpy()
-            for node, root, sample in zip(x["node"], x["root"], x["sample"], strict=True):
-                for k in np.flatnonzero((right == np.frombuffer(sample, np.uint16)).sum(1) >= AGREE):
-                    if roots[k] != root:
-                        a, b = (node, nodes[k]) if node > nodes[k] else (nodes[k], node)
-                        sa, sb = (sample, y["sample"].iloc[k]) if node > nodes[k] else (y["sample"].iloc[k], sample)
-                        for c, v in zip(out, (a, b, sa, sb), strict=True):
-                            out[c].append(v)
-        return pd.DataFrame(out)
-
-    return outside.groupBy("key", "i", "j").cogroup(everyone.groupBy("key", "i", "j")).applyInPandas(meet, "a binary, b binary, sample_a binary, sample_b binary").dropDuplicates(["a", "b"])
+def _met(rest: DataFrame, column: str, meet, ddl: str) -> DataFrame:
+    """meet(bucket, left, right) for every block of members outside the centre's component and every block of all members
+    of their bucket; left and right are lists of (node, root, column's value), and the result rows of ddl.
+
+    Rows are dealt by bucket and pair of blocks, sorted, and taken up pair by pair as they come, so a task holds one pair
+    of blocks at a time."""
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = rest.where("out").select("key", "node", "root", column, F.col("block").alias("i"), all_blocks.alias("j"), F.lit(0).alias("side"))
+    everyone = rest.select("key", "node", "root", column, all_blocks.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    dealt = outside.unionByName(everyone).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def make():
+        now: list = [(None,), [], []]
+
+        def met():
+            return meet(now[0][0], now[1], now[2]) if now[1] and now[2] else []
+
+        def f(key, node, root, value, i, j, side):
+            out = []
+            for at, row in zip(zip(key, i, j, strict=True), zip(node, root, value, side, strict=True), strict=True):
+                if at != now[0]:
+                    out += met()
+                    now[:] = [at, [], []]
+                now[1 + row[3]].append(row[:3])
+            return list(map(list, zip(*out, strict=True))) if out else None
+
+        def last():
+            out = met()
+            return [list(map(list, zip(*out, strict=True)))] if out else []
+
+        f.close = last
+        return f
+
+    return map_columns(dealt, ddl, make)
+
+
+def _alike(key: int, left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """(bucket, node) of those that have a partner of another component of which AGREE samples or more agree."""
+    table_ = np.frombuffer(b"".join(r[2] for r in right), np.uint16).reshape(len(right), -1)
+    roots, hit, out = np.array([r[1] for r in right], object), np.zeros(len(right), bool), []
+    for node, root, sample in left:
+        one = ((table_ == np.frombuffer(sample, np.uint16)).sum(1) >= AGREE) & (roots != root)
+        if one.any():
+            out.append((key, node))
+            hit |= one
+    return out + [(key, right[k][0]) for k in np.flatnonzero(hit)]
+
+
+def _linked(_, left: list[tuple], right: list[tuple], similar: float, columns: int = 4096) -> list[tuple]:
+    """Links that join different components, as many as it takes to join them: a pair that earlier links have joined adds
+    nothing. All pairs are bounded at once, by products of roots of weights over the shingles that both sides have, which
+    is no less than the sum of the smaller weights; only pairs whose bound reaches `similar` are computed exactly."""
+    sides = []
+    for rows in (left, right):
+        parts = [np.frombuffer(r[2], np.uint64) for r in rows]
+        of = np.repeat(np.arange(len(rows)), list(map(len, parts)))
+        flat = np.concatenate(parts)
+        sides.append((flat >> np.uint64(BITS), np.sqrt(_GRID[(flat & np.uint64(LEVELS - 1)).astype(np.int64)]), of))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    total, least = [np.bincount(of, w * w, len(rows)) for (_, w, of), rows in zip(sides, (left, right), strict=True)], np.zeros((len(left), len(right)))
+    spots = []
+    for h, w, of in sides:
+        at = np.searchsorted(both, h)
+        in_ = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == h) if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(at[in_], kind="stable")
+        spots.append((at[in_][order], w[in_][order], of[in_][order]))
+    for a in range(0, len(both), columns):
+        dense = []
+        for (at, w, of), rows in zip(spots, (left, right), strict=True):
+            x, y = np.searchsorted(at, [a, a + columns])
+            m = np.zeros((len(rows), min(columns, len(both) - a)))
+            m[of[x:y], at[x:y] - a] = w[x:y]
+            dense.append(m)
+        least += dense[0] @ dense[1].T
+    root = {r[1]: r[1] for r in (*left, *right)}
+
+    def find(r: bytes) -> bytes:
+        while root[r] != r:
+            root[r] = root[root[r]]
+            r = root[r]
+        return r
+
+    out = []
+    for i, j in np.argwhere(least >= (similar - 1e-9) * (total[0][:, None] + total[1] - least)):
+        x, y = find(left[i][1]), find(right[j][1])
+        if x != y and similarity(left[i][2], right[j][2]) >= similar:
+            root[x] = y
+            out.append((left[i][0], right[j][0]))
+    return out

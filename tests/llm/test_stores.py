@@ -142,6 +142,34 @@ def test_classes_against_all_pairs(spark, docs):
     assert Counter((r.doc_id, r.class_id) for r in got.collect()) == plain_classes(rows, weights)
 
 
+def test_links_inside_a_task_join_what_all_pairs_join():
+    r = random.Random(3)
+    weights = neardup.Weights(np.ones((2, neardup.WIDTH), np.int64), 100)
+    base, rows = prose(1, 120).split(), []
+    for k in range(40):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 5])):
+            w[r.randrange(120)] = f"w{r.random()}"
+        node, packed = neardup.packed(" ".join(w) + " a a a a a a a" * (k % 5 == 0), weights)
+        rows.append((node, node, packed))
+
+    def joined(pairs):
+        root = {x[0]: x[0] for x in rows}
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return [[find(x[0]) == find(y[0]) for x in rows] for y in rows]
+
+    links = neardup._linked(0, rows[:20], rows, 0.8, columns=64)
+    plain = [(a[0], b[0]) for a in rows[:20] for b in rows if a[0] != b[0] and neardup.similarity(a[2], b[2]) >= 0.8]
+    assert joined(links) == joined(plain) and 0 < len(links) <= len(plain)
+
+
 def test_one_of_each_group_stays(spark, docs, no_docs):
     out = neardup.deduplicate(docs)
     assert out.schema == docs.schema
