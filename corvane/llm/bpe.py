@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import map_columns, texts
 
 #: Code points of a leaf of a long text; characters from which a run without split points is encoded by halves.
-LEAF, LONG_RUN = 16384, 1024
+LEAF, LONG_RUN = 32768, 1024
 #: Words, and pieces of words, whose ids a worker remembers; it starts afresh when there are more.
 WORDS_KEPT, PIECES_KEPT = 400_000, 300_000
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_NO_LETTER = re.compile("[²³¹¼½¾]")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
@@ -114,7 +115,10 @@ class WordBpe(dict):
         """A word without special tokens."""
         low = word.lower()
         if low.isascii() and low.isprintable():
-            return b"".join(map(self._piece, _ASCII.findall(low)))
+            return b"".join(map(self._piece, _SPLIT.findall(low)))
+        # Below U+0250 no normal form changes anything, and letters are what \w takes for such, but for the numbers in _NO_LETTER.
+        if max(low) < "\u0250" and low.isprintable() and not _NO_LETTER.search(low):
+            return b"".join([self._piece(p.encode().decode("latin-1").translate(self.letters)) for p in _SPLIT.findall(low)])
         low = self.tokenizer.normalizer.normalize_str(word)
         return b"".join([self._piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(low)])
 
