@@ -60,3 +60,10 @@ def leaks(manifest: DataFrame) -> DataFrame:
 def without_overlap(train: DataFrame, held_out: DataFrame) -> DataFrame:
     """Training rows whose query isn't held out."""
     return train.join(held_out.select("query").distinct(), "query", "left_anti")
+
+
+def holding(rows: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Rows whose query holds the whole text of a held-out item(text), or is it. Containment has no key to join by, so each
+    query meets each item: the work is rows times items."""
+    items = held_out.where("text <> ''").select(F.col("text").alias("_item")).distinct()
+    return rows.join(items, F.contains("query", "_item"), "left_semi")

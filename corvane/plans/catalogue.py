@@ -401,6 +401,51 @@ def split_without_overlap(v):
     return splits.without_overlap(v.queries(), _sealed(v)).select("ord")
 
 
+# The same over the whole benchmark: a query is sealed if it holds, or is, the text of a benchmark item.
+
+_HELD = "SELECT DISTINCT query FROM v_queries WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(query, b.text))"
+_SPLIT_BENCHMARK = _SPLIT.replace("SELECT DISTINCT text AS query FROM documents WHERE doc_id % 50 = 0", _HELD)
+
+
+def _benchmark_held(v):
+    return splits.holding(v.queries(), v.read("benchmark")).select("query")
+
+
+@query("SELECT ord FROM v_queries WHERE query IN (SELECT text FROM benchmark)")
+def split_sealed_exact_benchmark(v):
+    return v.queries().join(v.read("benchmark").select(F.col("text").alias("query")), "query", "left_semi").select("ord")
+
+
+@query("SELECT ord FROM v_queries WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(query, b.text))")
+def split_sealed_contains(v):
+    return splits.holding(v.queries(), v.read("benchmark")).select("ord")
+
+
+@query("SELECT md5(query) AS query, stratum, split FROM asg", _SPLIT_BENCHMARK)
+def split_assign_benchmark(v):
+    return splits.assign(v.queries(), _benchmark_held(v)).withColumn("query", F.md5(F.col("query").cast("binary")))
+
+
+@query("SELECT split, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM lab GROUP BY split", _SPLIT_BENCHMARK)
+def split_sizes_benchmark(v):
+    return splits.sizes(splits.label(v.queries(), splits.assign(v.queries(), _benchmark_held(v))))
+
+
+@query("SELECT stratum, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM lab GROUP BY stratum", _SPLIT_BENCHMARK)
+def split_stratum_pivot_benchmark(v):
+    return splits.by_stratum(splits.label(v.queries(), splits.assign(v.queries(), _benchmark_held(v))))
+
+
+@query("SELECT count(*) AS n FROM (SELECT query FROM asg GROUP BY query HAVING count(DISTINCT split) > 1)", _SPLIT_BENCHMARK)
+def split_leakage_check_benchmark(v):
+    return splits.leaks(splits.assign(v.queries(), _benchmark_held(v))).agg(F.count("*").alias("n"))
+
+
+@query("SELECT ord FROM v_queries WHERE query NOT IN (" + _HELD + ")")
+def split_without_overlap_benchmark(v):
+    return splits.without_overlap(v.queries(), _benchmark_held(v)).select("ord")
+
+
 # Negatives
 
 _STOPS = "'the','and','for','with','from','that','this','tool','will','can','use','get','set','create','update','delete','returns','list','all','any','one','two','three','given','used'"
@@ -506,18 +551,23 @@ def adapter_registry_label(v):
     return v.queries().select("ord", L.adapter_registry(F.col("n_chars") % 90).alias("registry"))
 
 
-def _entries(v):
+def _all_entries(v):
     tool = lambda n: F.concat(F.lit('{"type": "function", "function": {"name": "'), n, F.lit('", "description": "d", "parameters": {"type": "object"}}}'))
     listed = lambda n: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: tool(F.concat(F.lit("srv-fn_"), i.cast("string")))), ", "), F.lit("]"))
     k = F.col("o_orderkey")
     said = F.concat(F.lit("{'name': 'srv-fn_1', 'arguments': '{\"n\": "), k.cast("string"), F.lit(", \"flag\": true}'}"))
     call = F.to_json(F.array(F.struct(F.lit("tool_call").alias("role"), said.alias("content"))))
-    return v.read("orders").where("o_orderkey < 3000").select(
+    return v.read("orders").select(
         k.cast("string").alias("uuid"), F.when(k % 10 == 0, "irrelevant").otherwise("multi-turn").alias("subset_name"), F.lit('["one", "two"]').alias("question"),
         F.when(k % 7 == 0, "S::nothing").otherwise("S::fn_1, S::fn 2").alias("target_tools"), F.when(k % 9 == 0, F.lit("not json")).otherwise(listed((2 + k % 8).cast("int"))).alias("tools"), call.alias("messages"),
     )
 
 
+def _entries(v):
+    """The entries that _ENTRY is about; the queries named _all take every order."""
+    return _all_entries(v).where("CAST(uuid AS BIGINT) < 3000")
+
+
 _ENTRY = """en AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'irrelevant' WHEN o_orderkey % 9 = 0 THEN 'parse_fail' WHEN 2 + o_orderkey % 8 < 5 THEN 'size_filter'
   WHEN o_orderkey % 7 = 0 THEN 'build_fail' ELSE 'ok' END AS status FROM orders WHERE o_orderkey < 3000)"""
 
@@ -538,6 +588,27 @@ def adapter_call_params(v):
     return rows.select("uuid", F.col("turn").cast("int").alias("turn"), "query", "correct_tool", F.get_json_object("params", "$.n").cast("long").alias("n"))
 
 
+# The same over every order.
+
+_ENTRY_ALL = _ENTRY.replace(" WHERE o_orderkey < 3000", "")
+
+
+@query("SELECT status, CAST(sum(CASE WHEN status = 'ok' THEN 2 ELSE 1 END) AS BIGINT) AS n_turns, count(*) AS n_entries FROM en GROUP BY status", _ENTRY_ALL)
+def adapter_funnel_all(v):
+    return adapter.funnel(adapter.turns(_all_entries(v)))
+
+
+@query("SELECT status, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, status) AS INT) AS rank FROM en WHERE status <> 'ok' GROUP BY status", _ENTRY_ALL)
+def adapter_skip_reasons_all(v):
+    return adapter.skip_reasons(adapter.turns(_all_entries(v)))
+
+
+@query("SELECT CAST(k AS VARCHAR) AS uuid, i AS turn, CASE i WHEN 0 THEN 'one' ELSE 'two' END AS query, CASE i WHEN 0 THEN 'srv-fn_1' ELSE 'srv-fn_2' END AS correct_tool, CASE i WHEN 0 THEN k END AS n FROM en, (SELECT 0 AS i UNION ALL SELECT 1) WHERE status = 'ok'", _ENTRY_ALL)
+def adapter_call_params_all(v):
+    rows = adapter.with_call_params(adapter.turns(_all_entries(v)).where("status = 'ok'"))
+    return rows.select("uuid", F.col("turn").cast("int").alias("turn"), "query", "correct_tool", F.get_json_object("params", "$.n").cast("long").alias("n"))
+
+
 # Augmentation
 
 _ROWS = "aw AS (SELECT registry, pos, name AS correct_tool, description AS query FROM v_tools)"
