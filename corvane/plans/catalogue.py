@@ -515,6 +515,52 @@ def neg_type_counts(v):
     return negatives.pairs(rows, v.tools()).groupBy("negative_type").agg(F.count("*").alias("n"))
 
 
+# The same with a trajectory of every different tool of every registry, asked by its own (first) description.
+
+_SCORES_ALL = (
+    _SCORES.replace("SELECT registry, min(name) AS correct_tool FROM v_tools WHERE category = 'SMALL' GROUP BY registry", "SELECT registry, name AS correct_tool, arg_min(description, pos) AS said FROM v_tools GROUP BY registry, name")
+    .replace("SELECT r.registry, correct_tool, 'please find a red widget of SMALL size for ' || lower(r.registry) AS query FROM rw r", "SELECT registry || '|' || correct_tool AS traj_id, registry, correct_tool, 'please find a ' || said AS query FROM rw")
+    .replace("SELECT q.registry AS traj_id, ", "SELECT q.traj_id, ")
+)
+
+
+def _all_asked(v):
+    rows = v.tools().groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("description", "pos").alias("_said"))
+    return rows.select("registry", "correct_tool", F.concat("registry", F.lit("|"), "correct_tool").alias("traj_id"), F.concat(F.lit("please find a "), "_said").alias("query"))
+
+
+def _all_pairs(v, target=None):
+    m = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    final = F.concat(F.lit('FINAL({"tool": "'), "correct_tool", F.lit('", "params": {"k": 1}})'))
+    rows = _all_asked(v).withColumn("params", F.lit('{"k": 1}')).withColumn("required", F.array(F.lit("k"))).withColumn("messages", F.array(m("user", F.col("query")), m("assistant", final)))
+    return negatives.pairs(rows, v.tools(), target=target)
+
+
+@query("SELECT traj_id, name, pos, CAST(score AS INT) AS score FROM sc", _SCORES_ALL)
+def neg_candidate_scores_all(v):
+    return negatives.candidate_scores(_all_asked(v), v.tools())
+
+
+@query("SELECT traj_id, name, pos, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM tp", _SCORES_ALL)
+def neg_top3_all(v):
+    return negatives.top_candidates(negatives.candidate_scores(_all_asked(v), v.tools()))
+
+
+@query("SELECT traj_id, wrong_tool FROM wt", _SCORES_ALL)
+def neg_wrong_tool_pairs_all(v):
+    return negatives.wrong_tools(_all_asked(v), v.tools())
+
+
+@query("SELECT * FROM (SELECT traj_id, 'wrong_tool' AS negative_type FROM wt UNION ALL SELECT traj_id, 'wrong_param' FROM rq) ORDER BY md5('42|' || traj_id), negative_type DESC LIMIT 9", _SCORES_ALL)
+def neg_target_limit_all(v):
+    return _all_pairs(v, target=9).select("traj_id", "negative_type")
+
+
+@query("SELECT negative_type, count(*) AS n FROM (SELECT 'wrong_tool' AS negative_type FROM wt UNION ALL SELECT 'wrong_param' FROM rq) GROUP BY 1", _SCORES_ALL)
+def neg_type_counts_all(v):
+    return _all_pairs(v).groupBy("negative_type").agg(F.count("*").alias("n"))
+
+
 # Dataset adapter
 
 

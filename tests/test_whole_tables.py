@@ -1,11 +1,14 @@
 """Queries over whole tables: on rows made here that lie outside the parts which other queries take."""
 
 import hashlib
+import re
 
 import duckdb
 import pytest
 
+from corvane.config import STOP_WORDS
 from corvane.plans import catalogue
+from corvane.plans.views import Views
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +17,7 @@ def tables(spark, tmp_path_factory):
     con = duckdb.connect()
     made = {
         "orders": "SELECT range AS o_orderkey FROM range(1, 6001)",
+        "part": "SELECT range AS p_partkey, 'Brand#' || range % 3 AS p_brand, ['red', 'blue', 'old'][1 + range // 3 % 3] || ' ' || ['gear', 'bolt', 'cog', 'nut'][1 + range // 9 % 4] AS p_name, ['LARGE red', 'SMALL gear'][1 + range % 2] AS p_type, range % 7 AS p_size FROM range(60)",
         "documents": "SELECT range AS doc_id, CASE WHEN range % 30 = 7 THEN 'see item ' || range || ' here' ELSE 'plain ' || range END AS text, 'en' AS lang, 'src' || range % 2 AS source, 20 + range % 3 AS n_chars FROM range(300)",
         "benchmark": "SELECT * FROM (VALUES (1, 'item 7 '), (2, 'item 67 '), (3, 'plain 11'), (4, ''), (5, NULL)) t(item_id, text)",
     }
@@ -38,3 +42,28 @@ def test_benchmark_is_sealed(spark, tables):
     split = {r.query: r.split for r in run("split_assign_benchmark").collect()}
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert {split[md5(t)] for t in ("see item 7 here", "see item 67 here", "plain 11", "plain 113")} == {"test"}
+
+
+def test_every_tool_is_asked_about(spark, tables):
+    """Against brute force: each other tool of the registry, scored by the words that it shares."""
+    tools = [(r.registry, r.pos, r.name, r.description) for r in Views(spark, tables).tools().orderBy("pos").collect()]
+    words = lambda text: set(re.findall("[a-z]{3,}", text.lower())) - set(STOP_WORDS)
+    first = {}
+    for registry, _, name, said in tools:
+        first.setdefault((registry, name), said)
+    assert len(first) == 36
+    want = {
+        (f"{registry}|{name}", other, pos): 2 * len(words(f"{other} {d}") & set(re.findall("[a-z]{3,}", f"please find a {said}".lower()))) - len(words(f"{other} {d}") & words(f"{name} {said}"))
+        for (registry, name), said in first.items() for r, pos, other, d in tools if r == registry and other != name
+    }
+    run = lambda name: catalogue.QUERIES[name](spark, tables)
+    assert {(r.traj_id, r.name, r.pos): r.score for r in run("neg_candidate_scores_all").collect()} == want
+    best = {t: [k[1:] for k in sorted((k for k in want if k[0] == t), key=lambda k: (-want[k], k[2]))[:3]] for t in {k[0] for k in want}}
+    got = {}
+    for r in run("neg_top3_all").orderBy("rank").collect():
+        got.setdefault(r.traj_id, []).append((r.name, r.pos))
+    assert got == best
+    wrong = {r.traj_id: r.wrong_tool for r in run("neg_wrong_tool_pairs_all").collect()}
+    assert set(wrong) == set(best) and all(w in [n for n, _ in best[t]] for t, w in wrong.items())
+    assert {r.negative_type: r.n for r in run("neg_type_counts_all").collect()} == {"wrong_tool": 36, "wrong_param": 36}
+    assert run("neg_target_limit_all").count() == 9
