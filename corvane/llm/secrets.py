@@ -18,6 +18,7 @@ columns pass unread. Without any base match in the sample, only base spans are g
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -63,16 +64,18 @@ OTHER, KEY, OPERATOR, QUOTE, DIGIT, EDGE = range(6)
 FIELDS = (8, 16, 4, 2, 6, 6, 6, 2, 2, 2)
 _OFFSET = np.concatenate([[0], np.cumsum(FIELDS)])
 _LENGTHS = (2, 4, 8, 12, 16, 24, 40)
+#: Class of each byte: lower, upper, digit, other ("?" stands for what isn't ASCII); and all pairs of different classes.
+_CLASS = bytes(b"l"[0] if 97 <= c <= 122 else b"u"[0] if 65 <= c <= 90 else b"D"[0] if 48 <= c <= 57 else b"o"[0] for c in range(256))
+_PAIRS = [bytes(p) for p in itertools.permutations(b"luDo", 2)]
 
 
 def shape(token: str) -> tuple[int, int, int, int, int]:
     """Length bin, classes (lower 1, upper 2, digit 4, other 8), mixture of classes, hex only; and role."""
     n = len(token)
-    low, up, dig = any("a" <= c <= "z" for c in token), any("A" <= c <= "Z" for c in token), any("0" <= c <= "9" for c in token)
-    kinds = ["d" if "0" <= c <= "9" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "o" for c in token[:64]]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    kinds = token.encode("ascii", "replace").translate(_CLASS)
+    low, up, dig, other = (k in kinds for k in b"luDo")
+    changes = sum(map(kinds.count, _PAIRS)) if n > 1 else 0
     role = KEY if _KEY.search(token) else DIGIT if dig else OPERATOR if token in (":", "=") else QUOTE if token in ('"', "'") else OTHER
-    other = not all(k in "dul" for k in kinds)
     return sum(n > e for e in _LENGTHS), low + 2 * up + 4 * dig + 8 * other, min(3, changes * 4 // max(1, n - 1)) if n > 1 else 0, int(n >= 8 and all(c in "0123456789abcdef" for c in token)), role
 
 

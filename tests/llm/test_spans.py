@@ -108,3 +108,15 @@ def test_secret_of_another_shape_is_tagged():
     model = secrets.SecretModel(crf.Chain.fit(seqs, int(secrets._OFFSET[-1]), np.array([0.0, 1, 1]), secrets.ALLOWED, np.array([True, True, False]), l2=1e-6))
     t = 'my passphrase = "Abc123defGhi456jklMno789" is not 12 weeks old'
     assert [t[s:e] for s, _, e in secrets.all_spans(t, secrets.base_spans(t), model, shapes)] == ["Abc123defGhi456jklMno789"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 64, 100, 160, 300, 5000])
+def test_shape_is_that_of_the_whole_token(n):
+    r = random.Random(n)
+    for letters in ("abcdefXYZ0123456789", "abc", "aB+/_-9", "é"):
+        t = "".join(r.choice(letters) for _ in range(n))
+        kinds = ["l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else "o" for c in t]
+        changes = sum(a != b for a, b in itertools.pairwise(kinds))
+        got = secrets.shape(t)
+        assert got[1:3] == (("l" in kinds) + 2 * ("u" in kinds) + 4 * ("d" in kinds) + 8 * ("o" in kinds), min(3, changes * 4 // max(1, n - 1)))
+    assert secrets.shape("aB3x" * 20 + "+")[1] == 15
