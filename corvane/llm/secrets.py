@@ -3,7 +3,8 @@
 Tokens are runs of letters, digits and "+/_-", or single other marks. Their features are shape (length, classes of
 letters, how mixed they are), what stands before and after (a key word, an operator, a quote), and the file (does the
 text hold key words, does it look like code). The CRF is fitted on the tokens around the base matches and around other
-odd tokens of at most TRAIN_DOCS texts; its labels come from the base patterns, but key names and formats aren't among
+odd tokens of at most TRAIN_DOCS texts, half of them texts with a base match (found over the whole table, however rare),
+the others without; its labels come from the base patterns, but key names and formats aren't among
 the features of a token itself, so that other secrets of such a shape in such a place are tagged too.
 
 Decoding is exact. A token whose emission score is below minus the margin of the transitions is outside on every best
@@ -12,7 +13,7 @@ a digit, a key word or a base match, holds no secret and isn't tagged.
 
 Base matches are always spans. Tagged spans that overlap none are added, under the kind "assign" after a key word, else
 "access" (capitals and digits only) or "hex". Null text is read as empty. Repeated rows give repeated results. Other
-columns pass unread. Without any base match in the sample, only base spans are given.
+columns pass unread. Without any base match in the table, only base spans are given.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, texts
+from .common import map_columns, table, texts
 from .crf import Chain
 
 KINDS = ("assign", "access", "hex")
@@ -36,8 +37,10 @@ LEAST = 12
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: A text in which this doesn't occur has no base match and isn't tagged.
+#: A text in which this doesn't occur has no base match.
 MAY_HOLD = r"(?i)[0-9]|password|passwd|secret|token|api_?key|[a-f]{16}|AKIA"
+#: Nor has one in which this doesn't occur.
+NEAR_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 _ODD = re.compile(r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*|[=:\"']")
@@ -169,10 +172,29 @@ def windows(text: str, shapes: Shapes, reach: int = 4) -> list[tuple[np.ndarray,
     return [(x[p[k : k + 64]], y[p[k : k + 64]]) for p in parts for k in range(0, len(p), 64) if len(p) and y[p[k]] != 2]
 
 
+def strata(docs: DataFrame) -> DataFrame:
+    """Table of (key, held) of each different row that may hold a base match: whether it does. Python looks only at texts
+    that come close to one."""
+    rows = texts(docs).where(F.col("text").rlike(MAY_HOLD))
+    close = F.when(F.col("text").rlike(NEAR_BASE), F.col("text")).otherwise(F.lit(""))
+    looked = map_columns(rows.select(_key().alias("key"), close.alias("text")), "key long, held boolean", lambda: lambda key, text: [key, [bool(secret_parts(t)) for t in text]])
+    return table(looked.distinct(), "strata")
+
+
+def _key():
+    return F.xxhash64("doc_id", "text", F.lit("secrets"))
+
+
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """Texts to fit on: half of `rows` of those with a base match anywhere in the table, the rest of those without."""
+    found, half = strata(docs), max(1, rows // 2)
+    pick = found.where("held").orderBy("key").limit(half).unionAll(found.where("NOT held").orderBy("key").limit(rows - half)).select("key")
+    return texts(docs).where(F.col("text").rlike(MAY_HOLD)).withColumn("key", _key()).join(F.broadcast(pick), "key", "left_semi").select("text")
+
+
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> SecretModel | None:
-    """None where the sample has no base match."""
-    pick = _holding(docs).where("text <> ''").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("secrets")), "doc_id").limit(rows)
-    sample = texts(docs).join(F.broadcast(pick), "doc_id").select("text")
+    """None where the table has no base match."""
+    sample = sampled(docs, rows)
 
     def make():
         shapes = Shapes()

@@ -120,3 +120,14 @@ def test_shape_is_that_of_the_whole_token(n):
         got = secrets.shape(t)
         assert got[1:3] == (("l" in kinds) + 2 * ("u" in kinds) + 4 * ("d" in kinds) + 8 * ("o" in kinds), min(3, changes * 4 // max(1, n - 1)))
     assert secrets.shape("aB3x" * 20 + "+")[1] == 15
+
+
+def test_rare_secrets_are_learned_from(spark):
+    """One base match in 4,000 texts with digits is in the sample, and the model is fitted."""
+    rows = [(i, f"on day {i} we met {i % 7} times") for i in range(4000)] + [(4000, 'the password = "hunter2hunter2hunter2" it was')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in secrets.sampled(docs, 40).collect()]
+    assert len(got) == 21 and rows[-1][1] in got
+    assert secrets.train(docs, 40) is not None
+    assert secrets.train(docs.where("doc_id < 4000"), 40) is None
+    assert [r.text for r in secrets.sampled(spark.createDataFrame([(None, rows[-1][1])], "doc_id long, text string"), 4).collect()] == [rows[-1][1]]
