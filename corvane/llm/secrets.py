@@ -8,8 +8,8 @@ the others without; its labels come from the base patterns, but key names and fo
 the features of a token itself, so that other secrets of such a shape in such a place are tagged too.
 
 Decoding is exact. A token whose emission score is below minus the margin of the transitions is outside on every best
-path (see Chain.margin), so the text falls apart there. By definition a text in which MAY_HOLD doesn't occur, so without
-a digit, a key word or a base match, holds no secret and isn't tagged.
+path (see Chain.margin), so the text falls apart there. A text isn't decoded only where it has no LEAST characters in a row
+without blanks: no span could be that long there.
 
 Base matches are always spans. Tagged spans that overlap none are added, under the kind "assign" after a key word, else
 "access" (capitals and digits only) or "hex". Null text is read as empty. Repeated rows give repeated results. Other
@@ -75,38 +75,54 @@ _PAIRS = [bytes(p) for p in itertools.permutations(b"luDo", 2)]
 def shape(token: str) -> tuple[int, int, int, int, int]:
     """Length bin, classes (lower 1, upper 2, digit 4, other 8), mixture of classes, hex only; and role."""
     n = len(token)
-    kinds = token.encode("ascii", "replace").translate(_CLASS)
-    low, up, dig, other = (k in kinds for k in b"luDo")
-    changes = sum(map(kinds.count, _PAIRS)) if n > 1 else 0
+    if token.isascii() and token.isalpha() and token.islower():  # most words
+        low, up, dig, other, changes = True, False, False, False, 0
+    else:
+        kinds = token.encode("ascii", "replace").translate(_CLASS)
+        low, up, dig, other = (k in kinds for k in b"luDo")
+        changes = sum(map(kinds.count, _PAIRS)) if n > 1 else 0
     role = KEY if _KEY.search(token) else DIGIT if dig else OPERATOR if token in (":", "=") else QUOTE if token in ('"', "'") else OTHER
     return sum(n > e for e in _LENGTHS), low + 2 * up + 4 * dig + 8 * other, min(3, changes * 4 // max(1, n - 1)) if n > 1 else 0, int(n >= 8 and all(c in "0123456789abcdef" for c in token)), role
 
 
+#: Shape of each number that Shapes gives.
+_SHAPES = np.array(list(np.ndindex(*FIELDS[:4], 6)), np.int32)
+
+
 class Shapes(dict):
-    def __missing__(self, token: str) -> tuple:
-        out = shape(token)
+    """Number of each token's shape()."""
+
+    def __missing__(self, token: str) -> int:
+        length, classes, mixture, hexa, role = shape(token)
+        out = (((length * FIELDS[1] + classes) * FIELDS[2] + mixture) * FIELDS[3] + hexa) * 6 + role
         if len(token) < 48:
-            if len(self) > 200_000:
+            if len(self) > 400_000:
                 self.clear()
             self[token] = out
         return out
 
 
+def numbers(text: str, shapes: Shapes) -> np.ndarray:
+    return np.array(list(map(shapes.__getitem__, _TOKEN.findall(text))), np.int32)
+
+
+def around(s: np.ndarray) -> tuple:
+    """The fields after those of the token itself: three roles, key word near, text holds key words, looks like code."""
+    n, own = len(s), s % 6
+    role = np.r_[EDGE, EDGE, own, EDGE].astype(np.int32)
+    key = np.r_[np.zeros(4, bool), own == KEY]
+    near = key[3 : 3 + n] | key[2 : 2 + n] | key[1 : 1 + n] | key[:n]
+    code = np.count_nonzero((own == OPERATOR) | (own == QUOTE)) * 20 > n
+    return role[:n], role[1 : n + 1], role[3 : n + 3], near.astype(np.int32), int(key.any()), int(code)
+
+
 def fields(text: str, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     """Spans [tokens, 2] and feature numbers [tokens, fields] of a whole text."""
-    spans, tokens = [], []
-    for m in _TOKEN.finditer(text):
-        spans.append(m.span())
-        tokens.append(m[0])
-    if not tokens:
+    s = numbers(text, shapes)
+    if not len(s):
         return np.empty((0, 2), np.int64), np.empty((0, len(FIELDS)), np.int32)
-    s = np.array(list(map(shapes.__getitem__, tokens)), np.int32)
-    role = np.r_[EDGE, EDGE, s[:, 4], EDGE].astype(np.int32)
-    n, key = len(tokens), np.r_[np.zeros(4, bool), s[:, 4] == KEY]
-    near = key[3 : 3 + n] | key[2 : 2 + n] | key[1 : 1 + n] | key[:n]
-    code = np.count_nonzero((s[:, 4] == OPERATOR) | (s[:, 4] == QUOTE)) * 20 > n
-    cols = [s[:, 0], s[:, 1], s[:, 2], s[:, 3], role[:n], role[1 : n + 1], role[3 : n + 3], near, np.full(n, key.any()), np.full(n, code)]
-    return np.array(spans, np.int64), np.stack(cols, 1).astype(np.int32) + _OFFSET[:-1].astype(np.int32)
+    cols = [*_SHAPES[s, :4].T, *(np.broadcast_to(c, len(s)) for c in around(s))]
+    return np.array([m.span() for m in _TOKEN.finditer(text)], np.int64), np.stack(cols, 1).astype(np.int32) + _OFFSET[:-1].astype(np.int32)
 
 
 ALLOWED = np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)  # outside, begin, inside: no inside after outside
@@ -115,15 +131,35 @@ ALLOWED = np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)  # outside, begin, i
 class SecretModel:
     def __init__(self, chain: Chain):
         self.chain, self.cut = chain, -chain.margin()
+        # Of a run of tagged tokens, over all of them outside: what one within it gains at most by its transition, and what
+        # its edges gain at most beyond that, in the text or at its start or end.
+        t, begin = chain.trans - chain.trans[0, 0], float(chain.start[1:].max() - chain.start[0])
+        enter, leave = float(t[0, 1:].max()), float(t[1:, 0].max())
+        self.inner = float(t[1:, 1:].max())
+        self.edges = max(enter, begin) + max(leave, 0.0) - self.inner
+        parts = [chain.w[i:j] for i, j in itertools.pairwise(_OFFSET)] if len(chain.w) == _OFFSET[-1] else []
+        # The same sums of weights by number of shape, and by field of what stands around.
+        self.own = sum(w[_SHAPES[:, i]] for i, w in enumerate(parts[:4]))
+        self.rest = parts[4:]
 
     def tag(self, x: np.ndarray) -> np.ndarray:
+        """Labels of tokens with the features x."""
+        return self.decoded(self.chain.w[x].sum(1) if len(x) else np.empty(0))
+
+    def decoded(self, score: np.ndarray) -> np.ndarray:
         """Viterbi over the stretches between tokens that are certain to be outside."""
-        score = self.chain.w[x].sum(1) if len(x) else np.empty(0)
-        tags = np.zeros(len(x), np.int8)
+        tags = np.zeros(len(score), np.int8)
         open_ = np.flatnonzero(score >= self.cut)
         if len(open_):
-            for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-                a, b = max(0, int(part[0]) - 1), min(len(x), int(part[-1]) + 2)
+            first = np.flatnonzero(np.r_[True, np.diff(open_) > 1])
+            # A stretch in which no run of tagged tokens can score as much as outside stays outside.
+            gain = score[open_] + self.inner
+            plus, best = np.add.reduceat(np.maximum(gain, 0), first), np.maximum.reduceat(gain, first)
+            most = np.where(plus > 0, plus, best) + self.edges
+            ends = np.r_[first[1:], len(open_)]
+            for k in np.flatnonzero(most >= -1e-6):
+                part = open_[first[k] : ends[k]]
+                a, b = max(0, int(part[0]) - 1), min(len(score), int(part[-1]) + 2)
                 tags[a:b] = self._pinned(score[a:b], a)
         return tags
 
@@ -138,20 +174,31 @@ class SecretModel:
 
     def spans(self, text: str, shapes: Shapes) -> list[tuple[int, int, bool]]:
         """Tagged (start, end, follows a key word)."""
-        at, x = fields(text, shapes)
-        tags = self.tag(x)
+        s = numbers(text, shapes)
+        if not len(s):
+            return []
+        seen = around(s)
+        score = self.own[s]
+        for w, c in zip(self.rest, seen, strict=True):
+            score += w[c]
+        tags = self.decoded(score)
+        if not tags.any():
+            return []
+        at = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64)
         out: list[list] = []
         for i in np.flatnonzero(tags):
             if tags[i] == 2 and out and out[-1][3] == i - 1 and at[i, 0] == out[-1][1]:
                 out[-1][1], out[-1][3] = int(at[i, 1]), i
             else:
-                out.append([int(at[i, 0]), int(at[i, 1]), bool(x[i, 7] == _OFFSET[7] + 1), i])
+                out.append([int(at[i, 0]), int(at[i, 1]), bool(seen[3][i]), i])
         return [(s, e, k) for s, e, k, _ in out]
 
 
 def _holding(docs: DataFrame) -> DataFrame:
-    """texts(), with an empty text where nothing is tagged: such texts needn't reach Python."""
-    return texts(docs).withColumn("text", F.when(F.col("text").rlike(MAY_HOLD), F.col("text")).otherwise(F.lit("")))
+    """texts(), with whether there may be a base match, and an empty text where no span is possible: none is without LEAST
+    marks in a row that aren't blank (Java's blanks are among Python's). Such texts needn't reach Python."""
+    text = F.col("text")
+    return texts(docs).select("doc_id", F.when(text.rlike(rf"\S{{{LEAST}}}"), text).otherwise(F.lit("")).alias("text"), text.rlike(MAY_HOLD).alias("may"))
 
 
 def windows(text: str, shapes: Shapes, reach: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -232,10 +279,10 @@ def find(docs: DataFrame, model: SecretModel | None) -> DataFrame:
     def make():
         shapes = Shapes()
 
-        def f(ids, text):
+        def f(ids, text, may):
             rows = []
-            for t in text:
-                base = base_spans(t) if t else []
+            for t, likely in zip(text, may, strict=True):
+                base = base_spans(t) if t and likely else []
                 n = Counter(k for _, k, _ in base)
                 said = ",".join(f"{k}:{s}:{e}" for s, k, e in base)
                 rows.append((*map(n.__getitem__, KINDS), hashlib.sha256(said.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, k, e in all_spans(t, base, model, shapes))))

@@ -131,3 +131,41 @@ def test_rare_secrets_are_learned_from(spark):
     assert secrets.train(docs, 40) is not None
     assert secrets.train(docs.where("doc_id < 4000"), 40) is None
     assert [r.text for r in secrets.sampled(spark.createDataFrame([(None, rows[-1][1])], "doc_id long, text string"), 4).collect()] == [rows[-1][1]]
+
+
+@pytest.fixture(scope="module")
+def secret_model():
+    shapes = secrets.Shapes()
+    r = random.Random(1)
+    seqs = []
+    for i in range(300):
+        word = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        seqs += secrets.windows(f"we met on day {i % 30} and the token = \"{word}\" stood there for 12 weeks of rain {i}", shapes)
+    return secrets.SecretModel(crf.Chain.fit(seqs, int(secrets._OFFSET[-1]), np.array([0.0, 1, 1]), secrets.ALLOWED, np.array([True, True, False]), l2=1e-6))
+
+
+def test_secrets_without_a_digit_or_base_word_are_tagged(spark, secret_model):
+    shapes = secrets.Shapes()
+    texts = ['my pwd: "QwErTyUiOpAsDfGhJkLzXcVbNmQwErTyUiOpAsDf" is', 'our auth = "AbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGhIjKlMn" ok', "plain words of no interest whatever, extraordinarily uninteresting", None]
+    got = {r.doc_id: r.spans for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret_model).collect()}
+    for i, t in enumerate(texts):
+        tagged = secrets.all_spans(t, [], secret_model, shapes) if t else []
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, k, e in tagged)
+    assert got[0] and got[1]
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_prefilter_leaves_out_no_span(seed, secret_model):
+    shapes = secrets.Shapes()
+    t = pieces(seed, ["pwd", "auth", " ", ":", "=", '"', "abcDEF", "extraordinary", "a1b2c3d4e5f6", "/+-_", "é", "\x85", "\u2003", "\n", "Zz"])
+    at, x = secrets.fields(t, shapes)
+    tags = secret_model.tag(x)
+    spans = []
+    for i in np.flatnonzero(tags):
+        if tags[i] == 2 and spans and spans[-1][2] == i - 1 and at[i, 0] == spans[-1][1]:
+            spans[-1][1:] = [int(at[i, 1]), i]
+        else:
+            spans.append([int(at[i, 0]), int(at[i, 1]), i])
+    long = [(s, e) for s, e, _ in spans if e - s >= secrets.LEAST]
+    assert [(s, e) for s, e, _ in secret_model.spans(t, shapes) if e - s >= secrets.LEAST] == long
+    assert not long or re.search(r"\S{12}", t)
