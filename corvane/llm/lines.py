@@ -10,6 +10,8 @@ labels the CRF says content everywhere, so only the base rule rejects. Other col
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +43,11 @@ def line_rows(data: bytes) -> list[tuple]:
         if not words:
             continue
         n, k = len(line), len(words)
-        distinct = set(words)
+        counts = Counter(words)
         low = line.lower()
-        most = max(map(words.count, distinct)) if len(distinct) * 4 <= k and len(distinct) <= 64 else 1
+        most = max(counts.values())
         per = 100.0 / n
-        out.append((k, (n - k + 1) / k, per * ts.less(line, ts.SYMBOLS), per * ts.less(line, ts.UPPER), per * ts.less(line, ts.DIGITS), per * line.count(b"|"), per * line.count(b"!"), 100.0 * len(distinct) / k, line in seen, any(map(low.__contains__, NOTICE)), 100.0 * most / k))
+        out.append((k, (n - k + 1) / k, per * ts.less(line, ts.SYMBOLS), per * ts.less(line, ts.UPPER), per * ts.less(line, ts.DIGITS), per * line.count(b"|"), per * line.count(b"!"), 100.0 * len(counts) / k, line in seen, any(map(low.__contains__, NOTICE)), 100.0 * most / k))
         seen.add(line)
     return out
 

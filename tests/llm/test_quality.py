@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import lines, pu
@@ -92,3 +93,9 @@ def test_repeat_words_marks_every_window():
     words = [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"]
     assert ts.repeat_words(ts.word_hashes(words + [b"x"] + words)) == 16
     assert ts.repeat_words(ts.word_hashes(words)) == 0
+
+
+@pytest.mark.parametrize(("times", "others"), [(7000, 65), (75, 25), (1, 0), (3, 200)])
+def test_commonest_word_of_any_line(times, others):
+    line = " ".join(["spam"] * times + [f"w{i}" for i in range(others)])
+    assert lines.line_rows(line.encode())[0][-1] == 100.0 * times / (times + others)
