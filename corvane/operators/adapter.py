@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import VERIFY_REPL
 from ..functions import text as T
-from ..functions.labels import adapter_registry, category_of
+from ..functions.labels import adapter_registry, category_of, search_word
 from ..functions.params import literal_call
+from . import registry as R
 
 _TOOL = "struct<type:string,name:string,description:string,inputSchema:string,parameters:string,annotations:struct<category:string>,function:struct<name:string,description:string,parameters:string>>"
 EMPTY_SCHEMA = '{"type": "object", "properties": {}}'
@@ -82,6 +84,37 @@ def with_call_params(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["uuid", "turn"], "left").withColumn("params", F.coalesce("params", F.lit("{}")))
 
 
+PROMPT = "You choose one of {num_tools} tools. Look them up with <code> blocks that print calls of tools_registry, then answer FINAL({...})."
+
+
+def trajectories(rows: DataFrame) -> DataFrame:
+    """Rows of with_call_params() with seven messages: prompt, query, a search for a word of the tool (else its first word,
+    else all names) and what it prints, the tool's schema, the answer; the row's own tools are the registry. Rows whose
+    tool isn't among them are left out."""
+    tools, tool = F.col("tools"), F.col("correct_tool")
+    words = (search_word(F.col("query"), tool), F.get(F.split(F.replace(tool, F.lit("_"), F.lit(" ")), r"\s+"), F.lit(0)))
+    holding = lambda w: F.filter(tools, lambda t: F.contains(R.searchable(t["name"], t["description"]), F.lower(w)))
+    hits = [holding(w) for w in words]
+    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    literal = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    search = lambda w: F.concat(F.lit("print(tools_registry.search("), literal(w), F.lit("))"))
+    pick = lambda a, b, c: F.when(F.size(hits[0]) > 0, a).when(F.size(hits[1]) > 0, b).otherwise(c)
+    said = [listed(F.transform(h, lambda t: R.summary(t["name"], t["description"]))) for h in hits]
+    call = pick(search(words[0]), search(words[1]), F.lit("print(tools_registry.list_names())"))
+    found = pick(*said, listed(F.transform(tools, lambda t: F.concat(F.lit("'"), t["name"], F.lit("'")))))
+    own = F.element_at(F.filter(tools, lambda t: t["name"] == tool), -1)
+    schema = F.concat(F.lit('{"name": '), literal(tool), F.lit(', "description": '), literal(own["description"]), F.lit(', "inputSchema": '), own["input_schema"], F.lit("}"))
+    message = lambda role, *parts: F.struct(F.lit(role).alias("role"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("content"))
+    output = lambda text: message("user", T.OUTPUT_MARK + ":\n", T.clipped(text, VERIFY_REPL.max_output_chars))
+    messages = F.array(
+        message("system", F.replace(F.lit(PROMPT), F.lit("{num_tools}"), F.size(tools).cast("string"))), message("user", F.col("query")),
+        message("assistant", "THOUGHT: I search for what is asked.\n<code>\n", call, "\n</code>"), output(found),
+        message("assistant", "THOUGHT: I read what the tool takes.\n<code>\nprint(tools_registry.get_schema(", literal(tool), "))\n</code>"), output(schema),
+        message("assistant", 'THOUGHT: This tool fits.\nFINAL({"tool": ', literal(tool), ', "params": ', F.col("params"), "})"),
+    )
+    return rows.where(F.exists(tools, lambda t: t["name"] == tool)).withColumn("messages", messages).withColumn("turns", F.lit(2))
+
+
 def funnel(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n_turns"), F.count_distinct("uuid").alias("n_entries"))
 

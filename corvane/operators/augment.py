@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import PREFIXES, SYNONYMS
 from ..functions import text as T
 from ..functions.labels import hash_order, hash_pick
+from . import messages as M
+from . import registry as R
+from . import repl
 
 #: Stages in the order in which the first of equal rows wins.
 STAGES = ("original", "reground", "template", "paraphrase")
@@ -22,6 +25,42 @@ def reground_pairs(rows: DataFrame, registries: DataFrame) -> DataFrame:
     return known.join(larger, F.col("_ord") < F.col("ord")).withColumn("augmentation", F.concat(F.lit("reground:"), "registry", F.lit("→"), "to_registry")).drop("_ord", "ord")
 
 
+PROMPT = "You choose one of {num_tools} tools. Look them up with <code> blocks that print calls of tools_registry, then answer FINAL({...})."
+
+
+def _prompted(rows: DataFrame, tools: DataFrame) -> DataFrame:
+    """Rows whose tool is in their registry, with the prompt for its number of tools as _prompt."""
+    sizes = R.counts(tools).withColumn("_prompt", F.replace(F.lit(PROMPT), F.lit("{num_tools}"), F.col("n_tools").cast("string"))).drop("n_tools")
+    have = tools.select("registry", F.col("name").alias("correct_tool")).distinct()
+    return rows.join(have, ["registry", "correct_tool"], "left_semi").join(sizes, "registry")
+
+
+def reground(rows: DataFrame, registries: DataFrame, tools: DataFrame) -> DataFrame:
+    """Trajectories rows(traj_id, registry, correct_tool, messages, ...) on each larger registry that has their tool: system
+    prompt of that registry, old outputs dropped, each block answered anew."""
+    moved = reground_pairs(rows, registries).withColumn("traj_id", F.concat("traj_id", F.lit("→"), "to_registry")).withColumn("registry", F.col("to_registry")).drop("to_registry")
+    said = F.transform("messages", lambda m: F.when(m["role"] == "system", F.struct(m["role"].alias("role"), F.col("_prompt").alias("content"))).otherwise(m))
+    return repl.replayed(_prompted(moved, tools).withColumn("messages", said).drop("_prompt"), tools)
+
+
+def _literal(text: Column) -> Column:
+    return F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+
+
+def template(asked: DataFrame, tools: DataFrame, seed: int = 42) -> DataFrame:
+    """Trajectories of asked(traj_id, registry, query, correct_tool, category, params): search or, for two in five of those
+    with a category, filter by it; then the schema; then the answer. Blocks are answered from the registry."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    code = lambda thought, call, arg: message("assistant", F.concat(F.lit(f"THOUGHT: {thought}\n<code>\nprint(tools_registry.{call}("), _literal(arg), F.lit("))\n</code>")))
+    by_category = (F.coalesce("category", F.lit("")) != "") & (hash_pick(seed, 5, F.col("traj_id")) < 2)
+    first = F.when(by_category, code("I look through the category first.", "filter_by_category", F.col("category"))).otherwise(code("I search for what is asked.", "search", F.replace("correct_tool", F.lit("_"), F.lit(" "))))
+    second = code("I read what the tool takes.", "get_schema", F.col("correct_tool"))
+    last = message("assistant", F.concat(F.lit('THOUGHT: This tool fits.\nFINAL({"tool": '), _literal(F.col("correct_tool")), F.lit(', "params": '), F.coalesce("params", F.lit("{}")), F.lit("})")))
+    rows = _prompted(asked, tools).withColumn("messages", F.array(message("system", F.col("_prompt")), message("user", F.col("query")), first, second, last)).drop("_prompt")
+    made = repl.replayed(rows, tools).withColumn("turns", M.code_turns(F.col("messages")))
+    return made.withColumn("augmentation", F.concat(F.lit("template:"), "registry"))
+
+
 def uncovered(tools: DataFrame, rows: DataFrame, least: int = 3) -> DataFrame:
     """Tools of (registry, name) with fewer than `least` rows."""
     n = rows.groupBy("registry", F.col("correct_tool").alias("name")).agg(F.count("*").alias("_n"))
@@ -123,6 +162,13 @@ def union_stages(**stages: DataFrame) -> DataFrame:
     return out
 
 
+def augmented(rows: DataFrame, registries: DataFrame, tools: DataFrame, asked: DataFrame, seed: int = 42) -> DataFrame:
+    """Originals, then what reground(), template() (of asked) and expand_paraphrases() (of the originals) make of them;
+    of equal (query, correct_tool, registry) the first stays."""
+    made = union_stages(original=rows, reground=reground(rows, registries, tools), template=template(asked, tools, seed), paraphrase=expand_paraphrases(rows, seed))
+    return deduplicate(made, "stage", "traj_id")
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """By registry: rows, different tools, and fewest and most rows of a tool."""
     by_tool = rows.groupBy("registry", "correct_tool").agg(F.count("*").alias("n"))

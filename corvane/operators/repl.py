@@ -86,6 +86,21 @@ def executed(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = VER
     return out.withColumn("messages", F.when(F.col("_said").isNull(), F.col("messages")).otherwise(messages)).withColumn("blocks", F.coalesce("blocks", F.lit(0))).withColumn("failed", F.coalesce("failed", F.lit(0))).drop("_said")
 
 
+def replayed(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = VERIFY_REPL) -> DataFrame:
+    """trajectories(traj_id, registry, messages, ...) without their old outputs, and after each assistant message one new
+    output for each of its code blocks; code_ok says whether all blocks succeeded (those that fail are kept)."""
+    old = lambda m: (m["role"] == "user") & F.startswith(m["content"], F.lit(T.OUTPUT_MARK))
+    bare = trajectories.withColumn("messages", F.filter("messages", lambda m: ~F.coalesce(old(m), F.lit(False))))
+    blocks = run_blocks(bare, tools, config)
+    said = blocks.groupBy("traj_id", "message").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "output"))), lambda x: x["output"]).alias("out"), F.count_if(~F.col("success")).alias("bad"))
+    by_row = said.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("message", "out"))).alias("_out"), F.sum("bad").alias("_bad"))
+    out = bare.join(by_row, "traj_id", "left")
+    message = lambda content: F.struct(F.lit("user").alias("role"), F.concat(F.lit(T.OUTPUT_MARK + ":\n"), content).alias("content"))
+    outputs = lambda i: F.coalesce(F.transform(F.try_element_at("_out", i), message), F.array().cast("array<struct<role:string,content:string>>"))
+    whole = F.flatten(F.transform("messages", lambda m, i: F.concat(F.array(F.struct(m["role"].alias("role"), m["content"].alias("content"))), outputs(i))))
+    return out.withColumn("messages", whole).withColumn("code_ok", F.coalesce("_bad", F.lit(0)) == 0).drop("_out", "_bad")
+
+
 def ground(raw: DataFrame, tools: DataFrame, system_prompt: str, config: ReplConfig = VERIFY_REPL) -> DataFrame:
     """A teacher's text raw(traj_id, registry, query, raw) as a conversation with the registry's real outputs; rows
     without a JSON object as final answer are left out."""

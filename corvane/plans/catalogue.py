@@ -655,6 +655,12 @@ def adapter_call_params_all(v):
     return rows.select("uuid", F.col("turn").cast("int").alias("turn"), "query", "correct_tool", F.get_json_object("params", "$.n").cast("long").alias("n"))
 
 
+@query()
+def adapter_trajectories(v):
+    """Every usable entry as a conversation; the tests state its messages."""
+    return adapter.trajectories(adapter.with_call_params(adapter.turns(_all_entries(v)).where("status = 'ok'"))).select("uuid", "turn", "query", "correct_tool", "turns", "messages")
+
+
 # Augmentation
 
 _ROWS = "aw AS (SELECT registry, pos, name AS correct_tool, description AS query FROM v_tools)"
@@ -710,6 +716,18 @@ def augment_dedup(v):
     return augment.deduplicate(both, "stage", "pos").select("registry", "correct_tool", "query", "pos")
 
 
+@query()
+def augment_pipeline(v):
+    """A template trajectory of every different tool of every registry as original, re-grounded on every later registry that
+    has the tool, templates and paraphrases, without repeats; blocks need a syntax tree, so SQL can't say it."""
+    tools = v.tools().withColumn("schema", F.concat(F.lit('{"name": "'), "name", F.lit('"}')))
+    asked = _all_asked(v).join(tools.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("category", "pos").alias("category")), ["registry", "correct_tool"]).withColumn("params", F.lit("{}"))
+    registries = v.tools().select("registry").distinct().withColumn("ord", F.regexp_extract("registry", "[0-9]+", 0).cast("int"))
+    rows = augment.template(asked, tools).drop("augmentation")
+    again = asked.withColumn("traj_id", F.concat("traj_id", F.lit("|t"))).withColumn("query", F.concat(F.lit("I need "), "query"))
+    return augment.augmented(rows, registries, tools, again).select("traj_id", "stage", "registry", "query", "correct_tool", "augmentation", "code_ok", "messages")
+
+
 @query("SELECT registry, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_tools, min(n) AS least, max(n) AS most FROM (SELECT registry, correct_tool, count(*) AS n FROM aw GROUP BY ALL) GROUP BY registry", _ROWS)
 def augment_counts(v):
     return augment.coverage(_rows(v))
