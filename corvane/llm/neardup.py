@@ -1,26 +1,29 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 Shingles are five words in lower case (all words of a shorter text). A shingle weighs tf * (1 + IDF * idf / idf_max) with
-idf = ln(1 + N / df), rounded to a geometric grid. The idf is smoothed so: in a large group of near copies what is common
-has a high df and what each copy has of its own a low one, and full idf would push copies apart that share nearly all
-their words. df comes from a count sketch of fixed size over all documents, where a shingle rarer than about one in
+idf = ln(1 + N / df), rounded to a geometric grid, so that the rarest shingle weighs twice as much as one that all have. The
+1 smoothes: in a large group of near copies what is common has a high df and what each copy has of its own a low one, and
+idf alone would push copies apart that share nearly all their words. df comes from a count sketch of fixed size over all documents, where a shingle rarer than about one in
 a few thousand documents counts as that rare, at any corpus size.
 
 1. Texts that are equal as lower-case words are one node. Each node gets SAMPLES consistent samples (Ioffe's scheme:
    r, c ~ Gamma(2, 1), beta ~ U(0, 1) for shingle and sample, from a table that the shingle's hash points into) and BANDS
-   keys of ROWS samples each. At similarity 0.8 all keys differ once in 300,000 pairs or so.
+   keys of ROWS samples each. At similarity 0.8 all keys differ about once in 11,000 pairs: bands share samples.
 2. In each bucket, every member meets the bucket's most central member (that with the largest buckets in all). A pair is
-   verified by exact weighted Jaccard similarity of its whole shingle sets, unless fewer than AGREE of its samples
-   agree, which at similarity 0.8 happens about once in 10,000 pairs.
+   verified by exact weighted Jaccard similarity of its whole shingle sets, unless so few of its samples agree as a pair
+   that is similar enough has about once in a million (agreeing(); agree=0 verifies every candidate).
 3. Connected components of the verified links. Where a bucket then still holds several components, its members outside
-   the centre's component meet all members of the bucket, block by block in one task each, and links that join further
-   components are found exactly. So no candidate pair is left out, and no group is ever expanded into rows of all its
-   pairs.
+   the centre's component meet all members of the bucket inside tasks, and links that join further components are found
+   exactly. A member is dealt once to its bucket, whatever the bucket's size up to CELL bytes, and once for each further
+   CELL bytes; tasks report a member once. So no candidate pair is left out, and no group becomes rows of its pairs.
 4. Components of all links are the classes; a class is named by its smallest doc_id.
 
 Counts by bucket are pre-aggregated and buckets that hold a thousandth of all rows or more are salted; links are joined
 with tables, so that a hot centre can be split. A text without words (null, empty, blank) is a class of its own. Repeated
-rows are copies. Other columns pass unread.
+rows are copies. Rows are told apart by a hash of id and text, so null ids are linked like others and ids that several
+texts share do no harm; a class whose ids are all null has a null class_id. Of ties for the centre the larger node hash is
+taken, of rows that may name a class that with the smallest id, then the smallest hash. Texts are hashed and compared
+whole, however long. An empty table gives no rows. Other columns, of any name, pass unread.
 """
 
 from __future__ import annotations
@@ -36,15 +39,15 @@ from . import textstats as ts
 from .common import fresh, map_columns, table, texts
 
 SHINGLE, SIMILAR = 5, 0.8
-SAMPLES, BANDS, ROWS, AGREE = 48, 24, 4, 27
+SAMPLES, BANDS, ROWS = 48, 24, 4
 #: The sketch has DEPTH rows of WIDTH counters, added up in parts of PART counters.
 DEPTH, WIDTH, PART = 2, 1 << 19, 1 << 14
 #: How much the rarest shingle weighs more than one that all documents have.
-IDF = 0.25
+IDF = 1.0
 #: Grid of weights: exp(STEP * level), level in the lowest BITS of a packed shingle; entries of the table of random draws.
 STEP, BITS, LEVELS, DRAWS = 0.08, 8, 1 << 8, 1 << 13
-#: Copies of a hot bucket's row; members in a block where a bucket is compared block by block.
-SALTS, BLOCK = 64, 256
+#: Copies of a hot bucket's row; bytes of members that meet in one cell, on either side; members compared at once.
+SALTS, CELL, BLOCK = 64, 16 << 20, 256
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -159,11 +162,26 @@ def document_frequencies(docs: DataFrame) -> Weights:
     return Weights(sketch.reshape(DEPTH, WIDTH), n)
 
 
+def agreeing(similar: float) -> int:
+    """The least number of samples that agree, below which a candidate isn't verified: 5 standard deviations under the mean
+    of a pair that is just similar enough."""
+    return max(0, int(SAMPLES * similar - 5 * (SAMPLES * similar * (1 - similar)) ** 0.5))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """texts() with a hash of each row's id and text, which tells rows apart."""
+    return texts(docs).withColumn("mark", _mark())
+
+
+def _mark():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")), F.lit("row"))
+
+
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, node (null without words), sample (16 bits of each), keys."""
+    """doc_id, mark, node (null without words), sample (16 bits of each), keys."""
 
     def make():
-        def f(ids, text):
+        def f(ids, text, marks):
             nodes, sig, keys, part, size = [], [None] * len(ids), [None] * len(ids), [], 0
 
             def flush():
@@ -184,11 +202,11 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                         size = 0
             if part:
                 flush()
-            return [ids, nodes, sig, keys]
+            return [ids, marks, nodes, sig, keys]
 
         return f
 
-    return map_columns(docs, "doc_id long, node binary, sample binary, keys array<long>", make)
+    return map_columns(docs.select("doc_id", "text", "mark"), "doc_id long, mark long, node binary, sample binary, keys array<long>", make)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -214,8 +232,8 @@ def packed(text: str, weights: Weights) -> tuple[bytes | None, bytes]:
 
 
 def shingle_sets(docs: DataFrame, weights: Weights, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, as a table."""
-    ids = nodes.select("node", "rep").join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    """(node, shingles) of the wanted nodes, as a table; docs has marks, and one row of each node is read."""
+    rows = nodes.join(wanted, "node", "left_semi").select("mark").distinct()
 
     def pack():
         def f(text):
@@ -224,11 +242,11 @@ def shingle_sets(docs: DataFrame, weights: Weights, nodes: DataFrame, wanted: Da
 
         return f
 
-    sets = map_columns(docs.join(ids, "doc_id", "left_semi").select("text"), "node binary, shingles binary", pack).where("node IS NOT NULL")
+    sets = map_columns(docs.join(rows, "mark", "left_semi").select("text"), "node binary, shingles binary", pack).where("node IS NOT NULL")
     return table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
 
 
-def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFrame, similar: float, agree: int) -> DataFrame:
     """The pairs (a, b, sample_a, sample_b) whose similarity is `similar` or more, as a table of (a, b)."""
 
     def likely():
@@ -236,7 +254,7 @@ def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFra
             if not a:
                 return None
             same = (np.frombuffer(b"".join(x), np.uint16) == np.frombuffer(b"".join(y), np.uint16)).reshape(len(a), -1).sum(1)
-            keep = np.flatnonzero(same >= AGREE)
+            keep = np.flatnonzero(same >= agree)
             return [[a[i] for i in keep], [b[i] for i in keep]]
 
         return f
@@ -275,12 +293,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILAR, agree: int | None = None) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), and whether it is the one named so."""
-    docs = texts(docs)
+    return _classes(docs, similar, agree).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+
+
+def _first():
+    """Which of several rows names its class: ids before nulls, the smallest first."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+
+
+def _classes(docs: DataFrame, similar: float, agree: int | None) -> DataFrame:
+    """doc_id, mark, and class_id and class_mark: id and mark of the row that names the class."""
+    docs, agree = marked(docs), agreeing(similar) if agree is None else agree
     weights = document_frequencies(docs)
     signed = table(signatures(docs, weights), "signatures")
-    nodes = table(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sample").alias("sample"), F.first("keys").alias("keys")), "nodes")
+    first = signed.where("node IS NOT NULL").groupBy("node").agg(_first().alias("rep"), F.first("sample").alias("sample"), F.first("keys").alias("keys"))
+    nodes = table(first.select("node", "rep.doc_id", "rep.mark", "sample", "keys"), "nodes")
     total = nodes.count()
 
     rows = nodes.select("node", F.explode("keys").alias("key"))
@@ -302,80 +331,92 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     star = members.select("node", "key", "salt").join(copies(centres), ["key", "salt"])
     star = table(star.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star")
 
-    named = nodes.select("node", F.col("rep").alias("class_id"))
+    named = nodes.select("node", F.col("doc_id").alias("class_id"), F.col("mark").alias("class_mark"))
     if not star.isEmpty():
-        named = _named(docs, weights, nodes, members, centres, star, copies, salted, similar)
-    found = signed.where("node IS NOT NULL").select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
-    alone = signed.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.unionAll(alone).withColumn("representative", F.col("doc_id").eqNullSafe(F.col("class_id")))
+        named = _named(docs, weights, nodes, members, centres, star, copies, salted, similar, agree)
+    found = signed.where("node IS NOT NULL").select("doc_id", "mark", "node").join(named, "node").select("doc_id", "mark", "class_id", "class_mark")
+    return found.unionAll(signed.where("node IS NULL").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.col("mark").alias("class_mark")))
 
 
-def _named(docs: DataFrame, weights: Weights, nodes: DataFrame, members: DataFrame, centres: DataFrame, star: DataFrame, copies, salted, similar: float) -> DataFrame:
-    """(node, class_id) from the candidate pairs with the centres, and then from those among the rest of their buckets."""
+def _named(docs: DataFrame, weights: Weights, nodes: DataFrame, members: DataFrame, centres: DataFrame, star: DataFrame, copies, salted, similar: float, agree: int) -> DataFrame:
+    """(node, class_id, class_mark) from the candidate pairs with the centres, and then from those among the rest of their buckets."""
 
     def with_samples(pairs: DataFrame) -> DataFrame:
         one = nodes.select(F.col("node").alias("a"), F.col("sample").alias("sample_a"))
         two = nodes.select(F.col("node").alias("b"), F.col("sample").alias("sample_b"))
         return pairs.join(one, "a").join(two, "b")
 
-    links = verified(docs, weights, nodes, with_samples(star), similar)
+    links = verified(docs, weights, nodes, with_samples(star), similar, agree)
     roots = table(components(links), "roots")
 
     # Buckets in which a member isn't in the centre's component.
     rooted = members.select("node", "key", "salt").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     at_centre = centres.join(roots.withColumnRenamed("node", "centre"), "centre", "left").select("key", F.coalesce("root", "centre").alias("centre_root"))
     rooted = table(rooted.join(copies(at_centre), ["key", "salt"]).withColumn("out", F.col("root") != F.col("centre_root")).drop("centre_root"), "rooted")
-    open_ = rooted.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n")).where("n_out > 0").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = table(open_, "open")
+    open_ = table(rooted.groupBy("key").agg(F.count_if("out").alias("n_out")).where("n_out > 0").select("key"), "open")
     if not open_.isEmpty():
-        rest = salted(rooted.drop("salt"), "node").join(copies(open_), ["key", "salt"]).join(nodes.select("node", "sample"), "node")
-        rest = table(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("key", "node", "root", "out", "sample", "block", "blocks"), "rest")
-        live = table(_met(rest, "sample", _alike, "key long, node binary").dropDuplicates(["key", "node"]), "live")
+        rest = salted(rooted.drop("salt"), "node").join(copies(open_), ["key", "salt"]).select("key", "node", "root", "out")
+        rest = table(rest.join(nodes.select("node", F.col("sample").alias("value")), "node"), "rest")
+        live = table(_met(rest, lambda *x: _alike(*x, agree), "key long, node binary").dropDuplicates(["key", "node"]), "live")
         if not live.isEmpty():
             sets = shingle_sets(docs, weights, nodes, live.select("node").distinct())
-            rest = rest.drop("sample").join(live, ["key", "node"], "left_semi").join(sets, "node")
-            more = table(_met(rest, "shingles", lambda *x: _linked(*x, similar), "a binary, b binary").dropDuplicates(["a", "b"]), "more")
+            rest = table(rest.drop("value").join(live, ["key", "node"], "left_semi").join(sets.withColumnRenamed("shingles", "value"), "node"), "rest")
+            more = table(_met(rest, lambda *x: _linked(*x, similar), "a binary, b binary").dropDuplicates(["a", "b"]), "more")
             if not more.isEmpty():
                 roots = table(components(links.unionAll(more)), "roots")
 
-    named = table(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    least = table(named.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
-    return table(named.join(least, "root").select("node", "class_id"), "classes")
+    named = table(nodes.select("node", "doc_id", "mark").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    least = table(named.groupBy("root").agg(_first().alias("rep")).select("root", F.col("rep.doc_id").alias("class_id"), F.col("rep.mark").alias("class_mark")), "least")
+    return table(named.join(least, "root").select("node", "class_id", "class_mark"), "classes")
+
+
+def deduplicate(docs: DataFrame, similar: float = SIMILAR, agree: int | None = None) -> DataFrame:
+    """The rows that name their class, with their columns as they are; of rows that repeat such a one's id and text, the first."""
+    key, number = fresh(docs, "_class_mark"), fresh(docs, "_copy")
+    named = _classes(docs, similar, agree).where("mark = class_mark").select(F.col("mark").alias(key)).distinct()
+    kept = docs.withColumn(key, _mark()).join(named, key, "left_semi")
+    copy = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    return kept.withColumn(number, copy).where(F.col(number) == 1).select(*docs.columns)
 
 
-def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The documents that name their class, with their columns as they are; of rows that repeat such a one, the first."""
-    key, number = fresh(docs, "_class_id"), fresh(docs, "_copy")
-    named = classes(docs, similar).where("representative").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
-    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(0)))
-    return kept.withColumn(number, copy).where(F.col(number) == 1).drop(number)
+def _met(rest: DataFrame, meet, ddl: str, cell: int = CELL) -> DataFrame:
+    """meet(bucket, left, right) for the members outside the centre's component and all members of their bucket; left and
+    right are lists of (node, root, value), and the result rows of ddl.
 
+    rest: key, node, root, out, value, a table. A bucket is one cell unless its values have more than `cell` bytes; else
+    those outside are dealt into rows of cells and all members into columns, so that a task holds one cell at a time."""
+    size = F.octet_length("value") + 64
+    parts = rest.groupBy("key").agg(*(F.ceil(F.sum(x) / cell).cast("int").alias(c) for x, c in ((F.when(F.col("out"), size).otherwise(0), "is"), (size, "js"))))
+    hash_, i, j = F.xxhash64("node"), F.col("i"), F.col("j")
+    wide = rest.join(parts, "key").withColumn("i", F.pmod(hash_, F.greatest("is", F.lit(1))).cast("int")).withColumn("j", F.pmod(F.xxhash64(hash_), F.greatest("js", F.lit(1))).cast("int"))
 
-def _met(rest: DataFrame, column: str, meet, ddl: str) -> DataFrame:
-    """meet(bucket, left, right) for every block of members outside the centre's component and every block of all members
-    of their bucket; left and right are lists of (node, root, column's value), and the result rows of ddl.
+    def cells(n: str, make):
+        return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), make)
 
-    Rows are dealt by bucket and pair of blocks, sorted, and taken up pair by pair as they come, so a task holds one pair
-    of blocks at a time."""
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    outside = rest.where("out").select("key", "node", "root", column, F.col("block").alias("i"), all_blocks.alias("j"), F.lit(0).alias("side"))
-    everyone = rest.select("key", "node", "root", column, all_blocks.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-    dealt = outside.unionByName(everyone).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    def at(x, y, left, right):
+        return F.struct(x.alias("i"), y.alias("j"), left.alias("left"), right.alias("right"))
+
+    across = F.filter(cells("js", lambda y: at(i, y, F.lit(True), y == j)), lambda _: F.col("out"))
+    down = F.filter(cells("is", lambda x: at(x, j, F.lit(False), F.lit(True))), lambda c: ~(F.col("out") & (c["i"] == i)))
+    dealt = wide.select("key", "node", "root", "value", F.explode(F.concat(across, down)).alias("c")).select("key", "node", "root", "value", "c.*")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def make():
-        now: list = [(None,), [], []]
+        now: list = [None, [], []]
 
         def met():
             return meet(now[0][0], now[1], now[2]) if now[1] and now[2] else []
 
-        def f(key, node, root, value, i, j, side):
+        def f(key, node, root, value, i, j, left, right):
             out = []
-            for at, row in zip(zip(key, i, j, strict=True), zip(node, root, value, side, strict=True), strict=True):
+            for at, row, a, b in zip(zip(key, i, j, strict=True), zip(node, root, value, strict=True), left, right, strict=True):
                 if at != now[0]:
                     out += met()
                     now[:] = [at, [], []]
-                now[1 + row[3]].append(row[:3])
+                if a:
+                    now[1].append(row)
+                if b:
+                    now[2].append(row)
             return list(map(list, zip(*out, strict=True))) if out else None
 
         def last():
@@ -388,22 +429,46 @@ def _met(rest: DataFrame, column: str, meet, ddl: str) -> DataFrame:
     return map_columns(dealt, ddl, make)
 
 
-def _alike(key: int, left: list[tuple], right: list[tuple]) -> list[tuple]:
-    """(bucket, node) of those that have a partner of another component of which AGREE samples or more agree."""
+def _alike(key: int, left: list[tuple], right: list[tuple], agree: int) -> list[tuple]:
+    """(bucket, node) of those that have a partner of another component of which `agree` samples or more agree, each once."""
+    names = {r: n for n, r in enumerate({r[1] for r in (*left, *right)})}
     table_ = np.frombuffer(b"".join(r[2] for r in right), np.uint16).reshape(len(right), -1)
-    roots, hit, out = np.array([r[1] for r in right], object), np.zeros(len(right), bool), []
+    roots, hit, out = np.array([names[r[1]] for r in right]), np.zeros(len(right), bool), set()
     for node, root, sample in left:
-        one = ((table_ == np.frombuffer(sample, np.uint16)).sum(1) >= AGREE) & (roots != root)
+        one = ((table_ == np.frombuffer(sample, np.uint16)).sum(1) >= agree) & (roots != names[root])
         if one.any():
-            out.append((key, node))
+            out.add(node)
             hit |= one
-    return out + [(key, right[k][0]) for k in np.flatnonzero(hit)]
+    out.update(right[k][0] for k in np.flatnonzero(hit))
+    return [(key, node) for node in sorted(out)]
 
 
-def _linked(_, left: list[tuple], right: list[tuple], similar: float, columns: int = 4096) -> list[tuple]:
+def _linked(_, left: list[tuple], right: list[tuple], similar: float, columns: int = 4096, block: int = BLOCK) -> list[tuple]:
     """Links that join different components, as many as it takes to join them: a pair that earlier links have joined adds
-    nothing. All pairs are bounded at once, by products of roots of weights over the shingles that both sides have, which
-    is no less than the sum of the smaller weights; only pairs whose bound reaches `similar` are computed exactly."""
+    nothing. Blocks of members are bounded at once, by products of roots of weights over the shingles that both sides have,
+    which is no less than the sum of the smaller weights; only pairs whose bound reaches `similar` are computed exactly."""
+    root = {r[1]: r[1] for r in (*left, *right)}
+
+    def find(r: bytes) -> bytes:
+        while root[r] != r:
+            root[r] = root[root[r]]
+            r = root[r]
+        return r
+
+    out = []
+    for a in range(0, len(left), block):
+        for b in range(0, len(right), block):
+            one, two = left[a : a + block], right[b : b + block]
+            for i, j in _likely(one, two, similar, columns):
+                x, y = find(one[i][1]), find(two[j][1])
+                if x != y and similarity(one[i][2], two[j][2]) >= similar:
+                    root[x] = y
+                    out.append((one[i][0], two[j][0]))
+    return out
+
+
+def _likely(left: list[tuple], right: list[tuple], similar: float, columns: int) -> np.ndarray:
+    """Positions (left, right) of all pairs that may be similar enough."""
     sides = []
     for rows in (left, right):
         parts = [np.frombuffer(r[2], np.uint64) for r in rows]
@@ -426,18 +491,4 @@ def _linked(_, left: list[tuple], right: list[tuple], similar: float, columns: i
             m[of[x:y], at[x:y] - a] = w[x:y]
             dense.append(m)
         least += dense[0] @ dense[1].T
-    root = {r[1]: r[1] for r in (*left, *right)}
-
-    def find(r: bytes) -> bytes:
-        while root[r] != r:
-            root[r] = root[root[r]]
-            r = root[r]
-        return r
-
-    out = []
-    for i, j in np.argwhere(least >= (similar - 1e-9) * (total[0][:, None] + total[1] - least)):
-        x, y = find(left[i][1]), find(right[j][1])
-        if x != y and similarity(left[i][2], right[j][2]) >= similar:
-            root[x] = y
-            out.append((left[i][0], right[j][0]))
-    return out
+    return np.argwhere(least >= (similar - 1e-9) * (total[0][:, None] + total[1] - least))

@@ -165,7 +165,7 @@ def test_links_inside_a_task_join_what_all_pairs_join():
             root[find(a)] = find(b)
         return [[find(x[0]) == find(y[0]) for x in rows] for y in rows]
 
-    links = neardup._linked(0, rows[:20], rows, 0.8, columns=64)
+    links = neardup._linked(0, rows[:20], rows, 0.8, columns=64, block=7)
     plain = [(a[0], b[0]) for a in rows[:20] for b in rows if a[0] != b[0] and neardup.similarity(a[2], b[2]) >= 0.8]
     assert joined(links) == joined(plain) and 0 < len(links) <= len(plain)
 
@@ -179,13 +179,47 @@ def test_one_of_each_group_stays(spark, docs, no_docs):
 
 
 def test_samples_agree_as_often_as_sets_are_similar():
-    rng = np.random.default_rng(2)
-    s = np.sort(rng.integers(0, 1 << 62, 4000, dtype=np.uint64))
-    a, b = s[:3000], s[600:]
     level = lambda x: (x >> np.uint64(20)).astype(np.int64) % 6 + 10
-    got = np.mean(neardup.samples(a, level(a), np.array([0])) == neardup.samples(b, level(b), np.array([0])))
-    w = np.exp(neardup.STEP * level(s))
-    assert abs(got - w[600:3000].sum() / w[:4000].sum()) < 0.25
+    off = []
+    for seed in range(40):
+        s = np.sort(np.random.default_rng(seed).integers(0, 1 << 62, 4000, dtype=np.uint64))
+        a, b = s[:3000], s[600:]
+        got = np.mean(neardup.samples(a, level(a), np.array([0])) == neardup.samples(b, level(b), np.array([0])))
+        w = np.exp(neardup.STEP * level(s))
+        off.append(got - w[600:3000].sum() / w[:4000].sum())
+    assert abs(np.mean(off)) < 0.04
+
+
+def test_null_and_clashing_ids_are_linked_by_row(spark):
+    base = prose(41, 200).split()
+
+    def near(k):
+        w = list(base)
+        w[k] = "changed"
+        return " ".join(w)
+
+    rows = [(None, near(5)), (None, near(50)), (1, near(90)), (5, near(120)), (5, prose(42, 80)), (5, prose(42, 80)), (None, prose(43, 80)), (None, None), (6, near(3) + " " + prose(44, 9000)), (7, near(4) + " " + prose(44, 9000))]
+    df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, mark int").repartition(3)
+    got = Counter((r.doc_id, r.class_id) for r in neardup.classes(df).collect())
+    assert got == Counter({(None, 1): 2, (1, 1): 1, (5, 1): 1, (5, 5): 2, (None, None): 2, (6, 6): 1, (7, 6): 1})
+    kept = neardup.deduplicate(df)
+    assert kept.schema == df.schema and sorted(((r.doc_id or 0), (r.text or "")[:30]) for r in kept.collect()) == sorted([(1, near(90)[:30]), (5, prose(42, 80)[:30]), (0, prose(43, 80)[:30]), (0, ""), (6, near(3)[:30])])
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 3000])
+def test_members_meet_in_cells_of_any_size(spark, cell):
+    rows = [(k % 2, f"n{k}".encode(), b"r0" if k % 3 else f"n{k}".encode(), k % 3 == 0, bytes(300)) for k in range(60)]
+    df = spark.createDataFrame(rows, "key long, node binary, root binary, out boolean, value binary")
+    got = neardup._met(df, lambda key, left, right: [(key, x[0], y[0]) for x in left for y in right], "key long, a binary, b binary", cell).collect()
+    want = Counter((k, a, b) for k, a, _, out, _ in rows if out for j, b, *_ in rows if j == k)
+    assert Counter((r.key, bytes(r.a), bytes(r.b)) for r in got) == want
+
+
+def test_members_are_named_once():
+    rows = [(f"n{k}".encode(), f"n{k}".encode(), np.full(48, k % 3, np.uint16).tobytes()) for k in range(40)]
+    got = neardup._alike(7, rows[:20], rows, 24)
+    assert sorted(got) == sorted((7, r[0]) for r in rows)
+    assert neardup._alike(7, rows[:1], rows[:2], 24) == [] and neardup.agreeing(0.8) == 24
 
 
 def test_components_of_chains_and_stars(spark):
