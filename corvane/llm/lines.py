@@ -1,11 +1,15 @@
 """Quality rules: base counts of a text, and a linear-chain CRF that marks each line as content or boilerplate.
 
-Lines are the pieces between "\\n" that hold a word. Each line gives a few binned features; a two-label CRF, fitted on a
-bounded sample of labelled documents (TRAIN_DOCS; their quality label serves as label of each of their lines), scores
-line and transition; Viterbi decoding marks the lines, and the share of words in content lines decides.
+Lines are the pieces between "\\n" that hold a word. Each line gives a few binned features; a two-label CRF scores line and
+transition; Viterbi decoding marks the lines, and the share of words in content lines decides. The CRF is fitted on a
+bounded sample of labelled documents (TRAIN_DOCS). Labels are of documents, those of lines are latent: lines begin with
+their document's label, but repeats, notices and lines full of symbols as boilerplate; a fit to single lines labels them
+anew, then ROUNDS times the chain is fitted and its posteriors label them, always so that a good document keeps half content
+and a bad one less than half.
 
 Null text is read as empty; a text without words fails the base rule. Ties of Viterbi go to content. With no usable
-labels the CRF says content everywhere, so only the base rule rejects. Other columns, of any name, pass unread.
+labels the CRF says content everywhere, so only the base rule rejects. Repeated rows are judged each, whole texts are read
+however long, an empty table gives no rows. Other columns, of any name, pass unread.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from pyspark.sql import functions as F
 
 from . import textstats as ts
 from .common import keep_rows, labelled_sample, map_columns, texts
+from .crf import Chain
 
 #: Labelled documents that the CRF is fitted on, at most.
 TRAIN_DOCS = 3000
+#: Fits of the chain, each on the lines as the one before labels them.
+ROUNDS = 2
 #: A text stays if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 MIN_WORDS, REPEAT_PERCENT = 20, 30
@@ -58,111 +65,79 @@ def binned(rows: list[tuple]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, i], "left") + _START[i] for i, e in enumerate(EDGES)], axis=1).astype(np.int32)
 
 
-class LineCrf:
-    """Labels 0 boilerplate, 1 content; `w` is the gain of label 1 for each feature, `a` the transition scores."""
-
-    def __init__(self, w: np.ndarray, a: np.ndarray, s: np.ndarray):
-        self.w, self.a, self.s = w, a, s
-
-    @classmethod
-    def neutral(cls) -> LineCrf:
-        return cls(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
-
-    @classmethod
-    def fit(cls, docs: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, l2: float = 1e-3) -> LineCrf:
-        """Maximum conditional likelihood by Adam. docs: (feature numbers [lines, features], labels [lines])."""
-        docs = [d for d in docs if len(d[1])]
-        if not docs or len({int(y) for _, ys in docs for y in ys}) < 2:
-            return cls.neutral()
-        docs.sort(key=lambda d: -len(d[1]))
-        x, y, first, n = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs]), np.cumsum([0] + [len(d[1]) for d in docs])[:-1], np.array([len(d[1]) for d in docs])
-        total, top = len(y), int(n[0])
-        live = [int(np.searchsorted(-n, -t, "left")) for t in range(top)]  # documents with a line t
-        p = np.zeros(N_FEATURES + 6)
-        m, v = np.zeros_like(p), np.zeros_like(p)
-        true_x = np.bincount(x[y == 1].ravel(), minlength=N_FEATURES).astype(float)
-        inner = np.ones(total, bool)
-        inner[first] = False
-        true_a = np.bincount(2 * y[np.flatnonzero(inner) - 1] + y[inner], minlength=4).astype(float)
-        true_s = np.bincount(y[first], minlength=2).astype(float)
-        for step in range(1, steps + 1):
-            w, a, s = p[:N_FEATURES], p[N_FEATURES : N_FEATURES + 4].reshape(2, 2), p[-2:]
-            e = np.exp(np.clip(w[x].sum(1), -30, 30))
-            emit, trans = np.stack([np.ones(total), e], 1), np.exp(a)
-            alpha, beta, z = np.empty((total, 2)), np.empty((total, 2)), np.empty(total)
-            for t in range(top):
-                at = first[: live[t]] + t
-                f = emit[at] * (np.exp(s) if not t else alpha[at - 1] @ trans)
-                z[at] = f.sum(1)
-                alpha[at] = f / z[at][:, None]
-            for t in range(top - 1, -1, -1):
-                at = first[: live[t]] + t
-                beta[at] = 1.0
-                if t + 1 < top and live[t + 1]:
-                    nxt = at[: live[t + 1]] + 1
-                    beta[at[: live[t + 1]]] = (emit[nxt] * beta[nxt] / z[nxt][:, None]) @ trans.T
-            g = alpha * beta
-            pair = np.flatnonzero(inner)
-            xi = (alpha[pair - 1][:, :, None] * trans[None]) * (emit[pair] * beta[pair] / z[pair][:, None])[:, None, :]
-            grad = np.concatenate([np.bincount(x.ravel(), np.repeat(g[:, 1], x.shape[1]), N_FEATURES) - true_x, xi.sum(0).ravel() - true_a, g[first].sum(0) - true_s]) / total + l2 * p
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            p = p - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return cls(p[:N_FEATURES].copy(), p[N_FEATURES : N_FEATURES + 4].reshape(2, 2).copy(), p[-2:].copy())
-
-    def decode(self, feats: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi for many documents at once: step t of all that have a line t."""
-        order = sorted((i for i, f in enumerate(feats) if len(f)), key=lambda i: -len(feats[i]))
-        out = [np.empty(0, np.int8)] * len(feats)
-        if not order:
-            return out
-        n = np.array([len(feats[i]) for i in order])
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        gain = self.w[np.concatenate([feats[i] for i in order])].sum(1)
-        came, best = np.empty((len(gain), 2), np.int8), np.empty((len(order), 2))
-        end, a = np.empty(len(order), np.int8), self.a
-        for t in range(int(n[0])):
-            k = int(np.searchsorted(-n, -t, "left"))
-            at = first[:k] + t
-            if t:
-                zero, one = best[:k, 0], best[:k, 1]
-                c0, c1 = one + a[1, 0] >= zero + a[0, 0], one + a[1, 1] >= zero + a[0, 1]
-                came[at, 0], came[at, 1] = c0, c1
-                best[:k] = np.stack([np.where(c0, one + a[1, 0], zero + a[0, 0]), np.where(c1, one + a[1, 1], zero + a[0, 1])], 1)
-            else:
-                best[:k] = self.s
-            best[:k, 1] += gain[at]
-        end[:] = best[:, 1] >= best[:, 0]
-        tags, now = np.empty(len(gain), np.int8), end.copy()
-        for t in range(int(n[0]) - 1, -1, -1):
-            k = int(np.searchsorted(-n, -t, "left"))
-            at = first[:k] + t
-            tags[at] = now[:k]
-            if t:
-                now[:k] = came[at, now[:k]]
-        for j, i in enumerate(order):
-            out[i] = tags[first[j] : first[j] + n[j]]
-        return out
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> LineCrf:
+#: Labels. Ties go to content.
+CONTENT, BOILERPLATE = 0, 1
+_GAIN, _ALL = np.array([0.0, 1.0]), np.ones((2, 2), bool)
+#: Raw features that give a line a first label by themselves: a repeat, a notice, a tenth of symbols or more.
+_REPEAT, _NOTICE, _SYMBOLS = 8, 9, 2
+
+
+def neutral() -> Chain:
+    """Content everywhere."""
+    return Chain(_GAIN, np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
+
+
+def seeded(rows: list[tuple]) -> np.ndarray:
+    """Which lines are boilerplate by a rule of thumb."""
+    return np.array([bool(r[_REPEAT] or r[_NOTICE] or r[_SYMBOLS] > 10) for r in rows], bool)
+
+
+def relabelled(boilerplate: np.ndarray, words: np.ndarray, seed: np.ndarray, good: bool) -> np.ndarray:
+    """Labels of a document's lines from how likely each is boilerplate, held to the document's own label: by words, a good
+    document has half content or more, another one less than half. Seeded lines come first among boilerplate."""
+    chance = np.where(seed, 1 + boilerplate, boilerplate)
+    y = np.where(chance > 0.5, BOILERPLATE, CONTENT)
+    total = words.sum()
+    for i in np.argsort(chance if good else -chance, kind="stable"):  # the most content-like first where content is wanted
+        share = words[y == CONTENT].sum() / total
+        if (share >= CONTENT_SHARE) == good:
+            break
+        y[i] = CONTENT if good else BOILERPLATE
+    return y
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], rounds: int = ROUNDS) -> Chain:
+    """docs: (feature numbers [lines, features], words [lines], seeds [lines], quality). Lines have no labels of their own:
+    they begin with their document's, seeded ones as boilerplate. The first fit takes each line by itself, so that what a
+    line is like decides and not its neighbours, which have the same label yet; then chains are fitted to the lines as the
+    fit before labels them."""
+    docs = [d for d in docs if len(d[1])]
+    if len({d[3] for d in docs}) < 2:
+        return neutral()
+    x = [d[0] for d in docs]
+    chance = [np.full(len(n), 0.0 if good else 1.0) for _, n, _, good in docs]
+    first = [relabelled(c, n, s, bool(good)) for c, (_, n, s, good) in zip(chance, docs, strict=True)]
+    alone = [(line[None], label[None]) for d, ys in zip(x, first, strict=True) for line, label in zip(d, ys, strict=True)]
+    model = Chain.fit(alone, N_FEATURES, _GAIN, _ALL, np.ones(2, bool), steps=120)
+    score = [model.w[d].sum(1) + model.start[BOILERPLATE] - model.start[CONTENT] for d in x]
+    chance = [1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in score]
+    model = None
+    for r in range(rounds):
+        y = [relabelled(c, n, s, bool(good)) for c, (_, n, s, good) in zip(chance, docs, strict=True)]
+        model = Chain.fit(list(zip(x, y, strict=True)), N_FEATURES, _GAIN, _ALL, np.ones(2, bool), steps=60 if r else 120, since=model)
+        chance = [p[:, BOILERPLATE] for p in model.posteriors(x)]
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Chain:
     """Features come from the executors; the driver fits on at most `rows` documents."""
     sample = labelled_sample(docs, labels, F.lit(True), rows)
 
     def make():
         def f(_, text, y):
             data = [line_rows(t.encode("utf-8", "surrogatepass")) for t in text]
-            return [[binned(d).astype(np.int16).tobytes() if d else b"" for d in data], y]
+            return [[binned(d).astype(np.int16).tobytes() if d else b"" for d in data], [np.array([r[0] for r in d], np.int64).tobytes() for d in data], [seeded(d).tobytes() for d in data], y]
 
         return f
 
-    got = map_columns(sample.select("doc_id", "text", "y"), "x binary, y int", make).orderBy("x", "y").collect()
-    return LineCrf.fit([((x := np.frombuffer(r.x, np.int16).astype(np.int32).reshape(-1, len(EDGES))), np.full(len(x), r.y)) for r in got])
+    got = map_columns(sample.select("doc_id", "text", "y"), "x binary, n binary, seed binary, y int", make).limit(rows).orderBy("x", "y", "n", "seed").collect()
+    return fit([(np.frombuffer(r.x, np.int16).astype(np.int32).reshape(-1, len(EDGES)), np.frombuffer(r.n, np.int64), np.frombuffer(r.seed, bool), r.y) for r in got])
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_content_lines long, content_share double, content_tags string, kept boolean"
 
 
-def judge(docs: DataFrame, model: LineCrf, share: float = CONTENT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, model: Chain, share: float = CONTENT_SHARE) -> DataFrame:
     """One row per document: base counts, line tags ("C" or "b" for each line with a word), content share, verdict."""
 
     def make():
@@ -171,7 +146,7 @@ def judge(docs: DataFrame, model: LineCrf, share: float = CONTENT_SHARE) -> Data
     return map_columns(texts(docs), SCHEMA, make)
 
 
-def verdicts(text: list[str], model: LineCrf, share: float) -> list[tuple]:
+def verdicts(text: list[str], model: Chain, share: float) -> list[tuple]:
     """The columns of SCHEMA after the id, for each text."""
     rows, feats, sizes = [], [], []
     for t in text:
@@ -182,14 +157,15 @@ def verdicts(text: list[str], model: LineCrf, share: float) -> list[tuple]:
         feats.append(binned(lines) if lines else np.empty((0, len(EDGES)), np.int32))
         sizes.append(np.array([r[0] for r in lines], np.int64))
     out = []
-    for (n, chars, sym, dup, rep), k, tags in zip(rows, sizes, model.decode(feats), strict=True):
+    scores = [model.w[x].sum(1) for x in feats]
+    for (n, chars, sym, dup, rep), k, tags in zip(rows, sizes, model.viterbi_all(scores), strict=True):
         bad = n < MIN_WORDS or 100 * rep > REPEAT_PERCENT * n
-        part = float(k[tags == 1].sum() / n) if n else 0.0
-        out.append((n, chars, sym, dup, rep, bad, len(k), int(tags.sum()), part, "".join("C" if x else "b" for x in tags), not bad and part >= share))
+        part = float(k[tags == CONTENT].sum() / n) if n else 0.0
+        out.append((n, chars, sym, dup, rep, bad, len(k), int((tags == CONTENT).sum()), part, "".join("Cb"[x] for x in tags), not bad and part >= share))
     return out
 
 
-def keep(docs: DataFrame, model: LineCrf, share: float = CONTENT_SHARE) -> DataFrame:
+def keep(docs: DataFrame, model: Chain, share: float = CONTENT_SHARE) -> DataFrame:
     """The documents that are kept, with their columns as they are."""
     return keep_rows(docs, "text", lambda: lambda text: [v[-1] for v in verdicts([t or "" for t in text], model, share)])
 

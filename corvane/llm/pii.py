@@ -1,56 +1,81 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
-1. Candidates: the base matches of each kind (email, ip, card, phone; always kept) and looser forms of the same kinds.
-2. Regex, checksum, gazetteer, context and boundary labelers each vote yes, no or nothing on every candidate.
+1. Candidates are wide: whatever could be an address, an IP address or a number of seven digits or more, in published or
+   disguised form ("ann (at) example dot org", "10[.]0[.]0[.]1"), under each kind that its letters allow: a number is a
+   candidate for card and for phone. The base matches of each kind (always kept) are candidates as well.
+2. Labelers each vote yes, no or nothing on a candidate from its text and surroundings alone: the published pattern, the
+   usual grouping, check digits and ranges, gazetteers (domain endings, mail hosts, card issuers, country codes, special
+   address ranges), words before it that speak for or against its kind, its boundary, and whether it is a placeholder.
 3. The votes of all texts are counted by pattern; expectation-maximisation over these counts estimates, for each kind,
-   how often each labeler is right, and with that how likely each pattern marks personal data.
-4. A logistic classifier on the candidate's form, votes, size and surroundings is fitted on the counted patterns with
-   the likelihoods as soft labels; loose candidates at KEEP or more become spans.
+   how often each labeler votes so on personal data and on other, and with that how likely each pattern marks personal
+   data. Labelers are only held to be no worse than chance.
+4. A logistic classifier on kind, votes, size and neighbours is fitted on the counted patterns with those likelihoods as
+   soft labels; candidates at KEEP or more that overlap no base span become spans, the likeliest first.
 
 Counting and training see every candidate of every whole text; only counted patterns, which are bounded by the number of
 vote patterns, reach the driver. Null text is read as empty; a text without candidates has no spans, and the SHA-256 of
-the empty string. Repeated rows give repeated results. Other columns pass unread.
+the empty string. Of equally likely candidates that overlap, the earlier in the text, then the kind listed first is taken.
+Texts are read whole, in linear time. Repeated rows give repeated results, an empty table none. Other columns pass unread.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
+import ipaddress
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_columns, texts
+from . import textstats as ts
+from .common import map_columns, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
-#: A loose candidate at this probability or more is a span.
+EMAIL, IP, CARD, PHONE = range(4)
+#: A candidate at this probability or more is a span.
 KEEP = 0.8
 #: A text in which this doesn't occur has no candidate.
-MAY_HOLD = r"[0-9@]|[\[(]at[\])]"
+MAY_HOLD = r"[0-9@]|::|(?i:[\[({]at[\])}]| at [a-z0-9-]{1,63} dot )"
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\[dot\]|\(dot\)) ?)[A-Za-z0-9-]{1,63}){1,5}")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")),
-    ("card", re.compile(r"(?<![0-9.])[0-9]{4}(?:[ .-][0-9]{4}){3}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")),
-    ("phone", re.compile(r"(?<![0-9])00[1-9][0-9]{0,2}[ -][0-9][0-9 -]{6,14}[0-9](?![0-9])")),
-)
-_TLD = frozenset("com org net edu gov io info biz de fr es it uk eu us ch at nl be pl ru jp cn in br ca au".split())
-_NEAR = {
-    "email": re.compile(r"e-?mail|contact|write|courriel|correo", re.I),
-    "ip": re.compile(r"\bip\b|host|server|address|adresse", re.I),
-    "card": re.compile(r"card|visa|credit|karte|carte|tarjeta|iban", re.I),
-    "phone": re.compile(r"phone|\btel\b|call|fax|mobil|t[ée]l[ée]f|anruf", re.I),
-}
-_AGAINST = re.compile(r"version|isbn|issn|order|\bid\b|\bref\b|page|sha|hash|doi|rfc|chapter", re.I)
+# Wide forms: what stands for "@" and what follows it, four groups of digits, groups of hex digits, long numbers.
+_AT = re.compile(r"@| ?[\[({]at[\])}] ?| at (?=[A-Za-z0-9-]{1,63} dot )", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({]dot[\])}] ?| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I)
+_DISGUISE = ((re.compile(r" ?[\[({]at[\])}] ?| at ", re.I), "@"), (re.compile(r" ?[\[({]dot[\])}] ?| dot |[\[(]\.[\])]", re.I), "."))
+_FOUR = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
+_COLONS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z.,+])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
+# Usual groupings.
+_CARD_GROUPS = re.compile(r"[0-9]{13,16}|[0-9]{19}|[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{3})?|[0-9]{4}([ .-])[0-9]{6}\2[0-9]{4,5}")
+_PHONE_GROUPS = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+|00)[1-9][0-9]{0,2}[ ().\-/]+[0-9(][0-9 ().\-/]{5,16}[0-9]|\(?0[1-9][0-9]{1,4}\)?[ /-][0-9][0-9 -]{3,10}[0-9]")
+_BASE = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(?:\.[0-9]+){3}"), re.compile(r"[0-9](?:[ -]?[0-9])+"), re.compile(r"\+[0-9][ ().0-9-]+[0-9]"))
+# Gazetteers: fixed public values. Endings of domains, hosts of mailboxes, names that stand for nobody.
+_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro app dev io ai co me tv cc eu us uk ca au nz ie za in pk bd lk sg my th vn id ph hk tw cn jp kr ru ua by pl cz sk hu ro bg rs hr si at ch li de nl be lu fr mc es pt it mt gr "
+    "cy tr il ae sa eg ma tn ng ke gh br ar cl pe uy ve mx cr do pr se no dk fi is ee lv lt".split()
+)
+_MAIL_HOSTS = frozenset("gmail googlemail outlook hotmail live msn yahoo ymail aol icloud me mac protonmail proton gmx web t-online mail yandex rambler orange free laposte wanadoo libero virgilio terra zoho fastmail qq 163 126".split())
+_NOBODY = frozenset("foo bar foobar test user username name you your someone somebody abc xyz xxx noreply no-reply".split())
+#: Card issuers: first digits from, to, and how many digits such numbers have.
+_ISSUERS = ((4, 4, (13, 16, 19)), (51, 55, (16,)), (2221, 2720, (16,)), (34, 34, (15,)), (37, 37, (15,)), (300, 305, (14,)), (36, 36, (14,)), (38, 39, (14, 16)), (6011, 6011, (16, 19)), (644, 649, (16, 19)), (65, 65, (16, 19)), (3528, 3589, (16, 19)), (62, 62, (16, 17, 18, 19)), (50, 50, (12, 13, 16, 19)), (56, 58, (12, 13, 16, 19)))
+#: Country codes of one and of two digits; all others have three and begin with 2, 3, 4, 5, 6, 8 or 9.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_CODES_OF_THREE = re.compile(r"2[1-69]|3[578]|42|5[09]|6[789]|8[058]|9[679]")
+_NEAR = (
+    re.compile(r"e-?mail|contact|write|reach|courriel|correo|schreib|kontakt|mailto", re.I),
+    re.compile(r"\bips?\b|\bhost|server|address|adresse|client|login|logged|from", re.I),
+    re.compile(r"card|visa|credit|karte|carte|tarjeta|mastercard|amex|payment|paid", re.I),
+    re.compile(r"phone|\btel\b|\bcall|fax|mobil|t[ée]l[ée]f|anruf|ruf|llam|appel|whatsapp|\bsms\b|\bcell", re.I),
+)
+_AGAINST = re.compile(r"version|\bv$|isbn|issn|order|\bid\b|\bref\b|page|\bsha|hash|doi|rfc|chapter|invoice|serial|section|total|\$ ?$|€ ?$|date|time|\bno\b", re.I)
 
 
 def digits(s: str) -> str:
@@ -90,101 +115,139 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(s, KINDS[k], e) for s, k, e in sorted(out)]
 
 
-def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int, int]]:
-    """(start, kind, end, form): base matches as form 0, then loose ones that overlap no span taken before."""
-    out = [(s, k, e, 0) for s, k, e in base]
-    taken = [(s, e) for s, _, e in base]
-    for form, (kind, pattern) in enumerate(_LOOSE, 1):
-        for m in pattern.finditer(text):
-            if all(m.end() <= s or e <= m.start() for s, e in taken):
-                out.append((m.start(), kind, m.end(), form))
-                taken.append(m.span())
+def wide(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all that could be personal data, whatever the base patterns say."""
+    out, done = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > max(done, m.start() - 64) and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (host := _HOST.match(text, m.end())):
+            done = host.end()
+            out.append((start, EMAIL, done))
+    out += [(m.start(), IP, m.end()) for form in (_FOUR, _COLONS) for m in form.finditer(text)]
+    for m in _NUMBER.finditer(text):
+        n = len(digits(m[0]))
+        out += [(m.start(), kind, m.end()) for kind, least, most in ((CARD, 12, 19), (PHONE, 7, 15)) if least <= n <= most]
     return out
 
 
-def votes(text: str, start: int, kind: str, end: int, form: int) -> tuple[int, ...]:
-    """Regex, checksum, gazetteer, context before, context against, boundary: 1 yes, -1 no, 0 nothing."""
-    body, before, num = text[start:end], text[max(0, start - 32) : start], digits(text[start:end])
-    regex = 1 if form == 0 else 0
-    if kind == "email":
-        tld = re.split(r"[.\])]", body.rstrip("."))[-1].strip().lower()
-        check, known = (1 if 2 <= len(tld) <= 24 and tld.isalpha() else -1), (1 if tld in _TLD else -1)
-    elif kind == "ip":
-        parts = body.split(".") if form == 0 else body.split(":")
-        check = 1 if all(len(p) == 1 or p[0] != "0" for p in parts) else -1
-        known = -1 if len(set(parts)) == 1 else 1
-    elif kind == "card":
-        check, known = (1 if luhn(num) else -1), (1 if num[0] in "3456" else -1)
+def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
+    """All different candidates, the base spans among them, in order."""
+    return sorted({(s, KINDS.index(k), e) for s, k, e in base} | set(wide(text)))
+
+
+def _sign(yes: bool) -> int:
+    return 1 if yes else -1
+
+
+def _plain(body: str) -> str:
+    for form, mark in _DISGUISE:
+        body = form.sub(mark, body)
+    return body
+
+
+def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
+    """Published pattern, grouping, check digits and ranges, gazetteer, words before for and against, boundary, placeholder:
+    1 yes, -1 no, 0 nothing."""
+    body, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
+    num, pattern_ = digits(body), int(bool(_BASE[kind].fullmatch(body)))
+    if kind == EMAIL:
+        local, _, host = _plain(body).lower().rpartition("@")
+        labels = host.split(".")
+        group = _sign("@" not in local and len(labels) > 1 and len(labels[0]) > 1)
+        check = _sign(all(x and x[0] != "-" and x[-1] != "-" for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24 and ".." not in local and local[:1] not in (".", ""))
+        known = _sign(labels[-1] in _ENDINGS or labels[0] in _MAIL_HOSTS)
+        real = _sign(local not in _NOBODY)
+    elif kind == IP:
+        plain = _plain(body)
+        try:
+            address = ipaddress.ip_address(".".join(x.lstrip("0") or "0" for x in plain.split(".")) if ":" not in plain else plain)
+        except ValueError:
+            address = None
+        parts = plain.split(".") if ":" not in plain else [x for x in plain.split(":") if x]
+        group = _sign(all(len(x) == 1 or x[0] != "0" for x in parts) if ":" not in plain else len(parts) > 2 or "::" in plain)
+        check, known = _sign(address is not None), _sign(address is not None and (address.is_global or address.is_private) and not (address.is_multicast or address.is_unspecified))
+        real = _sign(len(set(parts)) > 1 and (":" in plain or not all(len(x) == 1 for x in parts)))
+    elif kind == CARD:
+        group, check = _sign(bool(_CARD_GROUPS.fullmatch(body))), _sign(luhn(num))
+        known = _sign(any(len(num) in sizes and low <= int(num[: len(str(low))]) <= high for low, high, sizes in _ISSUERS))
+        real = _sign(len(set(num)) > 2)
     else:
-        check = 1 if 10 <= len(num) <= 13 else 0
-        known = 1 if len(set(num)) > 3 else -1
-    near = 1 if _NEAR[kind].search(before) else 0
-    against = -1 if _AGAINST.search(before) else 0
-    left, right = text[start - 1 : start], text[end : end + 1]
-    edge = -1 if (left.isalnum() or left in ("/", "_", "-")) or right.isalnum() else 1
-    return regex, check, known, near, against, edge
-
-
-def pattern(text: str, start: int, kind: str, end: int, form: int) -> tuple:
-    """What the classifier sees: kind, form, votes, size, and the sort of letter on either side."""
+        group = _sign(bool(_PHONE_GROUPS.fullmatch(body)))
+        abroad = num if body[0] == "+" else num[2:] if body.startswith("00") else ""
+        home = num[1:] if len(num) == 11 and num[0] == "1" else num
+        check = _sign(8 <= len(abroad) <= 15 if abroad else 7 <= len(num) <= 12 and (len(home) != 10 or home[0] == "0" or home[0] > "1" and home[3] > "1"))
+        known = (_sign(bool({abroad[:1], abroad[:2]} & _CODES) or bool(_CODES_OF_THREE.match(abroad)))) if abroad else 0
+        real = _sign(len(set(num)) > 3 and num not in "01234567890123456789")
+    near, against = int(bool(_NEAR[kind].search(before))), -int(bool(_AGAINST.search(before[-16:])))
+    if not near and any(_NEAR[k].search(before[-16:]) for k in range(4) if k != kind):
+        against = -1
+    left, right = text[start - 1 : start], after[:1]
+    edge = _sign(not (left.isalnum() or left in ("/", "_", "-", "=") or right.isalnum() or right in ("/", "_", "=")))
+    return pattern_, group, check, known, near, against, edge, real
+
+
+def pattern(text: str, start: int, kind: int, end: int) -> tuple:
+    """What the classifier sees: kind, votes, size, and the sort of letter on either side."""
     def sort(c: str) -> int:
         return 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
 
-    return (KINDS.index(kind), form, *votes(text, start, kind, end, form), min(5, (end - start) // 6), sort(text[start - 1 : start]), sort(text[end : end + 1]))
+    return (kind, *votes(text, start, kind, end), min(5, (end - start) // 6), sort(text[start - 1 : start]), sort(text[end : end + 1]))
 
 
-N_VOTES = 6
-#: Votes no, nothing, yes that each labeler is taken to have cast on the wrong and the right class beforehand.
-PRIOR = np.array([[10.0, 9.0, 1.0], [1.0, 9.0, 10.0]])
-#: Every vote that a labeler can cast, in the order of votes().
-CASTS = ((0, 1), (-1, 0, 1), (-1, 1), (0, 1), (-1, 0), (-1, 1))
-#: Share of the classifier's training weight that lies on all possible vote patterns, seen or not.
-GRID_SHARE = 0.2
+N_VOTES = 8
+#: Votes no, nothing, yes that each labeler is taken to have cast beforehand, on either class.
+PRIOR = 0.5
 
 
-def reliabilities(votes_: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(votes_: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """EM for one kind. votes_ [patterns, labelers] in -1..1, count [patterns]; gives the chance of each vote given the
-    hidden class [class, labeler, vote] and the posterior of each pattern. Starts from the majority; PRIOR counts as
-    seen before, so a class that hardly occurs in the texts keeps its meaning."""
+    hidden class [class, labeler, vote] and the posterior of each pattern. Starts from the majority. A labeler that would
+    say yes more often, or no less often, on what isn't personal data is taken to say it equally often on both."""
     code = votes_ + 1
     post = 1 / (1 + np.exp(-1.5 * votes_.sum(1)))
     like = np.zeros((2, votes_.shape[1], 3))
     for _ in range(rounds):
-        prior = ((post * count).sum() + 10) / (count.sum() + 20)
-        for z, q in ((0, 1 - post), (1, post)):
-            for j in range(votes_.shape[1]):
-                tally = np.bincount(code[:, j], q * count, 3) + PRIOR[z]
-                like[z, j] = tally / tally.sum()
+        prior = ((post * count).sum() + 1) / (count.sum() + 2)
+        tally = np.stack([np.stack([np.bincount(code[:, j], q * count, 3) + PRIOR for j in range(votes_.shape[1])]) for q in (1 - post, post)])
+        like = tally / tally.sum(2, keepdims=True)
+        both = tally.sum(0) / tally.sum((0, 2))[:, None]
+        for vote, sign in ((2, 1), (0, -1)) * 2:
+            wrong = sign * (like[1, :, vote] - like[0, :, vote]) < 0
+            rest = (1 - both[:, vote]) / (1 - like[:, :, vote])
+            for other in {0, 1, 2} - {vote}:
+                like[:, wrong, other] *= rest[:, wrong]
+            like[:, wrong, vote] = both[wrong, vote]
         log = np.log([1 - prior, prior])[:, None] + np.stack([np.log(like[z, np.arange(votes_.shape[1]), code]).sum(1) for z in (0, 1)])
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return like, post
 
 
 class SpanModel:
-    """Logistic classifier over one-hot fields of a pattern, and the labelers' reliabilities by kind."""
+    """Logistic classifier over a pattern's fields (votes alone and by kind, so that kinds learn from each other), and the
+    labelers' reliabilities by kind."""
 
-    SIZES = (4, len(_LOOSE) + 1, *[3] * N_VOTES, 6, 4, 4)
+    SIZES = (1, 4, *[3] * N_VOTES, *[12] * N_VOTES, 6, 4, 4)
+    _START = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 
     def __init__(self, weights: np.ndarray, reliability: dict[str, np.ndarray]):
         self.weights, self.reliability = weights, reliability
 
     @classmethod
     def codes(cls, rows: np.ndarray) -> np.ndarray:
-        x = rows.copy()
-        x[:, 2 : 2 + N_VOTES] += 1
-        return x + np.concatenate([[0], np.cumsum(cls.SIZES)[:-1]])
+        kind, vote = rows[:, :1], rows[:, 1 : 1 + N_VOTES] + 1
+        return np.concatenate([np.zeros_like(kind), kind, vote, 3 * kind + vote, rows[:, 1 + N_VOTES :]], 1) + cls._START
 
     @classmethod
     def fit(cls, rows: np.ndarray, count: np.ndarray, steps: int = 400, l2: float = 1e-4) -> SpanModel:
-        grid = np.array([(k, 0 if v[0] else form, *v, 2, 1, 1) for k, kind in enumerate(KINDS) for form in ([0] + [i for i, x in enumerate(_LOOSE, 1) if x[0] == kind]) for v in itertools.product(*CASTS) if v[0] == (form == 0)])
-        total = count.sum()
-        count = np.r_[count, np.zeros(len(grid))]
-        rows, post, reliability = np.concatenate([rows, grid]), np.zeros(len(rows) + len(grid)), {}
+        post, reliability = np.zeros(len(rows)), {}
         for k, kind in enumerate(KINDS):
             of = rows[:, 0] == k
-            reliability[kind], post[of] = reliabilities(rows[of][:, 2 : 2 + N_VOTES], count[of])
-        count[-len(grid) :] = GRID_SHARE * total / len(grid)
-        x, share = cls.codes(rows), count / count.sum()
+            if of.any():
+                reliability[kind], post[of] = reliabilities(rows[of][:, 1 : 1 + N_VOTES], count[of])
+        # Patterns that come again and again count as their root: the classifier is to tell patterns apart, not to repeat the commonest.
+        x, share = cls.codes(rows), np.sqrt(count) / np.sqrt(count).sum()
         w = np.zeros(sum(cls.SIZES))
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
@@ -211,8 +274,8 @@ def train(docs: DataFrame) -> SpanModel | None:
 
         def f(text):
             for t in text:
-                for s, k, e, form in candidates(t, base_spans(t)):
-                    seen[",".join(map(str, pattern(t, s, k, e, form)))] += 1
+                for c in candidates(t, base_spans(t)):
+                    seen[",".join(map(str, pattern(t, *c)))] += 1
 
         f.close = lambda: [[list(seen), list(seen.values())]] if seen else []
         return f
@@ -225,12 +288,18 @@ def train(docs: DataFrame) -> SpanModel | None:
 
 
 def all_spans(text: str, base: list[tuple[int, str, int]], model: SpanModel | None, keep: float = KEEP) -> list[tuple[int, str, int]]:
-    """Base spans and the loose candidates that the model takes, in order."""
-    loose = [c for c in candidates(text, base) if c[3]] if text else []
-    if loose and model:
-        p = model.probability(np.array([pattern(text, *c) for c in loose]))
-        base = sorted(base + [c[:3] for c, q in zip(loose, p, strict=True) if q >= keep], key=lambda x: (x[0], KINDS.index(x[1])))
-    return base
+    """Base spans and the other candidates that the model takes, in order."""
+    taken = ts.Taken([(s, e) for s, _, e in base])
+    free = [c for c in wide(text) if taken.free(c[0], c[2])] if text and model else []
+    if not free:
+        return base
+    p = model.probability(np.array([pattern(text, *c) for c in free]))
+    out = list(base)
+    for (s, k, e), _ in sorted((x for x in zip(free, p, strict=True) if x[1] >= keep), key=lambda x: (-x[1], x[0])):
+        if taken.free(s, e):
+            taken.add(s, e)
+            out.append((s, KINDS[k], e))
+    return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
 def written(spans: list[tuple[int, str, int]]) -> str:
@@ -272,20 +341,23 @@ def masked(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 
 def mask(docs: DataFrame, model: SpanModel | None, keep: float = KEEP) -> DataFrame:
-    """The same rows and columns, with personal data masked in text and n_chars, where there is one, counted anew."""
-    hit = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
-    at = docs.columns.index("text")
-
-    def make():
-        def f(*columns):
-            columns = list(columns)
-            columns[at] = [masked(t, all_spans(t, base_spans(t), model, keep)) for t in columns[at]]
-            return columns
-
-        return f
-
-    out = docs.where(~hit).unionAll(map_columns(docs.where(hit), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), make))
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """The same rows and columns in one pass, with personal data masked in text; n_chars, where there is one, is counted anew
+    in the rows that were changed."""
+    tune(docs.sparkSession)
+    arrow, may = to_arrow_schema(docs.schema), re.compile(MAY_HOLD)
+    at, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(at).to_pylist()
+            new = [masked(t, all_spans(t, base_spans(t), model, keep)) if t and may.search(t) else t for t in text]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, arrow.types[at])
+            if n is not None:
+                columns[n] = pa.array([c if t == u else len(u) for c, t, u in zip(columns[n].to_pylist(), text, new, strict=True)], arrow.types[n])
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def weak_supervision(docs: DataFrame, keep: float = KEEP) -> DataFrame:

@@ -3,17 +3,20 @@
 Tokens are runs of letters, digits and "+/_-", or single other marks. Their features are shape (length, classes of
 letters, how mixed they are), what stands before and after (a key word, an operator, a quote), and the file (does the
 text hold key words, does it look like code). The CRF is fitted on the tokens around the base matches and around other
-odd tokens of at most TRAIN_DOCS texts, half of them texts with a base match (found over the whole table, however rare),
-the others without; its labels come from the base patterns, but key names and formats aren't among
-the features of a token itself, so that other secrets of such a shape in such a place are tagged too.
+odd tokens (with digits or capitals inside, or long) of at most TRAIN_DOCS texts, half of them texts with a base match
+(found over the whole table, however rare), the others without, and of each text at most TRAIN_WINDOWS windows, spread
+over all of it. Its labels come from the base patterns; so that it learns what secrets have in common rather than the
+patterns, each text with a base match comes again in VARIANTS forms, in which the values are random in other alphabets and
+lengths and stand after other key words, operators and quotes.
 
 Decoding is exact. A token whose emission score is below minus the margin of the transitions is outside on every best
 path (see Chain.margin), so the text falls apart there. A text isn't decoded only where it has no LEAST characters in a row
-without blanks: no span could be that long there.
+without blanks: no span could be that long there. Ties go to outside.
 
 Base matches are always spans. Tagged spans that overlap none are added, under the kind "assign" after a key word, else
-"access" (capitals and digits only) or "hex". Null text is read as empty. Repeated rows give repeated results. Other
-columns pass unread. Without any base match in the table, only base spans are given.
+"access" (capitals and digits only) or "hex". Null text is read as empty. Texts are read whole, in linear time. Repeated
+rows give repeated results, an empty table none. Other columns pass unread. Without any base match in the table there is
+nothing to learn from, and only base spans are given.
 """
 
 from __future__ import annotations
@@ -27,23 +30,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textstats as ts
 from .common import map_columns, table, texts
-from .crf import Chain
+from .crf import FORBIDDEN, Chain
 
 KINDS = ("assign", "access", "hex")
-TRAIN_DOCS = 1500
+TRAIN_DOCS, TRAIN_WINDOWS, VARIANTS = 1500, 24, 2
 #: Shortest run of tokens that is added as a span.
 LEAST = 12
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: A text in which this doesn't occur has no base match.
-MAY_HOLD = r"(?i)[0-9]|password|passwd|secret|token|api_?key|[a-f]{16}|AKIA"
-#: Nor has one in which this doesn't occur.
 NEAR_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
-_ODD = re.compile(r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*|[=:\"']")
 _KEY = re.compile(r"pass(?:word|wd|phrase)?$|secret|token|api_?key|auth|bearer|credential|private_?key|access_?key|pwd$", re.I | re.A)
 
 
@@ -57,8 +58,49 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def secret_parts(text: str) -> list[tuple[int, int]]:
     """What is secret in the base matches: the value of an assignment, and the other matches as they are."""
-    out = [m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-    return out + [m.span() for m in _ACCESS.finditer(text) if len(m[0]) >= 18] + [m.span() for m in _HEX.finditer(text)]
+    return [(s, e) for _, s, e in _parts(text)]
+
+
+def _parts(text: str) -> list[tuple[int, int, int]]:
+    """(start of the match, start and end of what is secret in it)."""
+    out = [(m.start(), *m.span(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
+    return out + [(m.start(), *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18] + [(m.start(), *m.span()) for m in _HEX.finditer(text)]
+
+
+#: What variants put before values, and the letters that values are made of.
+_KEYS = ("password", "passphrase", "secret", "Bearer", "credential", "access_key", "AUTH", "api_key", "pwd", "token")
+_LINKS = (" = ", ": ", "=", ":", " ", "': '", '": "')
+_ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def variant(text: str, number: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text with other secrets in place of its own, and where they are; the same for the same text and number. Values
+    without a key word before them are replaced by such as mix capitals, small letters and digits."""
+    rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{number}|{text}".encode("utf-8", "surrogatepass")).digest()[:8], "big"))
+    out, done, at, where = [], 0, 0, []
+
+    def add(piece: str) -> None:
+        nonlocal at
+        out.append(piece)
+        at += len(piece)
+
+    for start, s, e in sorted(_parts(text), key=lambda p: (p[0], -p[2])):
+        if start < done:
+            continue
+        add(text[done:start])
+        keyed = s > start or rng.random() < 0.5
+        letters = _ALPHABETS[rng.integers(len(_ALPHABETS)) if keyed else rng.integers(1, 4)]
+        value = "".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(16 if keyed else 20, 80)))
+        quote = rng.choice(["", "'", '"'])
+        if keyed:
+            add(f"{rng.choice(_KEYS)}{rng.choice(_LINKS)}{quote}")
+        where.append((at, at + len(value)))
+        add(value)
+        done = e
+        if keyed and text[e : e + 1] not in ("'", '"'):
+            add(str(quote))
+    add(text[done:])
+    return "".join(out), where
 
 
 # Roles of a neighbour: other, key word, operator, quote, token with a digit, edge of the text.
@@ -131,6 +173,7 @@ ALLOWED = np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)  # outside, begin, i
 class SecretModel:
     def __init__(self, chain: Chain):
         self.chain, self.cut = chain, -chain.margin()
+        self.after = Chain(chain.gain, chain.w, chain.trans, np.array([0.0, FORBIDDEN, FORBIDDEN]))
         # Of a run of tagged tokens, over all of them outside: what one within it gains at most by its transition, and what
         # its edges gain at most beyond that, in the text or at its start or end.
         t, begin = chain.trans - chain.trans[0, 0], float(chain.start[1:].max() - chain.start[0])
@@ -157,21 +200,13 @@ class SecretModel:
             plus, best = np.add.reduceat(np.maximum(gain, 0), first), np.maximum.reduceat(gain, first)
             most = np.where(plus > 0, plus, best) + self.edges
             ends = np.r_[first[1:], len(open_)]
-            for k in np.flatnonzero(most >= -1e-6):
-                part = open_[first[k] : ends[k]]
-                a, b = max(0, int(part[0]) - 1), min(len(score), int(part[-1]) + 2)
-                tags[a:b] = self._pinned(score[a:b], a)
+            parts = [(max(0, int(open_[first[k]]) - 1), min(len(score), int(open_[ends[k] - 1]) + 2)) for k in np.flatnonzero(most >= -1e-6)]
+            # Where a token before is certain to be outside, the start scores don't apply.
+            for chain, some in ((self.chain, [p for p in parts if not p[0]]), (self.after, [p for p in parts if p[0]])):
+                for (a, b), got in zip(some, chain.viterbi_all([score[a:b] for a, b in some]), strict=True):
+                    tags[a:b] = got
         return tags
 
-    def _pinned(self, score: np.ndarray, at: int) -> np.ndarray:
-        if at:  # the token before is certain to be outside: the start scores don't apply
-            start, self.chain.start = self.chain.start, np.array([0.0, -1e4, -1e4])
-            try:
-                return self.chain.viterbi(score)
-            finally:
-                self.chain.start = start
-        return self.chain.viterbi(score)
-
     def spans(self, text: str, shapes: Shapes) -> list[tuple[int, int, bool]]:
         """Tagged (start, end, follows a key word)."""
         s = numbers(text, shapes)
@@ -198,34 +233,48 @@ def _holding(docs: DataFrame) -> DataFrame:
     """texts(), with whether there may be a base match, and an empty text where no span is possible: none is without LEAST
     marks in a row that aren't blank (Java's blanks are among Python's). Such texts needn't reach Python."""
     text = F.col("text")
-    return texts(docs).select("doc_id", F.when(text.rlike(rf"\S{{{LEAST}}}"), text).otherwise(F.lit("")).alias("text"), text.rlike(MAY_HOLD).alias("may"))
+    return texts(docs).select("doc_id", F.when(text.rlike(rf"\S{{{LEAST}}}"), text).otherwise(F.lit("")).alias("text"), text.rlike(NEAR_BASE).alias("may"))
 
 
-def windows(text: str, shapes: Shapes, reach: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training sequences: the tokens around odd ones, labelled by the base patterns."""
+def windows(text: str, secret: list[tuple[int, int]], shapes: Shapes, reach: int = 4, most: int = TRAIN_WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training sequences: the tokens around odd ones, labelled by what is secret; of more than `most`, as many from all over
+    the text, half of them with a secret if there are so many. Sequences are cut at 64 tokens or the next that is outside."""
     at, x = fields(text, shapes)
     if not len(at):
         return []
     y = np.zeros(len(at), np.int8)
-    for s, e in secret_parts(text):
-        inside = np.flatnonzero((at[:, 0] < e) & (at[:, 1] > s))
+    for s, e in secret:
+        inside = np.arange(np.searchsorted(at[:, 1], s, "right"), np.searchsorted(at[:, 0], e, "left"))
         y[inside] = 2
         y[inside[:1]] = 1
     keep = np.zeros(len(at), bool)
-    odd = np.flatnonzero((y > 0) | ((x[:, 1] - _OFFSET[1]) & 4 > 0))
+    odd = np.flatnonzero((y > 0) | ((x[:, 1] - _OFFSET[1]) & 4 > 0) | (x[:, 2] > _OFFSET[2]) | (x[:, 0] >= _OFFSET[0] + 4))
     for d in range(-reach, reach + 1):
         keep[np.clip(odd + d, 0, len(at) - 1)] = True
-    parts = np.split(np.flatnonzero(keep), np.flatnonzero(np.diff(np.flatnonzero(keep)) > 1) + 1)
-    return [(x[p[k : k + 64]], y[p[k : k + 64]]) for p in parts for k in range(0, len(p), 64) if len(p) and y[p[k]] != 2]
+    out = []
+    for p in np.split(np.flatnonzero(keep), np.flatnonzero(np.diff(np.flatnonzero(keep)) > 1) + 1):
+        a = 0
+        while a < len(p):
+            b = min(a + 64, len(p))
+            while b < len(p) and y[p[b]] == 2:
+                b += 1
+            out.append((x[p[a:b]], y[p[a:b]]))
+            a = b
+    with_, without = [w for w in out if w[1].any()], [w for w in out if not w[1].any()]
+    n = min(len(with_), max(most // 2, most - len(without)))
+    return _spread(with_, n) + _spread(without, most - n)
+
+
+def _spread(items: list, n: int) -> list:
+    return items if len(items) <= n else [items[k] for k in np.linspace(0, len(items) - 1, n).astype(int)]
 
 
 def strata(docs: DataFrame) -> DataFrame:
-    """Table of (key, held) of each different row that may hold a base match: whether it does. Python looks only at texts
-    that come close to one."""
-    rows = texts(docs).where(F.col("text").rlike(MAY_HOLD))
-    close = F.when(F.col("text").rlike(NEAR_BASE), F.col("text")).otherwise(F.lit(""))
-    looked = map_columns(rows.select(_key().alias("key"), close.alias("text")), "key long, held boolean", lambda: lambda key, text: [key, [bool(secret_parts(t)) for t in text]])
-    return table(looked.distinct(), "strata")
+    """Table of (key, held) of each different row: whether it holds a base match. Python looks only at texts that come close
+    to one."""
+    rows = texts(docs).select(_key().alias("key"), F.when(F.col("text").rlike(NEAR_BASE), F.col("text")).otherwise(F.lit("")).alias("text"))
+    looked = map_columns(rows.where("text <> ''"), "key long, held boolean", lambda: lambda key, text: [key, [bool(secret_parts(t)) for t in text]])
+    return table(rows.where("text = ''").select("key", F.lit(False).alias("held")).unionAll(looked), "strata")
 
 
 def _key():
@@ -235,8 +284,17 @@ def _key():
 def sampled(docs: DataFrame, rows: int) -> DataFrame:
     """Texts to fit on: half of `rows` of those with a base match anywhere in the table, the rest of those without."""
     found, half = strata(docs), max(1, rows // 2)
-    pick = found.where("held").orderBy("key").limit(half).unionAll(found.where("NOT held").orderBy("key").limit(rows - half)).select("key")
-    return texts(docs).where(F.col("text").rlike(MAY_HOLD)).withColumn("key", _key()).join(F.broadcast(pick), "key", "left_semi").select("text")
+
+    total = {r.held: r["count"] for r in found.groupBy("held").count().collect()}
+
+    def least(held: bool, n: int) -> DataFrame:
+        # Repeated rows count once. A hash threshold leaves some 50 n keys, so that few are shuffled to be told apart.
+        share = int(min(1.0, 50 * n / max(1, total.get(held, 0))) * (1 << 30))
+        some = found.where((F.col("held") == held) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share))
+        return some.select("key").distinct().orderBy("key").limit(n)
+
+    pick = least(True, half).unionAll(least(False, rows - half))
+    return texts(docs).withColumn("key", _key()).join(F.broadcast(pick), "key", "left_semi").dropDuplicates(["key"]).select("text")
 
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> SecretModel | None:
@@ -247,7 +305,12 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> SecretModel | None:
         shapes = Shapes()
 
         def f(text):
-            out = [w for t in text for w in windows(t, shapes)]
+            out = []
+            for t in text:
+                secret = secret_parts(t)
+                out += windows(t, secret, shapes)
+                for n in range(VARIANTS if secret else 0):
+                    out += windows(*variant(t, n), shapes)
             return [[w[0].astype(np.int16).tobytes() for w in out], [w[1].tobytes() for w in out]] if out else None
 
         return f
@@ -257,14 +320,16 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> SecretModel | None:
     got = [(np.frombuffer(x, np.int16).astype(np.int32).reshape(-1, len(FIELDS)), np.frombuffer(y, np.int8)) for (x, y), n in sorted(seqs.items()) for _ in range(max(1, round(n**0.5)))]
     if not any((y > 0).any() for _, y in got):
         return None
-    return SecretModel(Chain.fit(got, int(_OFFSET[-1]), np.array([0.0, 1.0, 1.0]), ALLOWED, np.array([True, True, False]), steps=250, l2=1e-6))
+    return SecretModel(Chain.fit(got, int(_OFFSET[-1]), np.array([0.0, 1.0, 1.0]), ALLOWED, np.array([True, True, False]), steps=150, l2=1e-5))
 
 
 def all_spans(text: str, base: list[tuple[int, str, int]], model: SecretModel | None, shapes: Shapes) -> list[tuple[int, str, int]]:
+    """Base spans and the tagged ones that overlap none of them, in order."""
     out = list(base)
     if model and text:
+        taken = ts.Taken([(s, e) for s, _, e in base])
         for s, e, key in model.spans(text, shapes):
-            if e - s >= LEAST and all(e <= b or d <= s for b, _, d in base):
+            if e - s >= LEAST and taken.free(s, e):
                 body = text[s:e]
                 out.append((s, "assign" if key else "access" if not any("a" <= c <= "z" for c in body) else "hex", e))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))

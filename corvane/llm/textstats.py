@@ -5,6 +5,8 @@ Words are the runs of bytes other than 0x20 and 0x09-0x0D, which is what bytes.s
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
 SYMBOLS = b"#*$%&|<>"
@@ -65,3 +67,26 @@ def base_counts(text: str, data: bytes, words: list[bytes], h: np.ndarray) -> tu
         else:
             seen.add(line)
     return len(words), len(text) - sum(map(text.count, SPACES)), less(data, SYMBOLS), dup, repeat_words(h)
+
+
+class Taken:
+    """Stretches of a text that spans have taken, kept apart and in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return not k or self.ends[k - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        """Take what free() has said is free."""
+        k = bisect.bisect_left(self.starts, end)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)

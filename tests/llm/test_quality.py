@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from corvane.llm import lines, pu
 from corvane.llm import textstats as ts
 
+from .conftest import prose
+
 
 def plain_counts(text):
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w]
@@ -37,21 +39,62 @@ def test_base_counts(docs, no_docs, labels, no_labels):
     assert lines.quality_rules(no_docs, labels).collect() == []
 
 
-def test_chain_learns_and_decodes_exactly():
-    rng = np.random.default_rng(0)
-    data = []
-    for k in range(60):
-        y = np.full(int(rng.integers(1, 12)), k % 2)
-        rows = [(int(rng.integers(5, 30)), 6.0, 0.0 if c else 12.0, 1.0, 0.0, 0.0, 0.0, 90.0, False, False, 5.0) for c in y]
-        data.append((lines.binned(rows), y))
-    model = lines.LineCrf.fit(data)
-    tags = model.decode([d[0] for d in data])
-    assert np.mean([np.mean(t == d[1]) for t, d in zip(tags, data, strict=True)]) > 0.95
-    for x, _ in data[:20]:
-        gain = model.w[x].sum(1)
-        value = lambda y: model.s[y[0]] + sum(g for g, v in zip(gain, y, strict=True) if v) + sum(model.a[a, b] for a, b in itertools.pairwise(y))
-        if len(x) < 9:
-            assert np.isclose(value(tuple(model.decode([x])[0])), max(map(value, itertools.product((0, 1), repeat=len(x)))))
+CLEAN = (18, 6.0, 0.0, 1.0, 0.0, 0.0, 0.0, 90.0, False, False, 5.0)
+DIRTY = (18, 6.0, 9.0, 1.0, 0.0, 0.0, 0.0, 90.0, False, False, 5.0)
+
+
+def line_docs(n=120):
+    """Documents of clean and dirty lines; a good one is mostly clean, a bad one mostly dirty."""
+    rng, data = np.random.default_rng(0), []
+    for k in range(n):
+        size = int(rng.integers(3, 12))
+        dirty = np.arange(size) < size * (0.3 if k % 2 else 0.7)
+        if rng.random() < 0.5:
+            dirty = dirty[::-1]
+        rows = [DIRTY if d else CLEAN for d in dirty]
+        data.append((lines.binned(rows), np.array([r[0] for r in rows]), lines.seeded(rows), k % 2, dirty))
+    return data
+
+
+def test_lines_of_one_document_are_marked_apart():
+    data = line_docs()
+    model = lines.fit([d[:4] for d in data])
+    tags = model.viterbi_all([model.w[d[0]].sum(1) for d in data])
+    assert np.mean([(t == d[4]).mean() for t, d in zip(tags, data, strict=True)]) > 0.97
+    assert np.mean([len(set(t.tolist())) == 2 for t in tags]) > 0.9
+
+
+def test_chain_decodes_exactly():
+    rng = np.random.default_rng(2)
+    model = lines.fit([d[:4] for d in line_docs(40)])
+    for n in range(1, 9):
+        for _ in range(6):
+            score = rng.normal(size=n) * 3
+            value = lambda y: model.start[y[0]] + sum(g for g, v in zip(score, y, strict=True) if v) + sum(model.trans[a, b] for a, b in itertools.pairwise(y))
+            assert np.isclose(value(tuple(model.viterbi(score))), max(map(value, itertools.product((0, 1), repeat=n))))
+
+
+def test_relabelling_keeps_the_documents_label():
+    words, seed = np.array([10, 10, 10, 5]), np.array([False, True, False, False])
+    for good in (True, False):
+        for chance in ([0.9, 0.9, 0.9, 0.9], [0.1, 0.1, 0.1, 0.1], [0.1, 0.9, 0.6, 0.4]):
+            y = lines.relabelled(np.array(chance), words, seed, good)
+            assert (words[y == lines.CONTENT].sum() >= lines.CONTENT_SHARE * 35) == good
+            assert good or y[1] == lines.BOILERPLATE
+
+
+def test_verdict_against_all_labellings(spark, labels):
+    """kept by brute force: the best of all labellings of the lines, and the words in its content lines."""
+    text = [prose(1, 30) + "\n" + "### $$$ && " * 10, "### $$$ && " * 20 + "\n" + prose(2, 25), prose(3, 40) + "\n\n" + prose(4, 25) + "\n" + "a | b | c | d |", prose(5, 21), "x " * 30, prose(6, 22) + "\n" + prose(7, 50).upper().replace(" ", "!! ")]
+    df = spark.createDataFrame([(100 + i, t) for i, t in enumerate(text)] + [(5, prose(1, 60)), (7, prose(2, 80)), (9, prose(3, 90)), (14, prose(8, 70)), (13, "### $$$ && | | | " * 30), (15, "BUY!! NOW!! " * 20), (16, "a | b | c | d | e\n" * 9)], "doc_id long, text string")
+    model = lines.train(df, labels)
+    for r in lines.judge(df, model).collect():
+        rows = lines.line_rows(next(x.text for x in df.where(F.col("doc_id") == r.doc_id).collect()).encode())
+        gain = model.w[lines.binned(rows)].sum(1)
+        value = lambda y: model.start[y[0]] + sum(g for g, v in zip(gain, y, strict=True) if v) + sum(model.trans[a, b] for a, b in itertools.pairwise(y))  # noqa: E731, B023
+        best = max(itertools.product((0, 1), repeat=len(rows)), key=value)
+        share = sum(x[0] for x, v in zip(rows, best, strict=True) if v == lines.CONTENT) / sum(x[0] for x in rows)
+        assert r.content_tags == "".join("Cb"[v] for v in best) and np.isclose(r.content_share, share) and r.kept == (not r.base_failed and share >= 0.5)
 
 
 def test_kept_documents_keep_their_columns(docs, labels):
