@@ -8,10 +8,11 @@ remembered. What is long is encoded by halves:
   right side's own. From there on every neighbouring pair of tokens is one that the merge rules leave alone, which
   makes the whole the same as an encoding in one go;
 * a text of more than LEAF characters is cut into leaves, wherever that falls, which different tasks encode; around
-  each join a window of words is encoded anew and grown until a whole word on either side comes out as before.
+  each join a window of words is encoded anew and grown until a whole word on either side comes out as before. Where the
+  cut goes through a long run of letters, the window is one of tokens, as within a run.
 
 Null text is read as empty: no tokens, empty decoding. Rows that are repeated, or share an id, each give a row. Special
-tokens written out in a text count as the library counts them. Other columns pass unread.
+tokens written out in a text count as the library counts them. An empty table gives no rows. Other columns pass unread.
 """
 
 from __future__ import annotations
@@ -151,6 +152,8 @@ class WordBpe(dict):
         (lt, li), (rt, ri) = left, right
         if not lt or not rt:
             return (lt or rt), (li or ri)
+        if (run := self._join_run(lt, li, rt, ri)) is not None:
+            return lt + rt, run
         k = 2
         while True:
             start, stop = _words_back(lt, k), _words_on(rt, k)
@@ -162,6 +165,41 @@ class WordBpe(dict):
                 return lt + rt, li[: len(li) - len(old_a)] + whole + ri[len(old_b) :]
             k *= 2
 
+    def _join_run(self, lt: str, li: bytes, rt: str, ri: bytes) -> bytes | None:
+        """The join of two texts that cut a long run of plain letters in two, by windows of tokens; None where it is another."""
+        if not (_PLAIN(lt[-1:]) and _PLAIN(rt[:1])):
+            return None
+        a, b = len(lt) - len(lt.rstrip(_LETTERS)), len(rt) - len(rt.lstrip(_LETTERS))
+        # What follows the run on the right must not combine with its last letter, nor what stands before belong to it.
+        around = lt[len(lt) - a - 1 : len(lt) - a] + rt[b : b + 1]
+        if a + b <= self.long_run or not around.isascii() or "'" in around or "<" in around:
+            return None
+        left, right = np.frombuffer(li, "<u4"), np.frombuffer(ri, "<u4")
+        k = 4
+        while True:
+            x, whole_left = self._tail(left, a, k)
+            y, whole_right = self._head(right, b, k)
+            window = self._letters_of(left[len(left) - x :].tolist(), True) + self._letters_of(right[:y].tolist(), whole_right)
+            ids = self._direct(window, whole_right)
+            if (whole_left or ids[0] == left[len(left) - x]) and (whole_right or ids[-1] == right[y - 1]):
+                return left[: len(left) - x].tobytes() + np.array(ids, "<u4").tobytes() + right[y:].tobytes()
+            k *= 2
+
+    def _tail(self, ids: np.ndarray, letters: int, k: int) -> tuple[int, bool]:
+        """How many of the last tokens to take, about k, none of which reaches beyond the run; and whether they are all of it."""
+        n = 0
+        while n < k and n < len(ids) and letters > 0:
+            n += 1
+            letters -= len(self._letters_of([int(ids[-n])], True))
+        return n, letters <= 0
+
+    def _head(self, ids: np.ndarray, letters: int, k: int) -> tuple[int, bool]:
+        n = 0
+        while n < k and n < len(ids) and letters > 0:
+            letters -= len(self._letters_of([int(ids[n])], True))
+            n += 1
+        return n, letters <= 0
+
     def _edge(self, text: str, at: int) -> bytes:
         words = self.words(text)
         return self[words[at]] if words else b""
@@ -173,6 +211,10 @@ class WordBpe(dict):
         return leaves[0][1] if leaves else b""
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLAIN = set(_LETTERS).__contains__
+
+
 def _is_space(c: str) -> bool:
     return c.isspace() and not "\x1c" <= c <= "\x1f"
 

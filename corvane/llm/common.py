@@ -16,8 +16,12 @@ BATCH_ROWS, BATCH_BYTES = 1024, "16m"
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that memory doesn't depend on how long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small, so that memory doesn't depend on how long the texts are; smaller settings of the session stay.
+
+    The settings count when a plan is run, so they can't be taken back here."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -48,16 +52,26 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in tests, where none is named, one below the warehouse."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (set_ or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
+    """The folder that driver and executors share. Where the session names none, a local session, as in tests, takes one below
+    the warehouse; on a cluster that might be a folder of the driver alone, so it is an error there."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    return named.rstrip("/")
+
+
+def _store(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the session's end removes it."""
+    """A new path in the shared folder; the session's end removes it, if drop() hasn't."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    store, hadoop = _store(spark, path)
+    store.deleteOnExit(hadoop)
     return path
 
 
@@ -65,7 +79,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives a lost executor."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that nothing will read any more."""
+    for t in tables:
+        store, hadoop = _store(t.sparkSession, t._shared_path)
+        store.delete(hadoop, True)
 
 
 def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:

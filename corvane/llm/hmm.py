@@ -7,15 +7,16 @@ V_class + 1), one share being left for words never seen. So unknown words need n
 
 1. One pass over the texts writes, in blocks of bounded size, each text as numbers into its block's word list, and the
    list with its counts over training texts.
-2. Counts of a word are summed over blocks (a window on the word), which is the exact count of every word; totals by
-   class go to the driver.
+2. Counts of a word are summed over blocks, tasks first, which is the exact count of every word; totals by class go to the
+   driver.
 3. A mixture of class distributions over at most START_DOCS training texts starts the states; then ROUNDS of Baum-Welch
    see every training text: each task sums its expected counts, Spark adds them by class.
 4. Each block meets the counts of its words again: the exact likelihood by the forward recursion in double precision,
    the word terms and the base score.
 
-Null text is read as empty: it has the end alone. Repeated rows count each. With no training text all counts are 0 and
-the states are uniform. Other columns pass unread.
+Null text is read as empty: it has the end alone. Texts are scored whole, however long. Repeated rows count each. Ties in
+the choice of texts to start from go to the smaller id, then to the smaller hash of the text. With no training text all
+counts are 0 and the states are uniform; an empty table gives no rows. Other columns pass unread.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -250,11 +251,12 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     import pandas as pd
 
     base = table(numbered(docs), "numbered")
-    text = base.where("ids IS NOT NULL")
-    of_word = Window.partitionBy("word")
-    listed = base.where("word IS NOT NULL").select("block", "at", "class", "n", F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first"))
-    listed = table(listed, "words")
-    sums = listed.groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).collect()
+    text, listed = base.where("ids IS NOT NULL"), base.where("word IS NOT NULL")
+    # One row for each word after tasks have added up their own; the join back to the blocks may be split where it is skewed.
+    words = table(listed.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c")), "words")
+    sums = words.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()
+    listed = listed.select("block", "at", "class", "word").join(words.select("word", "c"), "word").select("block", "at", "class", "c")
+    blocks = max(1, text.agg(F.countDistinct("block")).head()[0])
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
         n_class[r["class"]], v_class[r["class"]] = r.n, r.v
@@ -285,4 +287,6 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
             "base_score": [plain[d].sum() for d in ids], "hmm_score": hmm, "score": hmm + word,
         })
 
-    return text.select("block", "doc_id", "held", "ids").groupBy("block").cogroup(listed.select("block", "at", "class", "c").groupBy("block")).applyInPandas(block, SCORES)
+    # As many partitions as blocks, so that a task holds one block or a few, however large the corpus.
+    rows = text.select("block", "doc_id", "held", "ids").repartition(blocks, "block")
+    return rows.groupBy("block").cogroup(listed.repartition(blocks, "block").groupBy("block")).applyInPandas(block, SCORES)

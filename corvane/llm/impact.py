@@ -7,22 +7,30 @@ falling order of weight times impact. The sum over dimensions of weight times th
 any vector can still gain. Every few segments the k best so far are scored exactly; only a vector whose bound stays below
 the k-th best exact score is out, and once few enough may still be in, those are scored exactly. So results are exact.
 
-Queries are the stated set of rows against all rows, block by block: query blocks meet vector blocks on a pair of block
-numbers, which shuffles each vector once for each query block. Each pair of blocks gives at most k rows a query; the best
-k of these are the answer. Vectors that are null, hold a null or a non-finite component, have no id or another length
-than the commonest, take no part, neither as query nor as candidate. Ties go to the smaller id; repeated ids are
-candidates each, and a query never meets rows of its own id. An empty table gives no rows.
+Queries are the stated set of rows against all rows, block by block. Each vector is shuffled once, into its block; the
+queries come to each block after it, a batch at a time, so that a task holds one index and one batch. The first block is
+done before the others: its k-th best exact score for a query is a bound that each other block begins with, so that it
+stops sooner and reports only what may still be among the k best. The best k of all reports are the answer.
+
+Vectors that are null, hold a null or a non-finite component, or have no id take no part, neither as query nor as
+candidate. Queries meet the vectors of their own length; vectors without components score 0 among each other. Ties go to
+the smaller id; repeated ids are candidates each, and a query never meets rows of its own id; rows that repeat a query's
+id and vector are one query. An empty table gives no rows. Other columns, of any name, pass unread.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .common import schema_of, table, tune
 
 SCALE, K = 1024, 10
-#: Vectors in a block, queries in a block, levels of quantised impact.
-BLOCK, QUERIES, LEVELS = 8192, 1024, 48
+#: Vectors in a block, levels of quantised impact.
+BLOCK, LEVELS = 8192, 48
 #: Segments come in so many batches of falling impact; the bounds are looked at after each.
 CHECKS = 8
 #: Scored exactly once at most this share of a block may still be in.
@@ -48,10 +56,10 @@ class ImpactIndex:
             self.ends.append(ends)  # of the segments of each dimension
             self.impact.append([g[e - 1] for g, e in zip(gain, ends, strict=True)])
 
-    def top(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of all vectors that may be among the k best."""
+    def top(self, q: np.ndarray, k: int, least_wanted: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and exact scores of all vectors that may be among the k best and score least_wanted or more."""
         n = len(self.v)
-        if n <= 4 * k:
+        if n <= 4 * k or not len(q):
             return np.arange(n), (self.v @ q).astype(np.int64)
         fixed = int((np.where(q > 0, self.lo, self.hi) * q).sum())
         dims = [(abs(int(w)), int(w < 0), j) for j, w in enumerate(q) if w]
@@ -70,7 +78,7 @@ class ImpactIndex:
             # A vector gains its quantised impact at most where its segment has come, the next segment's elsewhere.
             upper = got + rest
             best = np.argpartition(upper, n - k)[n - k :]
-            may = np.flatnonzero(upper >= (self.v[best] @ q).min())
+            may = np.flatnonzero(upper >= max(least_wanted, (self.v[best] @ q).min()))
             if len(may) <= max(8 * k, FEW * n):
                 break
         return may, (self.v[may] @ q).astype(np.int64)
@@ -79,52 +87,77 @@ class ImpactIndex:
 def _clean(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and integer components of the rows that take part."""
     e = F.col("embedding")
-    ok = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x.cast("double")) | x.cast("double").isin(float("inf"), float("-inf"))) & (F.size(e) > 0)
+    ok = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x.cast("double")) | x.cast("double").isin(float("inf"), float("-inf"))) 
     return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score): for each query the k best of one block, of other ids than its own, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, index = ids[order], ImpactIndex(np.ascontiguousarray(vectors[order]))
-    out: list[tuple] = []
-    for one, q in zip(q_ids, queries, strict=True):
-        own = int(np.searchsorted(ids, one, "right") - np.searchsorted(ids, one, "left"))
-        at, score = index.top(q, k + own)
-        keep = ids[at] != one
-        at, score = at[keep], score[keep]
-        best = np.lexsort((ids[at], -score))[:k]
-        out.append((np.full(len(best), one), ids[at[best]], score[best]))
-    return tuple(np.concatenate(c) if c else np.empty(0, np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
-
-
-def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+class Block:
+    """One block of vectors, indexed when the first query comes."""
+
+    def __init__(self):
+        self.ids, self.vectors, self.index = [], [], None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.vectors.append(vectors)
+
+    def best(self, q_ids: np.ndarray, queries: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score): for each query the k best of the block, of other ids than its own and not under its bar,
+        ties to the smaller id."""
+        if self.index is None:
+            ids = np.concatenate(self.ids)
+            order = np.argsort(ids, kind="stable")
+            self.ids, self.index = ids[order], ImpactIndex(np.ascontiguousarray(np.concatenate(self.vectors)[order]))
+        ids, out = self.ids, []
+        for one, q, bar in zip(q_ids, queries, bars, strict=True):
+            own = int(np.searchsorted(ids, one, "right") - np.searchsorted(ids, one, "left"))
+            at, score = self.index.top(q, k + own, bar)
+            keep = (ids[at] != one) & (score >= bar)
+            at, score = at[keep], score[keep]
+            best = np.lexsort((ids[at], -score))[:k]
+            out.append((np.full(len(best), one), ids[at[best]], score[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors (d, cb, vec_id, v) and queries (d, cb, vec_id, v, bar) of each block (d, cb): the k best of each block."""
+    schema = to_arrow_schema(schema_of(FOUND))
+    both = vectors.select("d", "cb", F.lit(0).alias("side"), "vec_id", "v", F.lit(None).cast("long").alias("bar")).unionAll(queries.select("d", "cb", F.lit(1).alias("side"), "vec_id", "v", "bar"))
+    tune(vectors.sparkSession)
+
+    def run(batches):
+        now, block = None, Block()
+        for batch in batches:
+            d, cb, side = (batch.column(c).to_numpy() for c in range(3))
+            ids, bar = batch.column(3).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False).astype(float)
+            flat, at = batch.column(4).flatten().to_numpy(), np.r_[0, np.cumsum(d)]
+            edges = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(cb) != 0) | (np.diff(side) != 0)])
+            for a, b in zip(edges, np.r_[edges[1:], len(d)], strict=True):
+                if (d[a], cb[a]) != now:
+                    now, block = (d[a], cb[a]), Block()
+                part = flat[at[a] : at[b]].reshape(b - a, d[a])
+                if side[a] == 0:
+                    block.add(ids[a:b], part)
+                elif block.ids is not None and len(block.ids):
+                    got = block.best(ids[a:b], part, np.where(np.isnan(bar[a:b]), -np.inf, bar[a:b]), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], schema=schema)
+
+    return both.repartition("d", "cb").sortWithinPartitions("d", "cb", "side").mapInArrow(run, schema_of(FOUND))
+
+
+def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score; is_query is a condition on vec_id that states the queries."""
-    import pandas as pd
-
-    rows = _clean(vectors, scale)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "d").head(1)
-    spark = vectors.sparkSession
-    if not sizes or not sizes[0].q:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    d, n_blocks, n_queries = sizes[0].d, -(-sizes[0].n // block), -(-sizes[0].q // queries)
-    rows = rows.where(F.size("v") == d)
-
-    def dealt(n: int):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-
-    def all_of(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = rows.withColumn("cb", dealt(n_blocks)).withColumn("qb", all_of(n_queries))
-    right = rows.where(is_query).withColumn("qb", dealt(n_queries)).withColumn("cb", all_of(n_blocks))
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        got = _block(a.vec_id.to_numpy(np.int64), np.stack(a.v.to_numpy()), b.vec_id.to_numpy(np.int64), np.stack(b.v.to_numpy()), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, "query_id long, vec_id long, score long")
+    rows = _clean(vectors, scale).withColumn("d", F.size("v"))
+    blocks = rows.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = rows.join(blocks, "d").withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
+    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"]).join(blocks, "d")
+    first = table(_search(dealt.where("cb = 0"), asked.select("d", F.lit(0).alias("cb"), "vec_id", "v", F.lit(None).cast("long").alias("bar")), k), "first-block")
+    # The k-th best of the first block, where a query's id stands for one vector; else it begins without a bar.
+    bars = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("bar")).where(F.col("found") == k).select(F.col("query_id").alias("vec_id"), "bar")
+    others = asked.where("n > 1").join(bars, "vec_id", "left").withColumn("cb", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+    found = first.unionAll(_search(dealt.where("cb > 0"), others, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import fresh, map_columns, table, texts
+from .common import drop, fresh, map_columns, table, texts
 
 SHINGLE, SIMILAR = 5, 0.8
 SAMPLES, BANDS, ROWS = 48, 24, 4
@@ -270,7 +270,9 @@ def verified(docs: DataFrame, weights: Weights, nodes: DataFrame, pairs: DataFra
         return f
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return table(map_columns(both.select("a", "b", "x", "y"), "a binary, b binary", check), "links")
+    links = table(map_columns(both.select("a", "b", "x", "y"), "a binary, b binary", check), "links")
+    drop(pairs, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,13 +285,17 @@ def components(links: DataFrame) -> DataFrame:
         least = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = table(large.where("u <> v").distinct(), "edges")
+        drop(edges, least)
         least = table(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = table(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(large, least)
         # A round that changes nothing leaves stars: as many edges as nodes that aren't roots, with the same sum.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct())
+            roots = table(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct()), "roots")
+            drop(edges)
+            return roots
         before = now
 
 
@@ -347,7 +353,7 @@ def _named(docs: DataFrame, weights: Weights, nodes: DataFrame, members: DataFra
         return pairs.join(one, "a").join(two, "b")
 
     links = verified(docs, weights, nodes, with_samples(star), similar, agree)
-    roots = table(components(links), "roots")
+    roots = components(links)
 
     # Buckets in which a member isn't in the centre's component.
     rooted = members.select("node", "key", "salt").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -363,7 +369,7 @@ def _named(docs: DataFrame, weights: Weights, nodes: DataFrame, members: DataFra
             rest = table(rest.drop("value").join(live, ["key", "node"], "left_semi").join(sets.withColumnRenamed("shingles", "value"), "node"), "rest")
             more = table(_met(rest, lambda *x: _linked(*x, similar), "a binary, b binary").dropDuplicates(["a", "b"]), "more")
             if not more.isEmpty():
-                roots = table(components(links.unionAll(more)), "roots")
+                roots = components(links.unionAll(more))
 
     named = table(nodes.select("node", "doc_id", "mark").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     least = table(named.groupBy("root").agg(_first().alias("rep")).select("root", F.col("rep.doc_id").alias("class_id"), F.col("rep.mark").alias("class_mark")), "least")

@@ -8,7 +8,8 @@ come in, frames each record by its Content-Length, and checks block and payload
 it says raises ValueError.
 
 Null html is an empty payload, a null url is left out. Rows that repeat the smallest id of their payload are responses
-too; a row without id is a response. Other columns pass unread. Archives are opened with pyarrow's file systems, so the
+too; a row without id is a response. An empty table makes no archive and gives no rows; payloads are read whole, however
+long, and a task holds one record and a bounded batch of rows. Other columns pass unread. Archives are opened with pyarrow's file systems, so the
 shared folder must be a local mount or a store that pyarrow knows.
 """
 
@@ -20,14 +21,18 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_columns, shared_path, table
+from .common import map_columns, schema_of, shared_path, table
 
 REVISIT_BYTES, SALTS = 100, 64
 #: An archive is closed, and another begun, once it has so many bytes; a read takes CHUNK bytes.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 16
+#: Tasks that read, at most; rows and payload bytes that a reading task holds.
+TASKS, YIELD_ROWS, YIELD_BYTES = 100_000, 1024, 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "urn:page:"
 
@@ -174,25 +179,55 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def read(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """One row for each record of the archives listed in column path; with payload, the response's html as well."""
+def records(path: str) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """Fields, HTTP fields and body of each record of an archive, one after the other, verified."""
+    store, inner = open_store(path)
+    with store.open_input_stream(inner) as stream:
+        for member in members(stream.read):
+            fields, block = parse(member)
+            head, _, body = block.partition(b"\r\n\r\n")
+            if fields.get("warc-type") == "response":
+                verify(fields.get("warc-payload-digest"), body, fields)
+            yield fields, headers(head), body
 
-    def make():
-        def f(path):
-            rows = []
-            for one in path:
-                store, inner = open_store(one)
-                with store.open_input_stream(inner) as stream:
-                    for member in members(stream.read):
-                        fields, block = parse(member)
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        kind = fields.get("warc-type")
-                        if kind == "response":
-                            verify(fields.get("warc-payload-digest"), body, fields)
-                        rows.append((page_of(fields.get("warc-record-id")), int(headers(head).get("content-length", len(body))), fields.get("warc-payload-digest", "").partition(":")[2], kind, page_of(fields.get("warc-refers-to")), fields.get("warc-target-uri"), *([body if kind == "response" else None] if payload else [])))
-            return list(map(list, zip(*rows, strict=True))) if rows else None
 
-        return f
-
-    paths = archives.select("path").repartition("path")
-    return map_columns(paths, SCHEMA + (", payload binary" if payload else ""), make)
+def read(archives: DataFrame, payload: bool = True) -> DataFrame:
+    """One row for each record of the archives listed in column path; with payload, the response's html as well.
+
+    Each archive is a task of its own, up to TASKS; rows leave it as they are read, YIELD_ROWS or YIELD_BYTES at a time."""
+    ddl = SCHEMA + (", payload binary" if payload else "")
+    schema = to_arrow_schema(schema_of(ddl))
+
+    def run(batches):
+        rows, held = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for fields, http, body in records(path):
+                    kind = fields.get("warc-type")
+                    row = (page_of(fields.get("warc-record-id")), int(http.get("content-length", len(body))), fields.get("warc-payload-digest", "").partition(":")[2], kind, page_of(fields.get("warc-refers-to")), fields.get("warc-target-uri"))
+                    rows.append((*row, body if kind == "response" else None) if payload else row)
+                    held += len(body) if payload else 0
+                    if len(rows) >= YIELD_ROWS or held >= YIELD_BYTES:
+                        yield out()
+                        rows, held = [], 0
+        if rows:
+            yield out()
+
+    tasks = min(TASKS, max(1, archives.count()))
+    return archives.select("path").repartition(tasks).mapInArrow(run, schema_of(ddl))
+
+
+def resolved(read_: DataFrame) -> DataFrame:
+    """read()'s rows with the payload of each revisit, taken from the response that it refers to if that has the same digest,
+    and `found`, which is false where there is none. Responses that are referred to are copied SALTS times, so that one
+    which a third of all rows refer to is spread."""
+    salted = read_.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    wanted = read_.where("refers_to IS NOT NULL").select("refers_to", "payload_digest").distinct()
+    given = read_.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload").alias("_payload")).join(wanted, ["refers_to", "payload_digest"], "left_semi")
+    given = given.dropDuplicates(["refers_to", "payload_digest"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = salted.join(given, ["refers_to", "payload_digest", "_salt"], "left")
+    return both.select(*(c for c in read_.columns if c != "payload"), F.coalesce("payload", "_payload").alias("payload"), F.coalesce("payload", "_payload").isNotNull().alias("found"))

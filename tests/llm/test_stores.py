@@ -48,6 +48,28 @@ def test_archives_round_trip(pages):
 
 def test_no_pages(spark):
     assert warc.read(warc.write(spark.createDataFrame([], PAGES))).collect() == []
+    assert warc.resolved(warc.read(warc.write(spark.createDataFrame([], PAGES)))).collect() == []
+
+
+def test_each_archive_is_a_task(pages):
+    index = warc.write(pages, archive_bytes=600)
+    assert warc.read(index).rdd.getNumPartitions() == index.count()
+
+
+def test_revisits_get_their_payload_back(spark, pages):
+    got = warc.read(warc.write(pages))
+    html = {r.page_id: (r.html or "").encode() for r in pages.collect()}
+    full = warc.resolved(got).collect()
+    assert len(full) == pages.count() and all(bytes(r.payload) == html[r.page_id] and r.found for r in full) and any(r.record_type == "revisit" for r in full)
+    lost = warc.resolved(got.where("record_type = 'revisit'")).collect()
+    assert lost and not any(r.found or r.payload for r in lost)
+
+
+def test_long_payloads_come_in_batches(spark):
+    long = "".join(chr(97 + i * i % 26) for i in range(300_000))
+    df = spark.createDataFrame([(i, None, long + str(i)) for i in range(80)], "page_id long, url string, html string")
+    got = warc.read(warc.write(df)).collect()
+    assert {(r.page_id, bytes(r.payload)) for r in got} == {(i, (long + str(i)).encode()) for i in range(80)}
 
 
 def test_reader_is_incremental_and_strict():
@@ -79,10 +101,36 @@ def test_top_k_is_exact(spark, block):
     rows = [(i, [float(x) for x in base[i % 700]]) for i in range(900)]
     rows += [(901, None), (902, [None] * 8), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (905, [1.0]), (906, []), (None, [1.0] * 8), (1000, [0.0] * 8)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, score int, cb int").repartition(3)
-    got = impact.top_k(df, F.col("vec_id") % 100 == 0, block=block, queries=4).collect()
+    got = impact.top_k(df, F.col("vec_id") % 100 == 0, block=block).collect()
     assert {tuple(r) for r in got} == plain_top(rows) and len(got) == 100
 
 
+def test_lengths_meet_their_own(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=3 if i % 3 else 5)]) for i in range(700)] + [(700, []), (701, []), (200, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ints = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = set()
+    for q in range(0, 701, 100):
+        best = sorted({(-int(v @ w), i, n) for n, (i, w) in enumerate(ints) if i != q for a, v in ints if a == q and len(v) == len(w)})
+        best = sorted((s, i) for s, i, _ in best)[:10]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    for block in (40, 8192):
+        assert {tuple(r) for r in impact.top_k(df, F.col("vec_id") % 100 == 0, block=block).collect()} == want
+
+
+def test_bar_only_drops_what_is_under_it():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-900, 900, (400, 6))
+    index = impact.ImpactIndex(v)
+    for _ in range(20):
+        q = rng.integers(-900, 900, 6)
+        score = v @ q
+        bar = float(np.sort(score)[-25])
+        at, got = index.top(q, 10, bar)
+        assert set(np.sort(score)[-10:]) <= set(got.tolist()) and (got == score[at]).all()
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert impact.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).collect() == []
