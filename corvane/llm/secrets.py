@@ -35,7 +35,7 @@ from .common import map_columns, table, texts
 from .crf import FORBIDDEN, Chain
 
 KINDS = ("assign", "access", "hex")
-TRAIN_DOCS, TRAIN_WINDOWS, VARIANTS = 1500, 24, 2
+TRAIN_DOCS, TRAIN_WINDOWS, VARIANTS = 1500, 6, 2
 #: Shortest run of tokens that is added as a span.
 LEAST = 12
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
