@@ -33,6 +33,8 @@ LEAF, LONG_RUN = 32768, 1024
 #: Words, and pieces of words, whose ids a worker remembers; it starts afresh when there are more.
 WORDS_KEPT, PIECES_KEPT = 400_000, 300_000
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLAIN = set(_LETTERS).__contains__
 _NO_LETTER = re.compile("[²³¹¼½¾]")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
@@ -68,6 +70,7 @@ class WordBpe(dict):
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.marks = set("'").union(*self.special) - set(_LETTERS)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.letters = {i: c for i, c in byte_letters().items()}
         self.pieces: dict[str, bytes] = {}
@@ -170,9 +173,9 @@ class WordBpe(dict):
         if not (_PLAIN(lt[-1:]) and _PLAIN(rt[:1])):
             return None
         a, b = len(lt) - len(lt.rstrip(_LETTERS)), len(rt) - len(rt.lstrip(_LETTERS))
-        # What follows the run on the right must not combine with its last letter, nor what stands before belong to it.
+        # What follows the run must not combine with its last letter, what stands before not take of its first ones.
         around = lt[len(lt) - a - 1 : len(lt) - a] + rt[b : b + 1]
-        if a + b <= self.long_run or not around.isascii() or "'" in around or "<" in around:
+        if a + b <= self.long_run or not around.isascii() or self.marks.intersection(around):
             return None
         left, right = np.frombuffer(li, "<u4"), np.frombuffer(ri, "<u4")
         k = 4
@@ -211,10 +214,6 @@ class WordBpe(dict):
         return leaves[0][1] if leaves else b""
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_PLAIN = set(_LETTERS).__contains__
-
-
 def _is_space(c: str) -> bool:
     return c.isspace() and not "\x1c" <= c <= "\x1f"
 

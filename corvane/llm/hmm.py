@@ -255,7 +255,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     # One row for each word after tasks have added up their own; the join back to the blocks may be split where it is skewed.
     words = table(listed.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c")), "words")
     sums = words.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()
-    listed = listed.select("block", "at", "class", "word").join(words.select("word", "c"), "word").select("block", "at", "class", "c")
+    listed = listed.select(F.col("block").alias("of"), "at", "class", "word").join(words.select("word", "c"), "word").select("of", "at", "class", "c")
     blocks = max(1, text.agg(F.countDistinct("block")).head()[0])
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
@@ -289,4 +289,4 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
 
     # As many partitions as blocks, so that a task holds one block or a few, however large the corpus.
     rows = text.select("block", "doc_id", "held", "ids").repartition(blocks, "block")
-    return rows.groupBy("block").cogroup(listed.repartition(blocks, "block").groupBy("block")).applyInPandas(block, SCORES)
+    return rows.groupBy("block").cogroup(listed.repartition(blocks, "of").groupBy("of")).applyInPandas(block, SCORES)

@@ -1,6 +1,7 @@
 """Quality rules and the quality classifier."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -125,6 +126,46 @@ def test_classifier_on_awkward_rows(docs, no_docs, labels, no_labels):
     assert pu.quality_classifier(no_docs, labels).collect() == []
 
 
+def plain_features(text):
+    """The classifier's features, counted one by one."""
+    data = text.encode()
+    words, n = data.split(), max(1, len(data))
+    k = max(1, len(words))
+    each = lambda letters: sum(b in letters for b in data) / n
+    found = [x for x in data.split(b"\n") if x.split()]
+    sizes = list(map(len, words)) or [0]
+    two = list(itertools.pairwise(words))
+    most = lambda items: max(Counter(items).values(), default=0)
+    return [
+        np.log1p(len(words)), each(ts.SYMBOLS), each(ts.UPPER), each(ts.DIGITS), each(b"|"), each(b"!"), each(pu.PUNCT), np.mean(sizes), np.std(sizes), np.mean([x <= 3 for x in sizes]),
+        most(words) / k, len(set(words)) / k**0.8, len(set(two)) / max(1, len(two)), plain_counts(text)[4] / k, 1 - len(set(found)) / max(1, len(found)), (n * bool(data) - len(text)) / n,
+    ]
+
+
+def test_scores_by_brute_force(docs, labels):
+    """Each row's score from features counted one by one and a sum over them, with the model that the rows train."""
+    model = pu.train(docs, labels)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pu.quality_classifier(docs, labels).collect():
+        x = plain_features(text[r.doc_id]) if len(text[r.doc_id]) < 20_000 else pu.features(text[r.doc_id])
+        gain = sum(model.w[i, sum(e < v for e in model.edges[i])] for i, v in enumerate(x))
+        assert np.isclose(r.score, 1 / (1 + np.exp(-gain))) and r.predicted == (r.score >= 0.3)
+
+
+def test_weights_are_near_the_least_risk():
+    """The fitted risk against that of random changes of the weights."""
+    rng = np.random.default_rng(3)
+    pos, mixed = rng.normal(1, 1, (300, pu.N_RAW)), np.r_[rng.normal(1, 1, (300, pu.N_RAW)), rng.normal(-1, 1, (300, pu.N_RAW))]
+    model = pu.fit(pos, mixed)
+    cp, cu, at = model.codes(pos), model.codes(mixed), np.arange(pu.N_RAW)
+
+    def risk(w):
+        gp, gu = w[at, cp].sum(1), w[at, cu].sum(1)
+        return model.prior * np.logaddexp(0, -gp).mean() + max(0.0, np.logaddexp(0, gu).mean() - model.prior * np.logaddexp(0, gp).mean()) + 5e-5 * (w * w).sum()
+
+    assert all(risk(model.w) <= risk(model.w + rng.normal(0, 0.1, model.w.shape)) + 0.01 for _ in range(50))
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     pos = rng.beta(8, 2, 4000)

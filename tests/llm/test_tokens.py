@@ -44,6 +44,29 @@ def test_halves_of_runs_and_texts(vocabulary, library):
         assert np.frombuffer(encoder.join_all(leaves), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_cut_runs_are_joined_by_windows(vocabulary, library, seed):
+    """Long runs of letters cut into leaves: the same ids as in one go, and few letters encoded anew."""
+    encoder, r = bpe.WordBpe(vocabulary, long_run=16), random.Random(seed)
+    run = lambda: "".join(r.choice(r.choice(["abcdefghijklmnopqrstuvwxyz", "ab", "etaoin", "AbC", "aaaa"])) for _ in range(r.randint(17, 500)))
+    text = r.choice(["", "x ", "a'", "é", "7", "<|"]) + run() + r.choice(["", " ", "'s", "\u0301", ".", "|>", "é"]) + run() + r.choice(["", "!", " end"])
+    want = library.encode(text, add_special_tokens=False).ids
+    for size in (3, 20, 57, 200):
+        leaves = [(text[k : k + size], encoder.encode(text[k : k + size])) for k in range(0, len(text), size)]
+        assert np.frombuffer(encoder.join_all(leaves), "<u4").tolist() == want
+
+
+def test_joining_a_long_run_is_cheaper_than_encoding_it(vocabulary, library):
+    encoder, r = bpe.WordBpe(vocabulary), random.Random(1)
+    text = "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(300_000))
+    leaves = [(text[k : k + bpe.LEAF], encoder.encode(text[k : k + bpe.LEAF])) for k in range(0, len(text), bpe.LEAF)]
+    done, direct = [], encoder._direct
+    encoder._direct = lambda run, last: done.append(len(run)) or direct(run, last)
+    got = encoder.join_all(leaves)
+    assert sum(done) < len(text) / 100
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("leaf", [64, bpe.LEAF])
 def test_digest_contract(docs, no_docs, vocabulary, library, leaf):
     want = Counter()
@@ -73,6 +96,18 @@ def test_packing(docs, no_docs, vocabulary, library):
     assert packing.best_fit(no_docs, vocabulary).collect() == []
 
 
+@pytest.mark.parametrize("group", [7, 500_000])
+def test_ranks_in_groups_of_any_size(spark, group):
+    r = random.Random(6)
+    rows = [(i // 3, i % 3, 0, r.choice([4096, 4096, 1, 2000, r.randint(1, 4095)]), i) for i in range(900)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5).cache()
+    got = packing.pack_pieces(cut, group=group).collect()
+    assert Counter(tuple(x)[:5] for x in got) == Counter(rows)
+    least = math.ceil(sum(x[3] for x in rows) / 4096)
+    assert least <= check_sequences(got) <= 1.05 * least + 1
+    assert packing.pack_pieces(cut.where("length = 4096"), group=group).select("sequence_id").distinct().count() == sum(x[3] == 4096 for x in rows)
+
+
 def check_sequences(rows, size=4096):
     by = defaultdict(list)
     for r in rows:
