@@ -2,6 +2,10 @@
 
 Each stage takes all documents that its predecessor kept and returns rows with the columns of documents; the last returns
 the packed pieces. run() writes each stage's rows into the shared folder and reads them back for the next.
+
+Null, empty and blank texts fail the quality rules and go there; texts are read whole, however long. Repeated rows and near
+copies are one class, of which the row with the smallest id stays, then that with the smallest hash; rows with null ids are
+linked like others. An empty table gives no rows. Columns beyond those of documents, of any name, stay until packing.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the trained stages; the tests hold the pipeline against a brute-force version.
+#: SQL can't express the trained stages; tests/llm/test_pipeline.py holds run() against a version by brute force.
 ORACLE_SQL = None
 
 

@@ -27,8 +27,9 @@ def registry_bucket(size: Column, name: Column) -> Column:
     return F.when(n <= 15, "small").when(n <= 30, "medium").otherwise("large")
 
 
-def source_label(source: Column, query_type: Column) -> Column:
-    return F.when(source == "toucan", "toucan").when(query_type == "discovery", "inhouse_discovery").otherwise("inhouse")
+def source_label(source: Column, query_type: Column, registry: Column) -> Column:
+    """toucan by the row's source or by its registry's name, else in-house, discovery apart."""
+    return F.when((source == "toucan") | F.startswith(registry, F.lit("toucan")), "toucan").when(query_type == "discovery", "inhouse_discovery").otherwise("inhouse")
 
 
 def stratum(bucket: Column, source: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import VERIFY_REPL
 from ..functions import text as T
-from ..functions.labels import adapter_registry, category_of, search_word
+from ..functions.labels import hash_order, adapter_registry, category_of, search_word
 from ..functions.params import literal_call
 from . import registry as R
 
@@ -115,6 +115,12 @@ def trajectories(rows: DataFrame) -> DataFrame:
     return rows.where(F.exists(tools, lambda t: t["name"] == tool)).withColumn("messages", messages).withColumn("turns", F.lit(2))
 
 
+def first_examples(rows: DataFrame, most: int, seed: int | None = None) -> DataFrame:
+    """At most so many usable rows: the first by entry and turn or, with a seed, by hash of these."""
+    order = [F.col("uuid"), F.col("turn")]
+    return rows.where("status = 'ok'").orderBy(*([hash_order(seed, *order)] if seed is not None else []), *order).limit(most)
+
+
 def funnel(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n_turns"), F.count_distinct("uuid").alias("n_entries"))
 

@@ -16,13 +16,14 @@ from . import repl
 STAGES = ("original", "reground", "template", "paraphrase")
 
 
-def reground_pairs(rows: DataFrame, registries: DataFrame) -> DataFrame:
-    """Each row with every strictly larger registry that has its tool; registries(registry, ord), an unknown source counts
-    as smallest. The table of registries is a short configuration, one row for each name."""
+def reground_pairs(rows: DataFrame, registries: DataFrame, tools: DataFrame) -> DataFrame:
+    """Each row with every strictly larger registry that has its correct_tool; registries(registry, ord), an unknown source
+    counts as smallest. The table of registries is a short configuration, one row for each name."""
     source = registries.select("registry", F.col("ord").alias("_ord"))
     larger = registries.select(F.col("registry").alias("to_registry"), "ord")
     known = rows.join(source, "registry", "left").withColumn("_ord", F.coalesce("_ord", F.lit(-1)))
-    return known.join(larger, F.col("_ord") < F.col("ord")).withColumn("augmentation", F.concat(F.lit("reground:"), "registry", F.lit("→"), "to_registry")).drop("_ord", "ord")
+    having = tools.select(F.col("registry").alias("to_registry"), F.col("name").alias("correct_tool")).distinct().join(larger, "to_registry")
+    return known.join(having, "correct_tool").where(F.col("_ord") < F.col("ord")).withColumn("augmentation", F.concat(F.lit("reground:"), "registry", F.lit("→"), "to_registry")).drop("_ord", "ord")
 
 
 PROMPT = "You choose one of {num_tools} tools. Look them up with <code> blocks that print calls of tools_registry, then answer FINAL({...})."
@@ -38,7 +39,7 @@ def _prompted(rows: DataFrame, tools: DataFrame) -> DataFrame:
 def reground(rows: DataFrame, registries: DataFrame, tools: DataFrame) -> DataFrame:
     """Trajectories rows(traj_id, registry, correct_tool, messages, ...) on each larger registry that has their tool: system
     prompt of that registry, old outputs dropped, each block answered anew."""
-    moved = reground_pairs(rows, registries).withColumn("traj_id", F.concat("traj_id", F.lit("→"), "to_registry")).withColumn("registry", F.col("to_registry")).drop("to_registry")
+    moved = reground_pairs(rows, registries, tools).withColumn("traj_id", F.concat("traj_id", F.lit("→"), "to_registry")).withColumn("registry", F.col("to_registry")).drop("to_registry")
     said = F.transform("messages", lambda m: F.when(m["role"] == "system", F.struct(m["role"].alias("role"), F.col("_prompt").alias("content"))).otherwise(m))
     return repl.replayed(_prompted(moved, tools).withColumn("messages", said).drop("_prompt"), tools)
 
@@ -73,10 +74,25 @@ def capped(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fill_to(rows: DataFrame, have: Column | int, target: int, seed: int = 42) -> DataFrame:
-    """The first rows by hash, as many as are missing for the target; none where there are enough already."""
-    missing = F.lit(target) - (F.lit(have) if isinstance(have, int) else have)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(hash_order(seed, F.col("query")), "query"))).where(F.col("rank") <= missing)
+def fill_to(rows: DataFrame, have: int, target: int, seed: int = 42) -> DataFrame:
+    """The first rows by hash, as many as are missing for the target; none where there are enough already. Only these are
+    brought together and ranked: each task gives its first ones."""
+    first = (hash_order(seed, F.col("query")), F.col("query"))
+    return rows.orderBy(*first).limit(max(0, target - have)).withColumn("rank", F.row_number().over(Window.orderBy(*first)))
+
+
+def asked(tools: DataFrame, rows: DataFrame, queries: DataFrame, most: int = 3, enough: int = 4) -> DataFrame:
+    """(registry, correct_tool, category, query) for tools with fewer than `most` rows: the first of queries(name, ord, query)
+    for their name, where there are none three made from name and description; `most` of them, but not beyond `enough` rows
+    of a tool. Of tools of one name the last counts."""
+    given = queries.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "query"))), lambda q: q["query"]).alias("_given"))
+    words, said = F.replace("name", F.lit("_"), F.lit(" ")), F.lower(F.left("description", F.lit(60)))
+    made = F.when(F.coalesce("description", F.lit("")) != "", F.array(F.concat(F.lit("Use "), words, F.lit(" for this")), F.concat(F.lit("I want you to "), said), F.concat(F.lit("Would you "), said)))
+    made = made.otherwise(F.array(F.concat(F.lit("Use "), words, F.lit(" for this")), F.concat(F.lit("Call "), words), F.concat(F.lit("Start "), words)))
+    last = R.last_by_name(tools)
+    open_ = uncovered(last, rows, most).join(given, "name", "left")
+    all_ = F.when(F.size(F.coalesce("_given", F.array().cast("array<string>"))) > 0, F.col("_given")).otherwise(made)
+    return open_.select("registry", F.col("name").alias("correct_tool"), "category", F.explode(F.slice(all_, F.lit(1), F.least(F.lit(most), F.lit(enough) - F.col("n_rows")).cast("int"))).alias("query"))
 
 
 def param_value(name: Column, kind: Column, query: Column) -> Column:
@@ -92,13 +108,13 @@ def param_value(name: Column, kind: Column, query: Column) -> Column:
         .otherwise(F.concat(name, F.lit("_value")))
     )
     kind = F.coalesce(kind, F.lit("string"))
-    return F.when(kind == "string", F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)).when(kind.isin("integer", "number"), F.coalesce(T.first_integer(query), F.lit("100"))).when(kind == "boolean", F.lit("true"))
+    return F.when(kind == "string", F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)).when(kind.isin("integer", "number"), F.coalesce(F.regexp_replace(T.first_integer(query), "^0+(?=[0-9])", ""), F.lit("100"))).when(kind == "boolean", F.lit("true"))
 
 
 def params_from_query(properties: Column, query: Column) -> Column:
     """JSON object of the values of properties (array of (name, type)); types without a rule are left out."""
     items = F.transform(properties, lambda p: F.struct(p["name"].alias("name"), param_value(p["name"], p["type"], query).alias("value")))
-    said = F.transform(F.filter(items, lambda p: p["value"].isNotNull()), lambda p: F.concat(F.lit('"'), p["name"], F.lit('": '), p["value"]))
+    said = F.transform(F.filter(items, lambda p: p["value"].isNotNull()), lambda p: F.concat(_literal(p["name"]), F.lit(": "), p["value"]))
     return F.concat(F.lit("{"), F.array_join(said, ", "), F.lit("}"))
 
 

@@ -56,8 +56,7 @@ def swap_final(messages: Column, tool: Column, params: Column) -> Column:
     at = last_index(messages, lambda m: (m["role"] == "assistant") & m["content"].rlike(r"FINAL\s*\("))
     old = F.get(messages, at)["content"]
     parts = F.split(old, r"(?s)FINAL\s*\(\{.*?\}\)")
-    lazy = F.array_join(parts, "\u0000")
-    swapped = F.when(F.size(parts) > 1, F.replace(lazy, F.lit("\u0000"), new)).otherwise(F.concat(F.regexp_extract(old, r"(?s)^(.*?)FINAL\s*\(", 1), new))
+    swapped = F.when(F.size(parts) > 1, F.call_function("array_join", parts, new)).otherwise(F.concat(F.regexp_extract(old, r"(?s)^(.*?)FINAL\s*\(", 1), new))
     return F.when(at >= 0, replace_at(messages, at, swapped)).otherwise(messages)
 
 

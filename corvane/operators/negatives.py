@@ -35,10 +35,29 @@ def wrong_tools(rows: DataFrame, tools: DataFrame, seed: int = 42, k: int = TOP)
     return best.select("traj_id", F.get("names", hash_pick(seed, F.size("names"), F.col("traj_id"))).alias("wrong_tool"))
 
 
+def own_registries(rows: DataFrame, tools: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and tools such that a row with tools of its own, array<struct<name,description,...>>, meets these only, as a
+    registry named after the row; other rows keep the registry that they name."""
+    inline = F.size(F.coalesce("tools", F.array())) > 0
+    own = F.concat(F.lit("row:"), F.col("traj_id").cast("string"))
+    listed = rows.where(inline).select(own.alias("registry"), F.posexplode("tools").alias("pos", "t")).select("registry", F.col("pos").cast("long").alias("pos"), "t.name", "t.description")
+    return rows.withColumn("registry", F.when(inline, own).otherwise(F.col("registry"))), tools.select("registry", F.col("pos").cast("long").alias("pos"), "name", "description").unionByName(listed)
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """Rows whose tool is the predicted one where there is no correct one, and whose parameters are those of the last
+    message that has a final object where there are none."""
+    tool = F.when(F.coalesce("correct_tool", F.lit("")) == "", F.col("predicted_tool")).otherwise(F.col("correct_tool")) if "predicted_tool" in rows.columns else F.col("correct_tool")
+    answers = F.filter(F.transform(M.of_role(F.col("messages"), "assistant"), lambda m: T.final_object(m["content"])), lambda x: x.isNotNull())
+    said = F.get_json_object(F.get(answers, F.size(answers) - 1), "$.params")
+    empty = F.regexp_replace(F.coalesce("params", F.lit("")), r"\s", "").isin("", "{}")
+    return rows.withColumn("correct_tool", tool).withColumn("params", F.when(empty, F.coalesce(said, "params")).otherwise(F.col("params")))
+
+
 def pairs(rows: DataFrame, tools: DataFrame, target: int | None = None, seed: int = 42) -> DataFrame:
     """Preference pairs of rows(traj_id, registry, query, correct_tool, params, required, messages): a wrong tool where
     there is one, and wrong parameters; the first `target` in hash order of the rows, the wrong tool of a row first."""
-    base = rows.where((F.size("messages") > 0) & (F.coalesce("query", F.lit("")) != "") & (F.coalesce("correct_tool", F.lit("")) != ""))
+    base = completed(rows).where((F.size("messages") > 0) & (F.coalesce("query", F.lit("")) != "") & (F.coalesce("correct_tool", F.lit("")) != ""))
     keep = ("traj_id", "query", "correct_tool", "negative_type", "wrong_tool", "wrong_params", "chosen_messages", "rejected_messages")
     tool = base.join(wrong_tools(base, tools, seed), "traj_id").withColumn("negative_type", F.lit("wrong_tool")).withColumn("wrong_params", F.lit(None).cast("string"))
     tool = tool.withColumn("rejected_messages", M.swap_final(F.col("messages"), F.col("wrong_tool"), F.coalesce("params", F.lit("{}"))))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.labels import hash_order
 
 
+#: Hex digits of the hash by which the queries of a stratum are dealt into buckets: 65,536 of them.
+BUCKET_DIGITS = 4
+
+
 def first_stratum(rows: DataFrame) -> DataFrame:
     """(query, stratum) of each query's first row by ord."""
     return rows.groupBy("query").agg(F.min_by("stratum", "ord").alias("stratum"))
@@ -26,10 +30,17 @@ def assign(rows: DataFrame, sealed: DataFrame | None = None, test: float = 0.1,
         firsts = firsts.join(names, "query", "left").withColumn("_sealed", F.coalesce("_sealed", F.lit(False)))
     else:
         firsts = firsts.withColumn("_sealed", F.lit(False))
-    group = Window.partitionBy("stratum", "_sealed")
-    n, rank = F.count("*").over(group), F.row_number().over(group.orderBy(hash_order(seed, F.col("query")), "query"))
-    share = lambda r: F.greatest(F.lit(1), (F.col("_n") * F.lit(r)).cast("int"))
-    ranked = firsts.withColumn("_n", n).withColumn("_rank", rank)
+    # Queries are dealt into BUCKETS by the first digits of their hash, so that no task sorts a whole stratum: a rank is what
+    # the buckets before hold, which tasks count first, and the place in its own.
+    order = hash_order(seed, F.col("query"))
+    keyed = firsts.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
+    group = ["stratum", "_sealed"]
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).withColumn("_n", F.sum("_k").over(Window.partitionBy(*group))).drop("_k")
+    place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_order", "query"))
+    share = lambda r: F.greatest(F.lit(1), (F.col("_n") * F.lit(r)).cast("long"))
+    ranked = keyed.withColumn("_place", place).join(counts, [*group, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_place"))
     split = (
         F.when(F.col("_sealed"), "test").when(F.col("_n") < 3, "train")
         .when(F.col("_rank") <= share(test), "test").when(F.col("_rank") <= share(test) + share(dev), "dev").otherwise("train")

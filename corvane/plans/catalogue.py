@@ -129,9 +129,9 @@ def truncate_output(v):
     return v.queries().select("ord", T.clipped(F.col("query"), 500).alias("output"))
 
 
-@query("SELECT ord, CASE WHEN ord % 4 = 0 THEN left(query, 50) || chr(10) || '[ERROR: NameError: x]' ELSE left(query, 50) END AS output FROM v_queries")
+@query("SELECT ord, CASE WHEN ord % 4 = 0 THEN query || chr(10) || '[ERROR: NameError: x]' ELSE query END AS output FROM v_queries")
 def error_suffix(v):
-    return v.queries().select("ord", T.with_error(F.left("query", F.lit(50)), F.when(F.col("ord") % 4 == 0, "NameError: x")).alias("output"))
+    return v.queries().select("ord", T.with_error(F.col("query"), F.when(F.col("ord") % 4 == 0, "NameError: x")).alias("output"))
 
 
 @query(r"SELECT page_id, CASE WHEN regexp_matches(html, '(/[\w/.-]+|https?://[\w/.-]+)') THEN regexp_extract(html, '(/[\w/.-]+|https?://[\w/.-]+)', 1) END AS path, CASE WHEN regexp_matches(html, '\b(\d+)\b') THEN regexp_extract(html, '\b(\d+)\b', 1) END AS number FROM pages")
@@ -189,6 +189,18 @@ def eval_metrics_by_group(v):
     return evaluate.metrics(_compared(v), "level", "event_type").withColumn("cell", matrix_key(F.col("level"), F.col("event_type")))
 
 
+@query(f"SELECT level, 'r' || level AS registry, 'level' || level || '_r' || level AS cell, {_RATES}, round(sum(value), 1) AS total_time FROM (SELECT r.*, e.value FROM r JOIN events e USING (event_id)) WHERE expected_tool IN ('click', 'view', 'purchase') GROUP BY level", _COMPARED)
+def eval_matrix(v):
+    """Recorded answers of levels on registries, over the cases that each registry can answer."""
+    tools = v.spark.createDataFrame([(f"r{level}", n) for level in range(3) for n in ("click", "view", "view", "purchase")], "registry string, name string")
+    said = _compared(v).withColumn("query", F.col("event_id").cast("string")).withColumn("registry", F.concat(F.lit("r"), F.col("level").cast("string")))
+    answers = said.select("level", "registry", "query", "predicted_tool", "predicted_params", "code_validity", "turns_used", "success", F.col("value").alias("elapsed_seconds"))
+    cases = said.select("query", "expected_tool", "expected_params", F.col("registry").alias("_of"))
+    # Every case belongs to one registry here, so that the matrix has each answer once.
+    cells = [evaluate.matrix(cases.where(F.col("_of") == f"r{i}").drop("_of"), answers.where(F.col("registry") == f"r{i}"), tools) for i in range(3)]
+    return cells[0].unionByName(cells[1]).unionByName(cells[2])
+
+
 @query("SELECT user_id, round(avg((event_type <> 'error')::INT), 6) AS code_validity FROM v_answers GROUP BY user_id")
 def eval_code_validity(v):
     return evaluate.validity(v.answers().withColumn("success", F.col("event_type") != "error"), "user_id").withColumn("code_validity", F.round("code_validity", 6))
@@ -250,11 +262,13 @@ def verify_stage1_funnel(v):
     return verify_stage1(v).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_TRAJ = """m AS (SELECT event_id, event_type, expected_tool, expected_params, text, 1 + event_id % 14 AS turns, props,
+_FORMAT = """m AS (SELECT event_id, event_type, expected_tool, expected_params, text, 1 + event_id % 14 AS turns, props,
   event_id % 11 = 0 AS headless, event_id % 7 IN (1, 5, 6) AS has_object FROM v_answers),
 f AS (SELECT *, CASE WHEN headless THEN 'too few messages' WHEN NOT contains(text, 'FINAL(') THEN 'no final answer' WHEN turns > 12 THEN 'too many turns'
   WHEN NOT has_object THEN 'final answer is no object' END AS r1,
-  CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS blocks, event_id % 4 % 3 AS failed FROM m),
+  CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS blocks, event_id % 4 % 3 AS failed FROM m)"""
+
+_TRAJ = _FORMAT + """,
 g AS (SELECT *, CASE WHEN blocks = 0 THEN 'no code blocks' WHEN failed * 2 > blocks THEN 'code error rate too high: ' || failed || '/' || blocks END AS r2,
   CASE WHEN event_type <> expected_tool THEN 'wrong tool' WHEN expected_tool = 'signup' THEN 'tool is not in the registry'
        WHEN expected_params = '{"k": 7}' AND json_extract(props, '$.k') IS DISTINCT FROM CAST('7' AS JSON) THEN 'unexpected parameter value' END AS r3 FROM f)"""
@@ -293,6 +307,20 @@ def verify_funnel(v):
     return verify.funnel(_reasons(v))
 
 
+_WHOLE = _FORMAT + """,
+w AS (SELECT *, CASE WHEN blocks = 0 THEN 'no code blocks' WHEN failed * 2 > blocks THEN 'code error rate too high: ' || failed || '/' || blocks END AS r2,
+  CASE WHEN event_type <> expected_tool THEN 'wrong tool' WHEN expected_tool = 'signup' THEN 'tool is not in the registry'
+       WHEN event_type = 'purchase' AND json_extract(props, '$.k') IS DISTINCT FROM CAST('7' AS JSON) THEN 'unexpected parameter value' WHEN event_id % 13 = 0 THEN 'judged wrong' END AS r3 FROM f)"""
+
+
+@query("SELECT event_id AS traj_id, CASE WHEN r1 IS NOT NULL THEN 1 WHEN r2 IS NOT NULL THEN 2 WHEN r3 IS NOT NULL THEN 3 END AS reject_stage, coalesce(r1, r2, r3) AS reject_reason FROM w", _WHOLE)
+def verify_pipeline(v):
+    """verify.verify() itself, with strict JSON, expected parameters by query (the last one counts) and recorded verdicts."""
+    expected = v.spark.createDataFrame([("purchase", 0, '{"k": 1}'), ("purchase", 1, '{"k": 7}'), ("view", 0, "{}")], "query string, ord int, expected_params string")
+    verdicts = v.read("events").where("event_id % 13 = 0 OR event_id % 13 = 5").select(F.col("event_id").alias("traj_id"), (F.col("event_id") % 13 == 5).alias("passed"))
+    return verify.verify(_trajectories(v), _main_tools(v), expected, verdicts).select("traj_id", "reject_stage", "reject_reason")
+
+
 @query("SELECT event_id, event_id % 4 <> 1 AND event_id % 4 <> 2 AS ok FROM events")
 def verify_required_params(v):
     kind = F.col("event_id") % 4
@@ -338,7 +366,9 @@ def zero_shot(v):
 # Splits
 
 _FIRST = "fs AS (SELECT query, arg_min(stratum, ord) AS stratum FROM v_queries GROUP BY query)"
-_SPLIT = _FIRST + """, se AS (SELECT DISTINCT text AS query FROM documents WHERE doc_id % 50 = 0),
+# A query is sealed if it holds, or is, the text of an item of the benchmark.
+_HELD = "SELECT DISTINCT query FROM v_queries WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(query, b.text))"
+_SPLIT = _FIRST + f""", se AS ({_HELD}),
 sp AS (SELECT fs.query, stratum, se.query IS NOT NULL AS sealed FROM fs LEFT JOIN se ON fs.query = se.query),
 ra AS (SELECT *, count(*) OVER (PARTITION BY stratum, sealed) AS n, row_number() OVER (PARTITION BY stratum, sealed ORDER BY md5('42|' || query), query) AS k FROM sp),
 asg AS (SELECT query, stratum, CASE WHEN sealed THEN 'test' WHEN n < 3 THEN 'train' WHEN k <= greatest(1, CAST(floor(n * 0.1::DOUBLE) AS INT)) THEN 'test'
@@ -347,7 +377,7 @@ lab AS (SELECT q.*, asg.split FROM v_queries q JOIN asg ON q.query = asg.query)"
 
 
 def _sealed(v):
-    return v.read("documents").where("doc_id % 50 = 0").select(F.col("text").alias("query"))
+    return splits.holding(v.queries(), v.read("benchmark")).select("query")
 
 
 def _labelled(v):
@@ -361,9 +391,15 @@ def split_bucket(v):
     return v.queries().select("ord", L.registry_bucket(F.col("n_chars") % 60, name).alias("bucket"))
 
 
-@query("SELECT ord, CASE WHEN source = 'src1' THEN 'toucan' WHEN ord % 3 = 0 THEN 'inhouse_discovery' ELSE 'inhouse' END AS label FROM v_queries")
+@query("SELECT ord, CASE WHEN source = 'src1' OR ord % 7 = 2 THEN 'toucan' WHEN ord % 3 = 0 THEN 'inhouse_discovery' ELSE 'inhouse' END AS label FROM v_queries")
 def split_source_label(v):
-    return v.queries().select("ord", L.source_label(F.when(F.col("source") == "src1", "toucan"), F.when(F.col("ord") % 3 == 0, "discovery").otherwise("selection")).alias("label"))
+    return v.queries().select("ord", L.source_label(F.when(F.col("source") == "src1", "toucan"), F.when(F.col("ord") % 3 == 0, "discovery").otherwise("selection"), F.when(F.col("ord") % 7 == 2, "toucan_12").when(F.col("ord") % 7 == 3, "my_toucan")).alias("label"))
+
+
+@query("SELECT ord, CASE WHEN n_chars % 60 <= 15 THEN 'small' WHEN n_chars % 60 <= 30 THEN 'medium' ELSE 'large' END || '_' || CASE WHEN ord % 2 = 0 THEN 'inhouse' ELSE 'toucan' END AS stratum FROM v_queries WHERE n_chars % 60 > 0")
+def split_stratum_key(v):
+    made = L.stratum(L.registry_bucket(F.col("n_chars") % 60, F.lit("any")), L.source_label(F.lit(None).cast("string"), F.lit(None).cast("string"), F.when(F.col("ord") % 2 == 1, "toucan_5")))
+    return v.queries().where("n_chars % 60 > 0").select("ord", made.alias("stratum"))
 
 
 @query("SELECT md5(query) AS query, stratum FROM fs", _FIRST)
@@ -386,33 +422,8 @@ def split_stratum_pivot(v):
     return splits.by_stratum(_labelled(v))
 
 
-@query("SELECT ord FROM v_queries WHERE query IN (SELECT text FROM documents WHERE doc_id % 50 = 0)")
-def split_sealed_exact(v):
-    return v.queries().join(_sealed(v), "query", "left_semi").select("ord")
-
-
-@query("SELECT count(*) AS n FROM (SELECT query FROM asg GROUP BY query HAVING count(DISTINCT split) > 1)", _SPLIT)
-def split_leakage_check(v):
-    return splits.leaks(splits.assign(v.queries(), _sealed(v))).agg(F.count("*").alias("n"))
-
-
-@query("SELECT ord FROM v_queries WHERE query NOT IN (SELECT text FROM documents WHERE doc_id % 50 = 0)")
-def split_without_overlap(v):
-    return splits.without_overlap(v.queries(), _sealed(v)).select("ord")
-
-
-# The same over the whole benchmark: a query is sealed if it holds, or is, the text of a benchmark item.
-
-_HELD = "SELECT DISTINCT query FROM v_queries WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(query, b.text))"
-_SPLIT_BENCHMARK = _SPLIT.replace("SELECT DISTINCT text AS query FROM documents WHERE doc_id % 50 = 0", _HELD)
-
-
-def _benchmark_held(v):
-    return splits.holding(v.queries(), v.read("benchmark")).select("query")
-
-
 @query("SELECT ord FROM v_queries WHERE query IN (SELECT text FROM benchmark)")
-def split_sealed_exact_benchmark(v):
+def split_sealed_exact(v):
     return v.queries().join(v.read("benchmark").select(F.col("text").alias("query")), "query", "left_semi").select("ord")
 
 
@@ -421,39 +432,24 @@ def split_sealed_contains(v):
     return splits.holding(v.queries(), v.read("benchmark")).select("ord")
 
 
-@query("SELECT md5(query) AS query, stratum, split FROM asg", _SPLIT_BENCHMARK)
-def split_assign_benchmark(v):
-    return splits.assign(v.queries(), _benchmark_held(v)).withColumn("query", F.md5(F.col("query").cast("binary")))
-
-
-@query("SELECT split, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM lab GROUP BY split", _SPLIT_BENCHMARK)
-def split_sizes_benchmark(v):
-    return splits.sizes(splits.label(v.queries(), splits.assign(v.queries(), _benchmark_held(v))))
-
-
-@query("SELECT stratum, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM lab GROUP BY stratum", _SPLIT_BENCHMARK)
-def split_stratum_pivot_benchmark(v):
-    return splits.by_stratum(splits.label(v.queries(), splits.assign(v.queries(), _benchmark_held(v))))
-
-
-@query("SELECT count(*) AS n FROM (SELECT query FROM asg GROUP BY query HAVING count(DISTINCT split) > 1)", _SPLIT_BENCHMARK)
-def split_leakage_check_benchmark(v):
-    return splits.leaks(splits.assign(v.queries(), _benchmark_held(v))).agg(F.count("*").alias("n"))
+@query("SELECT count(*) AS n FROM (SELECT query FROM asg GROUP BY query HAVING count(DISTINCT split) > 1)", _SPLIT)
+def split_leakage_check(v):
+    return splits.leaks(splits.assign(v.queries(), _sealed(v))).agg(F.count("*").alias("n"))
 
 
 @query("SELECT ord FROM v_queries WHERE query NOT IN (" + _HELD + ")")
-def split_without_overlap_benchmark(v):
-    return splits.without_overlap(v.queries(), _benchmark_held(v)).select("ord")
+def split_without_overlap(v):
+    return splits.without_overlap(v.queries(), _sealed(v)).select("ord")
 
 
 # Negatives
 
 _STOPS = "'the','and','for','with','from','that','this','tool','will','can','use','get','set','create','update','delete','returns','list','all','any','one','two','three','given','used'"
 _SCORES = f"""kw AS (SELECT registry, pos, name, list_distinct(list_filter(regexp_extract_all(lower(name || ' ' || description), '[a-z]{{3,}}'), lambda w: w NOT IN ({_STOPS}))) AS words FROM v_tools),
-rw AS (SELECT registry, min(name) AS correct_tool FROM v_tools WHERE category = 'SMALL' GROUP BY registry),
-rq AS (SELECT r.registry, correct_tool, 'please find a red widget of SMALL size for ' || lower(r.registry) AS query FROM rw r),
+rw AS (SELECT registry, name AS correct_tool, arg_min(description, pos) AS said FROM v_tools GROUP BY registry, name),
+rq AS (SELECT registry || '|' || correct_tool AS traj_id, registry, correct_tool, 'please find a ' || said AS query FROM rw),
 ow AS (SELECT registry, name, arg_min(words, pos) AS own FROM kw GROUP BY registry, name),
-sc AS (SELECT q.registry AS traj_id, k.name, k.pos, 2 * len(list_intersect(k.words, list_distinct(regexp_extract_all(lower(q.query), '[a-z]{{3,}}')))) - len(list_intersect(k.words, o.own)) AS score
+sc AS (SELECT q.traj_id, k.name, k.pos, 2 * len(list_intersect(k.words, list_distinct(regexp_extract_all(lower(q.query), '[a-z]{{3,}}')))) - len(list_intersect(k.words, o.own)) AS score
   FROM rq q JOIN kw k ON q.registry = k.registry JOIN ow o ON o.registry = q.registry AND o.name = q.correct_tool WHERE k.name <> q.correct_tool),
 tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY score DESC, pos) AS rank FROM sc) WHERE rank <= 3),
 pk AS (SELECT traj_id, list(name ORDER BY rank) AS names FROM tp GROUP BY traj_id),
@@ -461,8 +457,16 @@ wt AS (SELECT traj_id, names[1 + ('0x' || substr(md5('42|' || traj_id), 1, 8))::
 
 
 def _asked(v):
-    rows = v.tools().where("category = 'SMALL'").groupBy("registry").agg(F.min("name").alias("correct_tool"))
-    return rows.withColumn("traj_id", F.col("registry")).withColumn("query", F.concat(F.lit("please find a red widget of SMALL size for "), F.lower("registry")))
+    """A trajectory of every different tool of every registry, asked by its own (first) description."""
+    rows = v.tools().groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("description", "pos").alias("_said"))
+    return rows.select("registry", "correct_tool", F.concat("registry", F.lit("|"), "correct_tool").alias("traj_id"), F.concat(F.lit("please find a "), "_said").alias("query"))
+
+
+def _pairs(v, target=None):
+    m = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    final = F.concat(F.lit('FINAL({"tool": "'), "correct_tool", F.lit('", "params": {"k": 1}})'))
+    rows = _asked(v).withColumn("params", F.lit('{"k": 1}')).withColumn("required", F.array(F.lit("k"))).withColumn("messages", F.array(m("user", F.col("query")), m("assistant", final)))
+    return negatives.pairs(rows, v.tools(), target=target)
 
 
 @query("SELECT registry, pos, array_to_string(list_sort(words), ',') AS words FROM kw", _SCORES)
@@ -501,64 +505,23 @@ def neg_swap_final(v):
     return v.answers().select("event_id", F.get(swapped, F.lit(1))["content"].alias("content"))
 
 
-@query("SELECT traj_id, 'wrong_tool' AS negative_type FROM (SELECT traj_id, row_number() OVER (ORDER BY md5('42|' || traj_id)) AS k FROM wt) WHERE k <= 5 UNION ALL SELECT traj_id, 'wrong_param' FROM (SELECT traj_id, row_number() OVER (ORDER BY md5('42|' || traj_id)) AS k FROM wt) WHERE k <= 4", _SCORES)
+@query("SELECT * FROM (SELECT traj_id, 'wrong_tool' AS negative_type FROM wt UNION ALL SELECT traj_id, 'wrong_param' FROM rq) ORDER BY md5('42|' || traj_id), negative_type DESC LIMIT 9", _SCORES)
 def neg_target_limit(v):
-    m = lambda role, content: F.struct(F.lit(role).alias("role"), F.lit(content).alias("content"))
-    rows = _asked(v).withColumn("params", F.lit('{"k": 1}')).withColumn("required", F.array(F.lit("k"))).withColumn("messages", F.array(m("user", "q"), m("assistant", 'FINAL({"tool": "t", "params": {}})')))
-    return negatives.pairs(rows, v.tools(), target=9).select("traj_id", "negative_type")
+    return _pairs(v, target=9).select("traj_id", "negative_type")
 
 
 @query("SELECT negative_type, count(*) AS n FROM (SELECT 'wrong_tool' AS negative_type FROM wt UNION ALL SELECT 'wrong_param' FROM rq) GROUP BY 1", _SCORES)
 def neg_type_counts(v):
-    m = lambda role, content: F.struct(F.lit(role).alias("role"), F.lit(content).alias("content"))
-    rows = _asked(v).withColumn("params", F.lit("{}")).withColumn("required", F.array().cast("array<string>")).withColumn("messages", F.array(m("assistant", "FINAL(x)")))
-    return negatives.pairs(rows, v.tools()).groupBy("negative_type").agg(F.count("*").alias("n"))
-
-
-# The same with a trajectory of every different tool of every registry, asked by its own (first) description.
-
-_SCORES_ALL = (
-    _SCORES.replace("SELECT registry, min(name) AS correct_tool FROM v_tools WHERE category = 'SMALL' GROUP BY registry", "SELECT registry, name AS correct_tool, arg_min(description, pos) AS said FROM v_tools GROUP BY registry, name")
-    .replace("SELECT r.registry, correct_tool, 'please find a red widget of SMALL size for ' || lower(r.registry) AS query FROM rw r", "SELECT registry || '|' || correct_tool AS traj_id, registry, correct_tool, 'please find a ' || said AS query FROM rw")
-    .replace("SELECT q.registry AS traj_id, ", "SELECT q.traj_id, ")
-)
-
-
-def _all_asked(v):
-    rows = v.tools().groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("description", "pos").alias("_said"))
-    return rows.select("registry", "correct_tool", F.concat("registry", F.lit("|"), "correct_tool").alias("traj_id"), F.concat(F.lit("please find a "), "_said").alias("query"))
-
-
-def _all_pairs(v, target=None):
-    m = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    final = F.concat(F.lit('FINAL({"tool": "'), "correct_tool", F.lit('", "params": {"k": 1}})'))
-    rows = _all_asked(v).withColumn("params", F.lit('{"k": 1}')).withColumn("required", F.array(F.lit("k"))).withColumn("messages", F.array(m("user", F.col("query")), m("assistant", final)))
-    return negatives.pairs(rows, v.tools(), target=target)
-
-
-@query("SELECT traj_id, name, pos, CAST(score AS INT) AS score FROM sc", _SCORES_ALL)
-def neg_candidate_scores_all(v):
-    return negatives.candidate_scores(_all_asked(v), v.tools())
-
+    return _pairs(v).groupBy("negative_type").agg(F.count("*").alias("n"))
 
-@query("SELECT traj_id, name, pos, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM tp", _SCORES_ALL)
-def neg_top3_all(v):
-    return negatives.top_candidates(negatives.candidate_scores(_all_asked(v), v.tools()))
 
-
-@query("SELECT traj_id, wrong_tool FROM wt", _SCORES_ALL)
-def neg_wrong_tool_pairs_all(v):
-    return negatives.wrong_tools(_all_asked(v), v.tools())
-
-
-@query("SELECT * FROM (SELECT traj_id, 'wrong_tool' AS negative_type FROM wt UNION ALL SELECT traj_id, 'wrong_param' FROM rq) ORDER BY md5('42|' || traj_id), negative_type DESC LIMIT 9", _SCORES_ALL)
-def neg_target_limit_all(v):
-    return _all_pairs(v, target=9).select("traj_id", "negative_type")
-
-
-@query("SELECT negative_type, count(*) AS n FROM (SELECT 'wrong_tool' AS negative_type FROM wt UNION ALL SELECT 'wrong_param' FROM rq) GROUP BY 1", _SCORES_ALL)
-def neg_type_counts_all(v):
-    return _all_pairs(v).groupBy("negative_type").agg(F.count("*").alias("n"))
+@query("SELECT traj_id, name, CAST(2 * len(list_intersect(words, list_distinct(regexp_extract_all(lower(query), '[a-z]{3,}')))) - len(list_intersect(words, own)) AS INT) AS score FROM (SELECT 'A' AS name, ['red', 'gear'] AS words UNION ALL SELECT 'B', ['large']) k, (SELECT traj_id, query, ['gear'] AS own FROM rq) q", _SCORES)
+def neg_inline_tools(v):
+    """Rows with tools of their own meet these only; the tool is the predicted one where there is no correct one."""
+    tool = lambda n, d: F.struct(F.lit(n).alias("name"), F.lit(d).alias("description"))
+    rows = _asked(v).withColumn("predicted_tool", F.lit("C")).withColumn("correct_tool", F.lit("")).withColumn("params", F.lit("{}")).withColumn("messages", F.array().cast("array<struct<role:string,content:string>>"))
+    rows = rows.withColumn("tools", F.array(tool("A", "red gear"), tool("B", "large"), tool("C", "gear")))
+    return negatives.candidate_scores(*negatives.own_registries(negatives.completed(rows), v.tools())).select("traj_id", "name", "score")
 
 
 # Dataset adapter
@@ -597,7 +560,7 @@ def adapter_registry_label(v):
     return v.queries().select("ord", L.adapter_registry(F.col("n_chars") % 90).alias("registry"))
 
 
-def _all_entries(v):
+def _entries(v):
     tool = lambda n: F.concat(F.lit('{"type": "function", "function": {"name": "'), n, F.lit('", "description": "d", "parameters": {"type": "object"}}}'))
     listed = lambda n: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: tool(F.concat(F.lit("srv-fn_"), i.cast("string")))), ", "), F.lit("]"))
     k = F.col("o_orderkey")
@@ -609,13 +572,8 @@ def _all_entries(v):
     )
 
 
-def _entries(v):
-    """The entries that _ENTRY is about; the queries named _all take every order."""
-    return _all_entries(v).where("CAST(uuid AS BIGINT) < 3000")
-
-
 _ENTRY = """en AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'irrelevant' WHEN o_orderkey % 9 = 0 THEN 'parse_fail' WHEN 2 + o_orderkey % 8 < 5 THEN 'size_filter'
-  WHEN o_orderkey % 7 = 0 THEN 'build_fail' ELSE 'ok' END AS status FROM orders WHERE o_orderkey < 3000)"""
+  WHEN o_orderkey % 7 = 0 THEN 'build_fail' ELSE 'ok' END AS status FROM orders)"""
 
 
 @query("SELECT status, CAST(sum(CASE WHEN status = 'ok' THEN 2 ELSE 1 END) AS BIGINT) AS n_turns, count(*) AS n_entries FROM en GROUP BY status", _ENTRY)
@@ -634,31 +592,15 @@ def adapter_call_params(v):
     return rows.select("uuid", F.col("turn").cast("int").alias("turn"), "query", "correct_tool", F.get_json_object("params", "$.n").cast("long").alias("n"))
 
 
-# The same over every order.
-
-_ENTRY_ALL = _ENTRY.replace(" WHERE o_orderkey < 3000", "")
-
-
-@query("SELECT status, CAST(sum(CASE WHEN status = 'ok' THEN 2 ELSE 1 END) AS BIGINT) AS n_turns, count(*) AS n_entries FROM en GROUP BY status", _ENTRY_ALL)
-def adapter_funnel_all(v):
-    return adapter.funnel(adapter.turns(_all_entries(v)))
-
-
-@query("SELECT status, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, status) AS INT) AS rank FROM en WHERE status <> 'ok' GROUP BY status", _ENTRY_ALL)
-def adapter_skip_reasons_all(v):
-    return adapter.skip_reasons(adapter.turns(_all_entries(v)))
-
-
-@query("SELECT CAST(k AS VARCHAR) AS uuid, i AS turn, CASE i WHEN 0 THEN 'one' ELSE 'two' END AS query, CASE i WHEN 0 THEN 'srv-fn_1' ELSE 'srv-fn_2' END AS correct_tool, CASE i WHEN 0 THEN k END AS n FROM en, (SELECT 0 AS i UNION ALL SELECT 1) WHERE status = 'ok'", _ENTRY_ALL)
-def adapter_call_params_all(v):
-    rows = adapter.with_call_params(adapter.turns(_all_entries(v)).where("status = 'ok'"))
-    return rows.select("uuid", F.col("turn").cast("int").alias("turn"), "query", "correct_tool", F.get_json_object("params", "$.n").cast("long").alias("n"))
+@query("SELECT CAST(k AS VARCHAR) AS uuid, i AS turn FROM en, (SELECT 0 AS i UNION ALL SELECT 1) WHERE status = 'ok' ORDER BY md5('42|' || k || '|' || i), uuid, turn LIMIT 25", _ENTRY)
+def adapter_first_examples(v):
+    return adapter.first_examples(adapter.turns(_entries(v)), 25, seed=42).select("uuid", F.col("turn").cast("int").alias("turn"))
 
 
 @query()
 def adapter_trajectories(v):
     """Every usable entry as a conversation; the tests state its messages."""
-    return adapter.trajectories(adapter.with_call_params(adapter.turns(_all_entries(v)).where("status = 'ok'"))).select("uuid", "turn", "query", "correct_tool", "turns", "messages")
+    return adapter.trajectories(adapter.with_call_params(adapter.turns(_entries(v)).where("status = 'ok'"))).select("uuid", "turn", "query", "correct_tool", "turns", "messages")
 
 
 # Augmentation
@@ -670,11 +612,24 @@ def _rows(v):
     return v.tools().select("registry", "pos", F.col("name").alias("correct_tool"), F.col("description").alias("query"))
 
 
-@query("SELECT a.registry, a.pos, 'R' || o.k AS to_registry, 'reground:' || a.registry || '→R' || o.k AS augmentation FROM aw a, (SELECT unnest([5, 15, 30]) AS k) o WHERE CASE WHEN regexp_matches(a.registry, '#1[0-9]$') THEN CAST(substr(a.registry, 7) AS INT) ELSE -1 END < o.k", _ROWS)
+def _registries(v):
+    return v.tools().select("registry").distinct().withColumn("ord", F.regexp_extract("registry", "[0-9]+", 0).cast("int"))
+
+
+@query("SELECT a.registry, a.pos, o.registry AS to_registry, 'reground:' || a.registry || '→' || o.registry AS augmentation FROM aw a JOIN (SELECT DISTINCT registry, name FROM v_tools) o ON o.name = a.correct_tool AND CAST(regexp_extract(a.registry, '[0-9]+') AS INT) < CAST(regexp_extract(o.registry, '[0-9]+') AS INT)", _ROWS)
 def augment_reground_pairs(v):
-    known = [(f"Brand#{i}", i) for i in range(10, 20)] + [(f"R{k}", k) for k in (5, 15, 30)]
-    made = augment.reground_pairs(_rows(v), v.spark.createDataFrame(known, "registry string, ord int"))
-    return made.where("to_registry LIKE 'R%'").select("registry", "pos", "to_registry", "augmentation")
+    """Each row with every later registry that has its tool; a registry of which nothing is known counts as the first."""
+    known = augment.reground_pairs(_rows(v), _registries(v), v.tools())
+    return known.select("registry", "pos", "to_registry", "augmentation")
+
+
+@query("""SELECT registry, name AS correct_tool, query FROM (SELECT registry, name, unnest(list_slice(CASE WHEN contains(name, 'red') THEN ['one', 'two', 'three', 'four'] ELSE ['Use ' || replace(name, '_', ' ') || ' for this', 'I want you to ' || lower(said), 'Would you ' || lower(said)] END, 1, CAST(least(3, 4 - n) AS BIGINT))) AS query
+FROM (SELECT registry, name, arg_max(left(description, 60), pos) AS said, count(*) AS n FROM v_tools GROUP BY registry, name HAVING count(*) < 3))""", _ROWS)
+def augment_template_queries(v):
+    """What is asked for tools with fewer than three rows: queries given for their name, or made from it."""
+    texts = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(q).alias("query")) for i, q in enumerate(("one", "two", "three", "four", "five")))))
+    given = v.tools().where(F.contains("name", F.lit("red"))).select("name").distinct().select("name", texts.alias("q")).select("name", "q.*").where("ord < 4")
+    return augment.asked(v.tools(), _rows(v), given).select("registry", "correct_tool", "query")
 
 
 @query("SELECT registry, name, count(*) AS n_tools FROM v_tools GROUP BY registry, name HAVING count(*) < 3", _ROWS)
@@ -721,11 +676,10 @@ def augment_pipeline(v):
     """A template trajectory of every different tool of every registry as original, re-grounded on every later registry that
     has the tool, templates and paraphrases, without repeats; blocks need a syntax tree, so SQL can't say it."""
     tools = v.tools().withColumn("schema", F.concat(F.lit('{"name": "'), "name", F.lit('"}')))
-    asked = _all_asked(v).join(tools.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("category", "pos").alias("category")), ["registry", "correct_tool"]).withColumn("params", F.lit("{}"))
-    registries = v.tools().select("registry").distinct().withColumn("ord", F.regexp_extract("registry", "[0-9]+", 0).cast("int"))
+    asked = _asked(v).join(tools.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("category", "pos").alias("category")), ["registry", "correct_tool"]).withColumn("params", F.lit("{}"))
     rows = augment.template(asked, tools).drop("augmentation")
     again = asked.withColumn("traj_id", F.concat("traj_id", F.lit("|t"))).withColumn("query", F.concat(F.lit("I need "), "query"))
-    return augment.augmented(rows, registries, tools, again).select("traj_id", "stage", "registry", "query", "correct_tool", "augmentation", "code_ok", "messages")
+    return augment.augmented(rows, _registries(v), tools, again).select("traj_id", "stage", "registry", "query", "correct_tool", "augmentation", "code_ok", "messages")
 
 
 @query("SELECT registry, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_tools, min(n) AS least, max(n) AS most FROM (SELECT registry, correct_tool, count(*) AS n FROM aw GROUP BY ALL) GROUP BY registry", _ROWS)

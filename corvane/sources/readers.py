@@ -26,7 +26,7 @@ def tools(texts: DataFrame) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry files; the file's name without ending names the registry."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     return tools(spark.read.text(path, wholetext=True).select(name.alias("registry"), F.col("value").alias("text")))
 
 
@@ -36,7 +36,7 @@ def read_registry_text(spark: SparkSession, registry: str, text: str) -> DataFra
 
 def read_jsonl(spark: SparkSession, *paths: str, ddl: str = S.TRAJECTORY, missing_ok: bool = True) -> DataFrame:
     """Rows of JSONL inputs in the order given, blank lines left out, with input and line to order by; a missing input is
-    skipped. Lines are numbered inside each input by position in the file."""
+    skipped. line is a struct that sorts as the lines stand: by file name, block of the file, and row in it."""
     parts = []
     for i, path in enumerate(paths):
         try:
@@ -45,10 +45,11 @@ def read_jsonl(spark: SparkSession, *paths: str, ddl: str = S.TRAJECTORY, missin
             if missing_ok and e.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        lines = lines.select(F.lit(i).alias("input"), F.monotonically_increasing_id().alias("line"), F.col("value"))
+        place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        lines = lines.select(F.lit(i).alias("input"), place.alias("line"), F.col("value"))
         parts.append(lines.where(strip(F.col("value")) != ""))
     if not parts:
-        return spark.createDataFrame([], f"input int, line long, {ddl}")
+        return spark.createDataFrame([], f"input int, line struct<path:string,block:long,row:long>, {ddl}")
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select("input", "line", F.from_json("value", ddl).alias("r")).select("input", "line", "r.*")
 
@@ -101,3 +102,9 @@ def prefixes(tools_: DataFrame, sizes: dict[str, int | None]) -> DataFrame:
 
 def system_prompt(template: str, num_tools: Column) -> Column:
     return F.replace(F.lit(template), F.lit("{num_tools}"), num_tools.cast("string"))
+
+
+def stream_entries(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A stream of the JSONL files that come to a folder, blank lines left out."""
+    lines = spark.readStream.text(path).where(strip(F.col("value")) != "")
+    return lines.select(F.from_json("value", ddl).alias("r")).select("r.*")

@@ -25,12 +25,25 @@ def write_evaluation(results: DataFrame, metrics: DataFrame, path: str, mode: st
     metrics.write.mode(mode).json(f"{path}/metrics")
 
 
+def evaluation_object(results: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row with the JSON object {metrics, results} of one run of a model over its test set, whose rows fit in one."""
+    rounded = [F.round(c, 2).alias(c) if c in ("turns_used", "elapsed_seconds") else F.col(c) for c in results.columns]
+    listed = results.agg(F.collect_list(F.struct(*rounded)).alias("results"))
+    return metrics.select(F.struct(*metrics.columns).alias("metrics")).join(listed, how="cross").select(F.to_json(F.struct("metrics", "results")).alias("value"))
+
+
+def write_matrix(matrix: DataFrame, path: str, mode: str = "error") -> None:
+    """The summary object: a key level{L}_{registry} for each cell of evaluate.matrix(), with its metrics."""
+    said = F.to_json(F.struct(*[c for c in matrix.columns if c != "cell"]))
+    one = matrix.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "cell", F.lit('": '), said))), ", "), F.lit("}")).alias("value"))
+    one.coalesce(1).write.mode(mode).text(path)
+
+
 def matrix_key(level: Column, registry: Column) -> Column:
     return F.concat(F.lit("level"), level.cast("string"), F.lit("_"), registry)
 
 
 def summary_text(metrics: DataFrame) -> str:
     """A small table for people; metrics has a row for each configuration."""
-    rows = metrics.limit(1000).collect()
     lines = ["\t".join(metrics.columns)]
-    return "\n".join(lines + ["\t".join(str(v) for v in r) for r in rows])
+    return "\n".join(lines + ["\t".join(str(v) for v in r) for r in metrics.toLocalIterator()])

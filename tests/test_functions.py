@@ -93,11 +93,11 @@ def test_params_match(spark, expected, predicted, plain, stripped):
 
 
 def test_wrong_params_always_differ():
-    for params in ({}, {"a": True}, {"a": 0}, {"a": 5}, {"a": "example_value"}, {"a": [1]}, {"a": {"b": 1}}, {"a": None}, {"a": 1, "b": "x"}):
+    for params in ({}, {"a": True}, {"a": 0}, {"a": 5}, {"a": "something else"}, {"a": [1]}, {"a": {"b": 1}}, {"a": None}, {"a": 1, "b": "x"}):
         for pick in range(12):
             wrong = P.corrupted(params, ["b"], pick)
             assert json.dumps(wrong) != json.dumps(params)
-    assert P.corrupted({"a": 1, "b": "x"}, ["b"], 0) == {"a": 1, "b": "example_value"}
+    assert P.corrupted({"a": 1, "b": "x"}, ["b"], 0) == {"a": 1, "b": "something else"}
     assert P.corrupted({"a": 0}, [], 0) == {"a": 0, "_extra_wrong_param": "injected_by_negative_generator"}
 
 

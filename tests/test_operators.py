@@ -152,8 +152,9 @@ def test_adapter_shapes_and_names(spark):
 def test_augmentation(spark):
     rows = spark.createDataFrame([("small", "Please send an email to the directory", "a"), ("unknown", "", "b")], "registry string, query string, correct_tool string")
     regs = spark.createDataFrame([("small", 0), ("medium", 1), ("large", 2)], "registry string, ord int")
-    pairs = {(r.registry, r.to_registry) for r in augment.reground_pairs(rows, regs).collect()}
-    assert pairs == {("small", "medium"), ("small", "large"), ("unknown", "small"), ("unknown", "medium"), ("unknown", "large")}
+    tools = spark.createDataFrame([("small", "a"), ("small", "b"), ("medium", "b"), ("large", "a"), ("large", "a"), ("large", "b")], "registry string, name string")
+    pairs = [(r.registry, r.to_registry) for r in augment.reground_pairs(rows, regs, tools).collect()]
+    assert sorted(pairs) == [("small", "large"), ("unknown", "large"), ("unknown", "medium"), ("unknown", "small")]
     said = rows.withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("content"))))
     made = augment.expand_paraphrases(said).collect()
     assert 1 <= len(made) <= 2 and all(m.messages[0].content == m.query != "Please send an email to the directory" for m in made)
@@ -170,6 +171,95 @@ def test_template_params(spark):
     assert json.loads(row.p) == {"file_path": "/tmp/x.txt", "body": 'Mail "Big News" to a.b@c.org from /tmp/x.txt 42 times', "title": "Big News", "recipient": "a.b@c.org", "size": 42, "on": True, "other": "other_value"}
 
 
+def test_template_params_are_json(spark):
+    props = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("integer").alias("type")) for n in ('si"ze', "n")])
+    row = spark.createDataFrame([("in 007 steps",), ("in 0 steps",), ("in 000 steps",)], "q string").select(augment.params_from_query(props, F.col("q")).alias("p")).collect()
+    assert [json.loads(r.p) for r in row] == [{'si"ze': n, "n": n} for n in (7, 0, 0)]
+
+
+def test_swap_keeps_any_character(spark):
+    said = [("user", "q"), ("assistant", 'a\x00b FINAL({"tool": "t"}) $1 \\ FINAL({"x": 1})')]
+    df = spark.createDataFrame([(said,)], "m array<struct<role:string,content:string>>")
+    got = df.select(messages.swap_final(F.col("m"), F.lit("u$1"), F.lit("{}")).alias("x")).head().x[1].content
+    assert got == 'a\x00b FINAL({"tool": "u$1", "params": {}}) $1 \\ FINAL({"tool": "u$1", "params": {}})'
+
+
+def test_template_queries(spark):
+    tools = spark.createDataFrame([("r", 0, "a_b", "Old", "c"), ("r", 1, "a_b", "Does IT", "c"), ("r", 2, "z", None, None), ("r", 3, "full", "x", None)], "registry string, pos long, name string, description string, category string")
+    rows = spark.createDataFrame([("r", "a_b")] * 2 + [("r", "full")] * 3, "registry string, correct_tool string")
+    given = spark.createDataFrame([("z", 2, "second"), ("z", 1, "first"), ("z", 3, "third"), ("z", 4, "fourth")], "name string, ord int, query string")
+    got = {}
+    for r in augment.asked(tools, rows, given).collect():
+        got.setdefault(r.correct_tool, []).append(r.query)
+    assert got == {"a_b": ["Use a b for this", "I want you to does it"], "z": ["first", "second", "third"]}
+
+
+def test_pairs_fall_back(spark):
+    m = [("user", "q"), ("assistant", 'FINAL({"tool": "x", "params": {"n": 5}})')]
+    rows = spark.createDataFrame([("1", "r", "q red", None, "x", None, m, [("x", "d"), ("y", "red")]), ("2", "r", "q", "z", "x", '{"n": 1}', m, None)], "traj_id string, registry string, query string, correct_tool string, predicted_tool string, params string, messages array<struct<role:string,content:string>>, tools array<struct<name:string,description:string>>")
+    done = {r.traj_id: (r.correct_tool, r.params) for r in negatives.completed(rows).collect()}
+    assert done == {"1": ("x", '{"n":5}'), "2": ("z", '{"n": 1}')}
+    tools = spark.createDataFrame([("r", 0, "z", "d"), ("r", 1, "w", "d")], "registry string, pos long, name string, description string")
+    made = negatives.pairs(*[x if i else x.withColumn("required", F.array(F.lit("n"))) for i, x in enumerate(negatives.own_registries(rows, tools))]).collect()
+    assert {(r.traj_id, r.wrong_tool) for r in made if r.negative_type == "wrong_tool"} == {("1", "y"), ("2", "w")}
+
+
+def test_matrix(spark, tmp_path):
+    cases = spark.createDataFrame([("q1", "a", "{}"), ("q2", "b", '{"k": 1}'), ("q3", "none", "{}")], "query string, expected_tool string, expected_params string")
+    tools = spark.createDataFrame([("small", "a"), ("big", "a"), ("big", "b")], "registry string, name string")
+    said = [(1, "small", "q1", "A", "{}", 1.0, 2, True, 3.0), (1, "big", "q1", "x", "{}", 0.5, 4, True, 1.0), (1, "big", "q2", "b", '{"k": "1"}', 0.5, 2, True, 1.5), (2, "big", "q1", "a", "{}", 1.0, 1, True, 1.0)]
+    answers = spark.createDataFrame(said, "level int, registry string, query string, predicted_tool string, predicted_params string, code_validity double, turns_used int, success boolean, elapsed_seconds double")
+    got = {r.cell: (r.tool_selection_accuracy, r.end_to_end_accuracy, r.avg_turns, r.failure_rate, r.total_queries, r.total_time) for r in evaluate.matrix(cases, answers, tools).collect()}
+    assert got == {"level1_small": (1.0, 1.0, 2.0, 0.0, 1, 3.0), "level1_big": (0.5, 0.5, 3.0, 0.0, 2, 2.5), "level2_big": (0.5, 0.5, 0.5, 0.5, 2, 1.0)}
+    sinks.write_matrix(evaluate.matrix(cases, answers, tools), str(tmp_path / "m"))
+    text = spark.read.text(str(tmp_path / "m"), wholetext=True).head().value
+    assert set(json.loads(text)) == set(got) and json.loads(text)["level1_big"]["total_queries"] == 2
+    assert sinks.summary_text(evaluate.metrics(evaluate.compare(cases.join(answers, "query"))).select("total_queries")) == "total_queries\n4"
+
+
+def test_quotas_are_exact_in_buckets(spark):
+    rows = spark.createDataFrame([(f"q{i}", f"s{i % 3 if i > 5 else 9}", i) for i in range(900)], "query string, stratum string, ord long")
+    sealed = spark.createDataFrame([("q7",), ("q8",), ("other",)], "query string")
+    got = {r.query: (r.stratum, r.split) for r in splits.assign(rows, sealed, 0.2, 0.1, seed=3).collect()}
+    import hashlib
+
+    assert len(got) == 900
+    for s in ("s0", "s1", "s2", "s9"):
+        names = sorted((q for q, (t, _) in got.items() if t == s and q not in ("q7", "q8")), key=lambda q: hashlib.md5(f"3|{q}".encode()).hexdigest())
+        test, dev = max(1, int(len(names) * 0.2)), max(1, int(len(names) * 0.1))
+        assert [got[q][1] for q in names] == ["test"] * test + ["dev"] * dev + ["train"] * (len(names) - test - dev)
+    assert got["q7"][1] == got["q8"][1] == "test"
+
+
+def test_inputs_and_outputs_that_only_programs_call(spark, tmp_path):
+    (tmp_path / "q.json").write_text('[{"query": "a", "expected_tool": "own"}, {"query": "b", "difficulty": "hard"}, {"query": "c"}]')
+    (tmp_path / "t.json").write_text('{"selections": [{"query": "a", "expected_tool": "x"}, {"query": "b", "expected_tool": "y", "expected_params": {"k": 1}}, {"query": "a", "expected_tool": "z"}]}')
+    cases = {r.query: (r.expected_tool, r.expected_params, r.category, r.difficulty) for r in readers.load_cases(spark, str(tmp_path / "q.json"), str(tmp_path / "t.json")).collect()}
+    assert cases["a"] == ("z", "{}", "simple", "easy") and cases["b"][0] == "y" and json.loads(cases["b"][1]) == {"k": 1} and cases["b"][3] == "hard" and cases["c"][0] == ""
+    seeds = readers.seeds(readers.read_queries(spark, str(tmp_path / "q.json")), readers.read_truth(spark, str(tmp_path / "t.json")))
+    assert {r.query: r.expected_tool for r in seeds.collect()} == {"a": "own", "b": "y"}
+    tools = readers.read_registry_text(spark, "all", json.dumps([{"name": f"t{i}"} for i in range(49)]))
+    sizes = readers.prefixes(tools, {"small_10": 10, "medium_25": 25, "large_50": None}).groupBy("registry").count().collect()
+    assert {r.registry: r["count"] for r in sizes} == {"small_10": 10, "medium_25": 25, "large_50": 49}
+    assert spark.range(1).select(readers.system_prompt("one of {num_tools}, {num_tools}", F.lit(3)).alias("p")).head().p == "one of 3, 3"
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "query string, n int")
+    manifest = spark.createDataFrame([("a", "test"), ("b", "dev")], "query string, split string")
+    sinks.write_splits(splits.label(rows, manifest), manifest, str(tmp_path / "s"))
+    assert {(r.query, r.split) for r in spark.read.json(str(tmp_path / "s/rows")).collect()} == {("a", "test"), ("b", "dev"), ("c", "train")}
+    results = evaluate.compare(spark.createDataFrame([("q", "a", "{}", "a", "{}", 1.0, 2, True, 1.23456)], "query string, expected_tool string, expected_params string, predicted_tool string, predicted_params string, code_validity double, turns_used int, success boolean, elapsed_seconds double"))
+    sinks.write_evaluation(results, evaluate.metrics(results), str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e/results")).head().elapsed_seconds == 1.23
+    one = json.loads(sinks.evaluation_object(results, evaluate.metrics(results)).head().value)
+    assert one["metrics"]["total_queries"] == 1 and one["results"][0]["elapsed_seconds"] == 1.23
+
+
+def test_lines_of_many_files_come_in_order(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"query": f"{name}{i:03}"}) + "\n" for i in range(200 if name == "c" else 20)))
+    got = [r.query for r in readers.read_jsonl(spark, str(tmp_path / "*.jsonl")).orderBy("input", "line").collect()]
+    assert got == sorted(got) and len(got) == 240
+
+
 def test_training_formulas(spark):
     df = spark.createDataFrame([("g", 1.0, 0.0), ("g", 3.0, 0.0), ("same", 2.0, 1.0), ("same", 2.0, 1.0)], "g string, final double, intermediate double")
     got = sorted(round(r.advantage, 4) for r in training.advantages(training.reward(df), "g").collect())

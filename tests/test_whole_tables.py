@@ -1,4 +1,4 @@
-"""Queries over whole tables: on rows made here that lie outside the parts which other queries take."""
+"""Queries over whole tables: on rows made here."""
 
 import hashlib
 import re
@@ -27,19 +27,19 @@ def tables(spark, tmp_path_factory):
 
 
 def test_adapter_takes_every_order(spark, tables):
-    got = catalogue.QUERIES["adapter_funnel_all"](spark, tables).collect()
+    got = catalogue.QUERIES["adapter_funnel"](spark, tables).collect()
     assert sum(r.n_entries for r in got) == 6000
-    assert catalogue.QUERIES["adapter_call_params_all"](spark, tables).where("n > 3000").count() > 0
+    assert catalogue.QUERIES["adapter_call_params"](spark, tables).where("n > 3000").count() > 0
 
 
 def test_benchmark_is_sealed(spark, tables):
     run = lambda name: catalogue.QUERIES[name](spark, tables)
     want = {7, 67, 11} | set(range(110, 120))
     assert {r.ord for r in run("split_sealed_contains").collect()} == want
-    assert {r.ord for r in run("split_sealed_exact_benchmark").collect()} == {11}
-    assert {r.ord for r in run("split_without_overlap_benchmark").collect()} == set(range(300)) - want
-    assert run("split_leakage_check_benchmark").head().n == 0
-    split = {r.query: r.split for r in run("split_assign_benchmark").collect()}
+    assert {r.ord for r in run("split_sealed_exact").collect()} == {11}
+    assert {r.ord for r in run("split_without_overlap").collect()} == set(range(300)) - want
+    assert run("split_leakage_check").head().n == 0
+    split = {r.query: r.split for r in run("split_assign").collect()}
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert {split[md5(t)] for t in ("see item 7 here", "see item 67 here", "plain 11", "plain 113")} == {"test"}
 
@@ -57,13 +57,13 @@ def test_every_tool_is_asked_about(spark, tables):
         for (registry, name), said in first.items() for r, pos, other, d in tools if r == registry and other != name
     }
     run = lambda name: catalogue.QUERIES[name](spark, tables)
-    assert {(r.traj_id, r.name, r.pos): r.score for r in run("neg_candidate_scores_all").collect()} == want
+    assert {(r.traj_id, r.name, r.pos): r.score for r in run("neg_candidate_scores").collect()} == want
     best = {t: [k[1:] for k in sorted((k for k in want if k[0] == t), key=lambda k: (-want[k], k[2]))[:3]] for t in {k[0] for k in want}}
     got = {}
-    for r in run("neg_top3_all").orderBy("rank").collect():
+    for r in run("neg_top3").orderBy("rank").collect():
         got.setdefault(r.traj_id, []).append((r.name, r.pos))
     assert got == best
-    wrong = {r.traj_id: r.wrong_tool for r in run("neg_wrong_tool_pairs_all").collect()}
+    wrong = {r.traj_id: r.wrong_tool for r in run("neg_wrong_tool_pairs").collect()}
     assert set(wrong) == set(best) and all(w in [n for n, _ in best[t]] for t, w in wrong.items())
-    assert {r.negative_type: r.n for r in run("neg_type_counts_all").collect()} == {"wrong_tool": 36, "wrong_param": 36}
-    assert run("neg_target_limit_all").count() == 9
+    assert {r.negative_type: r.n for r in run("neg_type_counts").collect()} == {"wrong_tool": 36, "wrong_param": 36}
+    assert run("neg_target_limit").count() == 9
