@@ -1,16 +1,19 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 1. Candidates are wide: whatever could be an address, an IP address or a number of seven digits or more, in published or
-   disguised form ("ann (at) example dot org", "10[.]0[.]0[.]1"), under each kind that its letters allow: a number is a
-   candidate for card and for phone. The base matches of each kind (always kept) are candidates as well.
-2. Labelers each vote yes, no or nothing on a candidate from its text and surroundings alone: the published pattern, the
-   usual grouping, check digits and ranges, gazetteers (domain endings, mail hosts, card issuers, country codes, special
-   address ranges), words before it that speak for or against its kind, its boundary, and whether it is a placeholder.
-3. The votes of all texts are counted by pattern; expectation-maximisation over these counts estimates, for each kind,
-   how often each labeler votes so on personal data and on other, and with that how likely each pattern marks personal
-   data. Labelers are only held to be no worse than chance.
+   disguised form ("ann (at) example dot org", "10[.]0[.]0[.]1"), under each kind that its letters allow and whose check
+   digits and ranges it passes: a number may be a candidate for card and for phone. The base matches of each kind (always
+   kept) are candidates as well.
+2. Labelers each vote yes, no or nothing on a candidate from its text and surroundings alone: regexes for the published
+   pattern and the usual groupings, gazetteers (domain endings, mail hosts, card issuers, country codes, special address
+   ranges), context words before it that speak for or against its kind, a broken boundary, and placeholders.
+3. The votes of all texts are counted by pattern; expectation-maximisation over these counts estimates, for each kind, how
+   common personal data is among its candidates and how often each labeler is right where it votes, and with that how
+   likely each pattern marks personal data. A labeler that never votes in these texts is taken to be right as often as
+   RIGHT says beforehand.
 4. A logistic classifier on kind, votes, size and neighbours is fitted on the counted patterns with those likelihoods as
-   soft labels; candidates at KEEP or more that overlap no base span become spans, the likeliest first.
+   soft labels, beginning at the labelers' estimated weights and held near them, so that votes which hardly occur keep
+   theirs; candidates at KEEP or more that overlap no base span become spans, the likeliest first.
 
 Counting and training see every candidate of every whole text; only counted patterns, which are bounded by the number of
 vote patterns, reach the driver. Null text is read as empty; a text without candidates has no spans, and the SHA-256 of
@@ -125,13 +128,25 @@ def wide(text: str) -> list[tuple[int, int, int]]:
         if start < m.start() and (host := _HOST.match(text, m.end())):
             done = host.end()
             out.append((start, EMAIL, done))
-    out += [(m.start(), IP, m.end()) for form in (_FOUR, _COLONS) for m in form.finditer(text)]
+    out += [(m.start(), IP, m.end()) for form in (_FOUR, _COLONS) for m in form.finditer(text) if _address(m[0])]
     for m in _NUMBER.finditer(text):
-        n = len(digits(m[0]))
-        out += [(m.start(), kind, m.end()) for kind, least, most in ((CARD, 12, 19), (PHONE, 7, 15)) if least <= n <= most]
+        num = digits(m[0])
+        if 12 <= len(num) <= 19 and luhn(num):
+            out.append((m.start(), CARD, m.end()))
+        if 7 <= len(num) <= 15:
+            out.append((m.start(), PHONE, m.end()))
     return out
 
 
+def _address(body: str):
+    """The IP address that is written so, or None; leading zeros are taken as such."""
+    plain = _plain(body)
+    try:
+        return ipaddress.ip_address(plain if ":" in plain else ".".join(x.lstrip("0") or "0" for x in plain.split(".")))
+    except ValueError:
+        return None
+
+
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
     """All different candidates, the base spans among them, in order."""
     return sorted({(s, KINDS.index(k), e) for s, k, e in base} | set(wide(text)))
@@ -148,44 +163,36 @@ def _plain(body: str) -> str:
 
 
 def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
-    """Published pattern, grouping, check digits and ranges, gazetteer, words before for and against, boundary, placeholder:
-    1 yes, -1 no, 0 nothing."""
+    """Published pattern, grouping, gazetteer, words before for and against, boundary, placeholder: 1 yes, -1 no, 0 nothing."""
     body, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
-    num, pattern_ = digits(body), int(bool(_BASE[kind].fullmatch(body)))
+    num, pattern_, known = digits(body), int(bool(_BASE[kind].fullmatch(body))), 0
     if kind == EMAIL:
         local, _, host = _plain(body).lower().rpartition("@")
         labels = host.split(".")
-        group = _sign("@" not in local and len(labels) > 1 and len(labels[0]) > 1)
-        check = _sign(all(x and x[0] != "-" and x[-1] != "-" for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24 and ".." not in local and local[:1] not in (".", ""))
-        known = _sign(labels[-1] in _ENDINGS or labels[0] in _MAIL_HOSTS)
-        real = _sign(local not in _NOBODY)
+        good = all(x and x[0] != "-" and x[-1] != "-" for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24
+        group, known = _sign(good and "@" not in local and ".." not in local and local[:1] not in (".", "")), _sign(labels[-1] in _ENDINGS or labels[0] in _MAIL_HOSTS)
+        real = local not in _NOBODY
     elif kind == IP:
-        plain = _plain(body)
-        try:
-            address = ipaddress.ip_address(".".join(x.lstrip("0") or "0" for x in plain.split(".")) if ":" not in plain else plain)
-        except ValueError:
-            address = None
-        parts = plain.split(".") if ":" not in plain else [x for x in plain.split(":") if x]
-        group = _sign(all(len(x) == 1 or x[0] != "0" for x in parts) if ":" not in plain else len(parts) > 2 or "::" in plain)
-        check, known = _sign(address is not None), _sign(address is not None and (address.is_global or address.is_private) and not (address.is_multicast or address.is_unspecified))
-        real = _sign(len(set(parts)) > 1 and (":" in plain or not all(len(x) == 1 for x in parts)))
+        address, parts = _address(body), [x for x in re.split("[.:]", _plain(body)) if x]
+        group = _sign(all(len(x) == 1 or x[0] != "0" for x in parts) if ":" not in body else len(parts) > 2 or "::" in body)
+        known = _sign(address is not None and (address.is_global or address.is_private) and not (address.is_multicast or address.is_unspecified))
+        real = len(set(parts)) > 1 and (":" in body or not all(len(x) == 1 for x in parts))
     elif kind == CARD:
-        group, check = _sign(bool(_CARD_GROUPS.fullmatch(body))), _sign(luhn(num))
+        group, real = _sign(bool(_CARD_GROUPS.fullmatch(body))), len(set(num)) > 2
         known = _sign(any(len(num) in sizes and low <= int(num[: len(str(low))]) <= high for low, high, sizes in _ISSUERS))
-        real = _sign(len(set(num)) > 2)
     else:
-        group = _sign(bool(_PHONE_GROUPS.fullmatch(body)))
         abroad = num if body[0] == "+" else num[2:] if body.startswith("00") else ""
         home = num[1:] if len(num) == 11 and num[0] == "1" else num
-        check = _sign(8 <= len(abroad) <= 15 if abroad else 7 <= len(num) <= 12 and (len(home) != 10 or home[0] == "0" or home[0] > "1" and home[3] > "1"))
-        known = (_sign(bool({abroad[:1], abroad[:2]} & _CODES) or bool(_CODES_OF_THREE.match(abroad)))) if abroad else 0
-        real = _sign(len(set(num)) > 3 and num not in "01234567890123456789")
+        group = _sign(bool(_PHONE_GROUPS.fullmatch(body)) and (bool(abroad) or home[0] == "0" or len(home) == 10 and home[0] > "1" and home[3] > "1"))
+        if abroad:
+            known = _sign(8 <= len(abroad) <= 15 and (bool({abroad[:1], abroad[:2]} & _CODES) or bool(_CODES_OF_THREE.match(abroad))))
+        real = len(set(num)) > 3 and num not in "01234567890123456789"
     near, against = int(bool(_NEAR[kind].search(before))), -int(bool(_AGAINST.search(before[-16:])))
     if not near and any(_NEAR[k].search(before[-16:]) for k in range(4) if k != kind):
         against = -1
     left, right = text[start - 1 : start], after[:1]
-    edge = _sign(not (left.isalnum() or left in ("/", "_", "-", "=") or right.isalnum() or right in ("/", "_", "=")))
-    return pattern_, group, check, known, near, against, edge, real
+    broken = left.isalnum() or left in ("/", "_", "-", "=") or right.isalnum() or right in ("/", "_", "=")
+    return pattern_, group, known, near, against, -int(broken), -int(not real)
 
 
 def pattern(text: str, start: int, kind: int, end: int) -> tuple:
@@ -196,69 +203,73 @@ def pattern(text: str, start: int, kind: int, end: int) -> tuple:
     return (kind, *votes(text, start, kind, end), min(5, (end - start) // 6), sort(text[start - 1 : start]), sort(text[end : end + 1]))
 
 
-N_VOTES = 8
-#: Votes no, nothing, yes that each labeler is taken to have cast beforehand, on either class.
-PRIOR = 0.5
+N_VOTES = 7
+#: How often a labeler is taken to have been right and wrong beforehand, and a candidate to be personal data or not.
+RIGHT, WRONG, PERSONAL, OTHER = 4.0, 1.0, 2.0, 2.0
+
+
+def _logit(p):
+    return np.log(p) - np.log1p(-p)
 
 
-def reliabilities(votes_: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """EM for one kind. votes_ [patterns, labelers] in -1..1, count [patterns]; gives the chance of each vote given the
-    hidden class [class, labeler, vote] and the posterior of each pattern. Starts from the majority. A labeler that would
-    say yes more often, or no less often, on what isn't personal data is taken to say it equally often on both."""
-    code = votes_ + 1
-    post = 1 / (1 + np.exp(-1.5 * votes_.sum(1)))
-    like = np.zeros((2, votes_.shape[1], 3))
+def reliabilities(votes_: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+    """EM for one kind. votes_ [patterns, labelers] in -1..1, count [patterns]; gives the share of personal data, how often
+    each labeler is right where it votes, and the posterior of each pattern. Starts from the majority; a labeler is held to
+    be right between half of the time and 99 times in a hundred."""
+    post, cast = 1 / (1 + np.exp(-1.5 * votes_.sum(1))), (np.abs(votes_) * count[:, None]).sum(0)
     for _ in range(rounds):
-        prior = ((post * count).sum() + 1) / (count.sum() + 2)
-        tally = np.stack([np.stack([np.bincount(code[:, j], q * count, 3) + PRIOR for j in range(votes_.shape[1])]) for q in (1 - post, post)])
-        like = tally / tally.sum(2, keepdims=True)
-        both = tally.sum(0) / tally.sum((0, 2))[:, None]
-        for vote, sign in ((2, 1), (0, -1)) * 2:
-            wrong = sign * (like[1, :, vote] - like[0, :, vote]) < 0
-            rest = (1 - both[:, vote]) / (1 - like[:, :, vote])
-            for other in {0, 1, 2} - {vote}:
-                like[:, wrong, other] *= rest[:, wrong]
-            like[:, wrong, vote] = both[wrong, vote]
-        log = np.log([1 - prior, prior])[:, None] + np.stack([np.log(like[z, np.arange(votes_.shape[1]), code]).sum(1) for z in (0, 1)])
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-    return like, post
+        share = ((post * count).sum() + PERSONAL) / (count.sum() + PERSONAL + OTHER)
+        right = ((votes_ > 0) * (post * count)[:, None] + (votes_ < 0) * ((1 - post) * count)[:, None]).sum(0)
+        right = np.clip((right + RIGHT) / (cast + RIGHT + WRONG), 0.5, 0.99)
+        post = 1 / (1 + np.exp(-np.clip(_logit(share) + votes_ @ _logit(right), -50, 50)))
+    return float(share), right, post
 
 
 class SpanModel:
-    """Logistic classifier over a pattern's fields (votes alone and by kind, so that kinds learn from each other), and the
-    labelers' reliabilities by kind."""
+    """Logistic classifier over a pattern's kind, votes by kind, size and neighbours by kind, and what EM has estimated for
+    each kind: (share of personal data, how often each labeler is right)."""
 
-    SIZES = (1, 4, *[3] * N_VOTES, *[12] * N_VOTES, 6, 4, 4)
-    _START = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
+    SIZES = (6, 4, 4)
 
-    def __init__(self, weights: np.ndarray, reliability: dict[str, np.ndarray]):
-        self.weights, self.reliability = weights, reliability
+    def __init__(self, bias: np.ndarray, vote: np.ndarray, form: np.ndarray, reliability: dict[str, tuple[float, np.ndarray]]):
+        self.bias, self.vote, self.form, self.reliability = bias, vote, form, reliability
 
     @classmethod
-    def codes(cls, rows: np.ndarray) -> np.ndarray:
-        kind, vote = rows[:, :1], rows[:, 1 : 1 + N_VOTES] + 1
-        return np.concatenate([np.zeros_like(kind), kind, vote, 3 * kind + vote, rows[:, 1 + N_VOTES :]], 1) + cls._START
+    def _forms(cls, rows: np.ndarray) -> np.ndarray:
+        """Numbers of size and neighbours, apart for each kind."""
+        return rows[:, 1 + N_VOTES :] + np.cumsum((0, *cls.SIZES[:-1])) + rows[:, :1] * sum(cls.SIZES)
 
     @classmethod
-    def fit(cls, rows: np.ndarray, count: np.ndarray, steps: int = 400, l2: float = 1e-4) -> SpanModel:
+    def fit(cls, rows: np.ndarray, count: np.ndarray, steps: int = 300, hold: float = 1e-2) -> SpanModel:
+        kind, vote, form = rows[:, 0], rows[:, 1 : 1 + N_VOTES].astype(float), cls._forms(rows)
         post, reliability = np.zeros(len(rows)), {}
-        for k, kind in enumerate(KINDS):
-            of = rows[:, 0] == k
-            if of.any():
-                reliability[kind], post[of] = reliabilities(rows[of][:, 1 : 1 + N_VOTES], count[of])
+        bias0, vote0 = np.full(len(KINDS), _logit(PERSONAL / (PERSONAL + OTHER))), np.full((len(KINDS), N_VOTES), _logit(RIGHT / (RIGHT + WRONG)))
+        for k, name in enumerate(KINDS):
+            if (of := kind == k).any():
+                share, right, post[of] = reliabilities(vote[of], count[of])
+                reliability[name], bias0[k], vote0[k] = (share, right), _logit(share), _logit(right)
         # Patterns that come again and again count as their root: the classifier is to tell patterns apart, not to repeat the commonest.
-        x, share = cls.codes(rows), np.sqrt(count) / np.sqrt(count).sum()
-        w = np.zeros(sum(cls.SIZES))
-        m, v = np.zeros_like(w), np.zeros_like(w)
+        weight = np.sqrt(count) / np.sqrt(count).sum()
+        sizes = (len(KINDS), len(KINDS) * N_VOTES, len(KINDS) * sum(cls.SIZES))
+        middle = np.concatenate([bias0, vote0.ravel(), np.zeros(sizes[2])])
+        p = middle.copy()
+        m, v = np.zeros_like(p), np.zeros_like(p)
         for t in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-w[x].sum(1)))
-            g = np.bincount(x.ravel(), np.repeat((p - post) * share, x.shape[1]), len(w)) + l2 * w
+            b, w, f = np.split(p, np.cumsum(sizes)[:2])
+            model = cls(b, w.reshape(len(KINDS), N_VOTES), f, reliability)
+            off = (model.probability(rows) - post) * weight
+            by_vote = np.zeros((len(KINDS), N_VOTES))
+            np.add.at(by_vote, kind, off[:, None] * vote)
+            g = np.concatenate([np.bincount(kind, off, sizes[0]), by_vote.ravel(), np.bincount(form.ravel(), np.repeat(off, form.shape[1]), sizes[2])]) + hold * (p - middle)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        return cls(w, reliability)
+            p -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        b, w, f = np.split(p, np.cumsum(sizes)[:2])
+        return cls(b, w.reshape(len(KINDS), N_VOTES), f, reliability)
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.weights[self.codes(rows)].sum(1)))
+        kind = rows[:, 0]
+        score = self.bias[kind] + (self.vote[kind] * rows[:, 1 : 1 + N_VOTES]).sum(1) + self.form[self._forms(rows)].sum(1)
+        return 1 / (1 + np.exp(-score))
 
 
 def _holding(docs: DataFrame) -> DataFrame:

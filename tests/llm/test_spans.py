@@ -82,8 +82,9 @@ def fitted():
 
 def test_labelers_and_classifier():
     model = fitted()
-    for like in model.reliability.values():
-        assert np.allclose(like.sum(2), 1) and (like[1, :, 2] >= like[0, :, 2] - 0.02).all() and (like[1, :, 0] <= like[0, :, 0] + 0.02).all()
+    for share, right in model.reliability.values():
+        assert 0 < share < 1 and ((right >= 0.5) & (right <= 0.99)).all()
+    assert model.reliability["phone"][1][0] > 0.9 and model.reliability["phone"][1][3] > 0.7
     t = "write to ann [at] example.org, or call (212) 555-7788; server 10[.]1[.]2[.]3; joe at mail dot com; order 1234567890123; version 1.2.3.4.5"
     assert pii.masked(t, pii.all_spans(t, [], model)) == "write to [EMAIL], or call [PHONE]; server [IP]; [EMAIL]; order 1234567890123; version 1.2.3.4.5"
 
