@@ -118,8 +118,15 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(ids' columns, text) for each id of a bounded table of ids; of texts that share an id, that with the smallest hash. So
+    the rows are bounded by the ids, however often an id is repeated."""
+    found = texts(docs).join(F.broadcast(ids), "doc_id")
+    return found.groupBy(*ids.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, where, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most `rows` labelled documents, chosen by hash of the id; where filters the label rows.
+    """(doc_id, y, text) of at most `rows` labelled documents, chosen by hash of the id; where filters the label rows.
 
     A doc_id labelled twice with different values is left out. The sample is bounded by `rows`, so it is broadcast.
     """
@@ -128,4 +135,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where, rows: int) -> Dat
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
         .where("y = y2").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return texts(docs).join(F.broadcast(pick), "doc_id")
+    return one_text_each(docs, pick)

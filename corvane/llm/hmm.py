@@ -118,9 +118,10 @@ class Hmm:
         self.begin, self.move, self.emit = begin, move, emit
 
     @classmethod
-    def start(cls, docs: list[np.ndarray], states: int = STATES, classes: int = CLASSES, rounds: int = 25) -> Hmm:
-        """States from a mixture of class distributions over whole texts, fitted by EM from a fixed random start."""
-        x = np.stack([np.bincount(d, minlength=classes) for d in docs]).astype(float) if docs else np.zeros((1, classes))
+    def start(cls, counts: np.ndarray, states: int = STATES, rounds: int = 25) -> Hmm:
+        """States from a mixture of class distributions over whole texts, counts [texts, classes], fitted by EM from a fixed
+        random start."""
+        x, classes = counts.astype(float) if len(counts) else np.zeros((1, counts.shape[1])), counts.shape[1]
         rng = np.random.default_rng(7)
         all_ = x.sum(0) + 0.1
         q = rng.dirichlet(np.ones(states), len(x))
@@ -267,8 +268,11 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     share = 1 << 20
     least = -(-2 * START_DOCS * share // max(1, int(n_class[0])))
     some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < least)
-    begin = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.crc32("classes")).limit(START_DOCS).collect() if total else []
-    model = Hmm.start([np.frombuffer(r.classes, np.uint16) for r in begin], states)
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.crc32("classes")).limit(START_DOCS)
+    # Only counts by class reach the driver, so a text's length doesn't matter.
+    counted = map_columns(some.select("classes"), "counts binary", lambda: lambda classes: [[np.bincount(np.frombuffer(c, np.uint16), minlength=CLASSES).astype(np.uint32).tobytes() for c in classes]])
+    begin = sorted(bytes(r.counts) for r in counted.collect()) if total else []
+    model = Hmm.start(np.frombuffer(b"".join(begin), np.uint32).reshape(-1, CLASSES), states)
     for _ in range(rounds if total else 0):
         model = _round(train, model)
 

@@ -14,6 +14,7 @@ however long, an empty table gives no rows. Other columns, of any name, pass unr
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,8 +25,8 @@ from . import textstats as ts
 from .common import keep_rows, labelled_sample, map_columns, texts
 from .crf import Chain
 
-#: Labelled documents that the CRF is fitted on, at most.
-TRAIN_DOCS = 3000
+#: Labelled documents that the CRF is fitted on, at most, and lines of each; of a longer one, a stretch that its hash chooses.
+TRAIN_DOCS, TRAIN_LINES = 3000, 400
 #: Fits of the chain, each on the lines as the one before labels them.
 ROUNDS = 2
 #: A text stays if at least this share of its words is in content lines.
@@ -120,17 +121,19 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Chain:
-    """Features come from the executors; the driver fits on at most `rows` documents."""
+    """Features come from the executors; the driver fits on at most `rows` documents and TRAIN_LINES lines of each."""
     sample = labelled_sample(docs, labels, F.lit(True), rows)
 
     def make():
         def f(_, text, y):
-            data = [line_rows(t.encode("utf-8", "surrogatepass")) for t in text]
+            data = [line_rows(b) for b in (t.encode("utf-8", "surrogatepass") for t in text)]
+            begin = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % max(1, len(d) - TRAIN_LINES + 1) for t, d in zip(text, data, strict=True)]
+            data = [d[b : b + TRAIN_LINES] for b, d in zip(begin, data, strict=True)]
             return [[binned(d).astype(np.int16).tobytes() if d else b"" for d in data], [np.array([r[0] for r in d], np.int64).tobytes() for d in data], [seeded(d).tobytes() for d in data], y]
 
         return f
 
-    got = map_columns(sample.select("doc_id", "text", "y"), "x binary, n binary, seed binary, y int", make).limit(rows).orderBy("x", "y", "n", "seed").collect()
+    got = map_columns(sample.select("doc_id", "text", "y"), "x binary, n binary, seed binary, y int", make).orderBy("x", "y", "n", "seed").collect()
     return fit([(np.frombuffer(r.x, np.int16).astype(np.int32).reshape(-1, len(EDGES)), np.frombuffer(r.n, np.int64), np.frombuffer(r.seed, bool), r.y) for r in got])
 
 

@@ -6,7 +6,9 @@ estimated from how densely positives and unlabelled texts meet at the top of a f
 minimises  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the logistic loss.
 
 Null text is read as empty and gets a score like any other. Without positives or unlabelled rows every score is 0.5.
-The fit sees at most TRAIN_POSITIVE and TRAIN_UNLABELLED rows; scoring covers every whole text.
+The fit sees at most TRAIN_POSITIVE and TRAIN_UNLABELLED rows, one for each id; scoring covers every whole text, however
+long, and repeated rows each. A score of just THRESHOLD is predicted 1. An empty table gives no rows. Other columns, of any
+name, pass unread.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import crc_of_id, keep_rows, labelled_sample, map_columns, texts
+from .common import crc_of_id, keep_rows, labelled_sample, map_columns, one_text_each, texts
 
 TRAIN_POSITIVE, TRAIN_UNLABELLED, THRESHOLD = 4000, 8000, 0.3
 #: Bin edges of a feature are these quantiles of the positives: fine in both tails, where junk lies.
@@ -121,7 +123,7 @@ def learnable(column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSITIVE, unlabelled: int = TRAIN_UNLABELLED) -> PuModel:
     good = labelled_sample(docs, labels, learnable() & (F.col("quality") == 1), positive)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learnable() & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(unlabelled)
-    return fit(_extract(good), _extract(texts(docs).join(F.broadcast(ids), "doc_id")))
+    return fit(_extract(good), _extract(one_text_each(docs, ids)))
 
 
 def score(docs: DataFrame, model: PuModel, threshold: float = THRESHOLD) -> DataFrame:
