@@ -1,5 +1,6 @@
-"""Code blocks of trajectories without running them: calls of the registry with one literal argument are read from the
-syntax tree and answered by joins; anything else fails as unsupported. That is a stated limit: no text is ever executed."""
+"""Code blocks of trajectories without running them: prints of literals and of the registry's answers to calls with literal
+arguments, by way of variables too, are read from the syntax tree and answered by joins; anything else fails as unsupported.
+That is a stated limit: no text is ever executed."""
 
 from __future__ import annotations
 
@@ -18,19 +19,32 @@ from . import registry as R
 METHODS = {"list_names": 0, "count": 0, "get_tool_names_with_descriptions": 0, "search": 1, "get_schema": 1, "filter_by_category": 1}
 
 
+def _call(node: ast.expr) -> tuple[str, str] | None:
+    """(method, argument) of tools_registry.method("literal"), or ("print", text) of a literal."""
+    match node:
+        case ast.Call(ast.Attribute(ast.Name("tools_registry"), method), args, []) if METHODS.get(method) == len(args) and all(isinstance(a, ast.Constant) and isinstance(a.value, str) for a in args):
+            return method, args[0].value if args else ""
+        case ast.Constant(value):
+            return "print", str(value)
+    return None
+
+
 def calls_of(code: str) -> list[tuple[str, str]] | None:
-    """(method, argument) of each print(tools_registry.method("literal")) of a block; None if it holds anything else."""
+    """What a block prints, in order: registry calls and literals, themselves or as variables that were given them; None if it
+    holds anything else."""
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    out = []
+    out, names = [], {}
     for node in tree.body:
         match node:
-            case ast.Expr(ast.Call(ast.Name("print"), [ast.Call(ast.Attribute(ast.Name("tools_registry"), method), args, [])], [])) if METHODS.get(method) == len(args):
-                if not all(isinstance(a, ast.Constant) and isinstance(a.value, str) for a in args):
-                    return None
-                out.append((method, args[0].value if args else ""))
+            case ast.Expr(ast.Call(ast.Name("print"), [ast.Name(name)], [])) if name in names:
+                out.append(names[name])
+            case ast.Expr(ast.Call(ast.Name("print"), [value], [])) if (call := _call(value)):
+                out.append(call)
+            case ast.Assign([ast.Name(name)], value) if (call := _call(value)):
+                names[name] = call
             case _:
                 return None
     return out
@@ -47,8 +61,9 @@ def run_blocks(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = V
     blocks = M.repl_turns(trajectories, config.max_turns).join(trajectories.select("traj_id", "registry"), "traj_id")
     blocks = blocks.withColumn("calls", registry_calls("code"))
     asked = blocks.where("NOT over").select("traj_id", "turn", "registry", F.posexplode("calls").alias("call", "c")).select("traj_id", "turn", "call", "registry", "c.method", "c.argument")
-    distinct = asked.select("registry", "method", "argument").distinct()
+    distinct = asked.where("method <> 'print'").select("registry", "method", "argument").distinct()
     answers = asked.join(_answers(distinct, tools), ["registry", "method", "argument"], "left")
+    answers = answers.withColumn("answer", F.when(F.col("method") == "print", F.col("argument")).otherwise(F.col("answer")))
     lines = answers.groupBy("traj_id", "turn").agg(F.array_sort(F.collect_list(F.struct("call", "answer"))).alias("a"))
     printed = F.concat(F.array_join(F.transform("a", lambda x: x["answer"]), "\n"), F.lit("\n"))
     out = blocks.join(lines.select("traj_id", "turn", printed.alias("printed")), ["traj_id", "turn"], "left")
