@@ -41,30 +41,31 @@ LEAST = 12
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: A text in which this doesn't occur has no base match.
-NEAR_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
+#: An assignment has one of these in small letters; looking for them is much faster than for the pattern.
+_NAMED = ("passw", "secret", "token", "api")
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 _KEY = re.compile(r"pass(?:word|wd|phrase)?$|secret|token|api_?key|auth|bearer|credential|private_?key|access_?key|pwd$", re.I | re.A)
 
 
+def _matches(text: str):
+    """(start of the match, number of its kind, start and end of what is secret in it) of the base matches."""
+    low = text.lower()
+    if any(name in low for name in _NAMED):
+        yield from ((m.start(), 0, *m.span(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12)
+    if "AKIA" in text:
+        yield from ((m.start(), 1, *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18)
+    yield from ((m.start(), 2, *m.span()) for m in _HEX.finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) by start, then kind as listed."""
-    out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-    out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
-    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    return [(s, KINDS[k], e) for s, k, e in sorted(out)]
+    return [(s, KINDS[k], e) for s, k, _, e in sorted(_matches(text), key=lambda m: (m[0], m[1]))]
 
 
 def secret_parts(text: str) -> list[tuple[int, int]]:
     """What is secret in the base matches: the value of an assignment, and the other matches as they are."""
-    return [(s, e) for _, s, e in _parts(text)]
-
-
-def _parts(text: str) -> list[tuple[int, int, int]]:
-    """(start of the match, start and end of what is secret in it)."""
-    out = [(m.start(), *m.span(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-    return out + [(m.start(), *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18] + [(m.start(), *m.span()) for m in _HEX.finditer(text)]
+    return [(s, e) for _, _, s, e in _matches(text)]
 
 
 #: What variants put before values, and the letters that values are made of.
@@ -84,7 +85,7 @@ def variant(text: str, number: int) -> tuple[str, list[tuple[int, int]]]:
         out.append(piece)
         at += len(piece)
 
-    for start, s, e in sorted(_parts(text), key=lambda p: (p[0], -p[2])):
+    for start, _, s, e in sorted(_matches(text), key=lambda p: (p[0], -p[3])):
         if start < done:
             continue
         add(text[done:start])
@@ -230,10 +231,9 @@ class SecretModel:
 
 
 def _holding(docs: DataFrame) -> DataFrame:
-    """texts(), with whether there may be a base match, and an empty text where no span is possible: none is without LEAST
-    marks in a row that aren't blank (Java's blanks are among Python's). Such texts needn't reach Python."""
-    text = F.col("text")
-    return texts(docs).select("doc_id", F.when(text.rlike(rf"\S{{{LEAST}}}"), text).otherwise(F.lit("")).alias("text"), text.rlike(NEAR_BASE).alias("may"))
+    """texts(), with an empty text where no span is possible: none is without LEAST marks in a row that aren't blank (Java's
+    blanks are among Python's). Such texts needn't reach Python."""
+    return texts(docs).withColumn("text", F.when(F.col("text").rlike(rf"\S{{{LEAST}}}"), F.col("text")).otherwise(F.lit("")))
 
 
 def windows(text: str, secret: list[tuple[int, int]], shapes: Shapes, reach: int = 4, most: int = TRAIN_WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -270,11 +270,9 @@ def _spread(items: list, n: int) -> list:
 
 
 def strata(docs: DataFrame) -> DataFrame:
-    """Table of (key, held) of each different row: whether it holds a base match. Python looks only at texts that come close
-    to one."""
-    rows = texts(docs).select(_key().alias("key"), F.when(F.col("text").rlike(NEAR_BASE), F.col("text")).otherwise(F.lit("")).alias("text"))
-    looked = map_columns(rows.where("text <> ''"), "key long, held boolean", lambda: lambda key, text: [key, [bool(secret_parts(t)) for t in text]])
-    return table(rows.where("text = ''").select("key", F.lit(False).alias("held")).unionAll(looked), "strata")
+    """Table of (key, held) of each row: whether it holds a base match."""
+    rows = texts(docs).select(_key().alias("key"), "text")
+    return table(map_columns(rows, "key long, held boolean", lambda: lambda key, text: [key, [bool(secret_parts(t)) for t in text]]), "strata")
 
 
 def _key():
@@ -344,10 +342,10 @@ def find(docs: DataFrame, model: SecretModel | None) -> DataFrame:
     def make():
         shapes = Shapes()
 
-        def f(ids, text, may):
+        def f(ids, text):
             rows = []
-            for t, likely in zip(text, may, strict=True):
-                base = base_spans(t) if t and likely else []
+            for t in text:
+                base = base_spans(t)
                 n = Counter(k for _, k, _ in base)
                 said = ",".join(f"{k}:{s}:{e}" for s, k, e in base)
                 rows.append((*map(n.__getitem__, KINDS), hashlib.sha256(said.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, k, e in all_spans(t, base, model, shapes))))
