@@ -707,12 +707,9 @@ def group_advantage(v):
 @query("SELECT conv_id, reason FROM s", _STAGE1)
 def stream_verify_available_now(v):
     """The role checks of verify_stage1 over a stream of files, run to the end of what is there; its state is a table."""
-    import uuid
-
     from ..streaming import verify as S
 
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{v.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = S.shared_folder(v.spark, "stream")
     messages.assemble(v.turns()).write.parquet(f"{folder}/in")
     stream = v.spark.readStream.schema("conv_id long, messages array<struct<role:string,content:string>>").parquet(f"{folder}/in")
     S.run_available(S.roles_checked(stream).select("conv_id", "reason"), f"{folder}/out", f"{folder}/state").awaitTermination()

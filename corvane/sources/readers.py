@@ -102,9 +102,3 @@ def prefixes(tools_: DataFrame, sizes: dict[str, int | None]) -> DataFrame:
 
 def system_prompt(template: str, num_tools: Column) -> Column:
     return F.replace(F.lit(template), F.lit("{num_tools}"), num_tools.cast("string"))
-
-
-def stream_entries(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A stream of the JSONL files that come to a folder, blank lines left out."""
-    lines = spark.readStream.text(path).where(strip(F.col("value")) != "")
-    return lines.select(F.from_json("value", ddl).alias("r")).select("r.*")
