@@ -46,6 +46,17 @@ def registry_tokens(v):
     return registry.token_estimate(v.tools(), F.concat("name", "description", "category"))
 
 
+@query("SELECT registry, row_number() OVER (PARTITION BY registry ORDER BY pos) - 1 AS pos, name, description, category FROM v_tools")
+def registry_from_json(v):
+    """Each registry written as one JSON object and read by the registry reader."""
+    from ..sources import readers
+
+    one = F.struct("pos", F.struct("name", "description", F.struct("category").alias("annotations")).alias("t"))
+    listed = v.tools().groupBy("registry").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("tools"))
+    texts = listed.select("registry", F.to_json(F.struct("tools")).alias("text"))
+    return readers.tools(texts).select("registry", "pos", "name", "description", "category")
+
+
 @query("SELECT registry, pos, name, description FROM v_tools WHERE contains(lower(name || ' ' || description), 'red')")
 def registry_search(v):
     return registry.search(v.tools(), "Red")
@@ -139,6 +150,12 @@ def extract_path_and_number(v):
     return v.read("pages").select("page_id", T.path_or_url(F.col("html")).alias("path"), T.first_integer(F.col("html")).alias("number"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[''"]([^''"]+)[''"]') THEN regexp_extract(text, '[''"]([^''"]+)[''"]', 1) END AS quoted,
+  CASE WHEN regexp_matches(text, '[\w.+-]+@[\w.-]+') THEN regexp_extract(text, '[\w.+-]+@[\w.-]+') END AS address FROM documents""")
+def extract_quoted_and_address(v):
+    return v.read("documents").select("doc_id", T.quoted(F.col("text")).alias("quoted"), T.email_address(F.col("text")).alias("address"))
+
+
 # Evaluation
 
 
@@ -321,6 +338,11 @@ def verify_pipeline(v):
     return verify.verify(_trajectories(v), _main_tools(v), expected, verdicts).select("traj_id", "reject_stage", "reject_reason")
 
 
+@query("SELECT event_id AS traj_id, NOT headless AND contains(text, 'FINAL(') AND contains(text, expected_tool) AS ok FROM m", _FORMAT)
+def verify_quick(v):
+    return _trajectories(v).select("traj_id", messages.quick_check(F.col("messages"), F.col("correct_tool")).alias("ok"))
+
+
 @query("SELECT event_id, event_id % 4 <> 1 AND event_id % 4 <> 2 AS ok FROM events")
 def verify_required_params(v):
     kind = F.col("event_id") % 4
@@ -353,6 +375,23 @@ def verify_code_blocks(v):
     return repl.executed(rows, tools).select("traj_id", "blocks", "failed", F.get("messages", F.lit(2))["content"].alias("output"))
 
 
+@query("""SELECT event_id AS traj_id, CAST(m AS INT) AS message, CAST(b AS INT) AS block, CAST(m / 2 * n + b + 1 AS INT) AS turn, m / 2 * n + b + 1 > 3 AS over
+FROM (SELECT event_id, CASE event_id % 7 WHEN 1 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS n FROM events), (SELECT unnest([0, 2]) AS m), (SELECT unnest([0, 1]) AS b) WHERE b < n""")
+def repl_turn_numbers(v):
+    """Blocks of two answers of one conversation, numbered over both; those after the third are over the limit."""
+    m = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    rows = v.answers().select(F.col("event_id").alias("traj_id"), F.array(m("assistant", F.col("text")), m("user", F.lit("and?")), m("assistant", F.col("text"))).alias("messages"))
+    return messages.repl_turns(rows, 3).select("traj_id", F.col("message").cast("int").alias("message"), F.col("block").cast("int").alias("block"), "turn", "over")
+
+
+@query("SELECT event_id AS traj_id, event_type AS predicted_tool, CASE WHEN event_id % 7 = 1 THEN 1 ELSE 0 END::BIGINT AS turns, 3 AS n_messages FROM events WHERE event_id % 7 IN (1, 5, 6)")
+def ground_replies(v):
+    """Teacher texts as conversations; those without a JSON object as answer are left out."""
+    raw = v.answers().select(F.col("event_id").alias("traj_id"), F.lit("main").alias("registry"), F.col("event_type").alias("query"), F.col("text").alias("raw"))
+    tools = _main_tools(v).withColumn("description", F.lit("d")).withColumn("category", F.lit(None).cast("string")).withColumn("schema", F.col("name"))
+    return repl.ground(raw, tools, "Use <code> tags.").select("traj_id", "predicted_tool", "turns", F.size("messages").alias("n_messages"))
+
+
 @query("SELECT conv_id, CASE WHEN min(turn) FILTER (contains(text, 'the')) IS NOT NULL THEN CAST(min(turn) FILTER (contains(text, 'the')) + 1 AS INT) ELSE 10 END AS turns_used, min(turn) FILTER (contains(text, 'the')) IS NOT NULL AS success FROM conversations GROUP BY conv_id")
 def model_loop(v):
     said = F.when(F.contains("text", F.lit("the")), F.lit("FINAL(x)")).otherwise(F.lit("<code>\nprint(1)\n</code> FINAL"))
@@ -403,6 +442,11 @@ def split_stratum_key(v):
     return v.queries().where("n_chars % 60 > 0").select("ord", made.alias("stratum"))
 
 
+@query("SELECT stratum, count(*) AS n_queries FROM fs GROUP BY stratum", _FIRST)
+def split_strata_sizes(v):
+    return splits.first_stratum(v.queries()).groupBy("stratum").agg(F.count("*").alias("n_queries"))
+
+
 @query("SELECT md5(query) AS query, stratum FROM fs", _FIRST)
 def split_first_seen_stratum(v):
     return splits.first_stratum(v.queries()).withColumn("query", F.md5(F.col("query").cast("binary")))

@@ -106,3 +106,12 @@ def test_calls_in_python_notation():
     assert P.call_of("{'name': 'f', 'arguments': {'a': None}}") == ("f", '{"a": null}')
     assert P.call_of("{'name': 'f', 'arguments': 'no json'}") == ("f", "{}")
     assert P.call_of("__import__('os')") == (None, None)
+
+
+def test_settings():
+    from corvane.config import ReplConfig, settings
+
+    text = '# all\n\nmodel:\n  name: "a:b # c"\n  url: http://x:1  # where\n  heat: 0.5\nrepl:\n  level_1:\n    max_turns: 7\n    imports: ["re"]\n  level_3:\n    timeout_seconds: 60\nlast: [1, 2]\n'
+    got = settings(text.replace(" # c", ""))
+    assert got == {"model": {"name": "a:b", "url": "http://x:1", "heat": 0.5}, "repl": {"level_1": {"max_turns": 7, "imports": ["re"]}, "level_3": {"timeout_seconds": 60}}, "last": [1, 2]}
+    assert ReplConfig.of(got, 1) == ReplConfig(max_turns=7) and ReplConfig.of(got, 2) == ReplConfig() and ReplConfig.of(got, 3) == ReplConfig(max_output_chars=4000, timeout_seconds=60)
