@@ -9,14 +9,13 @@ V_class + 1), one share being left for words never seen. So unknown words need n
    list with its counts over training texts.
 2. Counts of a word are summed over blocks, tasks first, which is the exact count of every word; totals by class go to the
    driver.
-3. A mixture of class distributions over at most START_DOCS training texts starts the states; then ROUNDS of Baum-Welch
-   see every training text: each task sums its expected counts, Spark adds them by class.
+3. The counts of all training tokens by class, varied a little, start the states; then ROUNDS of Baum-Welch see every
+   training text: each task sums its expected counts, Spark adds them by class.
 4. Each block meets the counts of its words again: the exact likelihood by the forward recursion in double precision,
    the word terms and the base score.
 
-Null text is read as empty: it has the end alone. Texts are scored whole, however long. Repeated rows count each. Ties in
-the choice of texts to start from go to the smaller id, then to the smaller hash of the text. With no training text all
-counts are 0 and the states are uniform; an empty table gives no rows. Other columns pass unread.
+Null text is read as empty: it has the end alone. Texts are scored whole, however long. Repeated rows count each; no ties
+arise. With no training text all counts are 0 and the states untrained; an empty table gives no rows. Other columns pass unread.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import crc_of_id, map_columns, schema_of, table, texts, tune
 
-STATES, CLASSES, ROUNDS, START_DOCS = 8, 2048, 2, 2000
+STATES, CLASSES, ROUNDS = 8, 2048, 4
 #: A block is closed at so many different words or so many tokens; a task gathers so many tokens for one recursion.
 BLOCK_WORDS, BLOCK_TOKENS, GATHER = 250_000, 2_000_000, 2_000_000
 
@@ -118,22 +117,13 @@ class Hmm:
         self.begin, self.move, self.emit = begin, move, emit
 
     @classmethod
-    def start(cls, counts: np.ndarray, states: int = STATES, rounds: int = 25) -> Hmm:
-        """States from a mixture of class distributions over whole texts, counts [texts, classes], fitted by EM from a fixed
-        random start."""
-        x, classes = counts.astype(float) if len(counts) else np.zeros((1, counts.shape[1])), counts.shape[1]
-        rng = np.random.default_rng(7)
-        all_ = x.sum(0) + 0.1
-        q = rng.dirichlet(np.ones(states), len(x))
-        for _ in range(rounds):
-            emit = x.T @ q + 0.05 * (all_ / all_.sum())[:, None] * classes
-            emit /= emit.sum(0)
-            log = x @ np.log(emit) + np.log(q.mean(0) + 1e-9)
-            log *= np.minimum(1.0, 60 / np.maximum(1, x.sum(1)))[:, None] ** 0.5  # long texts shouldn't decide at once
-            q = np.exp(log - log.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-        begin = q.mean(0) + 0.01
-        return cls(begin / begin.sum(), np.full((states, states), 0.03 / max(1, states - 1)) * (1 - np.eye(states)) + 0.97 * np.eye(states), emit)
+    def start(cls, counts: np.ndarray, states: int = STATES, noise: float = 0.5, stay: float = 0.95) -> Hmm:
+        """States that emit the classes as often as all training tokens do (counts by class), each made a little different by
+        fixed random numbers, and that mostly stay: what belongs together in the texts then draws them apart."""
+        emit = (counts + 0.1)[:, None] * np.exp(noise * np.random.default_rng(7).standard_normal((len(counts), states)))
+        move = np.full((states, states), (1 - stay) / max(1, states - 1))
+        np.fill_diagonal(move, stay if states > 1 else 1.0)
+        return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @classmethod
     def of_counts(cls, begin: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
@@ -263,16 +253,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
         n_class[r["class"]], v_class[r["class"]] = r.n, r.v
     total, distinct = int(n_class.sum()), int(v_class.sum())
 
-    train = text.where("NOT held").select("doc_id", "classes")
-    # A hash threshold that leaves some START_DOCS rows, so that tasks send few rows to be sorted and cut to that number.
-    share = 1 << 20
-    least = -(-2 * START_DOCS * share // max(1, int(n_class[0])))
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < least)
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.crc32("classes")).limit(START_DOCS)
-    # Only counts by class reach the driver, so a text's length doesn't matter.
-    counted = map_columns(some.select("classes"), "counts binary", lambda: lambda classes: [[np.bincount(np.frombuffer(c, np.uint16), minlength=CLASSES).astype(np.uint32).tobytes() for c in classes]])
-    begin = sorted(bytes(r.counts) for r in counted.collect()) if total else []
-    model = Hmm.start(np.frombuffer(b"".join(begin), np.uint32).reshape(-1, CLASSES), states)
+    train = text.where("NOT held").select("classes")
+    model = Hmm.start(n_class, states)
     for _ in range(rounds if total else 0):
         model = _round(train, model)
 
