@@ -55,6 +55,16 @@ class Words(dict):
         return n
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """uint32 numbers as their lowest bytes, then the next ones, and so on: small numbers leave long runs of zeros, which
+    the shuffle and the table pack."""
+    return ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 NUMBERED = "block long, doc_id long, held boolean, ids binary, classes binary, word binary, at int, class int, n long"
 
 
@@ -85,7 +95,7 @@ def numbered(docs: DataFrame) -> DataFrame:
                     counts = np.concatenate([counts, np.zeros(max(len(words), 2 * len(counts)) - len(counts), np.int64)])
                 if not held:
                     np.add.at(counts, ids, 1)
-                rows.append((block, i, held, ids.tobytes(), ids))
+                rows.append((block, i, held, planes(ids), ids))
                 tokens += len(ids)
                 if len(words) >= BLOCK_WORDS or tokens >= BLOCK_TOKENS:
                     yield _texts(rows, words, schema)
@@ -101,6 +111,35 @@ def numbered(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("held", crc_of_id() % 7 == 2).mapInArrow(run, schema_of(NUMBERED))
 
 
+def packed(listed: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Rows (of, at, class, c) as (of, data): what each task has for a block, many rows at a time, as at, class, and the low
+    and high halves of c."""
+    schema = to_arrow_schema(schema_of("of long, data binary"))
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            of, at, kind, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(of, kind="stable")
+            of, values = of[order], np.stack([at, kind, c & 0xFFFFFFFF, c >> 32]).astype(np.uint32)[:, order]
+            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            parts = [planes(np.ascontiguousarray(v).ravel()) for v in np.split(values, edges[1:], axis=1)]
+            return pa.RecordBatch.from_arrays([pa.array(of[edges]), pa.array(parts, pa.binary())], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                n += batch.num_rows
+            if n >= rows:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return listed.mapInArrow(run, schema_of("of long, data binary"))
+
+
 def _texts(rows: list[tuple], words: Words, schema: pa.Schema) -> pa.RecordBatch:
     kinds = np.array(words.classes, np.uint16)
     out = [pa.nulls(len(rows), t) for t in schema.types]
@@ -246,7 +285,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     # One row for each word after tasks have added up their own; the join back to the blocks may be split where it is skewed.
     words = table(listed.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c")), "words")
     sums = words.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()
-    listed = listed.select(F.col("block").alias("of"), "at", "class", "word").join(words.select("word", "c"), "word").select("of", "at", "class", "c")
+    listed = listed.select(F.col("block").alias("of"), "at", "word").join(words, "word").select("of", "at", "class", "c")
+    listed = packed(listed)
     blocks = max(1, text.agg(F.countDistinct("block")).head()[0])
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
@@ -261,11 +301,11 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     def block(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
-        at = words["at"].to_numpy()
+        at, kinds, low, high = np.concatenate([whole(x).reshape(4, -1) for x in words["data"]], 1)
         c, kind = np.zeros(len(at)), np.zeros(len(at), np.int64)
-        c[at], kind[at] = words["c"], words["class"]
+        c[at], kind[at] = low + high * float(1 << 32), kinds
         plain, inside = np.log10((c + 1) / (total + distinct + 1)), np.log10((c + 1) / (n_class[kind] + v_class[kind] + 1))
-        ids = [np.frombuffer(x, np.uint32) for x in rows["ids"]]
+        ids = [whole(x) for x in rows["ids"]]
         hmm = np.concatenate([model.likelihood([kind[d] for d in ids[a : a + 4096]]) for a in range(0, len(ids), 4096)])
         word = np.array([inside[d].sum() for d in ids])
         return pd.DataFrame({
