@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType
 
 from ..config import EXTRA_WRONG, SPURIOUS, WRONG_FACTORS, WRONG_STRINGS
 from .text import strip
@@ -86,6 +86,13 @@ def call_of(text: str | None) -> tuple[str | None, str | None]:
     return str(call.get("name", "")), json.dumps(args if isinstance(args, dict) else {})
 
 
-@F.pandas_udf(StructType().add("name", StringType()).add("arguments", StringType()))
-def literal_call(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(list(map(call_of, text)), columns=["name", "arguments"])
+@F.pandas_udf(StringType())
+def call_arguments(calls: pd.Series, tool: pd.Series) -> pd.Series:
+    """Arguments of the first of the calls whose name is the tool, or ends in "-" and it; null where none is."""
+    def first(texts, name):
+        for said, arguments in map(call_of, texts if texts is not None and name is not None else ()):
+            if said is not None and (said == name or said.endswith(f"-{name}")):
+                return arguments
+        return None
+
+    return pd.Series([first(*x) for x in zip(calls, tool, strict=True)], dtype=object)

@@ -5,34 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import VERIFY_REPL
+from ..config import PROMPT, VERIFY_REPL
 from ..functions import text as T
 from ..functions.labels import hash_order, adapter_registry, category_of, search_word
-from ..functions.params import literal_call
+from ..functions.params import call_arguments
 from . import registry as R
 
 _TOOL = "struct<type:string,name:string,description:string,inputSchema:string,parameters:string,annotations:struct<category:string>,function:struct<name:string,description:string,parameters:string>>"
 EMPTY_SCHEMA = '{"type": "object", "properties": {}}'
 
 
-def tools_of(raw: Column) -> Column:
-    """Tools of a JSON list in any of three shapes (our own, wrapped as a function, bare with parameters) as
-    (name, description, input_schema, category); others and nameless ones are left out; null where it is no list."""
-    items = F.from_json(raw, f"array<{_TOOL}>")
-
-    def one(t: Column) -> Column:
-        wrapped = (t["type"] == "function") & t["function"].isNotNull()
-        own = t["name"].isNotNull() & t["inputSchema"].isNotNull()
-        bare = t["name"].isNotNull() & t["parameters"].isNotNull()
-        name = F.when(own | bare, t["name"]).when(wrapped, t["function"]["name"])
+def _items(raw: Column) -> Column:
+    """Tools of a JSON list in any of three shapes (our own, wrapped as a function, bare with parameters) as they stand; others
+    and nameless ones are left out; null where it is no list."""
+    return F.filter(F.from_json(raw, f"array<{_TOOL}>"), lambda t: F.coalesce(_name(t), F.lit("")) != "")
+
+
+def _wrapped(t: Column) -> Column:
+    return (t["type"] == "function") & t["function"].isNotNull()
+
+
+def _named(t: Column) -> Column:
+    return t["name"].isNotNull() & (t["inputSchema"].isNotNull() | t["parameters"].isNotNull())
+
+
+def _name(t: Column) -> Column:
+    return F.when(_named(t), t["name"]).when(_wrapped(t), t["function"]["name"])
+
+
+def _described(items: Column, names: Column) -> Column:
+    """(name, description, input_schema, category) of each of _items(), whose names are given."""
+    def one(t: Column, i: Column) -> Column:
+        own, name = t["name"].isNotNull() & t["inputSchema"].isNotNull(), F.get(names, i)
         return F.struct(
             name.alias("name"),
-            F.coalesce(F.when(own | bare, t["description"]).otherwise(t["function"]["description"]), F.lit("")).alias("description"),
-            F.coalesce(F.when(own, t["inputSchema"]).when(wrapped, t["function"]["parameters"]).otherwise(t["parameters"]), F.lit(EMPTY_SCHEMA)).alias("input_schema"),
+            F.coalesce(F.when(_named(t), t["description"]).otherwise(t["function"]["description"]), F.lit("")).alias("description"),
+            F.coalesce(F.when(own, t["inputSchema"]).when(_wrapped(t), t["function"]["parameters"]).otherwise(t["parameters"]), F.lit(EMPTY_SCHEMA)).alias("input_schema"),
             F.when(own, t["annotations"]["category"]).otherwise(category_of(name)).alias("category"),
         )
 
-    return F.filter(F.transform(items, one), lambda t: F.coalesce(t["name"], F.lit("")) != "")
+    return F.transform(items, one)
+
+
+def tools_of(raw: Column) -> Column:
+    """Tools of a JSON list in any of its shapes as (name, description, input_schema, category)."""
+    items = _items(raw)
+    return _described(items, F.transform(items, _name))
 
 
 def questions_of(raw: Column) -> Column:
@@ -51,40 +69,41 @@ def zipped(questions: Column, targets: Column) -> Column:
     return F.arrays_zip(F.slice(questions, 1, n).alias("question"), F.slice(targets, 1, n).alias("target"))
 
 
-def resolve(target: Column, names: Column) -> Column:
+def resolve(target: Column, names: Column, slugs: Column | None = None) -> Column:
     """The registry's name for a target: itself; its part after "::"; else, in registry order, the first name that ends
-    in "_" and the slug of that part or equals it."""
+    in "_" and the slug of that part or equals it. slugs: the names with "_" for "-" in lower case, where they are known."""
     part = T.strip(F.element_at(F.split(target, "::"), -1))
     own = F.replace(F.replace(F.lower(part), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
-    slugged = F.filter(names, lambda n: F.endswith(F.replace(F.lower(n), F.lit("-"), F.lit("_")), F.concat(F.lit("_"), own)) | (F.replace(F.lower(n), F.lit("-"), F.lit("_")) == own))
+    slugs = _slugs(names) if slugs is None else slugs
+    slugged = F.filter(names, lambda _, i: F.endswith(F.concat(F.lit("_"), F.get(slugs, i)), F.concat(F.lit("_"), own)))
     return F.when(F.array_contains(names, target), target).when(F.array_contains(names, part), part).otherwise(F.get(slugged, F.lit(0)))
 
 
-def turns(entries: DataFrame, least: int = 5, most: int = 100) -> DataFrame:
+def _slugs(names: Column) -> Column:
+    return F.transform(names, lambda n: F.replace(F.lower(n), F.lit("-"), F.lit("_")))
+
+
+def turns(entries: DataFrame, least: int = 5, most: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """Single-tool rows of entries(uuid, subset_name, question, target_tools, tools, messages), with a status for those
     that aren't usable: irrelevant, parse_fail, size_filter, build_fail, else ok. Parameters come from the first call of
-    the tool in the entry."""
-    parsed = entries.withColumn("_tools", tools_of(F.col("tools"))).withColumn("_pairs", zipped(questions_of(F.col("question")), targets_of(F.coalesce("target_tools", F.lit("")))))
-    n = F.coalesce(F.size("_tools"), F.lit(0))
+    the tool in the entry. keep: further columns of entries to pass on. Tools are described last, so that what only counts
+    rows never looks at more than their names."""
+    parsed = entries.withColumn("_items", _items(F.col("tools"))).withColumn("_names", F.transform("_items", _name)).withColumn("_slugs", _slugs(F.col("_names")))
+    parsed = parsed.withColumn("_pairs", zipped(questions_of(F.col("question")), targets_of(F.coalesce("target_tools", F.lit("")))))
+    n = F.coalesce(F.size("_names"), F.lit(0))
     status = F.when(F.col("subset_name") == "irrelevant", "irrelevant").when((n <= 0) | (F.coalesce(F.size("_pairs"), F.lit(0)) <= 0), "parse_fail").when(~n.between(least, most), "size_filter").otherwise("ok")
     rows = parsed.withColumn("status", status).withColumn("registry_size", n).select("*", F.posexplode_outer("_pairs").alias("turn", "_pair")).where("turn IS NULL OR turn = 0 OR status = 'ok'")
-    names = F.transform("_tools", lambda t: t["name"])
-    rows = rows.withColumn("query", T.strip(F.col("_pair.question"))).withColumn("correct_tool", resolve(F.col("_pair.target"), names))
+    rows = rows.withColumn("query", T.strip(F.col("_pair.question"))).withColumn("correct_tool", resolve(F.col("_pair.target"), F.col("_names"), F.col("_slugs")))
     rows = rows.withColumn("status", F.when((F.col("status") == "ok") & (F.col("correct_tool").isNull() | (F.coalesce("query", F.lit("")) == "")), "build_fail").otherwise(F.col("status")))
     out = rows.withColumn("registry", adapter_registry(F.col("registry_size"))).withColumn("source", F.lit("toucan"))
-    return out.withColumn("tools", F.col("_tools")).select("uuid", "turn", "status", "query", "correct_tool", "registry", "registry_size", "source", "tools", "messages")
+    return out.withColumn("tools", _described(F.col("_items"), F.col("_names"))).select("uuid", "turn", "status", "query", "correct_tool", "registry", "registry_size", "source", "tools", "messages", *keep)
 
 
 def with_call_params(rows: DataFrame) -> DataFrame:
-    """Adds params: the arguments, as JSON, of the first tool_call message whose name is the tool or ends in "-" and it."""
-    said = F.from_json("messages", "array<struct<role:string,content:string>>")
-    calls = rows.select("uuid", "turn", "correct_tool", F.posexplode(F.filter(said, lambda m: m["role"] == "tool_call")).alias("at", "m"))
-    read = calls.withColumn("call", literal_call(F.col("m.content"))).where((F.col("call.name") == F.col("correct_tool")) | F.endswith(F.col("call.name"), F.concat(F.lit("-"), F.col("correct_tool"))))
-    first = read.groupBy("uuid", "turn").agg(F.min_by("call.arguments", "at").alias("params"))
-    return rows.join(first, ["uuid", "turn"], "left").withColumn("params", F.coalesce("params", F.lit("{}")))
-
-
-PROMPT = "You choose one of {num_tools} tools. Look them up with <code> blocks that print calls of tools_registry, then answer FINAL({...})."
+    """Adds params: the arguments, as JSON, of the first tool_call message whose name is the tool or ends in "-" and it. Each
+    row reads its own messages, so it keeps them whatever its uuid."""
+    calls = F.filter(F.from_json("messages", "array<struct<role:string,content:string>>"), lambda m: m["role"] == "tool_call")
+    return rows.withColumn("params", F.coalesce(call_arguments(F.transform(calls, lambda m: m["content"]), "correct_tool"), F.lit("{}")))
 
 
 def trajectories(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PREFIXES, SYNONYMS
+from ..config import PREFIXES, PROMPT, SYNONYMS
 from ..functions import text as T
 from ..functions.labels import hash_order, hash_pick
 from . import messages as M
@@ -26,9 +26,6 @@ def reground_pairs(rows: DataFrame, registries: DataFrame, tools: DataFrame) ->
     return known.join(having, "correct_tool").where(F.col("_ord") < F.col("ord")).withColumn("augmentation", F.concat(F.lit("reground:"), "registry", F.lit("→"), "to_registry")).drop("_ord", "ord")
 
 
-PROMPT = "You choose one of {num_tools} tools. Look them up with <code> blocks that print calls of tools_registry, then answer FINAL({...})."
-
-
 def _prompted(rows: DataFrame, tools: DataFrame) -> DataFrame:
     """Rows whose tool is in their registry, with the prompt for its number of tools as _prompt."""
     sizes = R.counts(tools).withColumn("_prompt", F.replace(F.lit(PROMPT), F.lit("{num_tools}"), F.col("n_tools").cast("string"))).drop("n_tools")

@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..functions import params as P
 from ..functions import text as T
 from ..operators import adapter, augment, evaluate, messages, negatives, registry, repl, splits, training, verify
+from ..sources import store
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -738,6 +739,31 @@ def augment_fill_target(v):
     return augment.fill_to(rows, 20, 60).select("s_suppkey", "rank")
 
 
+# Datasets as streams
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest, count(*) OVER () AS positions FROM conversations")
+def dataset_shuffled_rows(v):
+    """The turns as a dataset in shuffled order, each once: as many different places as there are rows."""
+    from ..streaming.adapt import entries
+
+    rows = entries(v.spark, f"{v.dir}/conversations.parquet", "conv_id long, turn long, role string, text string", stream=False, buffer=1000)
+    return rows.crossJoin(rows.agg(F.count_distinct("_position").alias("positions"))).select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"), "positions")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def dataset_appended_batches(v):
+    """The same turns read as a stream of three micro-batches, which are appended once each."""
+    from ..streaming.adapt import entries
+    from ..streaming.append import AppendLog
+
+    folder, ddl = store.shared_folder(v.spark, "append"), "conv_id long, turn long, role string, text string"
+    step = -(-v.read("conversations").count() // 3)
+    log = AppendLog(v.spark, folder)
+    log.run(entries(v.spark, f"{v.dir}/conversations.parquet", ddl, rows_per_batch=max(1, step), progress=f"{folder}/progress.json"), f"{folder}/checkpoint")
+    return log.read(f"{ddl}, _position long").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # Training formulas
 
 
@@ -753,7 +779,7 @@ def stream_verify_available_now(v):
     """The role checks of verify_stage1 over a stream of files, run to the end of what is there; its state is a table."""
     from ..streaming import verify as S
 
-    folder = S.shared_folder(v.spark, "stream")
+    folder = store.shared_folder(v.spark, "stream")
     messages.assemble(v.turns()).write.parquet(f"{folder}/in")
     stream = v.spark.readStream.schema("conv_id long, messages array<struct<role:string,content:string>>").parquet(f"{folder}/in")
     S.run_available(S.roles_checked(stream).select("conv_id", "reason"), f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -18,19 +16,6 @@ def read_stream(spark: SparkSession, folder: str, ddl: str = S.TRAJECTORY, files
     return lines.where(strip(F.col("value")) != "").select(F.from_json("value", ddl).alias("r")).select("r.*")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, removed at the session's end. Where none is set, a local session takes one
-    below the warehouse; on a cluster that might be a folder of the driver alone, so it is an error there."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 def verified(stream: DataFrame) -> DataFrame:
     """The format stage, which needs no state, on each row as it comes."""
     return V.staged(stream.drop("reject_stage", "reject_reason"), V.format_reason(F.col("messages"), F.coalesce("turns", F.lit(0))))
