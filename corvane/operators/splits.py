@@ -6,11 +6,16 @@ Inside a stratum the order is a hash of seed and query, so it depends neither on
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grams as G
 from ..functions.labels import hash_order
+from ..sources import store
 
+#: Different n-grams of all items up to which queries give only those (8 bytes each).
+MOST_KEYS = 1_000_000
 
 #: Hex digits of the hash by which the queries of a stratum are dealt into buckets: 65,536 of them.
 BUCKET_DIGITS = 4
@@ -73,8 +78,31 @@ def without_overlap(train: DataFrame, held_out: DataFrame) -> DataFrame:
     return train.join(held_out.select("query").distinct(), "query", "left_anti")
 
 
-def holding(rows: DataFrame, held_out: DataFrame) -> DataFrame:
-    """Rows whose query holds the whole text of a held-out item(text), or is it. Containment has no key to join by, so each
-    query meets each item: the work is rows times items."""
+def holding(rows: DataFrame, held_out: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
+    """Rows whose query holds the whole text of a held-out item(text), or is it; an empty item is in none.
+
+    An inverted index of n-grams: an item of SIZE characters or more is known by one of its n-grams that the fewest queries
+    have (of a long item the least n-grams of its windows are enough to choose from, so queries give about one in eight);
+    a shorter one is its own n-gram. Queries give their n-grams once, equal keys join, and what has a key in common is
+    compared. Where all items have at most most_keys keys, queries give only these, else all."""
     items = held_out.where("text <> ''").select(F.col("text").alias("_item")).distinct()
-    return rows.join(items, F.contains("query", "_item"), "left_semi")
+    items = items.withColumn("_size", F.char_length("_item"))
+    lengths = [r._size for r in items.select(F.least("_size", F.lit(G.LONG)).alias("_size")).distinct().collect()]  # at most LONG
+    short, every, windows = tuple(n for n in lengths if n < G.SIZE), any(G.SIZE <= n < G.LONG for n in lengths), G.LONG in lengths
+
+    def own(text: str) -> np.ndarray:
+        return (G.Keys((len(text),)) if len(text) < G.SIZE else G.Keys(every=len(text) < G.LONG, windows=True))(text)
+
+    known = items.withColumn("_key", F.explode(G.keyed(F.col("_item"), own)))
+    different = known.select("_key").distinct()
+    wanted = np.sort(np.array([r._key for r in different.collect()], np.int64)) if different.count() <= most_keys else None
+
+    # Keys travel with a digest of the query, not with its text; the text meets the items that it may hold.
+    named = rows.withColumn("_digest", F.md5(F.col("query").cast("binary")))
+    met = named.select(F.col("_digest").alias("_of"), F.explode(G.keyed(F.col("query"), G.Keys(short, every, windows, wanted))).alias("_key"))
+    met = met if wanted is None else store.table(met, "query-keys")
+    common = met.groupBy("_key").agg(F.count("*").alias("_n"))
+    rarest = F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), "_key")).alias("_key")
+    chosen = store.table(known.join(common, "_key", "left").groupBy("_item").agg(rarest), "item-keys")
+    near = met.join(chosen, "_key").select("_of", "_item").distinct()
+    return named.join(near, (F.col("_digest") == F.col("_of")) & F.contains("query", "_item"), "left_semi").drop("_digest")
