@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.labels import hash_order, hash_pick
 from ..functions.params import corrupt
+from . import candidates
 from . import messages as M
 
 TOP = 3
 
 
+def _worded(rows: DataFrame, tools: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the words of their query and of their correct tool (the first of its name), tools with theirs."""
+    words = tools.select("registry", "name", "pos", T.tool_keywords(F.col("name"), F.col("description")).alias("words"))
+    first = words.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("words", "pos").alias("own"))
+    asked = rows.select("traj_id", "registry", "correct_tool", T.keywords(F.coalesce("query", F.lit(""))).alias("asked"))
+    return asked.join(first, ["registry", "correct_tool"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>"))), words
+
+
 def candidate_scores(rows: DataFrame, tools: DataFrame) -> DataFrame:
     """(traj_id, name, pos, score) of every other tool of the row's registry: twice the words it shares with the query,
-    less those it shares with the correct tool. rows(traj_id, registry, query, correct_tool)."""
-    words = tools.withColumn("_words", T.tool_keywords(F.col("name"), F.col("description")))
-    own = words.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("_words", "pos").alias("_own"))
-    asked = rows.withColumn("_asked", T.keywords(F.col("query"))).join(own, ["registry", "correct_tool"], "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
-    pairs = asked.join(words.select("registry", "name", "pos", "_words"), "registry").where(F.col("name") != F.col("correct_tool"))
-    return pairs.select("traj_id", "name", "pos", (2 * F.size(F.array_intersect("_words", "_asked")) - F.size(F.array_intersect("_words", "_own"))).alias("score"))
+    less those it shares with the correct tool. rows(traj_id, registry, query, correct_tool). That is the whole table of rows
+    and tools; best() finds the highest of it without it."""
+    asked, words = _worded(rows, tools)
+    pairs = asked.join(words, "registry").where(F.col("name") != F.col("correct_tool"))
+    return pairs.select("traj_id", "name", "pos", (2 * F.size(F.array_intersect("words", "asked")) - F.size(F.array_intersect("words", "own"))).alias("score"))
 
 
 def top_candidates(scores: DataFrame, k: int = TOP) -> DataFrame:
@@ -28,11 +36,15 @@ def top_candidates(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def best(rows: DataFrame, tools: DataFrame, k: int = TOP) -> DataFrame:
+    """top_candidates(candidate_scores(...)), by an index of keywords."""
+    return top_candidates(candidates.best_candidates(*_worded(rows, tools), k), k)
+
+
 def wrong_tools(rows: DataFrame, tools: DataFrame, seed: int = 42, k: int = TOP) -> DataFrame:
     """(traj_id, wrong_tool): one of the k best candidates, by hash; none where the registry has no other tool."""
-    top = top_candidates(candidate_scores(rows, tools), k)
-    best = top.groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
-    return best.select("traj_id", F.get("names", hash_pick(seed, F.size("names"), F.col("traj_id"))).alias("wrong_tool"))
+    names = best(rows, tools, k).groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
+    return names.select("traj_id", F.get("names", hash_pick(seed, F.size("names"), F.col("traj_id"))).alias("wrong_tool"))
 
 
 def own_registries(rows: DataFrame, tools: DataFrame) -> tuple[DataFrame, DataFrame]:

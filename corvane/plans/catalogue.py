@@ -527,7 +527,8 @@ def neg_candidate_scores(v):
 
 @query("SELECT traj_id, name, pos, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM tp", _SCORES)
 def neg_top3(v):
-    return negatives.top_candidates(negatives.candidate_scores(_asked(v), v.tools()))
+    best = negatives.best(_asked(v), v.tools())
+    return best.withColumn("score", F.col("score").cast("int"))
 
 
 @query("SELECT traj_id, wrong_tool FROM wt", _SCORES)
