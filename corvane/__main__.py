@@ -75,10 +75,8 @@ def _augment(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _rows(spark, a.input).withColumn("turns", F.coalesce("turns", messages.code_turns(F.col("messages"))))
     order = spark.createDataFrame([(n, i) for i, n in enumerate(a.order)], "registry string, ord int")
     given = readers.read_jsonl(spark, a.template_queries, ddl="name string, ord int, query string").drop("input", "line") if a.template_queries else spark.createDataFrame([], "name string, ord int, query string")
-    wanted = augment.asked(tools, rows, given).withColumn("params", F.lit("{}"))
-    wanted = wanted.withColumn("traj_id", F.concat(F.lit("template:"), F.md5(F.concat_ws("|", "registry", "correct_tool", "query").cast("binary"))))
-    made = augment.augmented(rows.select("traj_id", "registry", "query", "correct_tool", "turns", "messages"), order, tools, wanted, a.seed)
-    made.where(messages.quick_check(F.col("messages"), F.col("correct_tool"))).write.mode("error").json(a.output)
+    made = augment.pipeline(rows.select("traj_id", "registry", "query", "correct_tool", "turns", "messages"), order, tools, given, a.target, a.seed)
+    made.write.mode("error").json(a.output)
 
 
 def _negatives(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -133,6 +131,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--registries", required=True)
     c.add_argument("--order", nargs="+", required=True, help="names of the registries, smallest first")
     c.add_argument("--template-queries")
+    c.add_argument("--target", type=int, default=400, help="rows up to which paraphrases are made")
     c.add_argument("--seed", type=int, default=42)
     c = command("negatives", _negatives, "preference pairs")
     c.add_argument("--positives", nargs="+", required=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import PREFIXES, PROMPT, SYNONYMS
 from ..functions import text as T
 from ..functions.labels import hash_order, hash_pick
+from ..sources import store
 from . import messages as M
 from . import registry as R
 from . import repl
@@ -71,11 +72,25 @@ def capped(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Hex digits of the hash by which rows are dealt into buckets: 65,536 of them.
+BUCKET_DIGITS = 4
+
+
+def first_by_hash(rows: DataFrame, most: int, key: Column, *then: str) -> DataFrame:
+    """The first `most` rows by key, a hash as hex digits, then by further columns, with their rank. Rows are counted by bucket of
+    the hash, so that only the buckets up to the last row are ranked, each by itself."""
+    keyed = rows.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_k"))  # at most 65,536 rows
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).where(F.col("_before") < most).drop("_k")
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *then))
+    ranked = keyed.join(F.broadcast(starts), "_bucket").withColumn("rank", F.col("_before") + place)
+    return ranked.where(F.col("rank") <= most).drop("_key", "_bucket", "_before")
+
+
 def fill_to(rows: DataFrame, have: int, target: int, seed: int = 42) -> DataFrame:
-    """The first rows by hash, as many as are missing for the target; none where there are enough already. Only these are
-    brought together and ranked: each task gives its first ones."""
-    first = (hash_order(seed, F.col("query")), F.col("query"))
-    return rows.orderBy(*first).limit(max(0, target - have)).withColumn("rank", F.row_number().over(Window.orderBy(*first)))
+    """The first rows by hash, as many as are missing for the target; none where there are enough already."""
+    return first_by_hash(rows, max(0, target - have), hash_order(seed, F.col("query")), "query")
 
 
 def asked(tools: DataFrame, rows: DataFrame, queries: DataFrame, most: int = 3, enough: int = 4) -> DataFrame:
@@ -115,6 +130,26 @@ def params_from_query(properties: Column, query: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(said, ", "), F.lit("}"))
 
 
+def properties_of(schema: Column) -> Column:
+    """(name, type) of each property of a tool's inputSchema, in its order. A property without a type is a string; one whose type
+    isn't a single word has none."""
+    listed = F.from_json(schema, "struct<inputSchema:struct<properties:map<string,string>>>")["inputSchema"]["properties"]
+
+    def one(p: Column) -> Column:
+        said = F.try_variant_get(F.try_parse_json(p["value"]), "$.type", "string")
+        typed = F.array_contains(F.coalesce(F.json_object_keys(p["value"]), F.array().cast("array<string>")), "type")
+        return F.struct(p["key"].alias("name"), F.when(typed, F.coalesce(said, F.lit(""))).otherwise("string").alias("type"))
+
+    return F.transform(F.map_entries(listed), one)
+
+
+def filled(asked: DataFrame, tools: DataFrame) -> DataFrame:
+    """asked(registry, correct_tool, query, ...) with params: a value, read from the query, for each property of the tool's
+    schema; of tools of one name the last counts, and a tool without properties takes none."""
+    last = R.last_by_name(tools.select("registry", "name", "pos", "schema")).select("registry", F.col("name").alias("correct_tool"), properties_of(F.col("schema")).alias("_properties"))
+    return asked.join(last, ["registry", "correct_tool"], "left").withColumn("params", F.coalesce(params_from_query(F.col("_properties"), F.col("query")), F.lit("{}"))).drop("_properties")
+
+
 def without_prefix(query: Column) -> Column:
     """The query without a leading request such as "Please "."""
     out = query
@@ -153,10 +188,15 @@ def paraphrases(query: Column, seed: int = 42, most: int = 2) -> Column:
 
 def expand_paraphrases(rows: DataFrame, seed: int = 42) -> DataFrame:
     """rows(query, messages, ...) once for each variant, in the query and in its first user message."""
-    out = rows.select("*", F.explode(paraphrases(F.col("query"), seed)).alias("_variant"))
+    return _varied(rows, seed).withColumn("augmentation", F.lit("paraphrase")).drop("_at")
+
+
+def _varied(rows: DataFrame, seed: int) -> DataFrame:
+    """The same with _at, the number of the variant."""
+    out = rows.select("*", F.posexplode(paraphrases(F.col("query"), seed)).alias("_at", "_variant"))
     at = F.array_min(F.filter(F.transform("messages", lambda m, i: F.when((m["role"] == "user") & (m["content"] == F.col("query")), i)), lambda i: i.isNotNull()))
     messages = F.transform("messages", lambda m, i: F.when(i == at, F.struct(m["role"].alias("role"), F.col("_variant").alias("content"))).otherwise(m))
-    return out.withColumn("messages", messages).withColumn("query", F.col("_variant")).withColumn("augmentation", F.lit("paraphrase")).drop("_variant")
+    return out.withColumn("messages", messages).withColumn("query", F.col("_variant")).drop("_variant")
 
 
 def deduplicate(rows: DataFrame, *order: str) -> DataFrame:
@@ -176,12 +216,35 @@ def union_stages(**stages: DataFrame) -> DataFrame:
 
 
 def augmented(rows: DataFrame, registries: DataFrame, tools: DataFrame, asked: DataFrame, seed: int = 42) -> DataFrame:
-    """Originals, then what reground(), template() (of asked) and expand_paraphrases() (of the originals) make of them;
-    of equal (query, correct_tool, registry) the first stays."""
+    """Originals, then all that reground(), template() (of asked) and expand_paraphrases() (of the originals) make of them, without a
+    target; of equal (query, correct_tool, registry) the first stays."""
     made = union_stages(original=rows, reground=reground(rows, registries, tools), template=template(asked, tools, seed), paraphrase=expand_paraphrases(rows, seed))
     return deduplicate(made, "stage", "traj_id")
 
 
+def pipeline(rows: DataFrame, registries: DataFrame, tools: DataFrame, queries: DataFrame | None = None, target: int = 400, seed: int = 42) -> DataFrame:
+    """Stages in order, each over what those before it have made; every made row passes quick_check.
+
+    0: rows(traj_id, registry, query, correct_tool, messages, ...); 1: these on each larger registry that has their tool; 2:
+    templates, with parameters from the schema, for tools of the registries with fewer than three rows so far, up to four of a
+    tool; 3: paraphrases of any row so far, in seeded order, until there are `target` rows: none where there are. Of equal
+    (query, correct_tool, registry) the first stays. What stages 1 and 2 have is written once and counted from there."""
+    passed = lambda df: df.where(M.quick_check(F.col("messages"), F.col("correct_tool")))
+    given = queries if queries is not None else rows.sparkSession.createDataFrame([], "name string, ord int, query string")
+    grounded = store.table(union_stages(original=rows, reground=passed(reground(rows, registries, tools))), "grounded")
+    wanted = filled(asked(tools.join(registries.select("registry").distinct(), "registry", "left_semi"), grounded, given), tools)
+    wanted = wanted.withColumn("traj_id", F.concat(F.lit("template:"), F.md5(F.concat_ws("|", "registry", "correct_tool", "query").cast("binary"))))
+    made = passed(template(wanted, tools, seed)).withColumn("stage", F.lit(STAGES.index("template")))
+    so_far = store.table(grounded.unionByName(made, allowMissingColumns=True), "made")
+    missing = target - so_far.count()
+    if missing > 0:
+        varied = passed(_varied(so_far, seed)).withColumn("stage", F.lit(STAGES.index("paraphrase")))
+        varied = varied.withColumn("augmentation", F.concat(F.lit("paraphrase:"), F.coalesce("augmentation", F.lit("original"))))
+        chosen = first_by_hash(varied, missing, hash_order(seed, F.col("traj_id"), F.col("registry")), "traj_id", "_at").drop("rank", "_at")
+        so_far = so_far.unionByName(chosen.withColumn("traj_id", F.concat("traj_id", F.lit("~"), F.md5(F.col("query").cast("binary")))))
+    return deduplicate(so_far, "stage", "traj_id")
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """By registry: rows, different tools, and fewest and most rows of a tool."""
     by_tool = rows.groupBy("registry", "correct_tool").agg(F.count("*").alias("n"))

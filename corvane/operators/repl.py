@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..config import VERIFY_REPL, ReplConfig
 from ..functions import text as T
+from ..sources import store
 from . import messages as M
 from . import registry as R
 
@@ -59,7 +60,7 @@ def run_blocks(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = V
     """One row for each code block of trajectories(traj_id, registry, messages): message, block, turn, code, output,
     success, error."""
     blocks = M.repl_turns(trajectories, config.max_turns).join(trajectories.select("traj_id", "registry"), "traj_id")
-    blocks = blocks.withColumn("calls", registry_calls("code"))
+    blocks = store.table(blocks.withColumn("calls", registry_calls("code")), "blocks")
     asked = blocks.where("NOT over").select("traj_id", "turn", "registry", F.posexplode("calls").alias("call", "c")).select("traj_id", "turn", "call", "registry", "c.method", "c.argument")
     distinct = asked.where("method <> 'print'").select("registry", "method", "argument").distinct()
     answers = asked.join(_answers(distinct, tools), ["registry", "method", "argument"], "left")
@@ -88,32 +89,42 @@ def _answers(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return found.select("registry", "method", "argument", text.alias("answer"))
 
 
+def _numbered(trajectories: DataFrame) -> DataFrame:
+    """trajectories with _row, written once: blocks belong to a row, whatever its traj_id, and no retry numbers rows anew."""
+    return store.table(trajectories.withColumn("_row", F.monotonically_increasing_id()), "trajectories")
+
+
+def _outputs(rows: DataFrame, tools: DataFrame, config: ReplConfig) -> DataFrame:
+    """By _row: _out, the outputs of each message's blocks by message, and how many blocks there are and failed."""
+    blocks = run_blocks(rows.select(F.col("_row").alias("traj_id"), "registry", "messages"), tools, config)
+    said = blocks.groupBy("traj_id", "message").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "output"))), lambda x: x["output"]).alias("out"), F.count("*").alias("n"), F.count_if(~F.col("success")).alias("bad"))
+    return said.groupBy(F.col("traj_id").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("message", "out"))).alias("_out"), F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
+
+
 def executed(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = VERIFY_REPL) -> DataFrame:
     """trajectories with blocks and failed counted, and each message "[REPL OUTPUT]" after an assistant's code replaced by
     what its blocks print; an assistant turn without code leaves the next message as it is."""
-    blocks = run_blocks(trajectories, tools, config)
-    by_message = blocks.groupBy("traj_id", "message").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "output"))), lambda x: x["output"]), "\n---\n").alias("said"))
-    outputs = by_message.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("message", F.when(T.strip(F.col("said")) == "", "(no output)").otherwise(F.col("said"))))).alias("_said"))
-    counted = blocks.groupBy("traj_id").agg(F.count("*").alias("blocks"), F.count_if(~F.col("success")).alias("failed"))
-    out = trajectories.join(outputs, "traj_id", "left").join(counted, "traj_id", "left")
-    real = lambda i: F.try_element_at("_said", i - 1)
+    rows = _numbered(trajectories)
+    out = rows.join(_outputs(rows, tools, config), "_row", "left")
+
+    def real(i: Column) -> Column:
+        said = F.array_join(F.try_element_at("_out", i - 1), "\n---\n")
+        return F.when(T.strip(said) == "", "(no output)").otherwise(said)
+
     messages = F.transform("messages", lambda m, i: F.when((m["role"] == "user") & F.startswith(m["content"], F.lit(T.OUTPUT_MARK)) & real(i).isNotNull(), F.struct(m["role"].alias("role"), F.concat(F.lit(T.OUTPUT_MARK + ":\n"), real(i)).alias("content"))).otherwise(m))
-    return out.withColumn("messages", F.when(F.col("_said").isNull(), F.col("messages")).otherwise(messages)).withColumn("blocks", F.coalesce("blocks", F.lit(0))).withColumn("failed", F.coalesce("failed", F.lit(0))).drop("_said")
+    return out.withColumn("messages", F.when(F.col("_out").isNull(), F.col("messages")).otherwise(messages)).withColumn("blocks", F.coalesce("_n", F.lit(0))).withColumn("failed", F.coalesce("_bad", F.lit(0))).drop("_row", "_out", "_n", "_bad")
 
 
 def replayed(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = VERIFY_REPL) -> DataFrame:
     """trajectories(traj_id, registry, messages, ...) without their old outputs, and after each assistant message one new
     output for each of its code blocks; code_ok says whether all blocks succeeded (those that fail are kept)."""
     old = lambda m: (m["role"] == "user") & F.startswith(m["content"], F.lit(T.OUTPUT_MARK))
-    bare = trajectories.withColumn("messages", F.filter("messages", lambda m: ~F.coalesce(old(m), F.lit(False))))
-    blocks = run_blocks(bare, tools, config)
-    said = blocks.groupBy("traj_id", "message").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "output"))), lambda x: x["output"]).alias("out"), F.count_if(~F.col("success")).alias("bad"))
-    by_row = said.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("message", "out"))).alias("_out"), F.sum("bad").alias("_bad"))
-    out = bare.join(by_row, "traj_id", "left")
+    rows = _numbered(trajectories.withColumn("messages", F.filter("messages", lambda m: ~F.coalesce(old(m), F.lit(False)))))
+    out = rows.join(_outputs(rows, tools, config), "_row", "left")
     message = lambda content: F.struct(F.lit("user").alias("role"), F.concat(F.lit(T.OUTPUT_MARK + ":\n"), content).alias("content"))
     outputs = lambda i: F.coalesce(F.transform(F.try_element_at("_out", i), message), F.array().cast("array<struct<role:string,content:string>>"))
     whole = F.flatten(F.transform("messages", lambda m, i: F.concat(F.array(F.struct(m["role"].alias("role"), m["content"].alias("content"))), outputs(i))))
-    return out.withColumn("messages", whole).withColumn("code_ok", F.coalesce("_bad", F.lit(0)) == 0).drop("_out", "_bad")
+    return out.withColumn("messages", whole).withColumn("code_ok", F.coalesce("_bad", F.lit(0)) == 0).drop("_row", "_out", "_n", "_bad")
 
 
 def ground(raw: DataFrame, tools: DataFrame, system_prompt: str, config: ReplConfig = VERIFY_REPL) -> DataFrame:

@@ -718,15 +718,65 @@ def augment_dedup(v):
     return augment.deduplicate(both, "stage", "pos").select("registry", "correct_tool", "query", "pos")
 
 
+_SCHEMA = '{"name": "%s", "inputSchema": {"type": "object", "properties": {"path": {"type": "string"}, "count": {"type": "integer"}, "tags": {"type": ["array", "null"]}, "note": {}}, "required": ["path", "count"]}}'
+
+
+def _schema_tools(v):
+    """Tools with a schema of two required parameters, and when each registry's tools are taken for one name the last."""
+    head, tail = _SCHEMA.split("%s")
+    return v.tools().withColumn("schema", F.concat(F.lit(head), "name", F.lit(tail))).withColumn("required", F.array(F.lit("path"), F.lit("count")))
+
+
+_ASKED = """mt AS (SELECT registry, name, unnest(['Use ' || replace(name, '_', ' ') || ' for this', 'I want you to ' || lower(said), 'Would you ' || lower(said)]) AS query
+  FROM (SELECT registry, name, arg_max(left(description, 60), pos) AS said FROM v_tools GROUP BY registry, name))"""
+
+
+def _wanted(v):
+    none = v.spark.createDataFrame([], "registry string, correct_tool string")
+    given = v.spark.createDataFrame([], "name string, ord int, query string")
+    return augment.filled(augment.asked(_schema_tools(v), none, given), _schema_tools(v))
+
+
+@query(r"""SELECT registry, name AS correct_tool, query, '{"path": "/example/path", "count": ' || CASE WHEN regexp_matches(query, '\b\d+\b') THEN regexp_extract(query, '\b(\d+)\b', 1) ELSE '100' END || ', "note": "note_value"}' AS params FROM mt""", _ASKED)
+def augment_schema_params(v):
+    """Parameters of every tool's template queries, read from its schema."""
+    return _wanted(v).select("registry", "correct_tool", "query", "params")
+
+
+@query("SELECT 0 AS reject_stage, count(*) AS n, 1.0::DOUBLE AS share FROM mt", _ASKED)
+def augment_templates_verified(v):
+    """Template trajectories of tools with required parameters pass all three stages of verification."""
+    wanted = _wanted(v).withColumn("traj_id", F.concat_ws("|", "registry", "correct_tool", "query"))
+    made = repl.executed(augment.template(wanted, _schema_tools(v)), _schema_tools(v))
+    return verify.funnel(verify.verify(made, _schema_tools(v)))
+
+
+def _augmented(v, target=400):
+    """A template trajectory of every different tool of every registry as original, then the stages of augmentation."""
+    tools = _schema_tools(v)
+    firsts = tools.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("category", "pos").alias("category"))
+    rows = augment.template(augment.filled(_asked(v).join(firsts, ["registry", "correct_tool"]), tools), tools).drop("augmentation", "code_ok", "params", "category")
+    return augment.pipeline(rows, _registries(v), tools, target=target)
+
+
 @query()
 def augment_pipeline(v):
-    """A template trajectory of every different tool of every registry as original, re-grounded on every later registry that
-    has the tool, templates and paraphrases, without repeats; blocks need a syntax tree, so SQL can't say it."""
-    tools = v.tools().withColumn("schema", F.concat(F.lit('{"name": "'), "name", F.lit('"}')))
-    asked = _asked(v).join(tools.groupBy("registry", F.col("name").alias("correct_tool")).agg(F.min_by("category", "pos").alias("category")), ["registry", "correct_tool"]).withColumn("params", F.lit("{}"))
-    rows = augment.template(asked, tools).drop("augmentation")
-    again = asked.withColumn("traj_id", F.concat("traj_id", F.lit("|t"))).withColumn("query", F.concat(F.lit("I need "), "query"))
-    return augment.augmented(rows, _registries(v), tools, again).select("traj_id", "stage", "registry", "query", "correct_tool", "augmentation", "code_ok", "messages")
+    """Originals, re-grounded on every later registry that has the tool, templates for tools with few rows, paraphrases up to
+    12,000 rows, without repeats; the messages are stated by tests, the rows of each stage by augment_pipeline_stages."""
+    return _augmented(v, 12_000).select("traj_id", "stage", "registry", "query", "correct_tool", "augmentation", "code_ok", "messages")
+
+
+@query(
+    "SELECT stage, count(*) AS n, count(DISTINCT registry || '|' || correct_tool) AS n_tools FROM (SELECT registry, correct_tool, query, min(stage) AS stage FROM un GROUP BY ALL) GROUP BY stage",
+    "ot AS (SELECT registry, name AS correct_tool, 'please find a ' || arg_min(description, pos) AS query, CAST(regexp_extract(registry, '[0-9]+') AS INT) AS ord, arg_max(left(description, 60), pos) AS said FROM v_tools GROUP BY registry, name)",
+    "rg AS (SELECT b.registry, a.correct_tool, a.query FROM ot a JOIN ot b ON a.correct_tool = b.correct_tool AND a.ord < b.ord)",
+    "cv AS (SELECT registry, correct_tool, count(*) AS n FROM (SELECT registry, correct_tool FROM ot UNION ALL SELECT registry, correct_tool FROM rg) GROUP BY ALL)",
+    "tm AS (SELECT registry, correct_tool, unnest(list_slice(['Use ' || replace(correct_tool, '_', ' ') || ' for this', 'I want you to ' || lower(said), 'Would you ' || lower(said)], 1, CAST(least(3, 4 - n) AS BIGINT))) AS query FROM ot JOIN cv USING (registry, correct_tool) WHERE n < 3)",
+    "un AS (SELECT registry, correct_tool, query, 0 AS stage FROM ot UNION ALL SELECT *, 1 FROM rg UNION ALL SELECT *, 2 FROM tm)",
+)
+def augment_pipeline_stages(v):
+    """Rows and tools of each stage of augment_pipeline; where there are 400 rows already there is no paraphrase."""
+    return _augmented(v).groupBy("stage").agg(F.count("*").alias("n"), F.count_distinct(F.concat("registry", F.lit("|"), "correct_tool")).alias("n_tools"))
 
 
 @query("SELECT registry, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_tools, min(n) AS least, max(n) AS most FROM (SELECT registry, correct_tool, count(*) AS n FROM aw GROUP BY ALL) GROUP BY registry", _ROWS)
@@ -737,7 +787,7 @@ def augment_counts(v):
 @query("SELECT s_suppkey, CAST(k AS INT) AS rank FROM (SELECT s_suppkey, row_number() OVER (ORDER BY md5('42|' || s_name), s_name) AS k FROM supplier) WHERE k <= 60 - 20")
 def augment_fill_target(v):
     rows = v.read("supplier").select("s_suppkey", F.col("s_name").alias("query"))
-    return augment.fill_to(rows, 20, 60).select("s_suppkey", "rank")
+    return augment.fill_to(rows, 20, 60).select("s_suppkey", F.col("rank").cast("int").alias("rank"))
 
 
 # Datasets as streams
