@@ -331,12 +331,17 @@ w AS (SELECT *, CASE WHEN blocks = 0 THEN 'no code blocks' WHEN failed * 2 > blo
        WHEN event_type = 'purchase' AND json_extract(props, '$.k') IS DISTINCT FROM CAST('7' AS JSON) THEN 'unexpected parameter value' WHEN event_id % 13 = 0 THEN 'judged wrong' END AS r3 FROM f)"""
 
 
+def _recorded(v):
+    """Expected parameters by query, and verdicts."""
+    expected = v.spark.createDataFrame([("purchase", 0, '{"k": 1}'), ("purchase", 1, '{"k": 7}'), ("view", 0, "{}")], "query string, ord int, expected_params string")
+    verdicts = v.read("events").where("event_id % 13 = 0 OR event_id % 13 = 5").select(F.col("event_id").alias("traj_id"), (F.col("event_id") % 13 == 5).alias("passed"))
+    return expected, verdicts
+
+
 @query("SELECT event_id AS traj_id, CASE WHEN r1 IS NOT NULL THEN 1 WHEN r2 IS NOT NULL THEN 2 WHEN r3 IS NOT NULL THEN 3 END AS reject_stage, coalesce(r1, r2, r3) AS reject_reason FROM w", _WHOLE)
 def verify_pipeline(v):
     """verify.verify() itself, with strict JSON, expected parameters by query (the last one counts) and recorded verdicts."""
-    expected = v.spark.createDataFrame([("purchase", 0, '{"k": 1}'), ("purchase", 1, '{"k": 7}'), ("view", 0, "{}")], "query string, ord int, expected_params string")
-    verdicts = v.read("events").where("event_id % 13 = 0 OR event_id % 13 = 5").select(F.col("event_id").alias("traj_id"), (F.col("event_id") % 13 == 5).alias("passed"))
-    return verify.verify(_trajectories(v), _main_tools(v), expected, verdicts).select("traj_id", "reject_stage", "reject_reason")
+    return verify.verify(_trajectories(v), _main_tools(v), *_recorded(v)).select("traj_id", "reject_stage", "reject_reason")
 
 
 @query("SELECT event_id AS traj_id, NOT headless AND contains(text, 'FINAL(') AND contains(text, expected_tool) AS ok FROM m", _FORMAT)
@@ -790,6 +795,35 @@ def augment_fill_target(v):
     return augment.fill_to(rows, 20, 60).select("s_suppkey", F.col("rank").cast("int").alias("rank"))
 
 
+@query("SELECT event_id AS traj_id, CASE WHEN r1 IS NOT NULL THEN 1 WHEN r2 IS NOT NULL THEN 2 WHEN r3 IS NOT NULL THEN 3 END AS reject_stage, coalesce(r1, r2, r3) AS reject_reason FROM w", _WHOLE)
+def stream_verify_stages(v):
+    """verify_pipeline over a stream of files, whose micro-batches join the tools, the expected parameters and the verdicts."""
+    from ..streaming import verify as S
+
+    folder, rows = store.shared_folder(v.spark, "stages"), _trajectories(v)
+    rows.write.parquet(f"{folder}/in")
+    stream = S.verified_whole(v.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), _main_tools(v), *_recorded(v))
+    S.run_available(stream.select("traj_id", "reject_stage", "reject_reason"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return v.spark.read.schema("traj_id long, reject_stage int, reject_reason string").parquet(f"{folder}/out")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, true AS complete, md5(string_agg(text, '|' ORDER BY turn)) AS digest FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING min(turn) = 0 AND max(turn) + 1 = count(*)) GROUP BY conv_id")
+def stream_conversations(v):
+    """Conversations put together from a stream of turns that comes in any order, each turn twice; the last one closes it."""
+    from ..streaming import conversations as C
+    from ..streaming import verify as S
+
+    folder, turns = store.shared_folder(v.spark, "turns"), v.turns()
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("_end"))
+    marked = turns.join(ends, "conv_id").withColumn("last", F.col("turn") == F.col("_end")).withColumn("at", F.timestamp_seconds(F.lit(1_000_000_000))).drop("_end")
+    marked.unionAll(marked).orderBy(F.xxhash64("conv_id", "turn")).write.parquet(f"{folder}/in")
+    stream = v.spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    S.run_available(C.assembled(stream, 3600, "1 minute"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    got = v.spark.read.schema(C.RESULT).parquet(f"{folder}/out").where("complete")
+    said = F.array_join(F.transform("messages", lambda m: m["content"]), "|")
+    return got.select("conv_id", F.size("messages").cast("long").alias("n_turns"), "complete", F.md5(said.cast("binary")).alias("digest"))
+
+
 # Datasets as streams
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import hash_order
+
 
 def write_verified(df: DataFrame, path: str, mode: str = "error") -> None:
     """Below path, status=verified and status=rejected; rejected rows carry stage and reason."""
@@ -12,9 +14,13 @@ def write_verified(df: DataFrame, path: str, mode: str = "error") -> None:
     df.withColumn("status", status).write.mode(mode).partitionBy("status").json(path)
 
 
-def write_splits(labelled: DataFrame, manifest: DataFrame, path: str, mode: str = "error") -> None:
-    """split=train, dev and test below path/rows, query to split below path/manifest."""
-    labelled.write.mode(mode).partitionBy("split").json(f"{path}/rows")
+def write_splits(labelled: DataFrame, manifest: DataFrame, path: str, mode: str = "error", seed: int = 42, files: int | None = None) -> None:
+    """split=train, dev and test below path/rows, query to split below path/manifest. A split's rows are shuffled by seed: its files,
+    read in the order of their names, give the rows in the order of their hash, however many files there are (`files`; else as
+    many as partitions)."""
+    order = [F.col("split"), hash_order(seed, F.to_json(F.struct(*labelled.columns)))]
+    dealt = labelled.repartitionByRange(files, *order) if files else labelled.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode(mode).partitionBy("split").json(f"{path}/rows")
     manifest.select("query", "split").write.mode(mode).json(f"{path}/manifest")
 
 
