@@ -377,11 +377,13 @@ def _named(docs: DataFrame, weights: Weights, nodes: DataFrame, members: DataFra
 
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR, agree: int | None = None) -> DataFrame:
-    """The rows that name their class, with their columns as they are; of rows that repeat such a one's id and text, the first."""
+    """The rows that name their class, with their columns as they are; of rows that repeat such a one's id and text, that whose
+    other columns come first as JSON text."""
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     key, number = fresh(docs, "_class_mark"), fresh(docs, "_copy")
     named = _classes(docs, similar, agree).where("mark = class_mark").select(F.col("mark").alias(key)).distinct()
     kept = docs.withColumn(key, _mark()).join(named, key, "left_semi")
-    copy = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    copy = F.row_number().over(Window.partitionBy(key).orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0)))
     return kept.withColumn(number, copy).where(F.col(number) == 1).select(*docs.columns)
 
 

@@ -41,8 +41,9 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 #: A candidate at this probability or more is a span.
 KEEP = 0.8
-#: A text in which this doesn't occur has no candidate.
-MAY_HOLD = r"[0-9@]|::|(?i:[\[({]at[\])}]| at [a-z0-9-]{1,63} dot )"
+#: A text in which this doesn't occur has no candidate: all have a digit, an "@", two colons with hex letters at most between, or
+#: a written-out "at".
+MAY_HOLD = r"[0-9@]|:[A-Fa-f]{0,4}:|(?i:[\[({]at[\])}]| at [a-z0-9-]{1,63} dot )"
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

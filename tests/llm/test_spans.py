@@ -234,3 +234,26 @@ def test_prefilter_leaves_out_no_span(seed, secret_model):
     long = [(s, e) for s, e, _ in spans if e - s >= secrets.LEAST]
     assert [(s, e) for s, e, _ in secret_model.spans(t, shapes) if e - s >= secrets.LEAST] == long
     assert not long or re.search(r"\S{12}", t)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gate_leaves_out_no_personal_data(seed):
+    """Candidates of random texts, those of texts without a digit among them, pass the gate; so do addresses of letters alone."""
+    r, gate, found = random.Random(seed), re.compile(pii.MAY_HOLD), 0
+    parts = [":", "::", "dead", "beef", "a", "fe:", ":c", " ", "[at]", "(AT)", " at ", " dot ", "[dot]", ".", "@", "joe", "mail", "com", "1", "23", "(", ")", "-", "+", "4111 1111 1111 1111", "\n", "é"]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        if pii.candidates(text, pii.base_spans(text)):
+            found += 1
+            assert gate.search(text), text
+    assert found > 500
+    for text in ("host dead:beef:cafe:babe:face:feed:fade:deed answered", "at fe::a, dead::beef", "joe at mail dot com", "joe[at]mail.com"):
+        assert gate.search(text) and (":" not in text or pii.wide(text))
+
+
+def test_address_of_letters_alone_is_found(spark):
+    texts = ["the host dead:beef:cafe:babe:face:feed:fade:deed answered", "the host dead:beef:cafe:babe:face:feed:fade:deed answered 1"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"login from 10.0.0.{i} and 2001:db8::{i} of host srv{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.weak_supervision(df).collect()}
+    assert got[0] == got[1] == "ip:9:48"

@@ -275,3 +275,10 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame([(a.encode(), b.encode()) for a, b in pairs], "a binary, b binary")
     got = {bytes(r.node).decode(): bytes(r.root).decode() for r in neardup.components(df).collect()}
     assert {v for k, v in got.items() if k[0] == "a"} == {"a0"} and {v for k, v in got.items() if k[0] == "b"} == {"b0"} and got["c2"] == "c1" and len(got) == 31 + 40 + 2
+
+
+def test_the_copy_that_stays_is_the_same_however_rows_lie(spark):
+    rows = [(1, prose(1, 50), lang, n) for lang in ("b", "a", None) for n in (2, 1)] + [(2, prose(2, 50), "x", 0)]
+    for parts in (1, 3, 6):
+        df = spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), "doc_id long, text string, lang string, n int").repartition(parts)
+        assert {(r.doc_id, r.lang, r.n) for r in neardup.deduplicate(df).collect()} == {(1, "a", 1), (2, "x", 0)}
