@@ -7,10 +7,12 @@ falling order of weight times impact. The sum over dimensions of weight times th
 any vector can still gain. Every few segments the k best so far are scored exactly; only a vector whose bound stays below
 the k-th best exact score is out, and once few enough may still be in, those are scored exactly. So results are exact.
 
-Queries are the stated set of rows against all rows, block by block. Each vector is shuffled once, into its block; the
-queries come to each block after it, a batch at a time, so that a task holds one index and one batch. The first block is
-done before the others: its k-th best exact score for a query is a bound that each other block begins with, so that it
-stops sooner and reports only what may still be among the k best. The best k of all reports are the answer.
+Queries are the stated set of rows against all rows, block by block. Each query first meets one block: queries are dealt over as
+many blocks as give each about FIRST of them, so no task holds them all. Its k-th best exact score there is a bound that each
+other block begins with, so that it stops sooner and reports only what may still be among the k best. Then queries, packed
+into batches of about BATCH in a row, come to all other blocks, after the block's vectors, so that a task holds one index and one
+batch. A vector is shuffled into its block once, and once more where that is among the first. The best k of all reports are
+the answer.
 
 Vectors that are null, hold a null or a non-finite component, or have no id take no part, neither as query nor as
 candidate. Queries meet the vectors of their own length; vectors without components score 0 among each other. Ties go to
@@ -31,6 +33,8 @@ from .common import schema_of, table, tune
 SCALE, K = 1024, 10
 #: Vectors in a block, levels of quantised impact.
 BLOCK, LEVELS = 8192, 48
+#: Queries that meet a block first, about, and queries of a batch that goes to all blocks.
+FIRST, BATCH = 2048, 256
 #: Segments come in so many batches of falling impact; the bounds are looked at after each.
 CHECKS = 8
 #: Scored exactly once at most this share of a block may still be in.
@@ -122,42 +126,56 @@ class Block:
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors (d, cb, vec_id, v) and queries (d, cb, vec_id, v, bar) of each block (d, cb): the k best of each block."""
+def _search(vectors: DataFrame, batches_: DataFrame, k: int) -> DataFrame:
+    """vectors (d, cb, vec_id, v) and batches of queries (d, cb, qs: first block, vec_id, v and bar of each) for each
+    block (d, cb): the k best of each block for each query of which it isn't the first."""
     schema = to_arrow_schema(schema_of(FOUND))
-    both = vectors.select("d", "cb", F.lit(0).alias("side"), "vec_id", "v", F.lit(None).cast("long").alias("bar")).unionAll(queries.select("d", "cb", F.lit(1).alias("side"), "vec_id", "v", "bar"))
+    one = F.array(F.struct(F.lit(-1).alias("own"), "vec_id", "v", F.lit(None).cast("long").alias("bar")))
+    both = vectors.select("d", "cb", F.lit(0).alias("side"), one.alias("qs")).unionAll(batches_.select("d", "cb", F.lit(1).alias("side"), "qs"))
+    packed = both.select("d", "cb", "side", "qs.own", "qs.vec_id", "qs.bar", F.flatten("qs.v").alias("v"))
     tune(vectors.sparkSession)
 
     def run(batches):
         now, block = None, Block()
         for batch in batches:
-            d, cb, side = (batch.column(c).to_numpy() for c in range(3))
-            ids, bar = batch.column(3).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False).astype(float)
-            flat, at = batch.column(4).flatten().to_numpy(), np.r_[0, np.cumsum(d)]
-            edges = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(cb) != 0) | (np.diff(side) != 0)])
-            for a, b in zip(edges, np.r_[edges[1:], len(d)], strict=True):
-                if (d[a], cb[a]) != now:
-                    now, block = (d[a], cb[a]), Block()
-                part = flat[at[a] : at[b]].reshape(b - a, d[a])
-                if side[a] == 0:
-                    block.add(ids[a:b], part)
-                elif block.ids is not None and len(block.ids):
-                    got = block.best(ids[a:b], part, np.where(np.isnan(bar[a:b]), -np.inf, bar[a:b]), k)
+            for i in range(batch.num_rows):
+                d, cb, side = (batch.column(c)[i].as_py() for c in range(3))
+                own, ids = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                bar, v = batch.column(5)[i].values.to_numpy(zero_copy_only=False).astype(float), batch.column(6)[i].values.to_numpy().reshape(len(ids), d)
+                if (d, cb) != now:
+                    now, block = (d, cb), Block()
+                if side == 0:
+                    block.add(ids, v)
+                elif len(block.ids) and (there := own != cb).any():
+                    got = block.best(ids[there], v[there], np.where(np.isnan(bar), -np.inf, bar)[there], k)
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], schema=schema)
 
-    return both.repartition("d", "cb").sortWithinPartitions("d", "cb", "side").mapInArrow(run, schema_of(FOUND))
+    return packed.repartition("d", "cb").sortWithinPartitions("d", "cb", "side").mapInArrow(run, schema_of(FOUND))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
+def _batches(asked: DataFrame, size: int, *by: str) -> DataFrame:
+    """asked(d, vec_id, v, own, bar, ...) in rows of about `size` queries of one length, and of equal `by`: qs."""
+    n = asked.groupBy("d", *by).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    dealt = asked.join(n, ["d", *by]).withColumn("_batch", F.pmod(F.xxhash64("vec_id", "v"), F.col("_n")))
+    return dealt.groupBy("d", *by, "_batch").agg(F.collect_list(F.struct("own", "vec_id", "v", "bar")).alias("qs"))
+
+
+def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK, first: int = FIRST, batch: int = BATCH) -> DataFrame:
     """query_id, rank, vec_id, score; is_query is a condition on vec_id that states the queries."""
     rows = _clean(vectors, scale).withColumn("d", F.size("v"))
     blocks = rows.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     dealt = rows.join(blocks, "d").withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"]).join(blocks, "d")
-    first = table(_search(dealt.where("cb = 0"), asked.select("d", F.lit(0).alias("cb"), "vec_id", "v", F.lit(None).cast("long").alias("bar")), k), "first-block")
+    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"])
+    # The first blocks of each length: 0 to begin - 1.
+    begin = asked.groupBy("d").agg(F.ceil(F.count("*") / first).cast("int").alias("begin")).join(blocks, "d").select("d", "n", F.least("begin", "n").alias("begin"))
+    asked = table(asked.join(begin, "d").withColumn("first", F.pmod(F.xxhash64("v", "vec_id"), F.col("begin")).cast("int")), "queries")
+    none = asked.withColumn("own", F.lit(-1)).withColumn("bar", F.lit(None).cast("long"))
+    met = _batches(none.withColumn("cb", F.col("first")), batch, "cb")
+    found = table(_search(dealt.join(begin.select("d", "begin"), "d").where(F.col("cb") < F.col("begin")), met, k), "first-blocks")
     # The k-th best of the first block, where a query's id stands for one vector; else it begins without a bar.
-    bars = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("bar")).where(F.col("found") == k).select(F.col("query_id").alias("vec_id"), "bar")
-    others = asked.where("n > 1").join(bars, "vec_id", "left").withColumn("cb", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    found = first.unionAll(_search(dealt.where("cb > 0"), others, k))
+    bars = found.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("bar")).where(F.col("found") == k).select(F.col("query_id").alias("vec_id"), "bar")
+    others = asked.where("n > 1").withColumn("own", F.col("first")).join(bars, "vec_id", "left")
+    sent = _batches(others, batch).join(blocks.where("n > 1"), "d").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    found = found.unionAll(_search(dealt.where("n > 1"), sent, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

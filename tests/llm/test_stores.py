@@ -105,6 +105,29 @@ def test_top_k_is_exact(spark, block):
     assert {tuple(r) for r in got} == plain_top(rows) and len(got) == 100
 
 
+def test_queries_are_split_over_blocks(spark):
+    """With many queries and blocks no task holds all queries, and what is sent to the blocks is batches."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    every = F.col("vec_id") % 3 == 0
+    want = Counter(tuple(r) for r in impact.top_k(df, every).collect())
+    held = []
+    whole = impact._search
+
+    def watched(vectors, batches, k):
+        held.append(batches.groupBy("d", "cb").agg(F.count("*").alias("rows"), F.sum(F.size("qs")).alias("n"), F.max(F.size("qs")).alias("most")).collect())
+        return whole(vectors, batches, k)
+
+    impact._search = watched
+    try:
+        assert Counter(tuple(r) for r in impact.top_k(df, every, block=100, first=60, batch=25).collect()) == want
+    finally:
+        impact._search = whole
+    assert len(held[0]) == 7 and max(r.n for r in held[0]) < 120 and sum(r.n for r in held[0]) == 400
+    assert len(held[1]) == 12 and all(r.n == 400 and r.rows == 16 and r.most < 60 for r in held[1])
+
+
 def test_lengths_meet_their_own(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=3 if i % 3 else 5)]) for i in range(700)] + [(700, []), (701, []), (200, [1.0, 2.0])]
