@@ -11,9 +11,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import VERIFY_REPL, ReplConfig, settings
 from .functions.labels import registry_bucket, source_label, stratum
 from .operators import adapter, augment, evaluate, messages, negatives, repl, splits, verify
 from .sources import readers, sinks
+from .streaming.adapt import adapted
 
 MESSAGES = "array<struct<role:string,content:string>>"
 ROWS = f"traj_id string, query string, correct_tool string, predicted_tool string, registry string, registry_size int, source string, query_type string, turns int, params string, messages {MESSAGES}"
@@ -36,7 +38,7 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     tools, answers = readers.read_registry(spark, a.registries), readers.read_jsonl(spark, a.answers, ddl=ANSWERS).drop("input", "line")
     one = answers.where((F.col("level") == a.level) & (F.col("registry") == a.registry))
     cases = evaluate.keep_answerable(_cases(spark, a), tools, a.registry)
-    results = evaluate.compare(cases.join(one, "query"))
+    results = evaluate.compare(evaluate.answered(cases, one, "query"))
     sinks.evaluation_object(results.drop("level", "registry"), evaluate.metrics(results)).coalesce(1).write.mode("error").text(a.output)
 
 
@@ -47,13 +49,25 @@ def _matrix(spark: SparkSession, a: argparse.Namespace) -> None:
     print(sinks.summary_text(made.orderBy("level", "registry")))
 
 
+def _limits(a: argparse.Namespace) -> ReplConfig:
+    """The limits of code blocks that --config gives for --level, else those of verification."""
+    if not a.config:
+        return VERIFY_REPL
+    with open(a.config, encoding="utf-8") as f:
+        return ReplConfig.of(settings(f.read()), a.level)
+
+
 def _ground(spark: SparkSession, a: argparse.Namespace) -> None:
     raw = readers.read_jsonl(spark, a.replies, ddl="traj_id string, registry string, query string, raw string").drop("input", "line")
     with open(a.prompt, encoding="utf-8") as f:
-        repl.ground(raw, readers.read_registry(spark, a.registries), f.read()).write.mode("error").json(a.output)
+        repl.ground(raw, readers.read_registry(spark, a.registries), f.read(), _limits(a)).write.mode("error").json(a.output)
 
 
 def _adapt(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.dataset:
+        made = adapted(spark, a.dataset, a.output, a.max_examples, a.min_registry_size, a.max_registry_size, seed=a.seed)
+        print(f"{made} examples in {a.output}/data")
+        return
     turned = adapter.turns(readers.read_jsonl(spark, *a.input, ddl=ENTRIES).drop("input", "line"), a.min_registry_size, a.max_registry_size)
     chosen = adapter.first_examples(turned, a.max_examples, a.seed)
     adapter.trajectories(adapter.with_call_params(chosen)).write.mode("error").json(a.output)
@@ -62,7 +76,7 @@ def _adapt(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _verify(spark: SparkSession, a: argparse.Namespace) -> None:
     tools = readers.read_registry(spark, a.registries)
-    run = repl.executed(_rows(spark, a.input), tools)
+    run = repl.executed(_rows(spark, a.input), tools, _limits(a))
     expected = readers.read_truth(spark, *a.truth) if a.truth else None
     verdicts = readers.read_jsonl(spark, a.verdicts, ddl="traj_id string, passed boolean") if a.verdicts else None
     out = verify.verify(run, tools, expected, verdicts)
@@ -105,6 +119,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--output", required=True)
         return c
 
+    def limits(c: argparse.ArgumentParser) -> None:
+        c.add_argument("--config", help="a file of settings with the limits of code blocks by level")
+        c.add_argument("--level", type=int, default=1)
+
     for name, run, text in (("evaluate", _evaluate, "score one level on one registry"), ("matrix", _matrix, "score every level and registry that was recorded")):
         c = command(name, run, text)
         for flag in ("--registries", "--queries", "--truth", "--answers"):
@@ -115,8 +133,11 @@ def parser() -> argparse.ArgumentParser:
     c = command("ground", _ground, "teacher texts as conversations with the registry's outputs")
     for flag in ("--registries", "--replies", "--prompt"):
         c.add_argument(flag, required=True)
+    limits(c)
     c = command("adapt", _adapt, "entries of a dataset as trajectories")
-    c.add_argument("--input", nargs="+", required=True)
+    given = c.add_mutually_exclusive_group(required=True)
+    given.add_argument("--input", nargs="+", help="JSONL files, taken as a whole")
+    given.add_argument("--dataset", help="a folder of Parquet or JSONL files, read as a shuffled stream until there are enough examples; run again, it goes on")
     c.add_argument("--max-examples", type=int, default=10_000)
     c.add_argument("--min-registry-size", type=int, default=5)
     c.add_argument("--max-registry-size", type=int, default=100)
@@ -126,6 +147,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--registries", required=True)
     c.add_argument("--truth", nargs="*")
     c.add_argument("--verdicts")
+    limits(c)
     c = command("augment", _augment, "re-grounded, template and paraphrased trajectories")
     c.add_argument("--input", nargs="+", required=True)
     c.add_argument("--registries", required=True)

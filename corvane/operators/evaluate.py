@@ -55,13 +55,18 @@ def context_savings(with_lookup: Column, without: Column) -> Column:
     return F.when(F.coalesce(without, F.lit(0)) <= 0, F.lit(1.0)).otherwise(1 - F.coalesce(with_lookup, F.lit(0)) / without)
 
 
+def answered(cases: DataFrame, answers: DataFrame, *on: str) -> DataFrame:
+    """Every case with its recorded answer; one without counts as failed, with no turns and no code."""
+    rows = cases.join(answers, list(on), "left")
+    return rows.withColumn("success", F.coalesce("success", F.lit(False))).withColumn("turns_used", F.coalesce("turns_used", F.lit(0))).withColumn("code_validity", F.coalesce("code_validity", F.lit(0.0)))
+
+
 def matrix(cases: DataFrame, answers: DataFrame, tools: DataFrame) -> DataFrame:
     """Metrics of every (level, registry) that recorded answers(level, registry, query, predicted_tool, predicted_params,
     code_validity, turns_used, success, elapsed_seconds) has, over the cases that the registry can answer; cell is the key
     level{L}_{registry}. A case without an answer counts as failed, with no turns; a cell without cases is left out."""
     cells = answers.select("level", "registry").distinct()
     open_ = keep_answerable(cells.join(tools.select("registry", F.col("name").alias("expected_tool")).distinct(), "registry").join(cases, "expected_tool"), tools)
-    rows = open_.join(answers, ["level", "registry", "query"], "left")
-    rows = rows.withColumn("success", F.coalesce("success", F.lit(False))).withColumn("turns_used", F.coalesce("turns_used", F.lit(0))).withColumn("code_validity", F.coalesce("code_validity", F.lit(0.0)))
+    rows = answered(open_, answers, "level", "registry", "query")
     seconds = rows.groupBy("level", "registry").agg(F.round(F.sum("elapsed_seconds"), 1).alias("total_time"))
     return metrics(compare(rows), "level", "registry").join(seconds, ["level", "registry"]).withColumn("cell", F.concat(F.lit("level"), F.col("level").cast("string"), F.lit("_"), "registry"))

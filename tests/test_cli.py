@@ -75,3 +75,29 @@ def test_augment_negatives_split(spark, files):
     sealed.write_text(json.dumps([{"query": " q1 "}]))
     main(["split", "--inputs", f"{files}/rows.jsonl", "--sealed", str(sealed), "--output", f"{files}/s"], spark)
     assert {r.query: r.split for r in spark.read.json(f"{files}/s/rows").collect()} == {"q0": "train", "q1": "test", "q2": "train"}
+
+
+def test_cases_without_an_answer_count_as_failed(spark, files):
+    lines(files / "few.jsonl", [{"level": 1, "registry": "large", "query": "q1", "predicted_tool": "get_rain", "predicted_params": "{}", "code_validity": 1.0, "turns_used": 2, "success": True, "elapsed_seconds": 1.0}])
+    given = ["--registries", f"{files}/{{small,large}}.json", "--queries", f"{files}/queries.json", "--truth", f"{files}/truth.json", "--answers", f"{files}/few.jsonl"]
+    main(["evaluate", *given, "--level", "1", "--registry", "large", "--output", f"{files}/e2"], spark)
+    one = json.loads(spark.read.text(f"{files}/e2", wholetext=True).head().value)
+    main(["matrix", *given, "--output", f"{files}/m2"], spark)
+    cell = json.loads(spark.read.text(f"{files}/m2", wholetext=True).head().value)["level1_large"]
+    assert one["metrics"]["total_queries"] == 2 and one["metrics"]["failure_rate"] == 0.5 and {k: cell[k] for k in one["metrics"]} == one["metrics"]
+
+
+def test_limits_from_settings(spark, files):
+    (files / "limits.yaml").write_text("repl:\n  level_1:\n    max_turns: 0\n")
+    main(["verify", "--input", f"{files}/rows.jsonl", "--registries", f"{files}/small.json", "--config", f"{files}/limits.yaml", "--output", f"{files}/v2"], spark)
+    assert {r.reject_reason for r in spark.read.json(f"{files}/v2").collect()} == {"code error rate too high: 1/1"}
+
+
+def test_adapt_a_dataset(spark, files):
+    tool = lambda n: {"type": "function", "function": {"name": f"srv-{n}", "description": "d", "parameters": {"type": "object"}}}
+    folder = files / "dataset"
+    folder.mkdir()
+    lines(folder / "a.jsonl", [{"uuid": f"u{i}", "subset_name": "x", "question": "do a", "target_tools": "S::a", "tools": json.dumps([tool(n) for n in "abcde"]), "messages": "[]"} for i in range(30)])
+    for _ in range(2):
+        main(["adapt", "--dataset", str(folder), "--max-examples", "7", "--output", f"{files}/ad"], spark)
+    assert spark.read.parquet(f"{files}/ad/data").count() == 7
