@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import PROMPT, SYNONYMS
 from ..functions import labels as L
 from ..functions import params as P
 from ..functions import text as T
@@ -655,6 +656,24 @@ def adapter_trajectories(v):
     return adapter.trajectories(adapter.with_call_params(adapter.turns(_entries(v)).where("status = 'ok'"))).select("uuid", "turn", "query", "correct_tool", "turns", "messages")
 
 
+@query(
+    """SELECT CAST(k AS VARCHAR) AS uuid, i AS turn, 7 AS n_messages, md5(array_to_string([
+  replace('""" + PROMPT + """', '{num_tools}', CAST(n AS VARCHAR)), CASE i WHEN 0 THEN 'one' ELSE 'two' END,
+  'THOUGHT: I search for what is asked.' || chr(10) || '<code>' || chr(10) || 'print(tools_registry.search("srv"))' || chr(10) || '</code>',
+  '[REPL OUTPUT]:' || chr(10) || '[' || array_to_string(list_transform(range(1, n + 1), lambda j: '{"name": "srv-fn_' || j || '", "description": "d"}'), ', ') || ']',
+  'THOUGHT: I read what the tool takes.' || chr(10) || '<code>' || chr(10) || 'print(tools_registry.get_schema("' || tool || '"))' || chr(10) || '</code>',
+  '[REPL OUTPUT]:' || chr(10) || '{"name": "' || tool || '", "description": "d", "inputSchema": {"type":"object"}}',
+  'THOUGHT: This tool fits.' || chr(10) || 'FINAL({"tool": "' || tool || '", "params": ' || CASE i WHEN 0 THEN '{"n": ' || k || ', "flag": true}' ELSE '{}' END || '})'], '##')) AS digest
+FROM (SELECT k, i, 2 + k % 8 AS n, 'srv-fn_' || (i + 1) AS tool FROM en, (SELECT 0 AS i UNION ALL SELECT 1) WHERE status = 'ok')""",
+    _ENTRY,
+)
+def adapter_trajectory_messages(v):
+    """All messages of adapter_trajectories, by their digest."""
+    made = adapter_trajectories(v)
+    said = F.array_join(F.transform("messages", lambda m: m["content"]), "##")
+    return made.select("uuid", F.col("turn").cast("int").alias("turn"), F.size("messages").alias("n_messages"), F.md5(said.cast("binary")).alias("digest"))
+
+
 # Augmentation
 
 _ROWS = "aw AS (SELECT registry, pos, name AS correct_tool, description AS query FROM v_tools)"
@@ -702,9 +721,30 @@ def augment_bare_query(v):
     return v.tools().select("pos", augment.without_prefix(q).alias("bare"))
 
 
-@query()
+def _coin(seed: int, n: str, i: str = "") -> str:
+    """labels.hash_pick in SQL: from 0 to n - 1, by the query q and what else decides."""
+    return f"CAST('0x' || substr(md5('{seed}|' || q{i}), 1, 8) AS BIGINT) % {n}"
+
+
+def _reworded(seed: int) -> str:
+    """augment.reworded in SQL, over the words ws of q."""
+    pick = f"l.o[1 + {_coin(seed + 1, 'len(l.o)', " || '|' || CAST(l.i AS VARCHAR)")}]"
+    new = f"CASE WHEN substr(l.w, 1, 1) <> lower(substr(l.w, 1, 1)) THEN upper(substr({pick}, 1, 1)) || lower(substr({pick}, 2)) ELSE {pick} END"
+    return f"array_to_string(list_transform(ls, lambda l: CASE WHEN l.o IS NOT NULL AND {_coin(seed, '2', " || '|' || CAST(l.i AS VARCHAR)")} = 1 THEN {new} ELSE l.w END), ' ')"
+
+
+_KNOWN = " ".join(f"WHEN '{w}' THEN [{', '.join(f"'{o}'" for o in options)}]" for w, options in SYNONYMS.items())
+
+
+@query(
+    "SELECT pos, CAST(i - 1 AS INT) AS variant, vs[i] AS query FROM vr, range(1, 3) t(i) WHERE i <= len(vs)",
+    "pq AS (SELECT pos, 'Please send an email about ' || description AS q FROM v_tools)",
+    r"pw AS (SELECT pos, q, list_transform(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> ''), lambda w, i: {'w': w, 'i': i - 1, 'o': CASE regexp_replace(lower(w), '^[.,!?]+|[.,!?]+$', '', 'g') " + _KNOWN + " END}) AS ls FROM pq)",
+    f"pr AS (SELECT pos, array_to_string(list_transform(ls, lambda l: l.w), ' ') AS plain, {_reworded(42)} AS a, {_reworded(142)} AS b, ['Can you ', 'I need to ', 'I''d like to ', 'Help me ', 'I want to ', 'Could you '][1 + {_coin(42, '6')}] || lower(substr(q, 8, 1)) || substr(q, 9) AS c FROM pw)",
+    "vr AS (SELECT pos, list_filter([CASE WHEN a <> plain THEN a END, CASE WHEN b <> plain AND b <> a THEN b END, CASE WHEN c <> a AND c <> b THEN c END], lambda x: x IS NOT NULL) AS vs FROM pr)",
+)
 def augment_paraphrase(v):
-    """Coins and choices come from hashes of query and place; the tests state the variants."""
+    """Coins and choices come from hashes of query and place."""
     q = F.concat(F.lit("Please send an email about "), "description")
     return v.tools().select("pos", F.posexplode(augment.paraphrases(q)).alias("variant", "query"))
 
