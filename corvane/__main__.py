@@ -39,6 +39,9 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     one = answers.where((F.col("level") == a.level) & (F.col("registry") == a.registry))
     cases = evaluate.keep_answerable(_cases(spark, a), tools, a.registry)
     results = evaluate.compare(evaluate.answered(cases, one, "query"))
+    if a.rows:
+        sinks.write_evaluation(results.drop("level", "registry"), evaluate.metrics(results), a.output)
+        return
     sinks.evaluation_object(results.drop("level", "registry"), evaluate.metrics(results)).coalesce(1).write.mode("error").text(a.output)
 
 
@@ -130,6 +133,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "evaluate":
             c.add_argument("--level", type=int, default=1)
             c.add_argument("--registry", required=True)
+            c.add_argument("--rows", action="store_true", help="results as lines beside the metrics, for more of them than one object holds")
     c = command("ground", _ground, "teacher texts as conversations with the registry's outputs")
     for flag in ("--registries", "--replies", "--prompt"):
         c.add_argument(flag, required=True)

@@ -84,6 +84,8 @@ def test_cases_without_an_answer_count_as_failed(spark, files):
     one = json.loads(spark.read.text(f"{files}/e2", wholetext=True).head().value)
     main(["matrix", *given, "--output", f"{files}/m2"], spark)
     cell = json.loads(spark.read.text(f"{files}/m2", wholetext=True).head().value)["level1_large"]
+    main(["evaluate", *given, "--level", "1", "--registry", "large", "--rows", "--output", f"{files}/e3"], spark)
+    assert spark.read.json(f"{files}/e3/results").count() == 2 and spark.read.json(f"{files}/e3/metrics").head().failure_rate == 0.5
     assert one["metrics"]["total_queries"] == 2 and one["metrics"]["failure_rate"] == 0.5 and {k: cell[k] for k in one["metrics"]} == one["metrics"]
 
 
