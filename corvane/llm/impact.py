@@ -156,26 +156,26 @@ def _search(vectors: DataFrame, batches_: DataFrame, k: int) -> DataFrame:
 def _batches(asked: DataFrame, size: int, *by: str) -> DataFrame:
     """asked(d, vec_id, v, own, bar, ...) in rows of about `size` queries of one length, and of equal `by`: qs."""
     n = asked.groupBy("d", *by).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
-    dealt = asked.join(n, ["d", *by]).withColumn("_batch", F.pmod(F.xxhash64("vec_id", "v"), F.col("_n")))
+    dealt = asked.join(n if by else F.broadcast(n), ["d", *by]).withColumn("_batch", F.pmod(F.xxhash64("vec_id", "v"), F.col("_n")))
     return dealt.groupBy("d", *by, "_batch").agg(F.collect_list(F.struct("own", "vec_id", "v", "bar")).alias("qs"))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK, first: int = FIRST, batch: int = BATCH) -> DataFrame:
     """query_id, rank, vec_id, score; is_query is a condition on vec_id that states the queries."""
     rows = _clean(vectors, scale).withColumn("d", F.size("v"))
-    blocks = rows.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    blocks = F.broadcast(rows.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("n")))  # a row for each length that vectors have
     dealt = rows.join(blocks, "d").withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
     asked = rows.where(is_query).dropDuplicates(["vec_id", "v"])
     # The first blocks of each length: 0 to begin - 1.
-    begin = asked.groupBy("d").agg(F.ceil(F.count("*") / first).cast("int").alias("begin")).join(blocks, "d").select("d", "n", F.least("begin", "n").alias("begin"))
+    begin = F.broadcast(asked.groupBy("d").agg(F.ceil(F.count("*") / first).cast("int").alias("begin")).join(blocks, "d").select("d", "n", F.least("begin", "n").alias("begin")))
     asked = table(asked.join(begin, "d").withColumn("first", F.pmod(F.xxhash64("v", "vec_id"), F.col("begin")).cast("int")), "queries")
     none = asked.withColumn("own", F.lit(-1)).withColumn("bar", F.lit(None).cast("long"))
     met = _batches(none.withColumn("cb", F.col("first")), batch, "cb")
-    found = table(_search(dealt.join(begin.select("d", "begin"), "d").where(F.col("cb") < F.col("begin")), met, k), "first-blocks")
+    found = table(_search(dealt.join(F.broadcast(begin.select("d", "begin")), "d").where(F.col("cb") < F.col("begin")), met, k), "first-blocks")
     # The k-th best of the first block, where a query's id stands for one vector; else it begins without a bar.
     bars = found.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("bar")).where(F.col("found") == k).select(F.col("query_id").alias("vec_id"), "bar")
     others = asked.where("n > 1").withColumn("own", F.col("first")).join(bars, "vec_id", "left")
-    sent = _batches(others, batch).join(blocks.where("n > 1"), "d").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sent = _batches(others, batch).join(F.broadcast(blocks.where("n > 1")), "d").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     found = found.unionAll(_search(dealt.where("n > 1"), sent, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
