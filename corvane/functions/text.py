@@ -68,10 +68,12 @@ def listed_strings(text: Column) -> Column:
     return F.filter(items, lambda x: strip(x) != "")
 
 
-def clipped(output: Column, most: int) -> Column:
-    """Output of a code block, cut to `most` characters with a note of how long it was."""
-    note = F.concat(F.lit("\n... [TRUNCATED, "), F.length(output).cast("string"), F.lit(" total chars]"))
-    return F.when(F.length(output) > most, F.concat(F.left(output, F.lit(most)), note)).otherwise(output)
+def clipped(output: Column, most: int, chars: Column | None = None) -> Column:
+    """Output of a code block, cut to `most` characters with a note of how long it was; chars: how long, where the output
+    is given as its beginning only."""
+    chars = F.length(output) if chars is None else chars
+    note = F.concat(F.lit("\n... [TRUNCATED, "), chars.cast("string"), F.lit(" total chars]"))
+    return F.when(chars > most, F.concat(F.left(output, F.lit(most)), note)).otherwise(output)
 
 
 def with_error(output: Column, error: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
@@ -63,30 +63,57 @@ def run_blocks(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = V
     blocks = store.table(blocks.withColumn("calls", registry_calls("code")), "blocks")
     asked = blocks.where("NOT over").select("traj_id", "turn", "registry", F.posexplode("calls").alias("call", "c")).select("traj_id", "turn", "call", "registry", "c.method", "c.argument")
     distinct = asked.where("method <> 'print'").select("registry", "method", "argument").distinct()
-    answers = asked.join(_answers(distinct, tools), ["registry", "method", "argument"], "left")
-    answers = answers.withColumn("answer", F.when(F.col("method") == "print", F.col("argument")).otherwise(F.col("answer")))
-    lines = answers.groupBy("traj_id", "turn").agg(F.array_sort(F.collect_list(F.struct("call", "answer"))).alias("a"))
+    most = config.max_output_chars
+    answers = asked.join(_answers(distinct, tools, most), ["registry", "method", "argument"], "left")
+    answers = answers.withColumn("chars", F.when(F.col("method") == "print", F.length("argument")).otherwise(F.col("chars"))).withColumn("answer", F.when(F.col("method") == "print", F.col("argument")).otherwise(F.col("answer")))
+    lines = answers.groupBy("traj_id", "turn").agg(F.array_sort(F.collect_list(F.struct("call", "answer"))).alias("a"), F.coalesce(F.sum("chars") + F.count("chars") - 1, F.lit(0)).alias("chars"))
     printed = F.concat(F.array_join(F.transform("a", lambda x: x["answer"]), "\n"), F.lit("\n"))
-    out = blocks.join(lines.select("traj_id", "turn", printed.alias("printed")), ["traj_id", "turn"], "left")
+    out = blocks.join(lines.select("traj_id", "turn", printed.alias("printed"), (F.col("chars") + 1).alias("chars")), ["traj_id", "turn"], "left")
     error = F.when(F.col("over"), "Maximum REPL turns exceeded").when(F.col("calls").isNull(), "Unsupported: only registry calls with literal arguments")
-    plain = T.clipped(F.coalesce("printed", F.lit("")), config.max_output_chars)
+    plain = T.clipped(F.coalesce("printed", F.lit("")), most, F.coalesce("chars", F.lit(0)))
     return out.select("traj_id", "registry", "message", "block", "turn", "code", F.when(F.col("over"), "").otherwise(T.with_error(plain, error)).alias("output"), error.isNull().alias("success"), error.alias("error"))
 
 
-def _answers(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """What each call (registry, method, argument) prints."""
+#: Parts in which a registry's texts are compared with its calls.
+TEXT_PARTS = 16
+
+
+def _holding(tools: DataFrame, calls: DataFrame, wanted: Column, *texts: str) -> DataFrame:
+    """tools with each of calls(registry, method, argument) that wants them, which the columns texts alone decide: what tools
+    have in common is compared once. Comparing takes time and few bytes, so its partitions have a number of their own."""
+    n = int(tools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    different = tools.select("registry", *texts).distinct().withColumn("_part", F.pmod(F.xxhash64(*texts), F.lit(TEXT_PARTS)))
+    asked = calls.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TEXT_PARTS - 1).cast("long"))))
+    at = ["registry", "_part"]
+    pairs = different.repartition(n, *at).join(asked.repartition(n, *at), at).where(wanted)
+    return tools.join(pairs.drop("_part"), ["registry", *texts])
+
+
+def _answers(calls: DataFrame, tools: DataFrame, most: int) -> DataFrame:
+    """What each call (registry, method, argument) prints: its first characters, `most` of them or more where there are as
+    many, and how long all of it is. Only hits leave the join of calls and tools, and only as many of them are put together
+    as an output can show; the others are counted."""
+    call = ["registry", "method", "argument"]
+    known = calls.join(R.counts(tools), "registry")
+    schemas = tools.where("name IS NOT NULL AND schema IS NOT NULL").groupBy("registry", F.col("name").alias("argument")).agg(F.max(F.struct("pos", "schema"))["schema"].alias("_schema"))
+    single = known.where("method IN ('count', 'get_schema')").join(schemas, ["registry", "argument"], "left")
+    single = single.select(*call, F.when(F.col("method") == "count", F.col("n_tools").cast("string")).otherwise(F.coalesce("_schema", F.lit("None"))).alias("answer"))
+    listed = known.where("method NOT IN ('count', 'get_schema')").select(*call)
     name, description, arg = F.col("name"), F.coalesce("description", F.lit("")), F.lower("argument")
-    pairs = calls.join(tools, "registry")
-    wanted = (
-        F.when(F.col("method") == "search", F.contains(R.searchable(name, description), arg))
-        .when(F.col("method") == "filter_by_category", F.contains(F.lower(R.annotated(F.col("category"))), arg) | F.contains(F.lower(description), arg))
-        .when(F.col("method") == "get_schema", name == F.col("argument")).otherwise(F.lit(True))
-    )
-    item = F.when(F.col("method") == "list_names", F.concat(F.lit("'"), name, F.lit("'"))).when(F.col("method") == "get_schema", F.col("schema")).otherwise(R.summary(name, description))
-    found = pairs.groupBy("registry", "method", "argument").agg(F.filter(F.array_sort(F.collect_list(F.struct("pos", F.when(wanted, item).alias("item")))), lambda x: x["item"].isNotNull()).alias("hits"), F.count("*").alias("n"))
-    hits = F.transform("hits", lambda x: x["item"])
-    text = F.when(F.col("method") == "count", F.col("n").cast("string")).when(F.col("method") == "get_schema", F.coalesce(F.get(hits, F.size(hits) - 1), F.lit("None"))).otherwise(F.concat(F.lit("["), F.array_join(hits, ", "), F.lit("]")))
-    return found.select("registry", "method", "argument", text.alias("answer"))
+    looked = tools.where("name IS NOT NULL").select("registry", "pos", "name", R.summary(name, description).alias("_summary"), R.searchable(name, description).alias("_said"), F.lower(R.annotated(F.col("category"))).alias("_annotated"), F.lower(description).alias("_described"))
+    searched = _holding(looked, listed.where("method = 'search'"), F.contains("_said", arg), "_said")
+    filtered = _holding(looked, listed.where("method = 'filter_by_category'"), F.contains("_annotated", arg) | F.contains("_described", arg), "_annotated", "_described")
+    every = looked.join(listed.where("method NOT IN ('search', 'filter_by_category')"), "registry")
+    item = F.when(F.col("method") == "list_names", F.concat(F.lit("'"), "name", F.lit("'"))).otherwise(F.col("_summary"))
+    hits = searched.unionByName(filtered).unionByName(every).select(*call, "pos", item.alias("item"))
+    totals = hits.groupBy(*call).agg((F.sum(F.length("item")) + 2 * F.count("*")).alias("chars"))
+    # An item has two characters or more, and so has what follows it.
+    place = F.row_number().over(Window.partitionBy(*call).orderBy("pos", "item"))
+    shown = hits.withColumn("_place", place).where(F.col("_place") <= most // 4 + 1)
+    shown = shown.groupBy(*call).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "item"))), lambda x: x["item"]), ", ").alias("_items"))
+    found = listed.select(*call).join(shown, call, "left").join(totals, call, "left")
+    lists = found.select(*call, F.concat(F.lit("["), F.coalesce("_items", F.lit("")), F.lit("]")).alias("answer"), F.coalesce("chars", F.lit(2)).cast("long").alias("chars"))
+    return single.withColumn("chars", F.length("answer").cast("long")).unionByName(lists)
 
 
 def _numbered(trajectories: DataFrame) -> DataFrame:
