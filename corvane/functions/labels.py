@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def hash_pick(seed: int, n: int | Column, *key: Column) -> Column:
     return F.pmod(F.conv(F.substring(hash_order(seed, *key), 1, 8), 16, 10).cast("long"), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, however often and inside which lambda it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def registry_bucket(size: Column, name: Column) -> Column:
     """small, medium or large by size; a missing size or 0 is read off the registry's name."""
     named = F.when(name.contains("small") | name.endswith("_10"), 10).when(name.contains("medium") | name.endswith("_25"), 25).when(name.contains("large") | name.endswith("_50"), 50).otherwise(100)
@@ -41,10 +47,16 @@ def adapter_registry(n: Column) -> Column:
     return F.when(n <= 15, F.concat(F.lit("toucan_"), n.cast("string"))).when(n <= 30, "toucan_medium").when(n <= 60, "toucan_large").otherwise("toucan_xlarge")
 
 
+#: Any word of any rule: most names hold none, which one search tells.
+_ANY_WORD = "|".join(sorted({re.escape(w) for words, _ in CATEGORY_RULES for w in words}))
+
+
 def category_of(name: Column) -> Column:
-    low = F.lower(name)
-    first, *rest = [(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), category) for words, category in CATEGORY_RULES]
-    return reduce(lambda chain, rule: chain.when(*rule), rest, F.when(*first)).otherwise("general")
+    def by_rule(low: Column) -> Column:
+        first, *rest = [(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), category) for words, category in CATEGORY_RULES]
+        return F.when(low.rlike(_ANY_WORD), reduce(lambda chain, rule: chain.when(*rule), rest, F.when(*first))).otherwise("general")
+
+    return bound(F.lower(name), by_rule)
 
 
 def search_word(query: Column, tool: Column) -> Column:
@@ -52,5 +64,5 @@ def search_word(query: Column, tool: Column) -> Column:
     words = F.split(F.lower(tool), r"[_\-\s]+")
     telling = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*SEARCH_STOP_WORDS))
     use = F.when(F.size(telling) > 0, telling).otherwise(F.slice(words, 1, 2))
-    low = F.lower(query)
-    return F.coalesce(F.get(F.filter(use, lambda w: low.contains(w)), F.lit(0)), F.get(use, F.lit(0)))
+    held = lambda u: bound(F.lower(query), lambda low: F.get(F.filter(u, lambda w: F.contains(low, w)), F.lit(0)))
+    return bound(use, lambda u: F.coalesce(held(u), F.get(u, F.lit(0))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROMPT, VERIFY_REPL
 from ..functions import text as T
-from ..functions.labels import hash_order, adapter_registry, category_of, search_word
+from ..functions.labels import adapter_registry, bound, category_of, hash_order, search_word
 from ..functions.params import call_arguments
 from . import registry as R
 
@@ -72,11 +72,14 @@ def zipped(questions: Column, targets: Column) -> Column:
 def resolve(target: Column, names: Column, slugs: Column | None = None) -> Column:
     """The registry's name for a target: itself; its part after "::"; else, in registry order, the first name that ends
     in "_" and the slug of that part or equals it. slugs: the names with "_" for "-" in lower case, where they are known."""
-    part = T.strip(F.element_at(F.split(target, "::"), -1))
-    own = F.replace(F.replace(F.lower(part), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
     slugs = _slugs(names) if slugs is None else slugs
-    slugged = F.filter(names, lambda _, i: F.endswith(F.concat(F.lit("_"), F.get(slugs, i)), F.concat(F.lit("_"), own)))
-    return F.when(F.array_contains(names, target), target).when(F.array_contains(names, part), part).otherwise(F.get(slugged, F.lit(0)))
+
+    def named(part: Column) -> Column:
+        own = F.concat(F.lit("_"), F.replace(F.replace(F.lower(part), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_")))
+        slugged = bound(own, lambda o: F.filter(names, lambda _, i: F.endswith(F.concat(F.lit("_"), F.get(slugs, i)), o)))
+        return F.when(F.array_contains(names, part), part).otherwise(F.get(slugged, F.lit(0)))
+
+    return F.when(F.array_contains(names, target), target).otherwise(bound(T.strip(F.element_at(F.split(target, "::"), -1)), named))
 
 
 def _slugs(names: Column) -> Column:
@@ -89,11 +92,12 @@ def turns(entries: DataFrame, least: int = 5, most: int = 100, keep: tuple[str,
     the tool in the entry. keep: further columns of entries to pass on. Tools are described last, so that what only counts
     rows never looks at more than their names."""
     parsed = entries.withColumn("_items", _items(F.col("tools"))).withColumn("_names", F.transform("_items", _name)).withColumn("_slugs", _slugs(F.col("_names")))
-    parsed = parsed.withColumn("_pairs", zipped(questions_of(F.col("question")), targets_of(F.coalesce("target_tools", F.lit("")))))
+    asked = lambda p: F.struct(T.strip(p["question"]).alias("query"), resolve(p["target"], F.col("_names"), F.col("_slugs")).alias("tool"))
+    parsed = parsed.withColumn("_pairs", F.transform(zipped(questions_of(F.col("question")), targets_of(F.coalesce("target_tools", F.lit("")))), asked))
     n = F.coalesce(F.size("_names"), F.lit(0))
     status = F.when(F.col("subset_name") == "irrelevant", "irrelevant").when((n <= 0) | (F.coalesce(F.size("_pairs"), F.lit(0)) <= 0), "parse_fail").when(~n.between(least, most), "size_filter").otherwise("ok")
     rows = parsed.withColumn("status", status).withColumn("registry_size", n).select("*", F.posexplode_outer("_pairs").alias("turn", "_pair")).where("turn IS NULL OR turn = 0 OR status = 'ok'")
-    rows = rows.withColumn("query", T.strip(F.col("_pair.question"))).withColumn("correct_tool", resolve(F.col("_pair.target"), F.col("_names"), F.col("_slugs")))
+    rows = rows.withColumn("query", F.col("_pair.query")).withColumn("correct_tool", F.col("_pair.tool"))
     rows = rows.withColumn("status", F.when((F.col("status") == "ok") & (F.col("correct_tool").isNull() | (F.coalesce("query", F.lit("")) == "")), "build_fail").otherwise(F.col("status")))
     out = rows.withColumn("registry", adapter_registry(F.col("registry_size"))).withColumn("source", F.lit("toucan"))
     return out.withColumn("tools", _described(F.col("_items"), F.col("_names"))).select("uuid", "turn", "status", "query", "correct_tool", "registry", "registry_size", "source", "tools", "messages", *keep)
@@ -111,26 +115,32 @@ def trajectories(rows: DataFrame) -> DataFrame:
     else all names) and what it prints, the tool's schema, the answer; the row's own tools are the registry. Rows whose
     tool isn't among them are left out."""
     tools, tool = F.col("tools"), F.col("correct_tool")
-    words = (search_word(F.col("query"), tool), F.get(F.split(F.replace(tool, F.lit("_"), F.lit(" ")), r"\s+"), F.lit(0)))
-    holding = lambda w: F.filter(tools, lambda t: F.contains(R.searchable(t["name"], t["description"]), F.lower(w)))
-    hits = [holding(w) for w in words]
     listed = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    literal = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    search = lambda w: F.concat(F.lit("print(tools_registry.search("), literal(w), F.lit("))"))
-    pick = lambda a, b, c: F.when(F.size(hits[0]) > 0, a).when(F.size(hits[1]) > 0, b).otherwise(c)
-    said = [listed(F.transform(h, lambda t: R.summary(t["name"], t["description"]))) for h in hits]
-    call = pick(search(words[0]), search(words[1]), F.lit("print(tools_registry.list_names())"))
-    found = pick(*said, listed(F.transform(tools, lambda t: F.concat(F.lit("'"), t["name"], F.lit("'")))))
+    literal = lambda c: bound(F.to_json(F.array(c)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+    answer = lambda call, found: F.struct(call.alias("call"), found.alias("found"))
+
+    def search(word: Column, texts: Column, otherwise: Column) -> Column:
+        """The search for a word and what it prints; otherwise, where it finds nothing."""
+        holding = lambda w: F.filter(tools, lambda t, i: F.contains(F.get(texts, i), w))
+        said = lambda hits: listed(F.transform(hits, lambda t: R.summary(t["name"], t["description"])))
+        call = F.concat(F.lit("print(tools_registry.search("), literal(word), F.lit("))"))
+        return bound(bound(F.lower(word), holding), lambda hits: F.when(F.size(hits) > 0, answer(call, said(hits))).otherwise(otherwise))
+
+    names = answer(F.lit("print(tools_registry.list_names())"), listed(F.transform(tools, lambda t: F.concat(F.lit("'"), t["name"], F.lit("'")))))
+    second = lambda texts: bound(F.get(F.split(F.replace(tool, F.lit("_"), F.lit(" ")), r"\s+"), F.lit(0)), lambda w: search(w, texts, names))
+    first = lambda texts: bound(search_word(F.col("query"), tool), lambda w: search(w, texts, second(texts)))
+    asked = bound(F.transform(tools, lambda t: R.searchable(t["name"], t["description"])), first)
     own = F.element_at(F.filter(tools, lambda t: t["name"] == tool), -1)
-    schema = F.concat(F.lit('{"name": '), literal(tool), F.lit(', "description": '), literal(own["description"]), F.lit(', "inputSchema": '), own["input_schema"], F.lit("}"))
+    shown = lambda t: F.concat(F.lit('{"name": '), literal(tool), F.lit(', "description": '), literal(t["description"]), F.lit(', "inputSchema": '), t["input_schema"], F.lit("}"))
+    schema = bound(own, shown)
     message = lambda role, *parts: F.struct(F.lit(role).alias("role"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("content"))
-    output = lambda text: message("user", T.OUTPUT_MARK + ":\n", T.clipped(text, VERIFY_REPL.max_output_chars))
-    messages = F.array(
+    output = lambda text: message("user", T.OUTPUT_MARK + ":\n", bound(text, lambda x: T.clipped(x, VERIFY_REPL.max_output_chars)))
+    messages = bound(asked, lambda a: F.array(
         message("system", F.replace(F.lit(PROMPT), F.lit("{num_tools}"), F.size(tools).cast("string"))), message("user", F.col("query")),
-        message("assistant", "THOUGHT: I search for what is asked.\n<code>\n", call, "\n</code>"), output(found),
+        message("assistant", "THOUGHT: I search for what is asked.\n<code>\n", a["call"], "\n</code>"), output(a["found"]),
         message("assistant", "THOUGHT: I read what the tool takes.\n<code>\nprint(tools_registry.get_schema(", literal(tool), "))\n</code>"), output(schema),
         message("assistant", 'THOUGHT: This tool fits.\nFINAL({"tool": ', literal(tool), ', "params": ', F.col("params"), "})"),
-    )
+    ))
     return rows.where(F.exists(tools, lambda t: t["name"] == tool)).withColumn("messages", messages).withColumn("turns", F.lit(2))
 
 
