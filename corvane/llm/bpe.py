@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -108,7 +109,8 @@ class WordBpe(dict):
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = np.array(self.tree(piece), "<u4").tobytes()
+            n = [t.id for t in self.end.tokenize(piece)] if len(piece) <= self.long_run else self.tree(piece)
+            ids = struct.pack(f"<{len(n)}I", *n)
             if len(piece) < 64:
                 if len(self.pieces) >= PIECES_KEPT:
                     self.pieces.clear()
@@ -119,6 +121,11 @@ class WordBpe(dict):
         """A word without special tokens."""
         low = word.lower()
         if low.isascii() and low.isprintable():
+            # Most words are letters, or letters and one other character: one piece, or two.
+            if low.isalpha():
+                return self._piece(low)
+            if low[:-1].isalpha():
+                return self._piece(low[:-1]) + self._piece(low[-1])
             return b"".join(map(self._piece, _SPLIT.findall(low)))
         # Below U+0250 no normal form changes anything, and letters are what \w takes for such, but for the numbers in _NO_LETTER.
         if max(low) < "\u0250" and low.isprintable() and not _NO_LETTER.search(low):
