@@ -231,6 +231,7 @@ def pipeline(rows: DataFrame, registries: DataFrame, tools: DataFrame, queries:
     (query, correct_tool, registry) the first stays. What stages 1 and 2 have is written once and counted from there."""
     passed = lambda df: df.where(M.quick_check(F.col("messages"), F.col("correct_tool")))
     given = queries if queries is not None else rows.sparkSession.createDataFrame([], "name string, ord int, query string")
+    rows = store.table(rows, "originals")
     grounded = store.table(union_stages(original=rows, reground=passed(reground(rows, registries, tools))), "grounded")
     wanted = filled(asked(tools.join(registries.select("registry").distinct(), "registry", "left_semi"), grounded, given), tools)
     wanted = wanted.withColumn("traj_id", F.concat(F.lit("template:"), F.md5(F.concat_ws("|", "registry", "correct_tool", "query").cast("binary"))))

@@ -64,7 +64,7 @@ def run_blocks(trajectories: DataFrame, tools: DataFrame, config: ReplConfig = V
     asked = blocks.where("NOT over").select("traj_id", "turn", "registry", F.posexplode("calls").alias("call", "c")).select("traj_id", "turn", "call", "registry", "c.method", "c.argument")
     distinct = asked.where("method <> 'print'").select("registry", "method", "argument").distinct()
     most = config.max_output_chars
-    answers = asked.join(_answers(distinct, tools, most), ["registry", "method", "argument"], "left")
+    answers = asked.join(store.table(_answers(distinct, tools, most), "answers"), ["registry", "method", "argument"], "left")
     answers = answers.withColumn("chars", F.when(F.col("method") == "print", F.length("argument")).otherwise(F.col("chars"))).withColumn("answer", F.when(F.col("method") == "print", F.col("argument")).otherwise(F.col("answer")))
     lines = answers.groupBy("traj_id", "turn").agg(F.array_sort(F.collect_list(F.struct("call", "answer"))).alias("a"), F.coalesce(F.sum("chars") + F.count("chars") - 1, F.lit(0)).alias("chars"))
     printed = F.concat(F.array_join(F.transform("a", lambda x: x["answer"]), "\n"), F.lit("\n"))
@@ -86,7 +86,7 @@ def _holding(tools: DataFrame, calls: DataFrame, wanted: Column, *texts: str) ->
     asked = calls.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TEXT_PARTS - 1).cast("long"))))
     at = ["registry", "_part"]
     pairs = different.repartition(n, *at).join(asked.repartition(n, *at), at).where(wanted)
-    return tools.join(pairs.drop("_part"), ["registry", *texts])
+    return tools.join(store.table(pairs.drop("_part"), "holding"), ["registry", *texts])
 
 
 def _answers(calls: DataFrame, tools: DataFrame, most: int) -> DataFrame:
@@ -94,13 +94,13 @@ def _answers(calls: DataFrame, tools: DataFrame, most: int) -> DataFrame:
     many, and how long all of it is. Only hits leave the join of calls and tools, and only as many of them are put together
     as an output can show; the others are counted."""
     call = ["registry", "method", "argument"]
-    known = calls.join(R.counts(tools), "registry")
+    known = store.table(calls.join(R.counts(tools), "registry"), "calls")
     schemas = tools.where("name IS NOT NULL AND schema IS NOT NULL").groupBy("registry", F.col("name").alias("argument")).agg(F.max(F.struct("pos", "schema"))["schema"].alias("_schema"))
     single = known.where("method IN ('count', 'get_schema')").join(schemas, ["registry", "argument"], "left")
     single = single.select(*call, F.when(F.col("method") == "count", F.col("n_tools").cast("string")).otherwise(F.coalesce("_schema", F.lit("None"))).alias("answer"))
     listed = known.where("method NOT IN ('count', 'get_schema')").select(*call)
     name, description, arg = F.col("name"), F.coalesce("description", F.lit("")), F.lower("argument")
-    looked = tools.where("name IS NOT NULL").select("registry", "pos", "name", R.summary(name, description).alias("_summary"), R.searchable(name, description).alias("_said"), F.lower(R.annotated(F.col("category"))).alias("_annotated"), F.lower(description).alias("_described"))
+    looked = tools.where("name IS NOT NULL").select("registry", "pos", "name", R.summary(name, description).alias("_summary"), R.searchable(name, description).alias("_said"), R.annotated(F.lower("category")).alias("_annotated"), F.lower(description).alias("_described"))
     searched = _holding(looked, listed.where("method = 'search'"), F.contains("_said", arg), "_said")
     filtered = _holding(looked, listed.where("method = 'filter_by_category'"), F.contains("_annotated", arg) | F.contains("_described", arg), "_annotated", "_described")
     every = looked.join(listed.where("method NOT IN ('search', 'filter_by_category')"), "registry")

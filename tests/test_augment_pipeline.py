@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import augment, repl, verify
 from corvane.operators import messages as M
+from corvane.sources import store
 
 SAID = "array<struct<role:string,content:string>>"
 
@@ -76,3 +77,33 @@ def test_first_by_hash_ranks_within_buckets(spark):
     for most in (0, 1, 17, 5000, 9000):
         got = augment.first_by_hash(df.repartition(7), most, F.col("key"), "id").orderBy("rank").collect()
         assert [r.id for r in got] == want[:most] and [r["rank"] for r in got] == list(range(1, min(most, 5000) + 1))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_driver_plans_each_step_once(spark, monkeypatch):
+    """Answers and originals are read from tables, so no step's plan holds those of the steps before it."""
+    tools, registries = _tools(spark), spark.createDataFrame([("small", 0), ("large", 1)], "registry string, ord int")
+    plans, write = {}, store.table
+
+    def table(df, name):
+        plans.setdefault(name, []).append(_plan(df))
+        return write(df, name)
+
+    monkeypatch.setattr(store, "table", table)
+    asked = _rows(spark, 2).select("traj_id", "registry", "query", "correct_tool").withColumn("category", F.lit("fs"))
+    rows = augment.template(augment.filled(asked, tools), tools).drop("augmentation", "code_ok", "params", "category")
+    got = augment.pipeline(rows, registries, tools)
+    sizes = {name: max(p.count("\n") for p in said) for name, said in plans.items()}
+    assert max(sizes.values()) <= 120 and _plan(got).count("\n") <= 120, sizes
+    assert got.where("stage < 2").count() == 4 and got.where("NOT code_ok").isEmpty()
+
+
+def test_no_constant_is_lowered(spark):
+    """Spark folds constants on the driver, where the first text in lower case loads tables of hundreds of MB."""
+    calls = spark.createDataFrame([("large", "filter_by_category", "FS")], "registry string, method string, argument string")
+    got = repl._answers(calls, _tools(spark), 200)
+    assert "lower(CASE" not in got._jdf.queryExecution().analyzed().toString()
+    assert [r.answer for r in got.collect()] == ['[{"name": "read_file", "description": "Read a file"}]']
